@@ -84,3 +84,151 @@ def oracle(name: str):
 def _():
     return with_clean(f"""SELECT strftime(Date, '%Y-%m') AS Month, {mean_sql('Weekly_Sales')} AS mean_sales
 FROM clean GROUP BY 1 ORDER BY 1""")
+
+
+MD = ("MarkDown1", "MarkDown2", "MarkDown3", "MarkDown4", "MarkDown5")
+CLEAN_COLS = ("Store", "Dept", "Date", "Weekly_Sales", "IsHoliday", "Type", "Size",
+              "Temperature", "Fuel_Price", *MD, "CPI", "Unemployment")
+
+
+@oracle("profile_summary")
+def _():
+    return with_clean("""SELECT COUNT(*) AS row_count, 16 AS column_count, MIN(Date) AS min_date,
+       MAX(Date) AS max_date, COUNT(DISTINCT Store) AS store_count, COUNT(DISTINCT Dept) AS dept_count
+FROM clean""")
+
+
+@oracle("null_profile")
+def _():
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS null_count, COUNT(*) AS n FROM clean"
+        for c in CLEAN_COLS)
+    return with_clean(f"""SELECT column_name, null_count,
+       round(CAST(null_count AS DOUBLE) * 100.0 / greatest(n, 1), 3) AS null_pct
+FROM ({parts}) WHERE null_count > 0""")
+
+
+@oracle("dept_top10")
+def _():
+    return with_clean("""SELECT Dept, COUNT(*) AS n_rows FROM clean GROUP BY Dept
+ORDER BY n_rows DESC, Dept LIMIT 10""")
+
+
+@oracle("sales_sign_counts")
+def _():
+    return with_clean("""SELECT CAST(count_if(Weekly_Sales = 0) AS BIGINT) AS zero_count,
+       CAST(count_if(Weekly_Sales < 0) AS BIGINT) AS negative_count FROM clean""")
+
+
+@oracle("zero_sales")
+def _():
+    return with_clean("""SELECT Store, Dept, Date, Weekly_Sales FROM clean WHERE Weekly_Sales = 0
+ORDER BY Store, Dept, Date LIMIT 15""")
+
+
+@oracle("negative_sales")
+def _():
+    return with_clean("""SELECT Store, Dept, Date, Weekly_Sales FROM clean WHERE Weekly_Sales < 0
+ORDER BY Weekly_Sales, Store, Dept, Date LIMIT 15""")
+
+
+HOLIDAY_MEANS = f"""hm AS (
+  SELECT Store,
+         {mean_sql('CASE WHEN IsHoliday THEN Weekly_Sales END')} AS holiday_mean,
+         {mean_sql('CASE WHEN NOT IsHoliday THEN Weekly_Sales END')} AS non_holiday_mean
+  FROM clean GROUP BY Store)"""
+
+
+@oracle("holiday_spikes")
+def _():
+    return with_clean("""SELECT * FROM (
+  SELECT Store, holiday_mean, non_holiday_mean, holiday_mean / NULLIF(non_holiday_mean, 0) AS spike_ratio
+  FROM hm WHERE holiday_mean IS NOT NULL AND non_holiday_mean IS NOT NULL)
+WHERE spike_ratio IS NOT NULL ORDER BY spike_ratio DESC, Store LIMIT 10""", HOLIDAY_MEANS)
+
+
+IQR_BOUNDS = "bounds AS (SELECT md_column, round(q1, 6) AS q1, round(q3, 6) AS q3, round(q3 - q1, 6) AS iqr, round(q3 + 3 * (q3 - q1), 6) AS upper_fence FROM (" + " UNION ALL ".join(
+    f"SELECT {i} AS col_idx, '{c}' AS md_column, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM clean"
+    for i, c in enumerate(MD)) + ") WHERE q1 IS NOT NULL)"
+
+
+@oracle("markdown_iqr_bounds")
+def _():
+    return with_clean("SELECT * FROM bounds", IQR_BOUNDS)
+
+
+OUTLIERS = "outl AS (SELECT md_column, Store, Dept, Date, value, round(fence, 2) AS upper_bound, CAST(rn AS INTEGER) AS rank_in_column, col_idx FROM (SELECT *, row_number() OVER (PARTITION BY col_idx ORDER BY value DESC, Store, Dept, Date) AS rn FROM (" + " UNION ALL ".join(
+    f"SELECT {i} AS col_idx, '{c}' AS md_column, Store, Dept, Date, {c} AS value, b.upper_fence AS fence FROM clean, bounds b WHERE b.md_column = '{c}' AND {c} > b.upper_fence"
+    for i, c in enumerate(MD)) + ")) WHERE rn <= 5 ORDER BY col_idx, rn LIMIT 15)"
+
+
+@oracle("markdown_outliers")
+def _():
+    return with_clean("SELECT md_column, Store, Dept, Date, value, upper_bound, rank_in_column FROM outl",
+                      IQR_BOUNDS + "," + OUTLIERS)
+
+
+PCT = """CASE WHEN prev_sales IS NULL OR Weekly_Sales IS NULL THEN NULL
+     WHEN prev_sales = 0 AND Weekly_Sales > 0 THEN CAST('inf' AS DOUBLE)
+     WHEN prev_sales = 0 AND Weekly_Sales < 0 THEN CAST('-inf' AS DOUBLE)
+     WHEN prev_sales = 0 THEN NULL
+     ELSE (Weekly_Sales - prev_sales) / abs(prev_sales) END"""
+WOW = f"""wow AS (SELECT Store, Dept, Date, prev_sales, Weekly_Sales, {PCT} AS pct_change
+  FROM (SELECT *, lag(Weekly_Sales) OVER (PARTITION BY Store, Dept ORDER BY Date) AS prev_sales FROM clean))"""
+
+
+@oracle("wow_change")
+def _():
+    return with_clean("SELECT * FROM wow", WOW)
+
+
+@oracle("wow_anomalies")
+def _():
+    return with_clean("""SELECT * FROM wow WHERE pct_change IS NOT NULL
+ORDER BY abs(pct_change) DESC, Store, Dept, Date LIMIT 15""", WOW)
+
+
+MONTHLY = f"mt AS (SELECT strftime(Date, '%Y-%m') AS Month, {mean_sql('Weekly_Sales')} AS mean_sales FROM clean GROUP BY 1)"
+
+
+@oracle("trend_ends")
+def _():
+    return with_clean("""SELECT min(Month) AS first_month, arg_min(mean_sales, Month) AS first_mean,
+       max(Month) AS last_month, arg_max(mean_sales, Month) AS last_mean FROM mt""", MONTHLY)
+
+
+@oracle("holiday_impact")
+def _():
+    return with_clean(f"""SELECT {mean_sql('CASE WHEN IsHoliday THEN Weekly_Sales END')} AS holiday_mean,
+       {mean_sql('CASE WHEN NOT IsHoliday THEN Weekly_Sales END')} AS non_holiday_mean FROM clean""")
+
+
+@oracle("kpis")
+def _():
+    return with_clean(f"""SELECT {sum_sql('Weekly_Sales')} AS total_sales, {mean_sql('Weekly_Sales')} AS mean_sales,
+       COUNT(DISTINCT Store) AS stores, COUNT(DISTINCT Dept) AS departments FROM clean""")
+
+
+ANY_MD = " OR ".join(f"{c} IS NOT NULL" for c in MD)
+
+
+@oracle("markdown_effect")
+def _():
+    return with_clean(f"""SELECT {mean_sql(f'CASE WHEN {ANY_MD} THEN Weekly_Sales END')} AS mean_with_markdown,
+       {mean_sql(f'CASE WHEN NOT ({ANY_MD}) THEN Weekly_Sales END')} AS mean_without_markdown,
+       (SELECT COUNT(*) FROM outl) AS extreme_outlier_count FROM clean""", IQR_BOUNDS + "," + OUTLIERS)
+
+
+def _pearson(a: str, b: str) -> str:
+    both = f"{a} IS NOT NULL AND {b} IS NOT NULL"
+    a2, b2 = f"CASE WHEN {both} THEN {a} END", f"CASE WHEN {both} THEN {b} END"
+    return (f"round(covar_pop({a2}, {b2}) / NULLIF(sqrt(var_pop({a2}) * var_pop({b2})), 0), 6)")
+
+
+@oracle("markdown_corr")
+def _():
+    cols = (*MD, "Weekly_Sales")
+    parts = " UNION ALL ".join(
+        f"SELECT '{a}' AS col_a, '{b}' AS col_b, {_pearson(a, b)} AS corr FROM clean"
+        for a in cols for b in cols)
+    return with_clean(parts)

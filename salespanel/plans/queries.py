@@ -31,3 +31,91 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("monthly_trend")
 def q_monthly_trend(spark, sf):
     return insight.monthly_trend(clean(spark, sf))
+
+
+# ---- profiling -------------------------------------------------------------
+from salespanel.operators import inspect as insp  # noqa: E402
+from salespanel.operators import profile as prof  # noqa: E402
+
+
+@query("profile_summary")
+def q_profile_summary(spark, sf):
+    return prof.profile_summary(clean(spark, sf))
+
+
+@query("null_profile")
+def q_null_profile(spark, sf):
+    return prof.null_profile(clean(spark, sf))
+
+
+@query("dept_top10")
+def q_dept_top10(spark, sf):
+    return prof.dept_top10(clean(spark, sf))
+
+
+# ---- micro-inspection ------------------------------------------------------
+@query("sales_sign_counts")
+def q_sales_sign_counts(spark, sf):
+    return insp.sales_sign_counts(clean(spark, sf))
+
+
+@query("zero_sales")
+def q_zero_sales(spark, sf):
+    return insp.zero_sales(clean(spark, sf))
+
+
+@query("negative_sales")
+def q_negative_sales(spark, sf):
+    return insp.negative_sales(clean(spark, sf))
+
+
+@query("holiday_spikes")
+def q_holiday_spikes(spark, sf):
+    return insp.holiday_spikes(clean(spark, sf))
+
+
+@query("markdown_iqr_bounds")
+def q_markdown_iqr_bounds(spark, sf):
+    return insp.markdown_iqr_bounds(clean(spark, sf))
+
+
+@query("markdown_outliers")
+def q_markdown_outliers(spark, sf):
+    return insp.markdown_outliers(clean(spark, sf))
+
+
+@query("wow_change")
+def q_wow_change(spark, sf):
+    return insp.wow_change(clean(spark, sf))
+
+
+@query("wow_anomalies")
+def q_wow_anomalies(spark, sf):
+    return insp.wow_anomalies(clean(spark, sf))
+
+
+# ---- business intelligence / dashboard --------------------------------------
+@query("trend_ends")
+def q_trend_ends(spark, sf):
+    return insight.trend_ends(clean(spark, sf))
+
+
+@query("holiday_impact")
+def q_holiday_impact(spark, sf):
+    return insight.holiday_impact(clean(spark, sf))
+
+
+@query("kpis")
+def q_kpis(spark, sf):
+    return insight.kpis(clean(spark, sf))
+
+
+@query("markdown_effect")
+def q_markdown_effect(spark, sf):
+    c = clean(spark, sf)
+    return insight.markdown_effect(c, insp.markdown_outliers(c))
+
+
+@query("markdown_corr")
+def q_markdown_corr(spark, sf):
+    return insight.markdown_corr(clean(spark, sf))

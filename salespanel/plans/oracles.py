@@ -232,3 +232,77 @@ def _():
         f"SELECT '{a}' AS col_a, '{b}' AS col_b, {_pearson(a, b)} AS corr FROM clean"
         for a in cols for b in cols)
     return with_clean(parts)
+
+
+LAGGED = """lagged AS (SELECT *, lag(Weekly_Sales, 1) OVER w AS l1, lag(Weekly_Sales, 2) OVER w AS l2,
+       lag(Weekly_Sales, 3) OVER w AS l3, lag(Weekly_Sales, 4) OVER w AS l4
+  FROM clean WINDOW w AS (PARTITION BY Store, Dept ORDER BY Date)),
+rolled AS (SELECT *, (l4 + l3 + l2 + l1) / CAST(4 AS DOUBLE) AS rm FROM lagged),
+rolled2 AS (SELECT *,
+       CASE WHEN l1 IS NOT NULL AND l2 IS NOT NULL AND l3 IS NOT NULL AND l4 IS NOT NULL THEN rm END
+         AS Weekly_Sales_RollingMean4,
+       CASE WHEN l1 IS NOT NULL AND l2 IS NOT NULL AND l3 IS NOT NULL AND l4 IS NOT NULL
+         THEN sqrt(((l4 - rm) * (l4 - rm) + (l3 - rm) * (l3 - rm) + (l2 - rm) * (l2 - rm)
+                    + (l1 - rm) * (l1 - rm)) / CAST(3 AS DOUBLE)) END AS Weekly_Sales_RollingStd4
+  FROM rolled)"""
+
+
+@oracle("lag_features")
+def _():
+    return with_clean("""SELECT Store, Dept, Date, Weekly_Sales, l1 AS Weekly_Sales_Lag1, l4 AS Weekly_Sales_Lag4
+FROM lagged""", LAGGED)
+
+
+@oracle("rolling_features")
+def _():
+    return with_clean("SELECT Store, Dept, Date, Weekly_Sales_RollingMean4, Weekly_Sales_RollingStd4 FROM rolled2", LAGGED)
+
+
+@oracle("impute_markdowns")
+def _():
+    return with_clean("SELECT Store, Dept, Date, " + ", ".join(f"COALESCE({c}, 0.0) AS {c}" for c in MD) + " FROM clean")
+
+
+STORE_MED = """smed AS (SELECT Store, median(CPI) AS CPI_store_median, median(Unemployment) AS Unemployment_store_median
+  FROM clean GROUP BY Store),
+sfill AS (SELECT c.*, COALESCE(c.CPI, m.CPI_store_median) AS CPI_f,
+                 COALESCE(c.Unemployment, m.Unemployment_store_median) AS Unemployment_f
+  FROM clean c LEFT JOIN smed m ON c.Store = m.Store),
+gmed AS (SELECT median(CPI_f) AS gcpi, median(Unemployment_f) AS gun FROM sfill),
+efill AS (SELECT s.*, COALESCE(CPI_f, gcpi) AS CPI_e, COALESCE(Unemployment_f, gun) AS Unemployment_e
+  FROM sfill s, gmed)"""
+
+
+@oracle("store_medians")
+def _():
+    return with_clean("SELECT * FROM smed", STORE_MED)
+
+
+@oracle("impute_economic")
+def _():
+    return with_clean("SELECT Store, Dept, Date, CPI_e AS CPI, Unemployment_e AS Unemployment FROM efill", STORE_MED)
+
+
+@oracle("encode_features")
+def _():
+    return with_clean("""SELECT Store, Dept, Date, CAST(IsHoliday AS INTEGER) AS IsHoliday,
+       CASE WHEN Type = 'A' THEN 1 ELSE 0 END AS Type_A, CASE WHEN Type = 'B' THEN 1 ELSE 0 END AS Type_B,
+       CASE WHEN Type = 'C' THEN 1 ELSE 0 END AS Type_C FROM clean""")
+
+
+FEATURES = """feat AS (
+  SELECT r.Store, r.Dept, r.Date, r.Weekly_Sales, CAST(r.IsHoliday AS INTEGER) AS IsHoliday, r.Size,
+         r.Temperature, r.Fuel_Price, """ + ", ".join(f"COALESCE(r.{c}, 0.0) AS {c}" for c in MD) + """,
+         e.CPI_e AS CPI, e.Unemployment_e AS Unemployment,
+         r.l1 AS Weekly_Sales_Lag1, r.l4 AS Weekly_Sales_Lag4, r.Weekly_Sales_RollingMean4,
+         r.Weekly_Sales_RollingStd4,
+         CASE WHEN r.Type = 'A' THEN 1 ELSE 0 END AS Type_A, CASE WHEN r.Type = 'B' THEN 1 ELSE 0 END AS Type_B,
+         CASE WHEN r.Type = 'C' THEN 1 ELSE 0 END AS Type_C
+  FROM rolled2 r JOIN efill e ON r.Store = e.Store AND r.Dept = e.Dept AND r.Date = e.Date
+  WHERE r.l1 IS NOT NULL AND r.l4 IS NOT NULL AND r.Weekly_Sales_RollingMean4 IS NOT NULL
+    AND r.Weekly_Sales_RollingStd4 IS NOT NULL)"""
+
+
+@oracle("feature_table")
+def _():
+    return with_clean("SELECT * FROM feat", LAGGED + "," + STORE_MED + "," + FEATURES)

@@ -119,3 +119,46 @@ def q_markdown_effect(spark, sf):
 @query("markdown_corr")
 def q_markdown_corr(spark, sf):
     return insight.markdown_corr(clean(spark, sf))
+
+
+# ---- features --------------------------------------------------------------
+from salespanel.operators import features as feat  # noqa: E402
+from salespanel.schemas import ENGINEERED_COLUMNS, MARKDOWN_COLUMNS, TARGET  # noqa: E402
+
+
+@query("lag_features")
+def q_lag_features(spark, sf):
+    df = feat.drop_private(feat.lag_columns(feat.add_lags(clean(spark, sf))))
+    return df.select("Store", "Dept", "Date", TARGET, f"{TARGET}_Lag1", f"{TARGET}_Lag4")
+
+
+@query("rolling_features")
+def q_rolling_features(spark, sf):
+    df = feat.drop_private(feat.rolling_columns(feat.add_lags(clean(spark, sf))))
+    return df.select("Store", "Dept", "Date", *ENGINEERED_COLUMNS[2:])
+
+
+@query("impute_markdowns")
+def q_impute_markdowns(spark, sf):
+    return feat.impute_markdowns(clean(spark, sf)).select("Store", "Dept", "Date", *MARKDOWN_COLUMNS)
+
+
+@query("store_medians")
+def q_store_medians(spark, sf):
+    return feat.store_medians(clean(spark, sf))
+
+
+@query("impute_economic")
+def q_impute_economic(spark, sf):
+    return feat.impute_economic(clean(spark, sf)).select("Store", "Dept", "Date", "CPI", "Unemployment")
+
+
+@query("encode_features")
+def q_encode_features(spark, sf):
+    df = feat.encode_categoricals(clean(spark, sf))
+    return df.select("Store", "Dept", "Date", "IsHoliday", *[c for c in df.columns if c.startswith("Type_")])
+
+
+@query("feature_table")
+def q_feature_table(spark, sf):
+    return feat.engineer_features(clean(spark, sf))

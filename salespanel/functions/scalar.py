@@ -41,7 +41,7 @@ def parse_date(c: str | Column, fmt: str = "d/M/yyyy") -> Column:
 
     ``d/M`` accepts both padded (05/02/2010) and unpadded (5/2/2010) forms.
     """
-    return F.try_to_date(_col(c), F.lit(fmt))
+    return F.try_to_date(_col(c), fmt)
 
 
 def coerce_bool(c: str | Column, unknown: str = "null") -> Column:

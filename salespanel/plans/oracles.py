@@ -306,3 +306,151 @@ FEATURES = """feat AS (
 @oracle("feature_table")
 def _():
     return with_clean("SELECT * FROM feat", LAGGED + "," + STORE_MED + "," + FEATURES)
+
+
+# ---- contract ----------------------------------------------------------------
+BOUNDS = """cb AS (SELECT observed_min, observed_max,
+       least(CAST(-5000.0 AS DOUBLE), round(observed_min * 1.1, 2)) AS min_bound,
+       greatest(CAST(800000.0 AS DOUBLE), round(observed_max * 1.1, 2)) AS max_bound
+  FROM (SELECT min(Weekly_Sales) AS observed_min, max(Weekly_Sales) AS observed_max FROM clean))"""
+
+
+@oracle("contract_bounds")
+def _():
+    return with_clean("SELECT * FROM cb", BOUNDS)
+
+
+_CONTRACT_TYPES = (("Store", "int", False), ("Dept", "int", False), ("Date", "datetime", False),
+                   ("Weekly_Sales", "float", False), ("IsHoliday", "bool", False),
+                   ("Type", "string", True), ("Size", "int", True), ("Temperature", "float", True),
+                   ("Fuel_Price", "float", True), ("CPI", "float", True), ("Unemployment", "float", True),
+                   *[(c, "float", True) for c in MD])
+CHECKS = "checks AS (" + " UNION ALL ".join(
+    [f"SELECT 'error' AS severity, 'dtype' AS rule, '{c}' AS column_name, CAST(0 AS BIGINT) AS violations"
+     for c, _, _ in _CONTRACT_TYPES]
+    + [f"SELECT 'error', 'not_null', '{c}', CAST(count_if({c} IS NULL) AS BIGINT) FROM clean"
+       for c, _, nullable in _CONTRACT_TYPES if not nullable]
+    + ["SELECT 'error', 'pk_null', 'Store,Dept,Date', CAST(count_if(Store IS NULL OR Dept IS NULL OR Date IS NULL) AS BIGINT) FROM clean",
+       "SELECT 'error', 'pk_duplicate', 'Store,Dept,Date', CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) FROM (SELECT COUNT(*) AS n FROM clean GROUP BY Store, Dept, Date)",
+       "SELECT 'error', 'target_null', 'Weekly_Sales', CAST(count_if(Weekly_Sales IS NULL) AS BIGINT) FROM clean",
+       "SELECT 'error', 'below_min', 'Weekly_Sales', CAST(count_if(Weekly_Sales < cb.min_bound) AS BIGINT) FROM clean, cb",
+       "SELECT 'error', 'above_max', 'Weekly_Sales', CAST(count_if(Weekly_Sales > cb.max_bound) AS BIGINT) FROM clean, cb"]) + ")"
+
+
+@oracle("contract_check")
+def _():
+    return with_clean("SELECT * FROM checks", BOUNDS + "," + CHECKS)
+
+
+@oracle("contract_verdict")
+def _():
+    return with_clean("""SELECT CASE WHEN n_errors > 0 THEN 'FAIL' ELSE 'PASS' END AS status, n_errors, n_warnings
+FROM (SELECT CAST(count_if(severity = 'error' AND violations > 0) AS BIGINT) AS n_errors,
+             CAST(count_if(severity = 'warning') AS BIGINT) AS n_warnings FROM checks)""", BOUNDS + "," + CHECKS)
+
+
+@oracle("pk_duplicates")
+def _():
+    return with_clean("""SELECT CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) AS duplicate_rows
+FROM (SELECT COUNT(*) AS n FROM clean GROUP BY Store, Dept, Date)""")
+
+
+# ---- split and metrics -------------------------------------------------------
+FEAT_ALL = LAGGED + "," + STORE_MED + "," + FEATURES
+CUT = """d AS (SELECT DISTINCT Date FROM feat),
+nd AS (SELECT COUNT(*) AS n FROM d),
+ix AS (SELECT n, greatest(0, least(CAST(n AS INTEGER) - 2,
+                 CAST(floor(n * CAST(0.8 AS DOUBLE)) AS INTEGER) - 1)) AS idx FROM nd),
+cut AS (SELECT CAST(ix.n AS BIGINT) AS n_dates, CAST(ix.idx AS INTEGER) AS cutoff_index,
+               CASE WHEN ix.n >= 2 THEN r.Date END AS cutoff_date
+        FROM ix LEFT JOIN (SELECT Date, row_number() OVER (ORDER BY Date) - 1 AS i FROM d) r ON r.i = ix.idx),
+test AS (SELECT f.* FROM feat f, cut WHERE f.Date > cut.cutoff_date)"""
+
+
+@oracle("chrono_cutoff")
+def _():
+    return with_clean("SELECT * FROM cut", FEAT_ALL + "," + CUT)
+
+
+@oracle("chrono_split")
+def _():
+    return with_clean("SELECT Store, Dept, Date, Date <= cut.cutoff_date AS is_train FROM feat, cut",
+                      FEAT_ALL + "," + CUT)
+
+
+@oracle("split_summary")
+def _():
+    return with_clean("""SELECT cut.n_dates, cut.cutoff_date,
+       CAST(count_if(f.Date <= cut.cutoff_date) AS BIGINT) AS train_rows,
+       CAST(count_if(f.Date > cut.cutoff_date) AS BIGINT) AS test_rows
+FROM feat f, cut GROUP BY cut.n_dates, cut.cutoff_date""", FEAT_ALL + "," + CUT)
+
+
+@oracle("naive_metrics")
+def _():
+    ybar = mean_sql("Weekly_Sales")
+    return with_clean(f"""SELECT round(MAE, 6) AS MAE, round(RMSE, 6) AS RMSE,
+       round(CASE WHEN sst = 0 THEN CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END ELSE 1.0 - sse / sst END, 6) AS R2
+FROM (SELECT avg(abs(Weekly_Sales - Weekly_Sales_Lag1)) AS MAE,
+             sqrt(avg((Weekly_Sales - Weekly_Sales_Lag1) * (Weekly_Sales - Weekly_Sales_Lag1))) AS RMSE,
+             sum((Weekly_Sales - Weekly_Sales_Lag1) * (Weekly_Sales - Weekly_Sales_Lag1)) AS sse,
+             sum((Weekly_Sales - ybar) * (Weekly_Sales - ybar)) AS sst
+      FROM test, (SELECT {ybar} AS ybar FROM test))""", FEAT_ALL + "," + CUT)
+
+
+@oracle("sales_long")
+def _():
+    return with_clean(f"""SELECT Date, 'Weekly_Sales' AS Series, {mean_sql('Weekly_Sales')} AS Sales FROM test GROUP BY Date
+UNION ALL
+SELECT Date, 'Naive_Sales' AS Series, {mean_sql('Weekly_Sales_Lag1')} AS Sales FROM test GROUP BY Date""",
+                      FEAT_ALL + "," + CUT)
+
+
+# ---- ingest ------------------------------------------------------------------
+@oracle("clean_panel")
+def _():
+    return with_clean("SELECT * FROM clean")
+
+
+@oracle("join_stores")
+def _():
+    return with_clean("""SELECT t.Store, t.Dept, t.Date, t.Weekly_Sales, t.IsHoliday, s.Type, s.Size
+FROM train t LEFT JOIN stores s ON t.Store = s.Store""")
+
+
+@oracle("join_features")
+def _():
+    return with_clean("""SELECT t.Store, t.Dept, t.Date, t.Weekly_Sales, t.IsHoliday, w.Temperature, w.Fuel_Price,
+       w.MarkDown1, w.MarkDown2, w.MarkDown3, w.MarkDown4, w.MarkDown5, e.CPI, e.Unemployment
+FROM train t LEFT JOIN wk w ON t.Store = w.Store AND t.Date = w.Date
+             LEFT JOIN eco e ON t.Store = e.Store AND t.Date = e.Date""")
+
+
+@oracle("join_key_check")
+def _():
+    return with_clean("""SELECT 'stores' AS source, Store, CAST(NULL AS DATE) AS Date, COUNT(*) AS n
+FROM stores GROUP BY Store HAVING COUNT(*) > 1
+UNION ALL
+SELECT 'features' AS source, w.Store, w.Date, COUNT(*) AS n
+FROM wk w LEFT JOIN eco e ON w.Store = e.Store AND w.Date = e.Date
+GROUP BY w.Store, w.Date HAVING COUNT(*) > 1""")
+
+
+@oracle("drop_null_keys")
+def _():
+    return with_clean("""SELECT COUNT(*) AS rows_in,
+       CAST(count_if(Store IS NOT NULL AND Dept IS NOT NULL AND Date IS NOT NULL AND Weekly_Sales IS NOT NULL) AS BIGINT) AS rows_out,
+       COUNT(*) - CAST(count_if(Store IS NOT NULL AND Dept IS NOT NULL AND Date IS NOT NULL AND Weekly_Sales IS NOT NULL) AS BIGINT) AS rows_dropped
+FROM clean""")
+
+
+@oracle("parse_dates")
+def _():
+    return with_clean("""SELECT Store, Dept, CAST(day(Date) AS VARCHAR) || '/' || CAST(month(Date) AS VARCHAR) || '/' || strftime(Date, '%Y') AS Date_text, Date
+FROM train""")
+
+
+@oracle("coerce_bool")
+def _():
+    return with_clean("""SELECT Store, Dept, Date, CASE WHEN IsHoliday THEN ' True ' ELSE 'false' END AS flag_text, IsHoliday
+FROM train""")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from salespanel.operators import ingest as ing
 from salespanel.operators import insight
@@ -162,3 +163,169 @@ def q_encode_features(spark, sf):
 @query("feature_table")
 def q_feature_table(spark, sf):
     return feat.engineer_features(clean(spark, sf))
+
+
+# ---- contract --------------------------------------------------------------
+from salespanel.operators import contract as con  # noqa: E402
+
+
+@query("contract_bounds")
+def q_contract_bounds(spark, sf):
+    return con.contract_bounds(clean(spark, sf))
+
+
+@query("contract_check")
+def q_contract_check(spark, sf):
+    c = clean(spark, sf)
+    return con.contract_checks(c, con.build_contract(c))
+
+
+@query("contract_verdict")
+def q_contract_verdict(spark, sf):
+    c = clean(spark, sf)
+    return con.contract_verdict(con.contract_checks(c, con.build_contract(c)))
+
+
+@query("pk_duplicates")
+def q_pk_duplicates(spark, sf):
+    return con.pk_duplicates(clean(spark, sf))
+
+
+# ---- split, metrics, models ------------------------------------------------
+from salespanel.operators import model as mdl  # noqa: E402
+
+
+def feature_table(spark, sf):
+    return feat.engineer_features(clean(spark, sf))
+
+
+def _test_rows(spark, sf):
+    return mdl.label_split(feature_table(spark, sf)).filter(~F.col("is_train"))
+
+
+@query("chrono_cutoff")
+def q_chrono_cutoff(spark, sf):
+    return mdl.chrono_cutoff(feature_table(spark, sf))
+
+
+@query("chrono_split")
+def q_chrono_split(spark, sf):
+    return mdl.label_split(feature_table(spark, sf)).select("Store", "Dept", "Date", "is_train")
+
+
+@query("split_summary")
+def q_split_summary(spark, sf):
+    return mdl.split_summary(feature_table(spark, sf))
+
+
+@query("naive_metrics")
+def q_naive_metrics(spark, sf):
+    return mdl.evaluate(_test_rows(spark, sf), prediction=f"{TARGET}_Lag1", digits=6)
+
+
+@query("sales_long")
+def q_sales_long(spark, sf):
+    return mdl.forecast_by_date(_test_rows(spark, sf), prediction=f"{TARGET}_Lag1",
+                                prediction_name="Naive_Sales", exact_prediction=True)
+
+
+_TRAINED: dict = {}
+
+
+def trained(spark, sf):
+    """Train once per (session, data dir) and reuse across the model queries."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TRAINED:
+        ft = feature_table(spark, sf)
+        _TRAINED[key] = (ft, mdl.train_and_select(ft, feat.feature_columns(ft)))
+    return _TRAINED[key]
+
+
+def _metrics_row(spark, sf, name):
+    _, res = trained(spark, sf)
+    return res.comparison(spark).filter(F.col("model") == name).drop("selected")
+
+
+@query("ridge_metrics")
+def q_ridge_metrics(spark, sf):
+    return _metrics_row(spark, sf, mdl.RIDGE)
+
+
+@query("forest_metrics")
+def q_forest_metrics(spark, sf):
+    return _metrics_row(spark, sf, mdl.FOREST)
+
+
+@query("model_comparison")
+def q_model_comparison(spark, sf):
+    return trained(spark, sf)[1].comparison(spark)
+
+
+@query("model_selection")
+def q_model_selection(spark, sf):
+    return (trained(spark, sf)[1].comparison(spark).filter("selected")
+            .select(F.col("model").alias("selected_model_name"), "RMSE"))
+
+
+@query("forecast_by_date")
+def q_forecast_by_date(spark, sf):
+    ft, res = trained(spark, sf)
+    test = mdl.split(ft, F.to_date(F.lit(res.split_cutoff_date)))[1]
+    scored = res.models[res.selected_model_name].transform(test)
+    return mdl.forecast_by_date(scored)
+
+
+# ---- ingest ----------------------------------------------------------------
+
+
+from salespanel.functions.scalar import coerce_bool, parse_date  # noqa: E402
+
+
+@query("clean_panel")
+def q_clean_panel(spark, sf):
+    return clean(spark, sf)
+
+
+@query("join_stores")
+def q_join_stores(spark, sf):
+    src = raw_tables(spark, sf)
+    return ing.join_stores(src["train"], src["stores"]).select(
+        "Store", "Dept", "Date", TARGET, "IsHoliday", "Type", "Size")
+
+
+@query("join_features")
+def q_join_features(spark, sf):
+    src = raw_tables(spark, sf)
+    return ing.join_features(src["train"], src["features"]).select(
+        "Store", "Dept", "Date", TARGET, "IsHoliday", "Temperature", "Fuel_Price",
+        *MARKDOWN_COLUMNS, "CPI", "Unemployment")
+
+
+@query("join_key_check")
+def q_join_key_check(spark, sf):
+    src = raw_tables(spark, sf)
+    return ing.join_key_violations(src["stores"], src["features"])
+
+
+@query("drop_null_keys")
+def q_drop_null_keys(spark, sf):
+    src = raw_tables(spark, sf)
+    merged = ing.join_features(ing.join_stores(src["train"], src["stores"]), src["features"])
+    keep = F.col("Store").isNotNull() & F.col("Dept").isNotNull() & F.col("Date").isNotNull() \
+        & F.col(TARGET).isNotNull()
+    return merged.agg(F.count(F.lit(1)).alias("rows_in"), F.count_if(keep).alias("rows_out")) \
+                 .withColumn("rows_dropped", F.col("rows_in") - F.col("rows_out"))
+
+
+@query("parse_dates")
+def q_parse_dates(spark, sf):
+    t = raw_tables(spark, sf)["train"]
+    text = F.date_format("Date", "d/M/yyyy")
+    return t.select("Store", "Dept", text.alias("Date_text"), parse_date(text).alias("Date"))
+
+
+@query("coerce_bool")
+def q_coerce_bool(spark, sf):
+    t = raw_tables(spark, sf)["train"]
+    text = F.when(F.col("IsHoliday"), F.lit(" True ")).otherwise(F.lit("false"))
+    return t.select("Store", "Dept", "Date", text.alias("flag_text"), coerce_bool(text).alias("IsHoliday"))

@@ -153,10 +153,12 @@ def drop_cold_start(df: DataFrame) -> DataFrame:
 
 
 def engineer_features(df: DataFrame, types: list[str] | None = None,
-                      fit: DataFrame | None = None) -> DataFrame:
+                      fit: DataFrame | None = None, prelagged: bool = False) -> DataFrame:
     """The full feature table: lags -> rolling -> markdown fill -> economic
-    fill -> encoding -> cold-start drop."""
-    out = drop_private(rolling_columns(lag_columns(add_lags(df))))
+    fill -> encoding -> cold-start drop. ``prelagged``: ``df`` already went
+    through ``add_lags`` (the window is shared with other consumers)."""
+    base = df if prelagged else add_lags(df)
+    out = drop_private(rolling_columns(lag_columns(base)))
     out = impute_markdowns(out)
     out = impute_economic(out, fit=fit)
     out = encode_categoricals(out, types)

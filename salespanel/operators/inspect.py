@@ -80,10 +80,14 @@ def markdown_iqr_bounds(df: DataFrame, digits: int = 6, approx: bool = False) ->
         return F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
 
     wide = df.agg(*[quart(c).alias(c) for c in md])
-    long = wide.unpivot([], md, "md_column", "q")
-    q1, q3 = F.col("q").getItem(0), F.col("q").getItem(1)
+    # quartiles are pulled out of the arrays before the reshape (indexing an
+    # unpivoted array column trips Spark's code generator)
+    long = wide.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("md_column"), F.col(c).getItem(0).alias("q1"), F.col(c).getItem(1).alias("q3"))
+        for c in md])))
+    q1, q3 = F.col("q1"), F.col("q3")
     iqr = q3 - q1
-    return (long.filter(F.col("q").isNotNull())
+    return (long.filter(q1.isNotNull())
                 .select("md_column", F.round(q1, digits).alias("q1"), F.round(q3, digits).alias("q3"),
                         F.round(iqr, digits).alias("iqr"),
                         F.round(q3 + IQR_FENCE_MULTIPLIER * iqr, digits).alias("upper_fence")))
@@ -133,6 +137,13 @@ def with_prev_sales(df: DataFrame) -> DataFrame:
               .withColumn("pct_change", pct_change(F.col(TARGET), F.col("prev_sales"))))
 
 
+def prev_from_lags(lagged: DataFrame) -> DataFrame:
+    """Same columns as ``with_prev_sales`` from a table that already carries
+    the shared series lags (see ``features.add_lags``): no second window."""
+    return (lagged.withColumn("prev_sales", F.col("__lag1"))
+                  .withColumn("pct_change", pct_change(F.col(TARGET), F.col("prev_sales"))))
+
+
 def wow_change(df: DataFrame) -> DataFrame:
     """Week-over-week change of every row (null where there is no previous
     row or both weeks are zero; +/-inf after a zero week)."""

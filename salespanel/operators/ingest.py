@@ -55,7 +55,8 @@ def join_features(df: DataFrame, features: DataFrame) -> DataFrame:
 def drop_null_keys(df: DataFrame, observation: Observation | None = None) -> DataFrame:
     """Drop rows null in any key or the target. With ``observation`` the
     number of rows in and out is recorded on the first action (no extra
-    pass over the data)."""
+    pass over the data); make that action a write or collect, not a global
+    sort, whose sampling pass would be observed as well."""
     subset = [*PRIMARY_KEYS, TARGET]
     if observation is None:
         return df.dropna(subset=subset)

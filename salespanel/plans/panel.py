@@ -69,9 +69,11 @@ def _is_holiday(date_col):
     return F.weekofyear(date_col).isin(*HOLIDAY_WEEKS)
 
 
-def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The three typed sources {stores, features, train} of the panel."""
-    fine = _fine_grain(spark, sf_dir)
+def raw_tables(spark: SparkSession, sf_dir: str, fine: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The three typed sources {stores, features, train} of the panel.
+    ``fine`` lets a caller share one (persisted) fine-grain aggregate between
+    ``train`` and ``features``."""
+    fine = _fine_grain(spark, sf_dir) if fine is None else fine
 
     train = fine.select(
         "Store", "Dept", "Date",
@@ -114,3 +116,25 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     features = (wk.join(eco, ["Store", "Date"], "left")
                 .withColumn("IsHoliday", _is_holiday(F.col("Date"))))
     return {"stores": stores, "features": features, "train": train}
+
+
+SOURCE_NAMES = ("stores", "features", "train")
+
+
+def materialize_sources(spark: SparkSession, sf_dir: str, path: str) -> dict[str, DataFrame]:
+    """Derive the sources once and write them as Parquet under ``path`` (a
+    folder in the shared directory). The fine-grain aggregate both
+    ``train`` and ``features`` come from is persisted for the two writes,
+    so the line-item join is computed once; it is released right after.
+    Returns readers of the written tables (lineage starts there)."""
+    fine = _fine_grain(spark, sf_dir).persist()
+    try:
+        for name, df in raw_tables(spark, sf_dir, fine).items():
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+    finally:
+        fine.unpersist()
+    return read_sources(spark, path)
+
+
+def read_sources(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{path}/{n}") for n in SOURCE_NAMES}

@@ -10,9 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import hashlib
+
 from salespanel.operators import ingest as ing
 from salespanel.operators import insight
-from salespanel.plans.panel import raw_tables
+from salespanel.plans.panel import materialize_sources, read_sources
+from salespanel.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -24,6 +27,23 @@ def query(name: str):
     return reg
 
 
+_SOURCES: dict = {}
+
+
+def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The {stores, features, train} sources derived from the driver tables
+    in ``sf_dir``: derived once per application and written to the shared
+    folder (the ingest stage of a run), then read by every query."""
+    app = spark.sparkContext.applicationId
+    key = (app, sf_dir)
+    if key not in _SOURCES:
+        digest = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
+        path = f"{shared_dir(spark)}/salespanel-sources/{app}/{digest}"
+        materialize_sources(spark, sf_dir, path)
+        _SOURCES[key] = path
+    return read_sources(spark, _SOURCES[key])
+
+
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clean panel (no eager key check; see ``join_key_check``)."""
     return ing.ingest(raw_tables(spark, sf_dir), check_keys=False)

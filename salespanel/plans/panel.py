@@ -36,9 +36,21 @@ def _week(c):
     return F.date_trunc("week", c).cast("date")
 
 
+def _scaled(c, places: int):
+    """A money/rate value with ``places`` decimals as an exact LONG count of
+    10^-places units (the values carry at most that many decimals)."""
+    return F.round(F.col(c) * F.lit(10.0 ** places)).cast("long")
+
+
 def _fine_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(Store, Dept, Date) aggregates of the line items, including the partial
-    sums the (Store, Date) features need."""
+    sums the (Store, Date) features need.
+
+    Money is summed as exact LONG counts of 1e-4 (price in cents x discount
+    in hundredths) rather than wide DECIMALs: same exact result, but the
+    arithmetic and the aggregation buffers stay primitive (a DECIMAL wider
+    than 18 digits is a BigDecimal object per row). A per-group overflow
+    raises (ANSI) instead of wrapping."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag", "l_shipdate")
@@ -46,23 +58,21 @@ def _fine_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     lines = (li.join(sup, li.l_suppkey == sup.s_suppkey)
                .join(od, li.l_orderkey == od.o_orderkey))
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
-    disc = F.col("l_discount").cast("decimal(3,2)")
-    tax = F.col("l_tax").cast("decimal(4,2)")
+    price, disc, tax = _scaled("l_extendedprice", 2), _scaled("l_discount", 2), _scaled("l_tax", 2)
     sign = F.when(F.col("l_returnflag") == "R", F.lit(-1)).otherwise(F.lit(1))
-    net = price * (F.lit(1).cast("decimal(3,2)") - disc) * sign
+    prio = F.substring("o_orderpriority", 1, 1)
     return (lines
             .select(F.col("s_nationkey").alias("Store"), F.col("l_linenumber").alias("Dept"),
-                    _week(F.col("l_shipdate")).alias("Date"), "l_quantity", "o_orderpriority",
-                    price.alias("price"), disc.alias("disc"), tax.alias("tax"),
-                    net.alias("net"))
+                    _week(F.col("l_shipdate")).alias("Date"), "l_quantity", prio.alias("prio"),
+                    (price * (F.lit(100) - disc) * sign).alias("net4"),
+                    (price * disc).alias("md4"), tax.alias("tax2"))
             .groupBy("Store", "Dept", "Date")
-            .agg(F.sum("net").alias("net"),
+            .agg(F.sum("net4").alias("net4"),
                  F.sum("l_quantity").alias("qty"),
                  F.count(F.lit(1)).alias("n"),
-                 F.sum("tax").alias("tax"),
-                 *[F.sum(F.when(F.col("o_orderpriority").startswith(p), F.col("price") * F.col("disc")))
-                   .alias(f"md{i + 1}") for i, p in enumerate(PRIORITY_PREFIXES)]))
+                 F.sum("tax2").alias("tax2"),
+                 *[F.sum(F.when(F.col("prio") == p, F.col("md4"))).alias(f"md{i + 1}")
+                   for i, p in enumerate(PRIORITY_PREFIXES)]))
 
 
 def _is_holiday(date_col):
@@ -77,7 +87,7 @@ def raw_tables(spark: SparkSession, sf_dir: str, fine: DataFrame | None = None)
 
     train = fine.select(
         "Store", "Dept", "Date",
-        F.col("net").cast("double").alias("Weekly_Sales"),
+        (F.col("net4").cast("double") / F.lit(1e4)).alias("Weekly_Sales"),
         _is_holiday(F.col("Date")).alias("IsHoliday"))
 
     sup = table(spark, sf_dir, "supplier").select("s_nationkey")
@@ -91,12 +101,12 @@ def raw_tables(spark: SparkSession, sf_dir: str, fine: DataFrame | None = None)
                       (F.col("cnt") * 1000 + F.col("n_nationkey")).cast("int").alias("Size")))
 
     wk = (fine.groupBy("Store", "Date")
-          .agg(F.sum("qty").alias("qty"), F.sum("n").alias("n"), F.sum("tax").alias("tax"),
+          .agg(F.sum("qty").alias("qty"), F.sum("n").alias("n"), F.sum("tax2").alias("tax2"),
                *[F.sum(f"md{i}").alias(f"md{i}") for i in range(1, 6)])
           .select("Store", "Date",
                   (F.col("qty") / F.col("n")).alias("Temperature"),
-                  (F.col("tax").cast("double") / F.col("n")).alias("Fuel_Price"),
-                  *[F.col(f"md{i}").cast("double").alias(f"MarkDown{i}") for i in range(1, 6)]))
+                  (F.col("tax2").cast("double") / F.lit(100.0) / F.col("n")).alias("Fuel_Price"),
+                  *[(F.col(f"md{i}").cast("double") / F.lit(1e4)).alias(f"MarkDown{i}") for i in range(1, 6)]))
 
     od = table(spark, sf_dir, "orders").select(
         "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
@@ -104,12 +114,13 @@ def raw_tables(spark: SparkSession, sf_dir: str, fine: DataFrame | None = None)
     finished = F.col("o_orderstatus") == "F"
     eco = (od.join(cu, od.o_custkey == cu.c_custkey)
            .select(F.col("c_nationkey").alias("Store"), _week(F.col("o_orderdate")).alias("Date"),
-                   F.col("o_totalprice").cast("decimal(14,2)").alias("tp"),
-                   F.when(finished, F.col("c_acctbal").cast("decimal(12,2)")).alias("bal"),
+                   _scaled("o_totalprice", 2).alias("tp2"),
+                   F.when(finished, _scaled("c_acctbal", 2)).alias("bal2"),
                    F.when(finished, F.lit(1)).alias("fin"))
            .groupBy("Store", "Date")
-           .agg((F.sum("tp").cast("double") / F.count(F.lit(1))).alias("CPI"),
-                (F.sum("bal").cast("double") / F.nullif(F.count("fin"), F.lit(0))).alias("Unemployment")))
+           .agg((F.sum("tp2").cast("double") / F.lit(100.0) / F.count(F.lit(1))).alias("CPI"),
+                (F.sum("bal2").cast("double") / F.lit(100.0)
+                 / F.nullif(F.count("fin"), F.lit(0))).alias("Unemployment")))
 
     # Every (Store, Date) of train has a row in wk (same line items, coarser
     # grain), so train x (wk x eco) equals train x wk x eco.

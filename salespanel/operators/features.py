@@ -84,14 +84,43 @@ def impute_markdowns(df: DataFrame) -> DataFrame:
     return df.fillna(0.0, subset=present) if present else df
 
 
-def store_medians(df: DataFrame, cols=ECONOMIC_COLUMNS) -> DataFrame:
-    """Per-store exact median of each economic column (nulls skipped).
+def value_histogram(df: DataFrame, cols) -> DataFrame:
+    """(column, Store, value, n): how often each value of each column occurs
+    per store (value null counts the gaps). One pass over ``df`` with
+    map-side partial counts; its size follows the distinct values per store,
+    not the rows."""
+    stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+                                  for c in cols]))
+    return (df.select("Store", stacked.alias("s")).select("Store", "s.*")
+              .groupBy("column", "Store", "value").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _median(col: str = "value", weight: str = "n"):
+    """Exact row-weighted median of a histogram (same interpolation as
+    ``median`` over the expanded rows)."""
+    return F.percentile(F.col(col), F.lit(0.5), F.col(weight))
+
+
+def _fill_values(hist: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per-store medians (column, Store, store_median) and the global medians
+    of the store-filled columns (column, global_median), from one histogram."""
+    seen = hist.filter(F.col("value").isNotNull())
+    med = seen.groupBy("column", "Store").agg(_median().alias("store_median"))
+    gaps = hist.filter(F.col("value").isNull()).select("column", "Store", F.col("n").alias("gaps"))
+    filled_gaps = (gaps.join(med, ["column", "Store"])
+                       .select("column", F.col("store_median").alias("value"), F.col("gaps").alias("n")))
+    glob = (seen.select("column", "value", "n").unionByName(filled_gaps)
+                .groupBy("column").agg(_median().alias("global_median")))
+    return med, glob
 
-    ``median`` keeps a value -> count map per store: memory follows the
-    distinct values of one store (weekly regional indicators), not its rows.
-    """
+
+def store_medians(df: DataFrame, cols=ECONOMIC_COLUMNS) -> DataFrame:
+    """Per-store exact median of each economic column (nulls skipped), one
+    row per store: Store, <col>_store_median ..."""
     present = [c for c in cols if c in df.columns]
-    return df.groupBy("Store").agg(*[F.median(c).alias(f"{c}_store_median") for c in present])
+    med, _ = _fill_values(value_histogram(df, present))
+    return med.groupBy("Store").pivot("column", present).agg(F.first("store_median")) \
+              .select("Store", *[F.col(c).alias(f"{c}_store_median") for c in present])
 
 
 def impute_economic(df: DataFrame, cols=ECONOMIC_COLUMNS, fit: DataFrame | None = None) -> DataFrame:
@@ -103,23 +132,24 @@ def impute_economic(df: DataFrame, cols=ECONOMIC_COLUMNS, fit: DataFrame | None
     reference does) chooses the rows the medians are learned from; pass the
     training rows to keep the hold-out out of the fill.
 
-    Plan: the per-store medians are a grouped aggregate joined back on Store
-    (AQE broadcasts it when the measured size allows); the global median is
-    a one-row aggregate, cross-joined.
+    Plan: ONE histogram pass over ``fit`` gives both medians (the global
+    one is the weighted median of observed values plus each store's gaps
+    at its store median: the store-filled column without building it);
+    then one pass over ``df`` joins the per-store medians on Store (AQE
+    broadcasts them when their measured size allows) and the one-row
+    global medians.
     """
     present = [c for c in cols if c in df.columns]
     if not present:
         return df
     fit = df if fit is None else fit
-    med = store_medians(fit, present)
-    out = df.join(med, "Store", "left")
-    fit_filled = fit.join(med, "Store", "left")
-    out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}_store_median")) for c in present})
-    fit_filled = fit_filled.select(*[F.coalesce(F.col(c), F.col(f"{c}_store_median")).alias(c)
-                                     for c in present])
-    glob = fit_filled.agg(*[F.median(c).alias(f"{c}_global_median") for c in present])
-    out = out.crossJoin(glob)
-    out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}_global_median")) for c in present})
+    med, glob = _fill_values(value_histogram(fit, present))
+    med_w = (med.groupBy("Store").pivot("column", present).agg(F.first("store_median"))
+                .select("Store", *[F.col(c).alias(f"__sm_{c}") for c in present]))
+    glob_w = glob.groupBy().pivot("column", present).agg(F.first("global_median")) \
+                 .select(*[F.col(c).alias(f"__gm_{c}") for c in present])
+    out = df.join(med_w, "Store", "left").crossJoin(glob_w)
+    out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"__sm_{c}"), F.col(f"__gm_{c}")) for c in present})
     return out.select(*df.columns)
 
 

@@ -14,18 +14,21 @@ def markdown_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith("MarkDown")]
 
 
+def _monthly_means(df: DataFrame) -> DataFrame:
+    return (df.groupBy(F.date_format("Date", "yyyy-MM").alias("Month"))
+              .agg(exact_mean(TARGET).alias("mean_sales")))
+
+
 def monthly_trend(df: DataFrame) -> DataFrame:
     """Mean weekly sales per calendar month ('yyyy-MM'), chronological.
 
     One partial + final aggregation; the output has one row per month."""
-    return (df.groupBy(F.date_format("Date", "yyyy-MM").alias("Month"))
-              .agg(exact_mean(TARGET).alias("mean_sales"))
-              .orderBy("Month"))
+    return _monthly_means(df).orderBy("Month")
 
 
 def trend_ends(df: DataFrame) -> DataFrame:
     """First and last month of the trend with their means (one row)."""
-    t = monthly_trend(df)
+    t = _monthly_means(df)
     return t.agg(F.min("Month").alias("first_month"),
                  F.min_by("mean_sales", "Month").alias("first_mean"),
                  F.max("Month").alias("last_month"),

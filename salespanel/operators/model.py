@@ -108,16 +108,15 @@ def label_split(df: DataFrame, train_fraction: float = TRAIN_FRACTION, date_col:
 def evaluate(scored: DataFrame, label: str = TARGET, prediction: str = "prediction",
              digits: int | None = None) -> DataFrame:
     """One row: MAE, RMSE, R2 (scikit-learn definitions; a constant target
-    gives R2 = 1.0 for a perfect fit, else 0.0). The label mean is a one-row
-    aggregate cross-joined in; everything else is one aggregation."""
+    gives R2 = 1.0 for a perfect fit, else 0.0). One aggregation pass: the
+    total sum of squares is n * var_pop(y), whose partial aggregates merge
+    in a numerically stable way."""
     y, p = F.col(label), F.col(prediction)
-    mean = scored.agg(exact_mean(label).alias("__ybar"))
     e = y - p
-    agg = (scored.select(label, prediction).crossJoin(mean)
-           .agg(F.avg(F.abs(e)).alias("MAE"),
-                F.sqrt(F.avg(e * e)).alias("RMSE"),
-                F.sum(e * e).alias("__sse"),
-                F.sum((y - F.col("__ybar")) * (y - F.col("__ybar"))).alias("__sst")))
+    agg = scored.agg(F.avg(F.abs(e)).alias("MAE"),
+                     F.sqrt(F.avg(e * e)).alias("RMSE"),
+                     F.sum(e * e).alias("__sse"),
+                     (F.var_pop(y) * F.count(y)).alias("__sst"))
     r2 = (F.when(F.col("__sst") == 0, F.when(F.col("__sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
           .otherwise(F.lit(1.0) - F.col("__sse") / F.col("__sst")))
     out = agg.select("MAE", "RMSE", r2.alias("R2"))

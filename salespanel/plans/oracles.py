@@ -388,14 +388,13 @@ FROM feat f, cut GROUP BY cut.n_dates, cut.cutoff_date""", FEAT_ALL + "," + CUT)
 
 @oracle("naive_metrics")
 def _():
-    ybar = mean_sql("Weekly_Sales")
-    return with_clean(f"""SELECT round(MAE, 6) AS MAE, round(RMSE, 6) AS RMSE,
+    return with_clean("""SELECT round(MAE, 6) AS MAE, round(RMSE, 6) AS RMSE,
        round(CASE WHEN sst = 0 THEN CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END ELSE 1.0 - sse / sst END, 6) AS R2
 FROM (SELECT avg(abs(Weekly_Sales - Weekly_Sales_Lag1)) AS MAE,
              sqrt(avg((Weekly_Sales - Weekly_Sales_Lag1) * (Weekly_Sales - Weekly_Sales_Lag1))) AS RMSE,
              sum((Weekly_Sales - Weekly_Sales_Lag1) * (Weekly_Sales - Weekly_Sales_Lag1)) AS sse,
-             sum((Weekly_Sales - ybar) * (Weekly_Sales - ybar)) AS sst
-      FROM test, (SELECT {ybar} AS ybar FROM test))""", FEAT_ALL + "," + CUT)
+             var_pop(Weekly_Sales) * COUNT(Weekly_Sales) AS sst
+      FROM test)""", FEAT_ALL + "," + CUT)
 
 
 @oracle("sales_long")

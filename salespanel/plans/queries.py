@@ -219,23 +219,40 @@ def feature_table(spark, sf):
     return feat.engineer_features(clean(spark, sf))
 
 
+_FEATURES: dict = {}
+
+
+def written_features(spark, sf):
+    """The feature table written once per application to the shared folder
+    (the scientist stage reads it, as a run does); split, metric and model
+    queries start from it."""
+    app = spark.sparkContext.applicationId
+    key = (app, sf)
+    if key not in _FEATURES:
+        digest = hashlib.sha1(sf.encode()).hexdigest()[:12]
+        path = f"{shared_dir(spark)}/salespanel-features/{app}/{digest}"
+        feature_table(spark, sf).write.mode("overwrite").parquet(path)
+        _FEATURES[key] = path
+    return spark.read.parquet(_FEATURES[key])
+
+
 def _test_rows(spark, sf):
-    return mdl.label_split(feature_table(spark, sf)).filter(~F.col("is_train"))
+    return mdl.label_split(written_features(spark, sf)).filter(~F.col("is_train"))
 
 
 @query("chrono_cutoff")
 def q_chrono_cutoff(spark, sf):
-    return mdl.chrono_cutoff(feature_table(spark, sf))
+    return mdl.chrono_cutoff(written_features(spark, sf))
 
 
 @query("chrono_split")
 def q_chrono_split(spark, sf):
-    return mdl.label_split(feature_table(spark, sf)).select("Store", "Dept", "Date", "is_train")
+    return mdl.label_split(written_features(spark, sf)).select("Store", "Dept", "Date", "is_train")
 
 
 @query("split_summary")
 def q_split_summary(spark, sf):
-    return mdl.split_summary(feature_table(spark, sf))
+    return mdl.split_summary(written_features(spark, sf))
 
 
 @query("naive_metrics")
@@ -256,7 +273,7 @@ def trained(spark, sf):
     """Train once per (session, data dir) and reuse across the model queries."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _TRAINED:
-        ft = feature_table(spark, sf)
+        ft = written_features(spark, sf)
         _TRAINED[key] = (ft, mdl.train_and_select(ft, feat.feature_columns(ft)))
     return _TRAINED[key]
 

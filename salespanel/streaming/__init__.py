@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The engine's workload is batch: the sources are whole tables and every
+result is a batch aggregate, window or model. There is no stream, watermark,
+late-data rule or stateful operator to express, so no Structured Streaming
+query is defined. The operators are plain DataFrame -> DataFrame functions,
+so a caller can still apply the per-batch ones inside ``foreachBatch``.
+"""

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from salespanel.operators.quantiles import exact_quantiles
 from salespanel.schemas import (
     ECONOMIC_COLUMNS,
     ENGINEERED_COLUMNS,
@@ -95,22 +96,18 @@ def value_histogram(df: DataFrame, cols) -> DataFrame:
               .groupBy("column", "Store", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _median(col: str = "value", weight: str = "n"):
-    """Exact row-weighted median of a histogram (same interpolation as
-    ``median`` over the expanded rows)."""
-    return F.percentile(F.col(col), F.lit(0.5), F.col(weight))
-
-
 def _fill_values(hist: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per-store medians (column, Store, store_median) and the global medians
-    of the store-filled columns (column, global_median), from one histogram."""
+    of the store-filled columns (column, global_median), from one histogram.
+    Both are exact and distributed (``exact_quantiles``): a hot store or the
+    global median never gathers its values in one task."""
     seen = hist.filter(F.col("value").isNotNull())
-    med = seen.groupBy("column", "Store").agg(_median().alias("store_median"))
+    med = exact_quantiles(seen, "value", [0.5], ["store_median"], groups=["column", "Store"], weight="n")
     gaps = hist.filter(F.col("value").isNull()).select("column", "Store", F.col("n").alias("gaps"))
     filled_gaps = (gaps.join(med, ["column", "Store"])
                        .select("column", F.col("store_median").alias("value"), F.col("gaps").alias("n")))
-    glob = (seen.select("column", "value", "n").unionByName(filled_gaps)
-                .groupBy("column").agg(_median().alias("global_median")))
+    filled = seen.select("column", "value", "n").unionByName(filled_gaps)
+    glob = exact_quantiles(filled, "value", [0.5], ["global_median"], groups=["column"], weight="n")
     return med, glob
 
 

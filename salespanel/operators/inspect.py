@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from salespanel.functions.scalar import exact_mean, pct_change
 from salespanel.operators.insight import markdown_columns
+from salespanel.operators.quantiles import exact_quantiles
 from salespanel.schemas import (
     ANOMALY_TOP_N,
     HOLIDAY_SPIKE_TOP_N,
@@ -64,33 +65,31 @@ def holiday_spikes(df: DataFrame, n: int = HOLIDAY_SPIKE_TOP_N) -> DataFrame:
 
 def markdown_iqr_bounds(df: DataFrame, digits: int = 6, approx: bool = False) -> DataFrame:
     """Per markdown column: exact quartiles (linear interpolation, nulls
-    skipped), the IQR and the upper fence q3 + 3 * IQR. One aggregation pass
-    for all columns; columns with no values are left out.
+    skipped), the IQR and the upper fence q3 + 3 * IQR. Columns with no
+    values are left out.
 
-    ``percentile`` keeps a value -> count map per group, so its memory grows
-    with distinct values, not rows; ``approx=True`` switches to
-    ``percentile_approx`` for columns with unbounded distinct values."""
+    The columns are stacked to (md_column, value) and the quartiles come
+    from ``exact_quantiles``: no task ever holds all values of a column.
+    ``approx=True`` uses ``percentile_approx`` instead (bounded sketch, one
+    pass, not exact)."""
     md = markdown_columns(df)
     if not md:
         return df.sparkSession.createDataFrame([], "md_column string, q1 double, q3 double, iqr double, upper_fence double")
-
-    def quart(c):
-        if approx:
-            return F.percentile_approx(c, [0.25, 0.75], 100000)
-        return F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
-
-    wide = df.agg(*[quart(c).alias(c) for c in md])
-    # quartiles are pulled out of the arrays before the reshape (indexing an
-    # unpivoted array column trips Spark's code generator)
-    long = wide.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("md_column"), F.col(c).getItem(0).alias("q1"), F.col(c).getItem(1).alias("q3"))
-        for c in md])))
+    stacked = (df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("col_idx"), F.lit(c).alias("md_column"), F.col(c).cast("double").alias("value"))
+        for i, c in enumerate(md)])).alias("s")).select("s.*"))
+    if approx:
+        q = (stacked.groupBy("col_idx", "md_column")
+                    .agg(F.percentile_approx("value", [0.25, 0.75], 100000).alias("q"))
+                    .select("md_column", F.col("q").getItem(0).alias("q1"), F.col("q").getItem(1).alias("q3")))
+    else:
+        q = exact_quantiles(stacked, "value", [0.25, 0.75], ["q1", "q3"], groups=["md_column"])
     q1, q3 = F.col("q1"), F.col("q3")
     iqr = q3 - q1
-    return (long.filter(q1.isNotNull())
-                .select("md_column", F.round(q1, digits).alias("q1"), F.round(q3, digits).alias("q3"),
-                        F.round(iqr, digits).alias("iqr"),
-                        F.round(q3 + IQR_FENCE_MULTIPLIER * iqr, digits).alias("upper_fence")))
+    return (q.filter(q1.isNotNull())
+             .select("md_column", F.round(q1, digits).alias("q1"), F.round(q3, digits).alias("q3"),
+                     F.round(iqr, digits).alias("iqr"),
+                     F.round(q3 + IQR_FENCE_MULTIPLIER * iqr, digits).alias("upper_fence")))
 
 
 def markdown_outliers(df: DataFrame, bounds: DataFrame | None = None,

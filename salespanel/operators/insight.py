@@ -65,13 +65,21 @@ def markdown_effect(df: DataFrame, outliers: DataFrame | None = None) -> DataFra
 
 def markdown_corr(df: DataFrame, digits: int = 6) -> DataFrame:
     """Pearson correlation of every pair of MarkDown* and the target, long
-    form (col_a, col_b, corr). All pairs are computed in ONE aggregation pass
-    (map-side partial moments), then unpivoted. A constant column gives null,
-    pairs skip rows where either side is null."""
+    form (col_a, col_b, corr), all ordered pairs as in a correlation matrix.
+
+    The matrix is symmetric, so only the unique pairs are aggregated, all in
+    ONE pass (map-side partial moments); the diagonal is 1 (null for a
+    constant or empty column). Pairs skip rows where either side is null."""
     cols = markdown_columns(df) + [TARGET]
-    pairs = [(a, b) for a in cols for b in cols]
-    aggs = [F.round(pearson(a, b), digits).alias(f"{a}|{b}") for a, b in pairs]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    aggs = [F.round(pearson(a, b), digits).alias(f"p{k}") for k, (a, b) in enumerate(pairs)]
+    aggs += [F.var_pop(c).alias(f"v{k}") for k, c in enumerate(cols)]
     wide = df.agg(*aggs)
-    long = wide.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "corr")
-    return long.select(F.split("pair", r"\|").getItem(0).alias("col_a"),
-                       F.split("pair", r"\|").getItem(1).alias("col_b"), "corr")
+    cells = []
+    for k, (a, b) in enumerate(pairs):
+        cells.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"p{k}").alias("corr")))
+        cells.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), F.col(f"p{k}").alias("corr")))
+    for k, c in enumerate(cols):
+        diag = F.when(F.col(f"v{k}") > 0, F.lit(1.0))
+        cells.append(F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), diag.alias("corr")))
+    return wide.select(F.inline(F.array(*cells)))

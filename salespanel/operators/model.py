@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salespanel.functions.scalar import exact_mean
+from salespanel.operators.quantiles import values_at_ranks
 from salespanel.schemas import TARGET, TRAIN_FRACTION
 
 # Candidate names and their hyper-parameters.
@@ -39,26 +40,27 @@ class SplitError(ValueError):
 # ---- split -----------------------------------------------------------------
 def chrono_cutoff(df: DataFrame, date_col: str = "Date", train_fraction: float = TRAIN_FRACTION) -> DataFrame:
     """One row (n_dates, cutoff_index, cutoff_date): with n sorted distinct
-    dates, index = max(0, min(n - 2, int(n * f) - 1)).
+    dates, index = max(0, min(n - 2, int(n * f) - 1)); the cutoff date is
+    null when there are fewer than 2 dates.
 
-    The distinct dates (one per calendar week) are gathered into one sorted
-    array by a single aggregation; the data rows themselves never leave
-    their partitions.
-    """
+    The date at that rank is found by the distributed rank selection (range
+    partitioning + chunk offsets), so the distinct dates are never gathered
+    in one task or on the driver."""
     dates = df.select(F.col(date_col).alias("d")).distinct()
-    arr = dates.agg(F.sort_array(F.collect_list("d")).alias("ds"))
-    n = F.size("ds")
-    idx = F.greatest(F.lit(0), F.least(n - 2, F.floor(n * F.lit(float(train_fraction))).cast("int") - 1))
-    return (arr.select(n.cast("long").alias("n_dates"), idx.alias("cutoff_index"), "ds")
-               .select("n_dates", "cutoff_index",
-                       F.when(F.col("n_dates") >= 2, F.element_at("ds", F.col("cutoff_index") + 1))
-                        .alias("cutoff_date")))
+
+    def idx(n):
+        return F.greatest(F.lit(0), F.least(n.cast("int") - 2,
+                                            F.floor(n * F.lit(float(train_fraction))).cast("int") - 1))
+
+    sel = values_at_ranks(dates, "d", {"cutoff_date": idx})
+    return sel.select(F.col("n").cast("long").alias("n_dates"), idx(F.col("n")).alias("cutoff_index"),
+                      F.when(F.col("n") >= 2, F.col("cutoff_date")).alias("cutoff_date"))
 
 
 def cutoff_date(df: DataFrame, date_col: str = "Date", train_fraction: float = TRAIN_FRACTION):
     """The cutoff as a driver scalar (one value); raises with < 2 dates."""
     r = chrono_cutoff(df, date_col, train_fraction).first()
-    if r is None or r["n_dates"] < 2:
+    if r is None or r["n_dates"] < 2 or r["cutoff_date"] is None:
         raise SplitError("Not enough distinct dates to perform a chronological split")
     return r["cutoff_date"]
 

@@ -24,9 +24,9 @@ middle values bit for bit.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # A group whose distinct values stay under this bound may be merged in one
@@ -82,8 +82,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Se
     return _distributed(vc, value, probs, names, g, partitions)
 
 
-def _distributed(vc: DataFrame, value: str, probs: Sequence[float], names: Sequence[str],
-                 g: list[str], partitions: int | None) -> DataFrame:
+def _ranked(vc: DataFrame, value: str, g: list[str], partitions: int | None) -> DataFrame:
+    """(groups..., value, __n, __start, __end): each distinct value with the
+    half-open interval [start, end) of 0-based ranks its copies occupy among
+    the group's n rows, computed without gathering a group in one task."""
     n_parts = partitions or int(vc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rp = vc.repartitionByRange(n_parts, *g, value).withColumn("__pid", F.spark_partition_id())
 
@@ -98,24 +100,46 @@ def _distributed(vc: DataFrame, value: str, probs: Sequence[float], names: Seque
 
     ranked = rp.join(chunks, ["__pid", *g])
     end = F.col("__off") + F.col("__run")
-    start = end - F.col("__w")
-    ranked = ranked.select(*g, value, "__n", start.alias("__start"), end.alias("__end"))
+    return ranked.select(*g, value, "__n", (end - F.col("__w")).alias("__start"), end.alias("__end"))
+
+
+def _covers(r):
+    return (F.col("__start") <= r) & (r < F.col("__end"))
+
+
+def values_at_ranks(df: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]],
+                    groups: Sequence[str] = (), weight: str | None = None,
+                    partitions: int | None = None) -> DataFrame:
+    """Per group, the value at each computed rank: ``ranks`` maps an output
+    name to a function of the group's row count n (a Column) giving a
+    0-based rank. One row per group: groups..., n, <names>."""
+    g = list(groups)
+    ranked = _ranked(value_counts(df, value, g, weight), value, g, partitions)
+    n = F.col("__n")
+    keep = F.lit(False)
+    for fn in ranks.values():
+        keep = keep | _covers(fn(n))
+    return (ranked.filter(keep).groupBy(*g)
+                  .agg(F.first("__n").alias("n"),
+                       *[F.max(F.when(_covers(fn(n)), F.col(value))).alias(name) for name, fn in ranks.items()]))
+
+
+def _distributed(vc: DataFrame, value: str, probs: Sequence[float], names: Sequence[str],
+                 g: list[str], partitions: int | None) -> DataFrame:
+    ranked = _ranked(vc, value, g, partitions)
 
     def pos(p):
         return (F.col("__n") - 1).cast("double") * F.lit(float(p))
 
-    def covers(r):
-        return (F.col("__start") <= r) & (r < F.col("__end"))
-
     keep = F.lit(False)
     for p in probs:
-        keep = keep | covers(F.floor(pos(p))) | covers(F.ceil(pos(p)))
+        keep = keep | _covers(F.floor(pos(p))) | _covers(F.ceil(pos(p)))
     picked = ranked.filter(keep)
 
     aggs = [F.first("__n").alias("__n")]
     for i, p in enumerate(probs):
-        aggs.append(F.max(F.when(covers(F.floor(pos(p))), F.col(value))).alias(f"__lo{i}"))
-        aggs.append(F.max(F.when(covers(F.ceil(pos(p))), F.col(value))).alias(f"__hi{i}"))
+        aggs.append(F.max(F.when(_covers(F.floor(pos(p))), F.col(value))).alias(f"__lo{i}"))
+        aggs.append(F.max(F.when(_covers(F.ceil(pos(p))), F.col(value))).alias(f"__hi{i}"))
     out = picked.groupBy(*g).agg(*aggs)
     cols = []
     for i, (p, name) in enumerate(zip(probs, names)):

@@ -58,14 +58,15 @@ _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 # ---- derivation ------------------------------------------------------------
-def contract_bounds(df: DataFrame) -> DataFrame:
+def contract_bounds(df: DataFrame, with_rows: bool = False) -> DataFrame:
     """One row: observed target min / max and the contract bounds
     min = least(-5000, round(1.1 * min, 2)), max = greatest(800000, round(1.1 * max, 2)).
     With no usable target the floors apply (least/greatest skip nulls)."""
     t = nan_to_null(F.col(TARGET))
-    obs = df.agg(F.min(t).alias("observed_min"), F.max(t).alias("observed_max"))
+    obs = df.agg(F.min(t).alias("observed_min"), F.max(t).alias("observed_max"),
+                 F.count(F.lit(1)).alias("rows"))
     return obs.select(
-        "observed_min", "observed_max",
+        "observed_min", "observed_max", *(["rows"] if with_rows else []),
         F.least(F.lit(CONTRACT_MIN_FLOOR), F.round(F.col("observed_min") * CONTRACT_MARGIN, 2)).alias("min_bound"),
         F.greatest(F.lit(CONTRACT_MAX_FLOOR), F.round(F.col("observed_max") * CONTRACT_MARGIN, 2)).alias("max_bound"))
 
@@ -73,7 +74,7 @@ def contract_bounds(df: DataFrame) -> DataFrame:
 def build_contract(df: DataFrame) -> dict[str, Any]:
     """The contract dict (primary keys, target, typed columns, target bounds).
     Collects one row of bounds and the row count."""
-    b = contract_bounds(df).crossJoin(df.agg(F.count(F.lit(1)).alias("rows"))).first()
+    b = contract_bounds(df, with_rows=True).first()
     columns: dict[str, dict[str, Any]] = {}
     for name, dtype, nullable in CONTRACT_COLUMN_TYPES:
         spec: dict[str, Any] = {"dtype": dtype, "nullable": nullable}

@@ -133,8 +133,8 @@ def impute_economic(df: DataFrame, cols=ECONOMIC_COLUMNS, fit: DataFrame | None
     one is the weighted median of observed values plus each store's gaps
     at its store median: the store-filled column without building it);
     then one pass over ``df`` joins the per-store medians on Store (AQE
-    broadcasts them when their measured size allows) and the one-row
-    global medians.
+    broadcasts them when their measured size allows); the global medians are
+    one scalar subquery.
     """
     present = [c for c in cols if c in df.columns]
     if not present:
@@ -143,10 +143,10 @@ def impute_economic(df: DataFrame, cols=ECONOMIC_COLUMNS, fit: DataFrame | None
     med, glob = _fill_values(value_histogram(fit, present))
     med_w = (med.groupBy("Store").pivot("column", present).agg(F.first("store_median"))
                 .select("Store", *[F.col(c).alias(f"__sm_{c}") for c in present]))
-    glob_w = glob.groupBy().pivot("column", present).agg(F.first("global_median")) \
-                 .select(*[F.col(c).alias(f"__gm_{c}") for c in present])
-    out = df.join(med_w, "Store", "left").crossJoin(glob_w)
-    out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"__sm_{c}"), F.col(f"__gm_{c}")) for c in present})
+    gm = glob.agg(F.struct(*[F.max(F.when(F.col("column") == c, F.col("global_median"))).alias(c)
+                             for c in present])).scalar()
+    out = df.join(med_w, "Store", "left")
+    out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"__sm_{c}"), gm[c]) for c in present})
     return out.select(*df.columns)
 
 

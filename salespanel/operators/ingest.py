@@ -68,6 +68,12 @@ def drop_null_keys(df: DataFrame, observation: Observation | None = None) -> Dat
               .filter(keep))
 
 
+def select_stores(df: DataFrame, stores) -> DataFrame:
+    """Rows of the given stores only (an ``isin`` filter that reaches the
+    Parquet scan as a pushed-down ``In`` predicate)."""
+    return df.filter(F.col("Store").isin(*list(stores)))
+
+
 def cast_clean(df: DataFrame) -> DataFrame:
     """Key and target types, then the clean column order (extra columns last)."""
     df = (df.withColumn("Store", F.col("Store").cast("int"))

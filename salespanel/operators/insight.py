@@ -50,7 +50,8 @@ def kpis(df: DataFrame) -> DataFrame:
                   F.count_distinct("Dept").alias("departments"))
 
 
-def markdown_effect(df: DataFrame, outliers: DataFrame | None = None) -> DataFrame:
+def markdown_effect(df: DataFrame, outliers: DataFrame | None = None,
+                    above_fence: DataFrame | None = None) -> DataFrame:
     """Mean sales of rows with any markdown vs. rows with none, and the
     number of reported extreme markdown outliers (the capped list, as the
     report shows it) next to the true count of rows above a fence."""
@@ -59,7 +60,9 @@ def markdown_effect(df: DataFrame, outliers: DataFrame | None = None) -> DataFra
     out = df.agg(exact_mean(F.when(flag, F.col(TARGET))).alias("mean_with_markdown"),
                  exact_mean(F.when(~flag, F.col(TARGET))).alias("mean_without_markdown"))
     if outliers is not None:
-        out = out.crossJoin(outliers.agg(F.count(F.lit(1)).alias("extreme_outlier_count")))
+        out = out.withColumn("extreme_outlier_count", outliers.agg(F.count(F.lit(1))).scalar())
+    if above_fence is not None:
+        out = out.withColumn("rows_above_fence", above_fence.select("rows_above_fence").scalar())
     return out
 
 

@@ -8,7 +8,7 @@ k rows per task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salespanel.functions.scalar import exact_mean, pct_change
@@ -92,30 +92,35 @@ def markdown_iqr_bounds(df: DataFrame, digits: int = 6, approx: bool = False) ->
                      F.round(q3 + IQR_FENCE_MULTIPLIER * iqr, digits).alias("upper_fence")))
 
 
+def fences(bounds: DataFrame, md: list[str]) -> Column:
+    """The upper fences as ONE scalar subquery returning a struct with a
+    field per markdown column (null for a column without values)."""
+    return bounds.agg(F.struct(*[F.max(F.when(F.col("md_column") == c, F.col("upper_fence"))).alias(c)
+                                 for c in md])).scalar()
+
+
 def markdown_outliers(df: DataFrame, bounds: DataFrame | None = None,
                       per_column: int = OUTLIERS_PER_COLUMN, cap: int = ANOMALY_TOP_N) -> DataFrame:
     """Extreme markdown rows: per markdown column the ``per_column`` largest
     values above the column's fence, in column order 1..5, then cut to
     ``cap`` rows overall (so later columns may not appear at all).
 
-    Plan: the fences are a one-row aggregate (cross-joined, so it is
-    broadcast by construction: exactly one row); rows are filtered on the
-    wide form before the unpivot, so only candidate rows are reshaped; the
+    Plan: the fences are one scalar subquery (a struct of five values,
+    computed once); rows are filtered on the wide form before the unpivot,
+    so only candidate rows are reshaped; the
     per-column top-k is a ``row_number <= k`` filter that Spark evaluates as a
     partial group limit ahead of the shuffle."""
     md = markdown_columns(df)
     if bounds is None:
         bounds = markdown_iqr_bounds(df)
-    fences = bounds.groupBy().pivot("md_column", md).agg(F.first("upper_fence"))
-    fences = fences.select(*[F.col(c).alias(f"__fence_{c}") for c in md])
-    cand = df.select("Store", "Dept", "Date", *md).crossJoin(fences)
+    fence = fences(bounds, md)
     any_above = F.lit(False)
     for c in md:
-        any_above = any_above | (F.col(c) > F.col(f"__fence_{c}"))
-    cand = cand.filter(any_above)
+        any_above = any_above | (F.col(c) > fence[c])
+    cand = df.select("Store", "Dept", "Date", *md).filter(any_above)
     stacked = F.explode(F.array(*[
         F.struct(F.lit(i).alias("col_idx"), F.lit(c).alias("md_column"), F.col(c).alias("value"),
-                 F.col(f"__fence_{c}").alias("fence"))
+                 fence[c].alias("fence"))
         for i, c in enumerate(md)]))
     long = (cand.select("Store", "Dept", "Date", stacked.alias("m"))
                 .select("Store", "Dept", "Date", "m.*")
@@ -127,6 +132,19 @@ def markdown_outliers(df: DataFrame, bounds: DataFrame | None = None,
                        F.round("fence", 2).alias("upper_bound"), "rank_in_column"))
 
 
+def rows_above_fence(df: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """One row: how many rows exceed the fence of at least one markdown column
+    (the true count behind the capped outlier list)."""
+    md = markdown_columns(df)
+    if bounds is None:
+        bounds = markdown_iqr_bounds(df)
+    fence = fences(bounds, md)
+    above = F.lit(False)
+    for c in md:
+        above = above | (F.col(c) > fence[c])
+    return df.agg(F.count_if(above).alias("rows_above_fence"))
+
+
 def with_prev_sales(df: DataFrame) -> DataFrame:
     """Adds prev_sales (the previous row of the same Store/Dept series by
     Date) and the week-over-week change. Rows, not calendar weeks: a missing

@@ -90,20 +90,21 @@ def split_counts(df: DataFrame, cutoff, date_col: str = "Date") -> DataFrame:
 
 def split_summary(df: DataFrame, train_fraction: float = TRAIN_FRACTION, date_col: str = "Date") -> DataFrame:
     """One row: n_dates, cutoff_date, train_rows, test_rows (lazy: the cutoff
-    row is cross-joined, one row by construction)."""
-    cut = chrono_cutoff(df, date_col, train_fraction).select("n_dates", "cutoff_date")
-    return (df.select(date_col).crossJoin(cut)
-              .groupBy("n_dates", "cutoff_date")
-              .agg(F.count_if(F.col(date_col) <= F.col("cutoff_date")).alias("train_rows"),
-                   F.count_if(F.col(date_col) > F.col("cutoff_date")).alias("test_rows")))
+    is a scalar subquery, computed once)."""
+    cut = chrono_cutoff(df, date_col, train_fraction).select(
+        F.struct("n_dates", "cutoff_date").alias("c")).scalar()
+    flagged = df.select((F.col(date_col) <= cut["cutoff_date"]).alias("__train"),
+                        (F.col(date_col) > cut["cutoff_date"]).alias("__test"))
+    return (flagged.agg(F.count_if("__train").alias("train_rows"), F.count_if("__test").alias("test_rows"))
+                   .select(cut["n_dates"].alias("n_dates"), cut["cutoff_date"].alias("cutoff_date"),
+                           "train_rows", "test_rows"))
 
 
 def label_split(df: DataFrame, train_fraction: float = TRAIN_FRACTION, date_col: str = "Date") -> DataFrame:
-    """Every row with is_train (Date <= cutoff), lazily."""
-    cut = chrono_cutoff(df, date_col, train_fraction).select("cutoff_date")
-    return (df.crossJoin(cut)
-              .withColumn("is_train", F.col(date_col) <= F.col("cutoff_date"))
-              .drop("cutoff_date"))
+    """Every row with is_train (Date <= cutoff), lazily (the cutoff is a
+    scalar subquery)."""
+    cut = chrono_cutoff(df, date_col, train_fraction).select("cutoff_date").scalar()
+    return df.withColumn("is_train", F.col(date_col) <= cut)
 
 
 # ---- metrics ---------------------------------------------------------------

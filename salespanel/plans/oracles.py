@@ -216,7 +216,11 @@ ANY_MD = " OR ".join(f"{c} IS NOT NULL" for c in MD)
 def _():
     return with_clean(f"""SELECT {mean_sql(f'CASE WHEN {ANY_MD} THEN Weekly_Sales END')} AS mean_with_markdown,
        {mean_sql(f'CASE WHEN NOT ({ANY_MD}) THEN Weekly_Sales END')} AS mean_without_markdown,
-       (SELECT COUNT(*) FROM outl) AS extreme_outlier_count FROM clean""", IQR_BOUNDS + "," + OUTLIERS)
+       (SELECT COUNT(*) FROM outl) AS extreme_outlier_count,
+       (SELECT COUNT(*) FROM clean, (SELECT """ + ", ".join(
+        f"max(CASE WHEN md_column = '{c}' THEN upper_fence END) AS f{i}" for i, c in enumerate(MD)) + """ FROM bounds) fz
+        WHERE """ + " OR ".join(f"{c} > f{i}" for i, c in enumerate(MD)) + """) AS rows_above_fence
+FROM clean""", IQR_BOUNDS + "," + OUTLIERS)
 
 
 def _pearson(a: str, b: str) -> str:
@@ -411,6 +415,11 @@ def _():
     return with_clean("SELECT * FROM clean")
 
 
+@oracle("scan_clean")
+def _():
+    return with_clean("SELECT * FROM clean")
+
+
 @oracle("join_stores")
 def _():
     return with_clean("""SELECT t.Store, t.Dept, t.Date, t.Weekly_Sales, t.IsHoliday, s.Type, s.Size

@@ -92,7 +92,8 @@ def analyse(spark: SparkSession, clean: DataFrame, run_dir: str,
         put("wow_anomalies", insp.wow_anomalies(insp.prev_from_lags(lagged), prepared=True))
     put("monthly_trend", insight.monthly_trend(clean))
     put("holiday_impact", insight.holiday_impact(clean))
-    put("markdown_effect", insight.markdown_effect(clean, spark.read.parquet(out["markdown_outliers"])))
+    put("markdown_effect", insight.markdown_effect(clean, spark.read.parquet(out["markdown_outliers"]),
+                                                   insp.rows_above_fence(clean, bounds)))
     put("kpis", insight.kpis(clean))
     put("markdown_corr", insight.markdown_corr(clean))
     return out

@@ -134,7 +134,8 @@ def q_kpis(spark, sf):
 @query("markdown_effect")
 def q_markdown_effect(spark, sf):
     c = clean(spark, sf)
-    return insight.markdown_effect(c, insp.markdown_outliers(c))
+    bounds = insp.markdown_iqr_bounds(c)
+    return insight.markdown_effect(c, insp.markdown_outliers(c, bounds), insp.rows_above_fence(c, bounds))
 
 
 @query("markdown_corr")
@@ -323,6 +324,24 @@ def q_clean_panel(spark, sf):
     return clean(spark, sf)
 
 
+_CLEAN_WRITTEN: dict = {}
+
+
+@query("scan_clean")
+def q_scan_clean(spark, sf):
+    """The clean table as a run stores it (sorted Parquet in the shared
+    folder, written once per application), scanned back."""
+    from salespanel.sources.raw import read_clean, write_clean
+    app = spark.sparkContext.applicationId
+    key = (app, sf)
+    if key not in _CLEAN_WRITTEN:
+        digest = hashlib.sha1(sf.encode()).hexdigest()[:12]
+        path = f"{shared_dir(spark)}/salespanel-clean/{app}/{digest}"
+        write_clean(clean(spark, sf), path)
+        _CLEAN_WRITTEN[key] = path
+    return read_clean(spark, _CLEAN_WRITTEN[key])
+
+
 @query("join_stores")
 def q_join_stores(spark, sf):
     src = raw_tables(spark, sf)

@@ -94,3 +94,12 @@ def test_unmatched_store_keeps_row(spark, tmp_path):
     clean = ing.ingest(load_raw_tables(spark, write_raw(tmp_path, train=train)))
     r = clean.filter(F.col("Store") == 9).first()
     assert r.Type is None and r.Temperature is None
+
+
+def test_select_stores_pushes_down(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0), (4, 4.0)], "Store int, Weekly_Sales double")
+    df.write.parquet(str(tmp_path / "t"))
+    sub = ing.select_stores(spark.read.parquet(str(tmp_path / "t")), [1, 2, 3])
+    assert sorted(r.Store for r in sub.collect()) == [1, 2, 3]
+    plan = sub._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(Store" in plan or "PushedFilters: [IsNotNull(Store), In(Store" in plan

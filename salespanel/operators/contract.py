@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salespanel.functions.scalar import nan_to_null
+from salespanel.operators.onerow import OneRow, run
 from salespanel.schemas import (
     CONTRACT_DTYPES,
     CONTRACT_MARGIN,
@@ -58,23 +59,33 @@ _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 # ---- derivation ------------------------------------------------------------
+def contract_bounds_spec(df: DataFrame, with_rows: bool = False, prefix: str = "cb_") -> OneRow:
+    t = nan_to_null(F.col(TARGET))
+    aggs = [F.min(t).alias(f"{prefix}observed_min"), F.max(t).alias(f"{prefix}observed_max"),
+            F.count(F.lit(1)).alias(f"{prefix}rows")]
+
+    def finish(w: DataFrame) -> DataFrame:
+        lo, hi = F.col(f"{prefix}observed_min"), F.col(f"{prefix}observed_max")
+        return w.select(
+            lo.alias("observed_min"), hi.alias("observed_max"),
+            *([F.col(f"{prefix}rows").alias("rows")] if with_rows else []),
+            F.least(F.lit(CONTRACT_MIN_FLOOR), F.round(lo * CONTRACT_MARGIN, 2)).alias("min_bound"),
+            F.greatest(F.lit(CONTRACT_MAX_FLOOR), F.round(hi * CONTRACT_MARGIN, 2)).alias("max_bound"))
+    return OneRow(aggs, finish)
+
+
 def contract_bounds(df: DataFrame, with_rows: bool = False) -> DataFrame:
     """One row: observed target min / max and the contract bounds
     min = least(-5000, round(1.1 * min, 2)), max = greatest(800000, round(1.1 * max, 2)).
     With no usable target the floors apply (least/greatest skip nulls)."""
-    t = nan_to_null(F.col(TARGET))
-    obs = df.agg(F.min(t).alias("observed_min"), F.max(t).alias("observed_max"),
-                 F.count(F.lit(1)).alias("rows"))
-    return obs.select(
-        "observed_min", "observed_max", *(["rows"] if with_rows else []),
-        F.least(F.lit(CONTRACT_MIN_FLOOR), F.round(F.col("observed_min") * CONTRACT_MARGIN, 2)).alias("min_bound"),
-        F.greatest(F.lit(CONTRACT_MAX_FLOOR), F.round(F.col("observed_max") * CONTRACT_MARGIN, 2)).alias("max_bound"))
+    return run(df, contract_bounds_spec(df, with_rows))
 
 
-def build_contract(df: DataFrame) -> dict[str, Any]:
+def build_contract(df: DataFrame, bounds: DataFrame | None = None) -> dict[str, Any]:
     """The contract dict (primary keys, target, typed columns, target bounds).
-    Collects one row of bounds and the row count."""
-    b = contract_bounds(df, with_rows=True).first()
+    Collects one row of bounds and the row count (``bounds``: that row when
+    already computed, e.g. by a shared aggregation pass)."""
+    b = (bounds if bounds is not None else contract_bounds(df, with_rows=True)).first()
     columns: dict[str, dict[str, Any]] = {}
     for name, dtype, nullable in CONTRACT_COLUMN_TYPES:
         spec: dict[str, Any] = {"dtype": dtype, "nullable": nullable}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salespanel.functions.scalar import any_not_null, exact_mean, exact_sum, pearson
+from salespanel.operators.onerow import OneRow, run
 from salespanel.schemas import TARGET
 
 
@@ -35,35 +36,80 @@ def trend_ends(df: DataFrame) -> DataFrame:
                  F.max_by("mean_sales", "Month").alias("last_mean"))
 
 
+def _pick(prefix: str, names):
+    def finish(w: DataFrame) -> DataFrame:
+        return w.select(*[F.col(f"{prefix}{n}").alias(n) for n in names])
+    return finish
+
+
+def holiday_impact_spec(df: DataFrame, prefix: str = "hi_") -> OneRow:
+    aggs = [exact_mean(F.when(F.col("IsHoliday"), F.col(TARGET))).alias(f"{prefix}holiday_mean"),
+            exact_mean(F.when(~F.col("IsHoliday"), F.col(TARGET))).alias(f"{prefix}non_holiday_mean")]
+    return OneRow(aggs, _pick(prefix, ["holiday_mean", "non_holiday_mean"]))
+
+
 def holiday_impact(df: DataFrame) -> DataFrame:
     """Mean sales of holiday and non-holiday weeks (one row; null if a side
     has no rows)."""
-    return df.agg(exact_mean(F.when(F.col("IsHoliday"), F.col(TARGET))).alias("holiday_mean"),
-                  exact_mean(F.when(~F.col("IsHoliday"), F.col(TARGET))).alias("non_holiday_mean"))
+    return run(df, holiday_impact_spec(df))
+
+
+def kpis_spec(df: DataFrame, prefix: str = "kp_") -> OneRow:
+    aggs = [exact_sum(TARGET).alias(f"{prefix}total_sales"),
+            exact_mean(TARGET).alias(f"{prefix}mean_sales"),
+            F.count_distinct("Store").alias(f"{prefix}stores"),
+            F.count_distinct("Dept").alias(f"{prefix}departments")]
+    return OneRow(aggs, _pick(prefix, ["total_sales", "mean_sales", "stores", "departments"]))
 
 
 def kpis(df: DataFrame) -> DataFrame:
     """Dashboard KPIs: total and mean sales, distinct stores and departments."""
-    return df.agg(exact_sum(TARGET).alias("total_sales"),
-                  exact_mean(TARGET).alias("mean_sales"),
-                  F.count_distinct("Store").alias("stores"),
-                  F.count_distinct("Dept").alias("departments"))
+    return run(df, kpis_spec(df))
+
+
+def markdown_effect_spec(df: DataFrame, outliers: DataFrame | None = None,
+                         above_fence: DataFrame | None = None, prefix: str = "me_") -> OneRow:
+    md = markdown_columns(df)
+    flag = any_not_null(md) if md else F.lit(False)
+    aggs = [exact_mean(F.when(flag, F.col(TARGET))).alias(f"{prefix}mean_with_markdown"),
+            exact_mean(F.when(~flag, F.col(TARGET))).alias(f"{prefix}mean_without_markdown")]
+
+    def finish(w: DataFrame) -> DataFrame:
+        out = _pick(prefix, ["mean_with_markdown", "mean_without_markdown"])(w)
+        if outliers is not None:
+            out = out.withColumn("extreme_outlier_count", outliers.agg(F.count(F.lit(1))).scalar())
+        if above_fence is not None:
+            out = out.withColumn("rows_above_fence", above_fence.select("rows_above_fence").scalar())
+        return out
+    return OneRow(aggs, finish)
 
 
 def markdown_effect(df: DataFrame, outliers: DataFrame | None = None,
                     above_fence: DataFrame | None = None) -> DataFrame:
     """Mean sales of rows with any markdown vs. rows with none, and the
     number of reported extreme markdown outliers (the capped list, as the
-    report shows it) next to the true count of rows above a fence."""
-    md = markdown_columns(df)
-    flag = any_not_null(md) if md else F.lit(False)
-    out = df.agg(exact_mean(F.when(flag, F.col(TARGET))).alias("mean_with_markdown"),
-                 exact_mean(F.when(~flag, F.col(TARGET))).alias("mean_without_markdown"))
-    if outliers is not None:
-        out = out.withColumn("extreme_outlier_count", outliers.agg(F.count(F.lit(1))).scalar())
-    if above_fence is not None:
-        out = out.withColumn("rows_above_fence", above_fence.select("rows_above_fence").scalar())
-    return out
+    report shows it) next to the true count of rows above a fence (both
+    scalar subqueries)."""
+    return run(df, markdown_effect_spec(df, outliers, above_fence))
+
+
+def markdown_corr_spec(df: DataFrame, digits: int = 6, prefix: str = "mc_") -> OneRow:
+    cols = markdown_columns(df) + [TARGET]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    aggs = [F.round(pearson(a, b), digits).alias(f"{prefix}p{k}") for k, (a, b) in enumerate(pairs)]
+    aggs += [F.var_pop(c).alias(f"{prefix}v{k}") for k, c in enumerate(cols)]
+
+    def finish(w: DataFrame) -> DataFrame:
+        cells = []
+        for k, (a, b) in enumerate(pairs):
+            v = F.col(f"{prefix}p{k}")
+            cells.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), v.alias("corr")))
+            cells.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), v.alias("corr")))
+        for k, c in enumerate(cols):
+            diag = F.when(F.col(f"{prefix}v{k}") > 0, F.lit(1.0))
+            cells.append(F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), diag.alias("corr")))
+        return w.select(F.inline(F.array(*cells)))
+    return OneRow(aggs, finish)
 
 
 def markdown_corr(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -73,16 +119,4 @@ def markdown_corr(df: DataFrame, digits: int = 6) -> DataFrame:
     The matrix is symmetric, so only the unique pairs are aggregated, all in
     ONE pass (map-side partial moments); the diagonal is 1 (null for a
     constant or empty column). Pairs skip rows where either side is null."""
-    cols = markdown_columns(df) + [TARGET]
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    aggs = [F.round(pearson(a, b), digits).alias(f"p{k}") for k, (a, b) in enumerate(pairs)]
-    aggs += [F.var_pop(c).alias(f"v{k}") for k, c in enumerate(cols)]
-    wide = df.agg(*aggs)
-    cells = []
-    for k, (a, b) in enumerate(pairs):
-        cells.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"p{k}").alias("corr")))
-        cells.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), F.col(f"p{k}").alias("corr")))
-    for k, c in enumerate(cols):
-        diag = F.when(F.col(f"v{k}") > 0, F.lit(1.0))
-        cells.append(F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), diag.alias("corr")))
-    return wide.select(F.inline(F.array(*cells)))
+    return run(df, markdown_corr_spec(df, digits))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from salespanel.functions.scalar import exact_mean, pct_change
 from salespanel.operators.insight import markdown_columns
+from salespanel.operators.onerow import OneRow, run
 from salespanel.operators.quantiles import exact_quantiles
 from salespanel.schemas import (
     ANOMALY_TOP_N,
@@ -27,10 +28,19 @@ from salespanel.schemas import (
 SAMPLE_COLUMNS = ("Store", "Dept", "Date", TARGET)
 
 
+def sales_sign_counts_spec(df: DataFrame, prefix: str = "sc_") -> OneRow:
+    aggs = [F.count_if(F.col(TARGET) == 0).alias(f"{prefix}zero_count"),
+            F.count_if(F.col(TARGET) < 0).alias(f"{prefix}negative_count")]
+
+    def finish(w: DataFrame) -> DataFrame:
+        return w.select(F.col(f"{prefix}zero_count").alias("zero_count"),
+                        F.col(f"{prefix}negative_count").alias("negative_count"))
+    return OneRow(aggs, finish)
+
+
 def sales_sign_counts(df: DataFrame) -> DataFrame:
     """Number of zero-sales and negative-sales rows (one pass)."""
-    return df.agg(F.count_if(F.col(TARGET) == 0).alias("zero_count"),
-                  F.count_if(F.col(TARGET) < 0).alias("negative_count"))
+    return run(df, sales_sign_counts_spec(df))
 
 
 def zero_sales(df: DataFrame, n: int = MICRO_INSPECTION_SAMPLE_SIZE) -> DataFrame:

@@ -25,6 +25,7 @@ from salespanel.operators import insight
 from salespanel.operators import inspect as insp
 from salespanel.operators import model as mdl
 from salespanel.operators import profile as prof
+from salespanel.operators.onerow import run_together
 from salespanel.plans.runs import STARTED_SCHEMA
 from salespanel.session import shared_dir
 from salespanel.sources import artifacts as art
@@ -65,9 +66,11 @@ def analyse(spark: SparkSession, clean: DataFrame, run_dir: str,
             lagged: DataFrame | None = None) -> dict[str, str]:
     """Write every finding as a Parquet table; return name -> path.
 
-    The clean table is a Parquet scan, so each finding reads only the
-    columns it needs. The (Store, Dept) window is computed once: the lagged
-    table feeds the week-over-week findings here and the features later.
+    All one-row findings (profile, null profile, sign counts, holiday impact,
+    KPIs, markdown effect, correlation matrix, contract bounds) come from ONE
+    aggregation pass over the clean table, written once and projected into
+    each finding. The (Store, Dept) window is computed once: the lagged table
+    feeds the week-over-week findings here and the features later.
     """
     out: dict[str, str] = {}
 
@@ -76,26 +79,38 @@ def analyse(spark: SparkSession, clean: DataFrame, run_dir: str,
         art.write_table(df, path)
         out[name] = path
 
-    put("profile_summary", prof.profile_summary(clean))
-    put("null_profile", prof.null_profile(clean))
+    put("markdown_iqr_bounds", insp.markdown_iqr_bounds(clean))
+    bounds = spark.read.parquet(out["markdown_iqr_bounds"])
+    put("markdown_outliers", insp.markdown_outliers(clean, bounds))
+    put("rows_above_fence", insp.rows_above_fence(clean, bounds))
+
+    specs = {
+        "profile_summary": prof.profile_summary_spec(clean),
+        "null_profile": prof.null_profile_spec(clean),
+        "sales_sign_counts": insp.sales_sign_counts_spec(clean),
+        "holiday_impact": insight.holiday_impact_spec(clean),
+        "kpis": insight.kpis_spec(clean),
+        "markdown_effect": insight.markdown_effect_spec(
+            clean, spark.read.parquet(out["markdown_outliers"]), spark.read.parquet(out["rows_above_fence"])),
+        "markdown_corr": insight.markdown_corr_spec(clean),
+        "contract_bounds": con.contract_bounds_spec(clean, with_rows=True),
+    }
+    wide, finish = run_together(clean, specs)
+    summary_path = f"{run_dir}/findings/_one_pass"
+    art.write_table(wide, summary_path)
+    wide = spark.read.parquet(summary_path)
+    for name, fn in finish.items():
+        put(name, fn(wide))
+
     put("dept_top10", prof.dept_top10(clean))
-    put("sales_sign_counts", insp.sales_sign_counts(clean))
     put("zero_sales", insp.zero_sales(clean))
     put("negative_sales", insp.negative_sales(clean))
     put("holiday_spikes", insp.holiday_spikes(clean))
-    put("markdown_iqr_bounds", insp.markdown_iqr_bounds(clean))
-    bounds = spark.read.parquet(out["markdown_iqr_bounds"])
-    put("markdown_outliers", insp.markdown_outliers(clean, bounds))
     if lagged is None:
         put("wow_anomalies", insp.wow_anomalies(clean))
     else:
         put("wow_anomalies", insp.wow_anomalies(insp.prev_from_lags(lagged), prepared=True))
     put("monthly_trend", insight.monthly_trend(clean))
-    put("holiday_impact", insight.holiday_impact(clean))
-    put("markdown_effect", insight.markdown_effect(clean, spark.read.parquet(out["markdown_outliers"]),
-                                                   insp.rows_above_fence(clean, bounds)))
-    put("kpis", insight.kpis(clean))
-    put("markdown_corr", insight.markdown_corr(clean))
     return out
 
 
@@ -133,7 +148,8 @@ def run_pipeline(spark: SparkSession, raw_dir: str | None = None,
 
     # analyst stage: findings + contract
     st.extra["findings"] = analyse(spark, clean, st.run_dir, lagged)
-    contract = contract or con.build_contract(clean)
+    contract = contract or con.build_contract(
+        clean, spark.read.parquet(st.extra["findings"]["contract_bounds"]))
     st.contract_path = f"{st.run_dir}/dataset_contract"
     art.write_contract(spark, contract, st.contract_path)
     st.status = "ANALYST_COMPLETE"

@@ -11,7 +11,9 @@ raw sources. The run folder lives under the shared directory named by
 from __future__ import annotations
 
 import datetime as dt
+import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
@@ -62,8 +64,22 @@ def _now() -> str:
     return dt.datetime.now(dt.timezone.utc).isoformat()
 
 
+def _write_all(tables: dict[str, DataFrame], run_dir: str, out: dict[str, str], workers: int) -> None:
+    """Write independent tables concurrently: each is its own Spark job, and
+    jobs submitted from several driver threads overlap (the scheduler shares
+    the executors between them)."""
+    def put(item):
+        name, df = item
+        path = f"{run_dir}/findings/{name}"
+        art.write_table(df, path)
+        return name, path
+    with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
+        for name, path in pool.map(put, tables.items()):
+            out[name] = path
+
+
 def analyse(spark: SparkSession, clean: DataFrame, run_dir: str,
-            lagged: DataFrame | None = None) -> dict[str, str]:
+            lagged: DataFrame | None = None, workers: int = 4) -> dict[str, str]:
     """Write every finding as a Parquet table; return name -> path.
 
     All one-row findings (profile, null profile, sign counts, holiday impact,
@@ -71,46 +87,41 @@ def analyse(spark: SparkSession, clean: DataFrame, run_dir: str,
     aggregation pass over the clean table, written once and projected into
     each finding. The (Store, Dept) window is computed once: the lagged table
     feeds the week-over-week findings here and the features later.
+    Independent findings are written concurrently, in dependency order.
     """
     out: dict[str, str] = {}
-
-    def put(name: str, df: DataFrame) -> None:
-        path = f"{run_dir}/findings/{name}"
-        art.write_table(df, path)
-        out[name] = path
-
-    put("markdown_iqr_bounds", insp.markdown_iqr_bounds(clean))
-    bounds = spark.read.parquet(out["markdown_iqr_bounds"])
-    put("markdown_outliers", insp.markdown_outliers(clean, bounds))
-    put("rows_above_fence", insp.rows_above_fence(clean, bounds))
-
     specs = {
         "profile_summary": prof.profile_summary_spec(clean),
         "null_profile": prof.null_profile_spec(clean),
         "sales_sign_counts": insp.sales_sign_counts_spec(clean),
         "holiday_impact": insight.holiday_impact_spec(clean),
         "kpis": insight.kpis_spec(clean),
-        "markdown_effect": insight.markdown_effect_spec(
-            clean, spark.read.parquet(out["markdown_outliers"]), spark.read.parquet(out["rows_above_fence"])),
         "markdown_corr": insight.markdown_corr_spec(clean),
         "contract_bounds": con.contract_bounds_spec(clean, with_rows=True),
+        # the means are aggregated here; the finish that adds the outlier
+        # counts is rebuilt below, once those tables exist
+        "markdown_effect": insight.markdown_effect_spec(clean),
     }
     wide, finish = run_together(clean, specs)
-    summary_path = f"{run_dir}/findings/_one_pass"
-    art.write_table(wide, summary_path)
-    wide = spark.read.parquet(summary_path)
-    for name, fn in finish.items():
-        put(name, fn(wide))
-
-    put("dept_top10", prof.dept_top10(clean))
-    put("zero_sales", insp.zero_sales(clean))
-    put("negative_sales", insp.negative_sales(clean))
-    put("holiday_spikes", insp.holiday_spikes(clean))
-    if lagged is None:
-        put("wow_anomalies", insp.wow_anomalies(clean))
-    else:
-        put("wow_anomalies", insp.wow_anomalies(insp.prev_from_lags(lagged), prepared=True))
-    put("monthly_trend", insight.monthly_trend(clean))
+    wow = (insp.wow_anomalies(clean) if lagged is None
+           else insp.wow_anomalies(insp.prev_from_lags(lagged), prepared=True))
+    _write_all({"markdown_iqr_bounds": insp.markdown_iqr_bounds(clean),
+                "_one_pass": wide,
+                "dept_top10": prof.dept_top10(clean),
+                "zero_sales": insp.zero_sales(clean),
+                "negative_sales": insp.negative_sales(clean),
+                "holiday_spikes": insp.holiday_spikes(clean),
+                "wow_anomalies": wow,
+                "monthly_trend": insight.monthly_trend(clean)}, run_dir, out, workers)
+
+    bounds = spark.read.parquet(out["markdown_iqr_bounds"])
+    _write_all({"markdown_outliers": insp.markdown_outliers(clean, bounds),
+                "rows_above_fence": insp.rows_above_fence(clean, bounds)}, run_dir, out, workers)
+
+    one = spark.read.parquet(out.pop("_one_pass"))
+    finish["markdown_effect"] = insight.markdown_effect_spec(
+        clean, spark.read.parquet(out["markdown_outliers"]), spark.read.parquet(out["rows_above_fence"])).finish
+    _write_all({name: fn(one) for name, fn in finish.items()}, run_dir, out, workers)
     return out
 
 
@@ -128,6 +139,15 @@ def run_pipeline(spark: SparkSession, raw_dir: str | None = None,
         sources = load_raw_tables(spark, raw_dir)
     root = (artifacts_root or f"{shared_dir(spark)}/runs").rstrip("/")
     st = RunState(run_id=run_id or new_run_id())
+    clock = {"t": time.perf_counter()}
+    stages: dict[str, float] = {}
+    st.extra["stage_seconds"] = stages
+
+    def lap(name: str) -> None:
+        now = time.perf_counter()
+        stages[name] = round(now - clock["t"], 3)
+        clock["t"] = now
+
     st.run_dir = f"{root}/{st.run_id}"
     st.status, st.started_at = "INITIATED", _now()
     art.write_document(spark, {"run_id": st.run_id, "started_at": st.started_at},
@@ -141,6 +161,7 @@ def run_pipeline(spark: SparkSession, raw_dir: str | None = None,
     m = obs.get
     st.extra["rows_in"], st.extra["rows_dropped"] = m.get("rows_in"), m.get("rows_in", 0) - m.get("rows_out", 0)
     clean = read_clean(spark, st.clean_data_path)
+    lap("ingest")
 
     # one (Store, Dept) window pass shared by the findings and the features;
     # persisted (memory and disk), recomputed from the clean table if lost
@@ -148,6 +169,7 @@ def run_pipeline(spark: SparkSession, raw_dir: str | None = None,
 
     # analyst stage: findings + contract
     st.extra["findings"] = analyse(spark, clean, st.run_dir, lagged)
+    lap("findings")
     contract = contract or con.build_contract(
         clean, spark.read.parquet(st.extra["findings"]["contract_bounds"]))
     st.contract_path = f"{st.run_dir}/dataset_contract"
@@ -159,6 +181,7 @@ def run_pipeline(spark: SparkSession, raw_dir: str | None = None,
     st.contract_status, st.validation_errors, st.validation_warnings = (
         result.status, result.errors, result.warnings)
     art.write_validation(spark, result.as_dict(), f"{st.run_dir}/validation_result")
+    lap("contract_gate")
     if result.status == "FAIL":
         lagged.unpersist()
         st.status = "FAILED"
@@ -172,8 +195,10 @@ def run_pipeline(spark: SparkSession, raw_dir: str | None = None,
     art.write_table(feat.engineer_features(lagged, prelagged=True), features_path)
     lagged.unpersist()
     ft = spark.read.parquet(features_path)
+    lap("features")
     cols = feat.feature_columns(ft)
     res = mdl.train_and_select(ft, cols, num_trees=num_trees, max_depth=max_depth)
+    lap("train_select")
     art.save_model(res.models[res.selected_model_name], f"{st.run_dir}/selected_model")
     art.write_evaluation_report(spark, res.report(), f"{st.run_dir}/evaluation_report")
     art.write_table(res.comparison(spark), f"{st.run_dir}/model_comparison")
@@ -183,6 +208,7 @@ def run_pipeline(spark: SparkSession, raw_dir: str | None = None,
     st.status = "COMPLETED"
     st.finished_at = _now()
     art.write_run_metadata(spark, st.metadata(), f"{st.run_dir}/run_metadata")
+    lap("artifacts")
     return st
 
 

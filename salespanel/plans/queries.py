@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import hashlib
+import threading
 
 from salespanel.operators import ingest as ing
 from salespanel.operators import insight
@@ -28,6 +29,9 @@ def query(name: str):
 
 
 _SOURCES: dict = {}
+# one lock for the write-once caches below (a concurrent caller waits for
+# the first writer instead of writing the same folder twice)
+_LOCK = threading.RLock()
 
 
 def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -36,11 +40,12 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     folder (the ingest stage of a run), then read by every query."""
     app = spark.sparkContext.applicationId
     key = (app, sf_dir)
-    if key not in _SOURCES:
-        digest = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
-        path = f"{shared_dir(spark)}/salespanel-sources/{app}/{digest}"
-        materialize_sources(spark, sf_dir, path)
-        _SOURCES[key] = path
+    with _LOCK:
+        if key not in _SOURCES:
+            digest = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
+            path = f"{shared_dir(spark)}/salespanel-sources/{app}/{digest}"
+            materialize_sources(spark, sf_dir, path)
+            _SOURCES[key] = path
     return read_sources(spark, _SOURCES[key])
 
 
@@ -229,11 +234,12 @@ def written_features(spark, sf):
     queries start from it."""
     app = spark.sparkContext.applicationId
     key = (app, sf)
-    if key not in _FEATURES:
-        digest = hashlib.sha1(sf.encode()).hexdigest()[:12]
-        path = f"{shared_dir(spark)}/salespanel-features/{app}/{digest}"
-        feature_table(spark, sf).write.mode("overwrite").parquet(path)
-        _FEATURES[key] = path
+    with _LOCK:
+        if key not in _FEATURES:
+            digest = hashlib.sha1(sf.encode()).hexdigest()[:12]
+            path = f"{shared_dir(spark)}/salespanel-features/{app}/{digest}"
+            feature_table(spark, sf).write.mode("overwrite").parquet(path)
+            _FEATURES[key] = path
     return spark.read.parquet(_FEATURES[key])
 
 
@@ -273,9 +279,10 @@ _TRAINED: dict = {}
 def trained(spark, sf):
     """Train once per (session, data dir) and reuse across the model queries."""
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _TRAINED:
-        ft = written_features(spark, sf)
-        _TRAINED[key] = (ft, mdl.train_and_select(ft, feat.feature_columns(ft)))
+    with _LOCK:
+        if key not in _TRAINED:
+            ft = written_features(spark, sf)
+            _TRAINED[key] = (ft, mdl.train_and_select(ft, feat.feature_columns(ft)))
     return _TRAINED[key]
 
 
@@ -334,11 +341,12 @@ def q_scan_clean(spark, sf):
     from salespanel.sources.raw import read_clean, write_clean
     app = spark.sparkContext.applicationId
     key = (app, sf)
-    if key not in _CLEAN_WRITTEN:
-        digest = hashlib.sha1(sf.encode()).hexdigest()[:12]
-        path = f"{shared_dir(spark)}/salespanel-clean/{app}/{digest}"
-        write_clean(clean(spark, sf), path)
-        _CLEAN_WRITTEN[key] = path
+    with _LOCK:
+        if key not in _CLEAN_WRITTEN:
+            digest = hashlib.sha1(sf.encode()).hexdigest()[:12]
+            path = f"{shared_dir(spark)}/salespanel-clean/{app}/{digest}"
+            write_clean(clean(spark, sf), path)
+            _CLEAN_WRITTEN[key] = path
     return read_clean(spark, _CLEAN_WRITTEN[key])
 
 

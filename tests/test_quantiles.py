@@ -51,3 +51,21 @@ def test_global_weighted(spark):
     assert r.m == 1.5 and r.q3 == 8.0
     r2 = exact_quantiles(df, "v", [0.5, 0.75], ["m", "q3"], weight="w", method="aggregate").first()
     assert (r2.m, r2.q3) == (1.5, 8.0)
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(-50, 50), st.integers(1, 4)), min_size=1, max_size=60),
+       st.sampled_from([0.1, 0.25, 0.5, 0.75, 0.9]))
+def test_distributed_matches_numpy(spark, rows, p):
+    import numpy as np
+    df = spark.createDataFrame([(g, float(v) / 4, w) for g, v, w in rows], "g int, v double, w long")
+    got = {r.g: r.q for r in exact_quantiles(df, "v", [p], ["q"], groups=["g"], weight="w",
+                                             method="distributed", partitions=3).collect()}
+    for g in {r[0] for r in rows}:
+        expanded = [float(v) / 4 for gg, v, w in rows if gg == g for _ in range(w)]
+        want = float(np.percentile(expanded, p * 100, method="linear"))
+        assert abs(got[g] - want) <= 1e-12 * max(1.0, abs(want))

@@ -51,21 +51,21 @@ def _fine_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
     arithmetic and the aggregation buffers stay primitive (a DECIMAL wider
     than 18 digits is a BigDecimal object per row). A per-group overflow
     raises (ANSI) instead of wrapping."""
+    # Per-line values are computed right after the scan, before any join, so
+    # the two shuffles of the line items (supplier key, order key) carry only
+    # compact numbers instead of the raw price / flag / timestamp columns.
+    price, disc, tax = _scaled("l_extendedprice", 2), _scaled("l_discount", 2), _scaled("l_tax", 2)
+    sign = F.when(F.col("l_returnflag") == "R", F.lit(-1)).otherwise(F.lit(1))
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
-        "l_discount", "l_tax", "l_returnflag", "l_shipdate")
-    sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+        "l_orderkey", "l_suppkey", F.col("l_linenumber").alias("Dept"),
+        _week(F.col("l_shipdate")).alias("Date"), "l_quantity",
+        (price * (F.lit(100) - disc) * sign).alias("net4"),
+        (price * disc).alias("md4"), tax.alias("tax2"))
+    sup = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("Store"))
+    od = table(spark, sf_dir, "orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("prio"))
     lines = (li.join(sup, li.l_suppkey == sup.s_suppkey)
                .join(od, li.l_orderkey == od.o_orderkey))
-    price, disc, tax = _scaled("l_extendedprice", 2), _scaled("l_discount", 2), _scaled("l_tax", 2)
-    sign = F.when(F.col("l_returnflag") == "R", F.lit(-1)).otherwise(F.lit(1))
-    prio = F.substring("o_orderpriority", 1, 1)
     return (lines
-            .select(F.col("s_nationkey").alias("Store"), F.col("l_linenumber").alias("Dept"),
-                    _week(F.col("l_shipdate")).alias("Date"), "l_quantity", prio.alias("prio"),
-                    (price * (F.lit(100) - disc) * sign).alias("net4"),
-                    (price * disc).alias("md4"), tax.alias("tax2"))
             .groupBy("Store", "Dept", "Date")
             .agg(F.sum("net4").alias("net4"),
                  F.sum("l_quantity").alias("qty"),

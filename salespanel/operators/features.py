@@ -192,6 +192,13 @@ def engineer_features(df: DataFrame, types: list[str] | None = None,
     return drop_cold_start(out)
 
 
+def modelled_dates(lagged: DataFrame) -> DataFrame:
+    """The (Store, Dept, Date) rows that survive the cold-start drop, from a
+    table carrying the shared lags; imputation never removes rows, so these
+    are exactly the feature table's rows."""
+    return drop_cold_start(drop_private(rolling_columns(lag_columns(lagged)))).select("Date")
+
+
 def feature_columns(df: DataFrame) -> list[str]:
     """Model inputs: every column but the identifiers and the target, in order."""
     drop = set(IDENTIFIERS) | {TARGET}

@@ -129,10 +129,16 @@ def run_pipeline(spark: SparkSession, raw_dir: str | None = None,
                  sources: dict[str, DataFrame] | None = None,
                  artifacts_root: str | None = None, run_id: str | None = None,
                  num_trees: int = mdl.FOREST_TREES, max_depth: int = mdl.FOREST_MAX_DEPTH,
-                 contract: dict[str, Any] | None = None) -> RunState:
+                 contract: dict[str, Any] | None = None, impute_fit: str = "all") -> RunState:
     """Run everything for one data set. Pass ``raw_dir`` (three CSVs) or
     ``sources`` ({stores, features, train} DataFrames). A FAIL verdict stops
-    before training and records FAILED."""
+    before training and records FAILED.
+
+    ``impute_fit``: ``"all"`` learns the CPI / Unemployment fill medians
+    from every week, as the reference does (the hold-out weeks leak into the
+    fill); ``"train"`` learns them from the training weeks only."""
+    if impute_fit not in ("all", "train"):
+        raise ValueError("impute_fit must be 'all' or 'train'")
     if sources is None:
         if raw_dir is None:
             raise ValueError("raw_dir or sources is required")
@@ -192,7 +198,12 @@ def run_pipeline(spark: SparkSession, raw_dir: str | None = None,
 
     # scientist stage: features (written), train, select, artifacts
     features_path = f"{st.run_dir}/features"
-    art.write_table(feat.engineer_features(lagged, prelagged=True), features_path)
+    fit = None
+    if impute_fit == "train":
+        cutoff = mdl.cutoff_date(feat.modelled_dates(lagged))
+        fit = clean.filter(F.col("Date") <= F.lit(cutoff))
+        st.extra["impute_fit_cutoff"] = str(cutoff)
+    art.write_table(feat.engineer_features(lagged, prelagged=True, fit=fit), features_path)
     lagged.unpersist()
     ft = spark.read.parquet(features_path)
     lap("features")

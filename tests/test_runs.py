@@ -64,3 +64,15 @@ def test_pipeline_completes_and_runs_are_listed(spark, tmp_path):
 
 def test_list_runs_empty(spark, tmp_path):
     assert list_runs(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_train_only_imputation_fit(spark, tmp_path):
+    from pyspark.sql import functions as F
+    root = str(tmp_path / "artifacts")
+    st = run_pipeline(spark, raw_dir=raw(tmp_path), artifacts_root=root, run_id="20100105T000000Z-eeee",
+                      num_trees=3, max_depth=2, impute_fit="train")
+    assert st.status == "COMPLETED"
+    rep = art.load_evaluation_report(spark, f"{st.run_dir}/evaluation_report")
+    assert st.extra["impute_fit_cutoff"] == rep["split_cutoff_date"]
+    ft = spark.read.parquet(f"{st.run_dir}/features")
+    assert ft.filter(F.col("Unemployment").isNull()).count() == 0

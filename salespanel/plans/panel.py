@@ -33,7 +33,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _week(c):
-    return F.date_trunc("week", c).cast("date")
+    """Monday of the week, computed on the calendar date (no time-zone
+    conversion of the timestamp, so the session zone cannot shift it)."""
+    return F.trunc(c.cast("date"), "week")
 
 
 def _scaled(c, places: int):

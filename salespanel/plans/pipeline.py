@@ -170,41 +170,42 @@ def run_pipeline(spark: SparkSession, raw_dir: str | None = None,
     lap("ingest")
 
     # one (Store, Dept) window pass shared by the findings and the features;
-    # persisted (memory and disk), recomputed from the clean table if lost
+    # persisted (memory and disk), recomputed from the clean table if lost,
+    # released however the run ends
     lagged = feat.add_lags(clean).persist()
-
-    # analyst stage: findings + contract
-    st.extra["findings"] = analyse(spark, clean, st.run_dir, lagged)
-    lap("findings")
-    contract = contract or con.build_contract(
-        clean, spark.read.parquet(st.extra["findings"]["contract_bounds"]))
-    st.contract_path = f"{st.run_dir}/dataset_contract"
-    art.write_contract(spark, contract, st.contract_path)
-    st.status = "ANALYST_COMPLETE"
-
-    # gate
-    result = con.validate(clean, art.load_contract(spark, st.contract_path))
-    st.contract_status, st.validation_errors, st.validation_warnings = (
-        result.status, result.errors, result.warnings)
-    art.write_validation(spark, result.as_dict(), f"{st.run_dir}/validation_result")
-    lap("contract_gate")
-    if result.status == "FAIL":
+    try:
+        # analyst stage: findings + contract
+        st.extra["findings"] = analyse(spark, clean, st.run_dir, lagged)
+        lap("findings")
+        contract = contract or con.build_contract(
+            clean, spark.read.parquet(st.extra["findings"]["contract_bounds"]))
+        st.contract_path = f"{st.run_dir}/dataset_contract"
+        art.write_contract(spark, contract, st.contract_path)
+        st.status = "ANALYST_COMPLETE"
+
+        # gate
+        result = con.validate(clean, art.load_contract(spark, st.contract_path))
+        st.contract_status, st.validation_errors, st.validation_warnings = (
+            result.status, result.errors, result.warnings)
+        art.write_validation(spark, result.as_dict(), f"{st.run_dir}/validation_result")
+        lap("contract_gate")
+        if result.status == "FAIL":
+            st.status = "FAILED"
+            st.finished_at = _now()
+            art.write_run_metadata(spark, st.metadata(), f"{st.run_dir}/run_metadata")
+            return st
+        st.status = "VALIDATED"
+
+        # scientist stage: features (written), train, select, artifacts
+        features_path = f"{st.run_dir}/features"
+        fit = None
+        if impute_fit == "train":
+            cutoff = mdl.cutoff_date(feat.modelled_dates(lagged))
+            fit = clean.filter(F.col("Date") <= F.lit(cutoff))
+            st.extra["impute_fit_cutoff"] = str(cutoff)
+        art.write_table(feat.engineer_features(lagged, prelagged=True, fit=fit), features_path)
+    finally:
         lagged.unpersist()
-        st.status = "FAILED"
-        st.finished_at = _now()
-        art.write_run_metadata(spark, st.metadata(), f"{st.run_dir}/run_metadata")
-        return st
-    st.status = "VALIDATED"
-
-    # scientist stage: features (written), train, select, artifacts
-    features_path = f"{st.run_dir}/features"
-    fit = None
-    if impute_fit == "train":
-        cutoff = mdl.cutoff_date(feat.modelled_dates(lagged))
-        fit = clean.filter(F.col("Date") <= F.lit(cutoff))
-        st.extra["impute_fit_cutoff"] = str(cutoff)
-    art.write_table(feat.engineer_features(lagged, prelagged=True, fit=fit), features_path)
-    lagged.unpersist()
     ft = spark.read.parquet(features_path)
     lap("features")
     cols = feat.feature_columns(ft)

@@ -5,18 +5,25 @@ grows with them."""
 
 from __future__ import annotations
 
+import hashlib
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import hashlib
-import threading
-
+from salespanel.functions.scalar import coerce_bool, parse_date
+from salespanel.operators import contract as con
+from salespanel.operators import features as feat
 from salespanel.operators import ingest as ing
 from salespanel.operators import insight
+from salespanel.operators import inspect as insp
+from salespanel.operators import model as mdl
+from salespanel.operators import profile as prof
 from salespanel.plans.panel import materialize_sources, read_sources
+from salespanel.schemas import ENGINEERED_COLUMNS, MARKDOWN_COLUMNS, TARGET
 from salespanel.session import shared_dir
+from salespanel.sources.raw import read_clean, write_clean
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -60,8 +67,6 @@ def q_monthly_trend(spark, sf):
 
 
 # ---- profiling -------------------------------------------------------------
-from salespanel.operators import inspect as insp  # noqa: E402
-from salespanel.operators import profile as prof  # noqa: E402
 
 
 @query("profile_summary")
@@ -149,8 +154,6 @@ def q_markdown_corr(spark, sf):
 
 
 # ---- features --------------------------------------------------------------
-from salespanel.operators import features as feat  # noqa: E402
-from salespanel.schemas import ENGINEERED_COLUMNS, MARKDOWN_COLUMNS, TARGET  # noqa: E402
 
 
 @query("lag_features")
@@ -192,7 +195,6 @@ def q_feature_table(spark, sf):
 
 
 # ---- contract --------------------------------------------------------------
-from salespanel.operators import contract as con  # noqa: E402
 
 
 @query("contract_bounds")
@@ -218,7 +220,6 @@ def q_pk_duplicates(spark, sf):
 
 
 # ---- split, metrics, models ------------------------------------------------
-from salespanel.operators import model as mdl  # noqa: E402
 
 
 def feature_table(spark, sf):
@@ -323,9 +324,6 @@ def q_forecast_by_date(spark, sf):
 # ---- ingest ----------------------------------------------------------------
 
 
-from salespanel.functions.scalar import coerce_bool, parse_date  # noqa: E402
-
-
 @query("clean_panel")
 def q_clean_panel(spark, sf):
     return clean(spark, sf)
@@ -338,7 +336,6 @@ _CLEAN_WRITTEN: dict = {}
 def q_scan_clean(spark, sf):
     """The clean table as a run stores it (sorted Parquet in the shared
     folder, written once per application), scanned back."""
-    from salespanel.sources.raw import read_clean, write_clean
     app = spark.sparkContext.applicationId
     key = (app, sf)
     with _LOCK:

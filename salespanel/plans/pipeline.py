@@ -224,6 +224,14 @@ def run_pipeline(spark: SparkSession, raw_dir: str | None = None,
     return st
 
 
+def validate_paths(spark: SparkSession, data_path: str, contract_path: str) -> con.ValidationResult:
+    """Validate a written clean table against a written contract (a Spark
+    JSON document folder, or a plain ``.json`` file)."""
+    contract = (art.load_contract_file(contract_path) if contract_path.endswith(".json")
+                else art.load_contract(spark, contract_path))
+    return con.validate(read_clean(spark, data_path), contract)
+
+
 def forecast(spark: SparkSession, run_dir: str) -> DataFrame:
     """Score the hold-out of a finished run with its saved model, mean per
     date, long form (the predictive dashboard's series)."""

@@ -9,15 +9,26 @@ import tempfile
 from pyspark.sql import SparkSession
 
 _LOCAL_DIR_CONF = "spark.salespanel.localSharedDir"
+# Target bytes per task for scans and shuffles: small enough to stay in
+# executor memory without spilling much, large enough to keep task overhead low.
+PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def shuffle_partitions_for(input_bytes: int, partition_bytes: int = PARTITION_BYTES,
+                           minimum: int = 8) -> int:
+    """A starting ``spark.sql.shuffle.partitions`` for a job reading
+    ``input_bytes``: one partition per ``partition_bytes`` of input (AQE then
+    coalesces small ones and splits skewed ones at runtime)."""
+    return max(minimum, -(-int(input_bytes) // int(partition_bytes)))
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app_name: str = "salespanel", extra: dict | None = None) -> SparkSession:
     """A session configured the way the engine expects (AQE on, UTC, no UI).
 
-    On a cluster pass ``master=None`` and let spark-submit decide; the shuffle
-    partition count should then be sized to the data (about 128-256 MB per
-    partition), AQE coalesces the rest.
+    On a cluster pass ``master=None`` and let spark-submit decide; size the
+    shuffle partition count to the data with ``shuffle_partitions_for``
+    (about 256 MB per partition), AQE coalesces the rest.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -27,6 +38,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(PARTITION_BYTES),
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",

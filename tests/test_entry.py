@@ -54,3 +54,9 @@ def test_query_matches_oracle(spark, duck, name):
     assert sorted(rel.columns) == cols
     b = sorted(tuple(_norm(r[i]) for i in idx) for r in rel.fetchall())
     assert a == b
+
+
+def test_shuffle_partitions_sizing():
+    from salespanel.session import PARTITION_BYTES, shuffle_partitions_for
+    assert shuffle_partitions_for(0) == 8
+    assert shuffle_partitions_for(100 * 1024 ** 4) == 100 * 1024 ** 4 // PARTITION_BYTES

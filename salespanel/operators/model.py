@@ -8,6 +8,7 @@ estimator])`` so the fitted artifact scores raw feature tables directly.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -200,15 +201,19 @@ def train_and_select(df: DataFrame, feature_cols: list[str], label: str = TARGET
     test = test.select("Date", *feature_cols, label).persist()
     try:
         n_train, n_test = train.count(), test.count()
-        models: dict[str, PipelineModel] = {}
-        metrics: dict[str, dict[str, float]] = {}
-        for name in candidates:
+
+        def fit_and_score(name: str):
             est = (ridge_estimator(train, feature_cols, label) if name == RIDGE
                    else forest_estimator(feature_cols, label, num_trees, max_depth))
             model = est.fit(train)
             m = evaluate(model.transform(test), label).first()
-            models[name] = model
-            metrics[name] = {"MAE": float(m["MAE"]), "RMSE": float(m["RMSE"]), "R2": float(m["R2"])}
+            return name, model, {"MAE": float(m["MAE"]), "RMSE": float(m["RMSE"]), "R2": float(m["R2"])}
+
+        # the candidates are independent jobs: fit them concurrently
+        with ThreadPoolExecutor(max_workers=len(candidates)) as pool:
+            done = list(pool.map(fit_and_score, candidates))
+        models = {n: mo for n, mo, _ in done}
+        metrics = {n: me for n, _, me in done}
     finally:
         train.unpersist()
         test.unpersist()

@@ -76,3 +76,27 @@ def test_train_only_imputation_fit(spark, tmp_path):
     assert st.extra["impute_fit_cutoff"] == rep["split_cutoff_date"]
     ft = spark.read.parquet(f"{st.run_dir}/features")
     assert ft.filter(F.col("Unemployment").isNull()).count() == 0
+
+
+def test_dashboard_pages(spark, tmp_path):
+    from salespanel.plans import dashboard
+    root = str(tmp_path / "artifacts")
+    st = run_pipeline(spark, raw_dir=raw(tmp_path), artifacts_root=root, run_id="20100106T000000Z-ffff",
+                      num_trees=3, max_depth=2)
+    assert [r.run_id for r in dashboard.eligible_runs(spark, root, "predictive").collect()] == [st.run_id]
+    d = dashboard.descriptive(spark, st.run_dir)
+    assert d["kpis"].first().stores == 2 and d["markdown_corr"].count() == 36
+    p = dashboard.predictive(spark, st.run_dir)
+    assert p["selected"].count() == 1 and p["forecast_by_date"].count() > 0
+
+
+def test_cli_run_and_validate(tmp_path):
+    import subprocess
+    import sys
+    root = str(tmp_path / "artifacts")
+    env_cmd = [sys.executable, "-m", "salespanel", "--master", "local[2]", "run", "--raw-dir", raw(tmp_path),
+               "--artifacts", root, "--run-id", "20100107T000000Z-gggg"]
+    out = subprocess.run(env_cmd, capture_output=True, text=True, timeout=900,
+                         cwd=__import__("os").path.dirname(__import__("os").path.dirname(__file__)))
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert '"status": "COMPLETED"' in out.stdout

@@ -26,7 +26,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 # A group whose distinct values stay under this bound may be merged in one
@@ -55,10 +55,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Se
       * ``"aggregate"``: one ``percentile`` (with frequencies) over the value
         counts, which merges each group's distinct values in one task;
       * ``"auto"`` (default): the value counts are written once to the
-        shared folder, the widest group is measured on that small table, and
-        ``aggregate`` is used only when every group is within
-        ``max_values_per_group`` distinct values, ``distributed`` otherwise.
-        (Runs two small jobs when called; the result stays lazy.)
+        shared folder, counting their rows as they are written; when that
+        total is within ``max_values_per_group`` no group can exceed it and
+        ``aggregate`` is used, otherwise the widest group is measured on the
+        written counts and ``distributed`` is used beyond the bound. (Runs
+        the write, and only for large tables one small check, when called;
+        the result stays lazy.)
 
     Both methods give the same median bit for bit; other quantiles may
     differ in the last place (Spark's and this interpolation order).
@@ -68,10 +70,16 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Se
     if method == "auto":
         from salespanel.session import shared_dir
         spark = df.sparkSession
-        path = f"{shared_dir(spark)}/salespanel-scratch/value-counts/{uuid.uuid4().hex}"
-        vc.write.mode("overwrite").parquet(path)
+        tag = uuid.uuid4().hex
+        path = f"{shared_dir(spark)}/salespanel-scratch/value-counts/{tag}"
+        # the write itself counts its rows (no extra pass); that total bounds
+        # the widest group, so the per-group check runs only when it is large
+        seen = Observation(f"value-counts-{tag}")
+        vc.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
         vc = spark.read.parquet(path)
-        widest = vc.groupBy(*g).agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
+        widest = seen.get.get("rows", 0) or 0
+        if widest > max_values_per_group:
+            widest = vc.groupBy(*g).agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
         method = "aggregate" if widest <= max_values_per_group else "distributed"
     if method == "aggregate":
         q = F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probs]), F.col("__w"))

@@ -19,6 +19,8 @@ DECIMAL, so partial aggregation in any order gives the exact same value.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,13 +139,21 @@ SOURCE_NAMES = ("stores", "features", "train")
 def materialize_sources(spark: SparkSession, sf_dir: str, path: str) -> dict[str, DataFrame]:
     """Derive the sources once and write them as Parquet under ``path`` (a
     folder in the shared directory). The fine-grain aggregate both
-    ``train`` and ``features`` come from is persisted for the two writes,
-    so the line-item join is computed once; it is released right after.
+    ``train`` and ``features`` come from is persisted for the writes, so
+    the line-item join is computed once; it is released right after. The
+    three writes run concurrently.
     Returns readers of the written tables (lineage starts there)."""
     fine = _fine_grain(spark, sf_dir).persist()
+
+    def write(item):
+        name, df = item
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
     try:
-        for name, df in raw_tables(spark, sf_dir, fine).items():
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
+        # three independent jobs submitted together; a cached partition that
+        # two of them need is computed once (the second waits for the block)
+        with ThreadPoolExecutor(max_workers=3) as pool:
+            list(pool.map(write, raw_tables(spark, sf_dir, fine).items()))
     finally:
         fine.unpersist()
     return read_sources(spark, path)

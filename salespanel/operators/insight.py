@@ -93,30 +93,29 @@ def markdown_effect(df: DataFrame, outliers: DataFrame | None = None,
     return run(df, markdown_effect_spec(df, outliers, above_fence))
 
 
-def markdown_corr_spec(df: DataFrame, digits: int = 6, prefix: str = "mc_") -> OneRow:
-    cols = markdown_columns(df) + [TARGET]
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    aggs = [F.round(pearson(a, b), digits).alias(f"{prefix}p{k}") for k, (a, b) in enumerate(pairs)]
-    aggs += [F.var_pop(c).alias(f"{prefix}v{k}") for k, c in enumerate(cols)]
-
-    def finish(w: DataFrame) -> DataFrame:
-        cells = []
-        for k, (a, b) in enumerate(pairs):
-            v = F.col(f"{prefix}p{k}")
-            cells.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), v.alias("corr")))
-            cells.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), v.alias("corr")))
-        for k, c in enumerate(cols):
-            diag = F.when(F.col(f"{prefix}v{k}") > 0, F.lit(1.0))
-            cells.append(F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), diag.alias("corr")))
-        return w.select(F.inline(F.array(*cells)))
-    return OneRow(aggs, finish)
-
-
 def markdown_corr(df: DataFrame, digits: int = 6) -> DataFrame:
     """Pearson correlation of every pair of MarkDown* and the target, long
     form (col_a, col_b, corr), all ordered pairs as in a correlation matrix.
 
-    The matrix is symmetric, so only the unique pairs are aggregated, all in
-    ONE pass (map-side partial moments); the diagonal is 1 (null for a
-    constant or empty column). Pairs skip rows where either side is null."""
-    return run(df, markdown_corr_spec(df, digits))
+    Each row is stacked into its (pair, x, y) cells and the moments are
+    aggregated grouped by pair: a handful of buffer fields, so the stage keeps
+    whole-stage code generation (one wide aggregate of every pair would
+    exceed Spark's field limit and run interpreted), and the partial
+    aggregation leaves one row per pair per task before the shuffle. The
+    matrix is symmetric, so only unique pairs are computed; the diagonal is 1
+    (null for a constant or empty column). Pairs skip rows where either side
+    is null."""
+    cols = markdown_columns(df) + [TARGET]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
+                 F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for a, b in pairs]))
+    long = df.select(cells.alias("c")).select("c.*")
+    diag = F.col("col_a") == F.col("col_b")
+    per_pair = long.groupBy("col_a", "col_b").agg(
+        F.round(pearson("x", "y"), digits).alias("r"), F.var_pop("x").alias("vx"))
+    corr = F.when(diag, F.when(F.col("vx") > 0, F.lit(1.0))).otherwise(F.col("r"))
+    one = F.struct(F.col("col_a"), F.col("col_b"), corr.alias("corr"))
+    mirror = F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), corr.alias("corr"))
+    return per_pair.select(F.inline(F.when(diag, F.array(one)).otherwise(F.array(one, mirror))))

@@ -83,9 +83,9 @@ def analyse(spark: SparkSession, clean: DataFrame, run_dir: str,
     """Write every finding as a Parquet table; return name -> path.
 
     All one-row findings (profile, null profile, sign counts, holiday impact,
-    KPIs, markdown effect, correlation matrix, contract bounds) come from ONE
-    aggregation pass over the clean table, written once and projected into
-    each finding. The (Store, Dept) window is computed once: the lagged table
+    KPIs, markdown effect, contract bounds) come from ONE aggregation pass
+    over the clean table (few enough buffer fields to stay code-generated),
+    written once and projected into each finding. The (Store, Dept) window is computed once: the lagged table
     feeds the week-over-week findings here and the features later.
     Independent findings are written concurrently, in dependency order.
     """
@@ -96,7 +96,6 @@ def analyse(spark: SparkSession, clean: DataFrame, run_dir: str,
         "sales_sign_counts": insp.sales_sign_counts_spec(clean),
         "holiday_impact": insight.holiday_impact_spec(clean),
         "kpis": insight.kpis_spec(clean),
-        "markdown_corr": insight.markdown_corr_spec(clean),
         "contract_bounds": con.contract_bounds_spec(clean, with_rows=True),
         # the means are aggregated here; the finish that adds the outlier
         # counts is rebuilt below, once those tables exist
@@ -112,7 +111,8 @@ def analyse(spark: SparkSession, clean: DataFrame, run_dir: str,
                 "negative_sales": insp.negative_sales(clean),
                 "holiday_spikes": insp.holiday_spikes(clean),
                 "wow_anomalies": wow,
-                "monthly_trend": insight.monthly_trend(clean)}, run_dir, out, workers)
+                "monthly_trend": insight.monthly_trend(clean),
+                "markdown_corr": insight.markdown_corr(clean)}, run_dir, out, workers)
 
     bounds = spark.read.parquet(out["markdown_iqr_bounds"])
     _write_all({"markdown_outliers": insp.markdown_outliers(clean, bounds),

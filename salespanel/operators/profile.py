@@ -46,7 +46,7 @@ def null_profile_spec(df: DataFrame, digits: int = 3, prefix: str = "np_") -> On
         long = wide.unpivot(["__rows"], cols, "column_name", "null_count")
         return (long.filter(F.col("null_count") > 0)
                     .select("column_name", "null_count",
-                            F.round(F.col("null_count") * 100.0 / F.greatest(F.col("__rows"), F.lit(1)),
+                            F.round(F.col("null_count") / F.greatest(F.col("__rows"), F.lit(1)) * 100.0,
                                     digits).alias("null_pct")))
     return OneRow(aggs, finish)
 

@@ -104,7 +104,7 @@ def _():
         f"SELECT '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS null_count, COUNT(*) AS n FROM clean"
         for c in CLEAN_COLS)
     return with_clean(f"""SELECT column_name, null_count,
-       round(CAST(null_count AS DOUBLE) * 100.0 / greatest(n, 1), 3) AS null_pct
+       round(CAST(null_count AS DOUBLE) / greatest(n, 1) * 100.0, 3) AS null_pct
 FROM ({parts}) WHERE null_count > 0""")
 
 

@@ -54,17 +54,19 @@ def holiday_impact(df: DataFrame) -> DataFrame:
     return run(df, holiday_impact_spec(df))
 
 
-def kpis_spec(df: DataFrame, prefix: str = "kp_") -> OneRow:
+def kpis_spec(df: DataFrame, prefix: str = "kp_", approx: bool = False) -> OneRow:
+    distinct = F.approx_count_distinct if approx else F.count_distinct
     aggs = [exact_sum(TARGET).alias(f"{prefix}total_sales"),
             exact_mean(TARGET).alias(f"{prefix}mean_sales"),
-            F.count_distinct("Store").alias(f"{prefix}stores"),
-            F.count_distinct("Dept").alias(f"{prefix}departments")]
+            distinct("Store").alias(f"{prefix}stores"),
+            distinct("Dept").alias(f"{prefix}departments")]
     return OneRow(aggs, _pick(prefix, ["total_sales", "mean_sales", "stores", "departments"]))
 
 
-def kpis(df: DataFrame) -> DataFrame:
-    """Dashboard KPIs: total and mean sales, distinct stores and departments."""
-    return run(df, kpis_spec(df))
+def kpis(df: DataFrame, approx: bool = False) -> DataFrame:
+    """Dashboard KPIs: total and mean sales, distinct stores and departments
+    (``approx=True``: HyperLogLog estimates)."""
+    return run(df, kpis_spec(df, approx=approx))
 
 
 def markdown_effect_spec(df: DataFrame, outliers: DataFrame | None = None,

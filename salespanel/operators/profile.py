@@ -9,7 +9,7 @@ from salespanel.operators.onerow import OneRow, run
 from salespanel.schemas import HOLIDAY_SPIKE_TOP_N
 
 
-def profile_summary_spec(df: DataFrame, prefix: str = "ps_") -> OneRow:
+def profile_summary_spec(df: DataFrame, prefix: str = "ps_", approx: bool = False) -> OneRow:
     """Row/column counts, date range, distinct stores and departments (nulls
     not counted); ``count_distinct`` is exact (``approx_count_distinct`` when
     an estimate is enough)."""
@@ -20,7 +20,8 @@ def profile_summary_spec(df: DataFrame, prefix: str = "ps_") -> OneRow:
              if "Date" in cols else
              [F.lit(None).cast("date").alias(f"{p}min_date"), F.lit(None).cast("date").alias(f"{p}max_date")])
     for c, name in (("Store", "store_count"), ("Dept", "dept_count")):
-        aggs.append((F.count_distinct(c) if c in cols else F.lit(None).cast("long")).alias(f"{p}{name}"))
+        distinct = F.approx_count_distinct(c) if approx else F.count_distinct(c)
+        aggs.append((distinct if c in cols else F.lit(None).cast("long")).alias(f"{p}{name}"))
 
     def finish(w: DataFrame) -> DataFrame:
         return w.select(F.col(f"{p}row_count").alias("row_count"), F.lit(len(cols)).alias("column_count"),
@@ -28,9 +29,10 @@ def profile_summary_spec(df: DataFrame, prefix: str = "ps_") -> OneRow:
     return OneRow(aggs, finish)
 
 
-def profile_summary(df: DataFrame) -> DataFrame:
-    """One row: row/column counts, date range, distinct stores and departments."""
-    return run(df, profile_summary_spec(df))
+def profile_summary(df: DataFrame, approx: bool = False) -> DataFrame:
+    """One row: row/column counts, date range, distinct stores and departments
+    (``approx=True``: HyperLogLog estimates, no distinct-value shuffle)."""
+    return run(df, profile_summary_spec(df, approx=approx))
 
 
 def null_profile_spec(df: DataFrame, digits: int = 3, prefix: str = "np_") -> OneRow:

@@ -86,3 +86,9 @@ def test_profile_summary_and_trend(spark):
     e = insight.markdown_effect(df).first()
     assert e.mean_with_markdown == sum(100.0 + 10 * i for i in range(6, 12)) / 6
     assert prof.dtypes(df)[0] == ("Store", "int")
+
+
+def test_approx_distinct_option(spark):
+    df = spark.createDataFrame(series_rows() + series_rows(store=2, dept=3), CLEAN_DDL)
+    assert prof.profile_summary(df, approx=True).first().store_count == 2
+    assert insight.kpis(df, approx=True).first().departments == 2

@@ -51,6 +51,7 @@ MSG_TARGET_NULL = "Target column '{col}' has {n} null value(s)"
 MSG_BELOW = "{n} row(s) have '{col}' below the contract minimum of {bound}"
 MSG_ABOVE = "{n} row(s) have '{col}' above the contract maximum of {bound}"
 BOOL_TEXT = ("TRUE", "FALSE", "True", "False")
+ISO_DATE_TEXT = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T].*)?\s*$"
 # ---------------------------------------------------------------------------
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -142,7 +143,8 @@ def _dtype_violations(c: Column, t: T.DataType, declared: str) -> Column | None:
             return count(bad)
         if declared == "bool":
             return count(~c.isin(*BOOL_TEXT))
-        return count(c.try_cast("timestamp").isNull())
+        # ISO date text (optionally with a time); bare numbers are not dates
+        return count(c.try_cast("timestamp").isNull() | ~c.rlike(ISO_DATE_TEXT))
     return everything
 
 

@@ -126,6 +126,9 @@ def test_missing_pk_and_target(spark):
     ("c string", [("1.5",)], "float", True),
     ("c string", [("2010-02-05",)], "datetime", True),
     ("c string", [("05/02/2010x",)], "datetime", False),
+    ("c string", [("12",)], "datetime", False),
+    ("c string", [("2010-02-05 10:30:00",)], "datetime", True),
+    ("c string", [("2010-02-05",), ("05/02/2010",)], "datetime", False),
     ("c string", [("TRUE",), ("False",)], "bool", True),
     ("c string", [("true",)], "bool", False),
     ("c string", [("abc",)], "float", False),

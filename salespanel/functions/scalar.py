@@ -70,6 +70,11 @@ def typed(c: str | Column, spark_type: str) -> Column:
         return coerce_bool(v)
     if spark_type == "string":
         return v
+    if spark_type in ("int", "bigint", "long"):
+        # integral text in any numeric form ("12", "12.0", "1.2e1"); a
+        # fraction or an out-of-range value is not an integer -> null
+        d = v.try_cast("double")
+        return F.when(d == F.rint(d), d.try_cast(spark_type)).otherwise(F.lit(None).cast(spark_type))
     out = v.try_cast(spark_type)
     if spark_type == "double":
         out = nan_to_null(out)

@@ -127,3 +127,8 @@ def test_clean_csv_export_round_trip(spark, tmp_path):
     (tmp_path / "contract.json").write_text(json.dumps(contract))
     r = validate_paths(spark, str(tmp_path / "clean"), str(tmp_path / "contract.json"))
     assert r.status == "FAIL" and any("maximum of 30000" in e for e in r.errors)
+
+
+def test_integer_text_forms(spark):
+    df = spark.createDataFrame([("12",), ("12.0",), ("1.2e1",), ("12.5",), ("NA",), ("x",), ("99999999999",)], "t string")
+    assert [r[0] for r in df.select(typed("t", "int")).collect()] == [12, 12, 12, None, None, None, None]

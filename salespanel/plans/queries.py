@@ -22,7 +22,7 @@ from salespanel.operators import model as mdl
 from salespanel.operators import profile as prof
 from salespanel.plans.panel import materialize_sources, read_sources
 from salespanel.schemas import ENGINEERED_COLUMNS, MARKDOWN_COLUMNS, TARGET
-from salespanel.session import shared_dir
+from salespanel.session import app_id, shared_dir
 from salespanel.sources.raw import read_clean, write_clean
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,7 +45,7 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The {stores, features, train} sources derived from the driver tables
     in ``sf_dir``: derived once per application and written to the shared
     folder (the ingest stage of a run), then read by every query."""
-    app = spark.sparkContext.applicationId
+    app = app_id(spark)
     key = (app, sf_dir)
     with _LOCK:
         if key not in _SOURCES:
@@ -233,7 +233,7 @@ def written_features(spark, sf):
     """The feature table written once per application to the shared folder
     (the scientist stage reads it, as a run does); split, metric and model
     queries start from it."""
-    app = spark.sparkContext.applicationId
+    app = app_id(spark)
     key = (app, sf)
     with _LOCK:
         if key not in _FEATURES:
@@ -279,7 +279,7 @@ _TRAINED: dict = {}
 
 def trained(spark, sf):
     """Train once per (session, data dir) and reuse across the model queries."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (app_id(spark), sf)
     with _LOCK:
         if key not in _TRAINED:
             ft = written_features(spark, sf)
@@ -336,7 +336,7 @@ _CLEAN_WRITTEN: dict = {}
 def q_scan_clean(spark, sf):
     """The clean table as a run stores it (sorted Parquet in the shared
     folder, written once per application), scanned back."""
-    app = spark.sparkContext.applicationId
+    app = app_id(spark)
     key = (app, sf)
     with _LOCK:
         if key not in _CLEAN_WRITTEN:

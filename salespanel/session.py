@@ -54,6 +54,23 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+def _conf(spark: SparkSession, key: str) -> str | None:
+    try:
+        v = spark.conf.get(key, None)
+    except Exception:  # noqa: BLE001 - an unset key raises on some versions
+        v = None
+    return v or None
+
+
+def app_id(spark: SparkSession) -> str:
+    """The application id (read from the session conf, so it also works
+    without a SparkContext handle, e.g. over Spark Connect)."""
+    v = _conf(spark, "spark.app.id")
+    if v:
+        return v
+    return spark.sparkContext.applicationId
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written tables.
 
@@ -62,29 +79,26 @@ def shared_dir(spark: SparkSession) -> str:
     is local (tests, benchmarks) is a private temporary folder created; on a
     cluster an unset directory is an error, never a machine-local fallback.
     """
-    conf = spark.sparkContext.getConf()
-    d = conf.get("spark.checkpoint.dir", None)
+    d = _conf(spark, "spark.checkpoint.dir")
+    sc = None
     if not d:
         try:
-            d = spark.conf.get("spark.checkpoint.dir")
-        except Exception:  # noqa: BLE001 - unset conf raises on some versions
+            sc = spark.sparkContext
+            d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        except Exception:  # noqa: BLE001 - no context handle (Spark Connect)
             d = None
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
     if d:
         return d.rstrip("/")
-    try:
-        d = spark.conf.get(_LOCAL_DIR_CONF)
-    except Exception:  # noqa: BLE001
-        d = None
+    d = _conf(spark, _LOCAL_DIR_CONF)
     if d:
         return d
-    master = spark.sparkContext.master or ""
+    master = _conf(spark, "spark.master") or (sc.master if sc is not None else "")
     if not master.startswith("local"):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; set it to a shared folder "
             "(HDFS/object store) that every executor can reach")
     d = tempfile.mkdtemp(prefix="salespanel-")
-    spark.sparkContext.setCheckpointDir(d)
+    if sc is not None:
+        sc.setCheckpointDir(d)
     spark.conf.set(_LOCAL_DIR_CONF, d)
     return d

@@ -150,11 +150,19 @@ def impute_economic(df: DataFrame, cols=ECONOMIC_COLUMNS, fit: DataFrame | None
     return out.select(*df.columns)
 
 
-def observed_types(df: DataFrame) -> list[str]:
-    """Sorted distinct non-null store types (a handful of values)."""
+# A one-hot encoding wider than this is an input error, not a feature set.
+MAX_CATEGORIES = 1000
+
+
+def observed_types(df: DataFrame, max_categories: int = MAX_CATEGORIES) -> list[str]:
+    """Sorted distinct non-null store types (a handful of values). At most
+    ``max_categories + 1`` values ever reach the driver; more is an error."""
     if "Type" not in df.columns:
         return []
-    return sorted(r[0] for r in df.select("Type").dropna().distinct().collect())
+    got = [r[0] for r in df.select("Type").dropna().distinct().limit(max_categories + 1).collect()]
+    if len(got) > max_categories:
+        raise ValueError(f"Type has more than {max_categories} distinct values; not a categorical")
+    return sorted(got)
 
 
 def encode_categoricals(df: DataFrame, types: list[str] | None = None) -> DataFrame:

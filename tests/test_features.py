@@ -93,3 +93,12 @@ def test_economic_fill_store_then_global_median(spark):
     # store 2 has nothing: global median of the store-filled column 1, 3, 3, 10
     assert got[(2, d("2010-01-04"))] == 3.0
     assert {r.Unemployment for r in df.collect()} == {5.0}
+
+
+def test_type_cardinality_is_bounded(spark):
+    import pytest
+    rows = [r[:5] + (f"T{i}",) + r[6:] for i, r in enumerate(series_rows())]
+    df = spark.createDataFrame(rows, CLEAN_DDL)
+    assert len(feat.observed_types(df)) == 12
+    with pytest.raises(ValueError, match="distinct values"):
+        feat.observed_types(df, max_categories=5)

@@ -8,13 +8,14 @@ amounts per order priority, Temperature / Fuel_Price = mean quantity / tax of
 the week's lines, CPI / Unemployment = order-side weekly means by customer
 nation.
 
-Plan shape (what matters at scale): one shuffle join lineitem x orders on the
-order key (AQE picks broadcast for ``supplier`` only when its measured size
-allows), then ONE aggregation to the finest grain (Store, Dept, Date) that also
-carries the decomposable partial sums the features table needs; the
-(Store, Date) features are a re-aggregation of that already small result, so
-the big join is computed once and never re-read. All sums over money are in
-DECIMAL, so partial aggregation in any order gives the exact same value.
+Plan shape (what matters at scale): one pass over the line items, joined to
+suppliers (nation) and orders (priority); AQE broadcasts a side only when its
+measured size allows, otherwise each join shuffles the line items once. Then
+ONE aggregation to the finest grain (Store, Dept, Date) that also carries the
+decomposable partial sums the features table needs; the (Store, Date)
+features are a re-aggregation of that already small result, so the big join
+is computed once and never re-read. Money is summed as exact scaled integers,
+so partial aggregation in any order gives the exact same value.
 """
 
 from __future__ import annotations

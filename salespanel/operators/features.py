@@ -139,14 +139,32 @@ def store_medians(df: DataFrame, cols=ECONOMIC_COLUMNS) -> DataFrame:
               .select("Store", *[F.col(c).alias(f"{c}_store_median") for c in present])
 
 
-def impute_economic(df: DataFrame, cols=ECONOMIC_COLUMNS, fit: DataFrame | None = None) -> DataFrame:
+def _approx_fill_values(fit: DataFrame, present: list[str], accuracy: int) -> tuple[DataFrame, DataFrame]:
+    """Opt-in approximate medians: ``percentile_approx`` sketches (bounded
+    memory, one pass each); the global one is taken over the store-filled
+    values, as in the exact path."""
+    med = fit.groupBy("Store").agg(*[F.percentile_approx(c, 0.5, accuracy).alias(c) for c in present])
+    med_long = med.select("Store", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("store_median")) for c in present]))
+        .alias("m")).select("Store", "m.*")
+    filled = fit.join(med, "Store", "left").select(
+        *[F.coalesce(fit[c], med[c]).alias(c) for c in present])
+    glob = filled.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in present])).alias("g")) \
+        .select("g.*").groupBy("column").agg(F.percentile_approx("v", 0.5, accuracy).alias("global_median"))
+    return med_long, glob
+
+
+def impute_economic(df: DataFrame, cols=ECONOMIC_COLUMNS, fit: DataFrame | None = None,
+                    approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """Fill CPI / Unemployment gaps with the store's median, then any store
     with no value at all with the global median of the store-filled column
     (row weighted, as in the reference; order matters).
 
     ``fit`` (default: ``df`` itself, i.e. the whole history as the
     reference does) chooses the rows the medians are learned from; pass the
-    training rows to keep the hold-out out of the fill.
+    training rows to keep the hold-out out of the fill. ``approx=True`` uses
+    ``percentile_approx`` sketches instead of the exact medians.
 
     Plan: ONE histogram pass over ``fit`` gives both medians (the global
     one is the weighted median of observed values plus each store's gaps
@@ -159,7 +177,8 @@ def impute_economic(df: DataFrame, cols=ECONOMIC_COLUMNS, fit: DataFrame | None
     if not present:
         return df
     fit = df if fit is None else fit
-    med, glob = _fill_values(value_histogram(fit, present))
+    med, glob = (_approx_fill_values(fit, present, accuracy) if approx
+                 else _fill_values(value_histogram(fit, present)))
     med_w = (med.groupBy("Store").pivot("column", present).agg(F.first("store_median"))
                 .select("Store", *[F.col(c).alias(f"__sm_{c}") for c in present]))
     gm = glob.agg(F.struct(*[F.max(F.when(F.col("column") == c, F.col("global_median"))).alias(c)

@@ -102,3 +102,16 @@ def test_type_cardinality_is_bounded(spark):
     assert len(feat.observed_types(df)) == 12
     with pytest.raises(ValueError, match="distinct values"):
         feat.observed_types(df, max_categories=5)
+
+
+def test_approximate_economic_fill(spark):
+    rows = []
+    for i, cpi in enumerate([1.0, None, 3.0, 10.0, 4.0]):
+        rows.append((1, 1, d("2010-01-04") + dt.timedelta(days=7 * i), 1.0, False, "A", 1, 1.0, 1.0,
+                     None, None, None, None, None, cpi, 5.0))
+    rows.append((2, 1, d("2010-01-04"), 1.0, False, "A", 1, 1.0, 1.0, None, None, None, None, None, None, None))
+    df = spark.createDataFrame(rows, CLEAN_DDL)
+    got = {(r.Store, r.Date): r.CPI for r in feat.impute_economic(df, approx=True).collect()}
+    assert got[(1, d("2010-01-11"))] in (3.0, 4.0)         # a middle value of 1, 3, 4, 10
+    assert got[(2, d("2010-01-04"))] is not None
+    assert all(v is not None for v in got.values())

@@ -69,3 +69,16 @@ def test_distributed_matches_numpy(spark, rows, p):
         expanded = [float(v) / 4 for gg, v, w in rows if gg == g for _ in range(w)]
         want = float(np.percentile(expanded, p * 100, method="linear"))
         assert abs(got[g] - want) <= 1e-12 * max(1.0, abs(want))
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="driver data absent")
+def test_distributed_path_on_the_panel_matches(spark, monkeypatch):
+    """Force the bounded-distributed selection for the imputation medians on
+    the real panel: the filled values must equal the default path's."""
+    from salespanel.operators import features as feat
+    from salespanel.plans.queries import clean
+    df = clean(spark, "/root/testdata/sf0.001")
+    default = sorted(feat.impute_economic(df).select("Store", "Dept", "Date", "CPI", "Unemployment").collect())
+    monkeypatch.setattr(feat, "MAX_VALUES_PER_GROUP", 1)
+    forced = sorted(feat.impute_economic(df).select("Store", "Dept", "Date", "CPI", "Unemployment").collect())
+    assert forced == default and len(default) > 0

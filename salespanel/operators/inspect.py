@@ -73,7 +73,8 @@ def holiday_spikes(df: DataFrame, n: int = HOLIDAY_SPIKE_TOP_N) -> DataFrame:
              .orderBy(F.desc("spike_ratio"), F.asc("Store")).limit(n))
 
 
-def markdown_iqr_bounds(df: DataFrame, digits: int = 6, approx: bool = False) -> DataFrame:
+def markdown_iqr_bounds(df: DataFrame, digits: int = 6, approx: bool = False,
+                        method: str = "auto") -> DataFrame:
     """Per markdown column: exact quartiles (linear interpolation, nulls
     skipped), the IQR and the upper fence q3 + 3 * IQR. Columns with no
     values are left out.
@@ -93,7 +94,7 @@ def markdown_iqr_bounds(df: DataFrame, digits: int = 6, approx: bool = False) ->
                     .agg(F.percentile_approx("value", [0.25, 0.75], 100000).alias("q"))
                     .select("md_column", F.col("q").getItem(0).alias("q1"), F.col("q").getItem(1).alias("q3")))
     else:
-        q = exact_quantiles(stacked, "value", [0.25, 0.75], ["q1", "q3"], groups=["md_column"])
+        q = exact_quantiles(stacked, "value", [0.25, 0.75], ["q1", "q3"], groups=["md_column"], method=method)
     q1, q3 = F.col("q1"), F.col("q3")
     iqr = q3 - q1
     return (q.filter(q1.isNotNull())

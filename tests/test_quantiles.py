@@ -82,3 +82,12 @@ def test_distributed_path_on_the_panel_matches(spark, monkeypatch):
     monkeypatch.setattr(feat, "MAX_VALUES_PER_GROUP", 1)
     forced = sorted(feat.impute_economic(df).select("Store", "Dept", "Date", "CPI", "Unemployment").collect())
     assert forced == default and len(default) > 0
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="driver data absent")
+def test_quartile_methods_agree_on_the_panel(spark):
+    from salespanel.operators import inspect as insp
+    from salespanel.plans.queries import clean
+    df = clean(spark, "/root/testdata/sf0.01")
+    got = {m: sorted(insp.markdown_iqr_bounds(df, method=m).collect()) for m in ("aggregate", "distributed")}
+    assert got["aggregate"] == got["distributed"] and len(got["aggregate"]) == 5

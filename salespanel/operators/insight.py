@@ -43,6 +43,10 @@ def _pick(prefix: str, names):
 
 
 def holiday_impact_spec(df: DataFrame, prefix: str = "hi_") -> OneRow:
+    if "IsHoliday" not in df.columns:     # no flag: both means are unknown
+        aggs = [F.lit(None).cast("double").alias(f"{prefix}holiday_mean"),
+                F.lit(None).cast("double").alias(f"{prefix}non_holiday_mean")]
+        return OneRow(aggs, _pick(prefix, ["holiday_mean", "non_holiday_mean"]))
     aggs = [exact_mean(F.when(F.col("IsHoliday"), F.col(TARGET))).alias(f"{prefix}holiday_mean"),
             exact_mean(F.when(~F.col("IsHoliday"), F.col(TARGET))).alias(f"{prefix}non_holiday_mean")]
     return OneRow(aggs, _pick(prefix, ["holiday_mean", "non_holiday_mean"]))
@@ -108,6 +112,8 @@ def markdown_corr(df: DataFrame, digits: int = 6) -> DataFrame:
     (null for a constant or empty column). Pairs skip rows where either side
     is null."""
     cols = markdown_columns(df) + [TARGET]
+    if len(cols) == 1:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     cells = F.explode(F.array(*[
         F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),

@@ -66,7 +66,10 @@ def holiday_means(df: DataFrame) -> DataFrame:
 def holiday_spikes(df: DataFrame, n: int = HOLIDAY_SPIKE_TOP_N) -> DataFrame:
     """Stores with the largest holiday / non-holiday mean ratio. Stores
     lacking either kind of week, or with a zero non-holiday mean, are left
-    out."""
+    out; without an IsHoliday column there are none."""
+    if "IsHoliday" not in df.columns:
+        return df.sparkSession.createDataFrame(
+            [], "Store int, holiday_mean double, non_holiday_mean double, spike_ratio double")
     m = holiday_means(df).dropna(subset=["holiday_mean", "non_holiday_mean"])
     ratio = F.col("holiday_mean") / F.nullif(F.col("non_holiday_mean"), F.lit(0.0))
     return (m.withColumn("spike_ratio", ratio).dropna(subset=["spike_ratio"])
@@ -122,6 +125,10 @@ def markdown_outliers(df: DataFrame, bounds: DataFrame | None = None,
     per-column top-k is a ``row_number <= k`` filter that Spark evaluates as a
     partial group limit ahead of the shuffle."""
     md = markdown_columns(df)
+    if not md:
+        return df.sparkSession.createDataFrame(
+            [], "md_column string, Store int, Dept int, Date date, value double, upper_bound double, "
+                "rank_in_column int")
     if bounds is None:
         bounds = markdown_iqr_bounds(df)
     fence = fences(bounds, md)
@@ -147,6 +154,8 @@ def rows_above_fence(df: DataFrame, bounds: DataFrame | None = None) -> DataFram
     """One row: how many rows exceed the fence of at least one markdown column
     (the true count behind the capped outlier list)."""
     md = markdown_columns(df)
+    if not md:
+        return df.agg(F.lit(0).cast("long").alias("rows_above_fence"))
     if bounds is None:
         bounds = markdown_iqr_bounds(df)
     fence = fences(bounds, md)

@@ -92,3 +92,17 @@ def test_approx_distinct_option(spark):
     df = spark.createDataFrame(series_rows() + series_rows(store=2, dept=3), CLEAN_DDL)
     assert prof.profile_summary(df, approx=True).first().store_count == 2
     assert insight.kpis(df, approx=True).first().departments == 2
+
+
+def test_findings_without_optional_columns(spark):
+    df = spark.createDataFrame([(1, 1, d("2010-01-01"), 5.0), (1, 1, d("2010-01-08"), -2.0)],
+                               "Store int, Dept int, Date date, Weekly_Sales double")
+    assert insp.holiday_spikes(df).count() == 0
+    assert insight.holiday_impact(df).first().holiday_mean is None
+    assert insp.markdown_iqr_bounds(df).count() == 0
+    assert insp.markdown_outliers(df).count() == 0
+    assert insp.rows_above_fence(df).first().rows_above_fence == 0
+    assert insight.markdown_corr(df).count() == 0
+    assert prof.profile_summary(df).first().row_count == 2
+    assert insp.sales_sign_counts(df).first().negative_count == 1
+    assert insp.wow_anomalies(df).count() == 1

@@ -1,6 +1,7 @@
 """Command line: ``python -m salespanel <command> ...``.
 
   run       --raw-dir DIR (three CSVs) | --sf-dir DIR (driver tables) [--artifacts ROOT] [--run-id ID]
+            [--impute-fit all|train] [--unknown-bool null|true]
   runs      --artifacts ROOT                      list runs, newest first
   validate  --data PATH --contract PATH           PASS/FAIL of a clean table against a contract
   forecast  --run-dir DIR                         hold-out forecast per date of a finished run
@@ -30,6 +31,7 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("--artifacts")
     r.add_argument("--run-id")
     r.add_argument("--impute-fit", choices=("all", "train"), default="all")
+    r.add_argument("--unknown-bool", choices=("null", "true"), default="null")
     ls = sub.add_parser("runs")
     ls.add_argument("--artifacts", required=True)
     v = sub.add_parser("validate")
@@ -47,7 +49,7 @@ def main(argv: list[str] | None = None) -> int:
             from salespanel.plans.panel import raw_tables
             sources = raw_tables(spark, a.sf_dir)
         st = run_pipeline(spark, raw_dir=a.raw_dir, sources=sources, artifacts_root=a.artifacts,
-                          run_id=a.run_id, impute_fit=a.impute_fit)
+                          run_id=a.run_id, impute_fit=a.impute_fit, unknown_bool=a.unknown_bool)
         print(json.dumps({**st.metadata(), "stage_seconds": st.extra.get("stage_seconds")}, default=str))
         return 0 if st.status == "COMPLETED" else 1
     if a.cmd == "runs":

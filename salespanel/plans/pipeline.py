@@ -129,20 +129,24 @@ def run_pipeline(spark: SparkSession, raw_dir: str | None = None,
                  sources: dict[str, DataFrame] | None = None,
                  artifacts_root: str | None = None, run_id: str | None = None,
                  num_trees: int = mdl.FOREST_TREES, max_depth: int = mdl.FOREST_MAX_DEPTH,
-                 contract: dict[str, Any] | None = None, impute_fit: str = "all") -> RunState:
+                 contract: dict[str, Any] | None = None, impute_fit: str = "all",
+                 unknown_bool: str = "null") -> RunState:
     """Run everything for one data set. Pass ``raw_dir`` (three CSVs) or
     ``sources`` ({stores, features, train} DataFrames). A FAIL verdict stops
     before training and records FAILED.
 
     ``impute_fit``: ``"all"`` learns the CPI / Unemployment fill medians
     from every week, as the reference does (the hold-out weeks leak into the
-    fill); ``"train"`` learns them from the training weeks only."""
+    fill); ``"train"`` learns them from the training weeks only.
+
+    ``unknown_bool``: what unrecognised IsHoliday text in the CSVs becomes,
+    ``"null"`` (caught by the contract) or ``"true"`` (as the reference)."""
     if impute_fit not in ("all", "train"):
         raise ValueError("impute_fit must be 'all' or 'train'")
     if sources is None:
         if raw_dir is None:
             raise ValueError("raw_dir or sources is required")
-        sources = load_raw_tables(spark, raw_dir)
+        sources = load_raw_tables(spark, raw_dir, unknown_bool=unknown_bool)
     root = (artifacts_root or f"{shared_dir(spark)}/runs").rstrip("/")
     st = RunState(run_id=run_id or new_run_id())
     clock = {"t": time.perf_counter()}

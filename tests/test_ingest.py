@@ -132,3 +132,11 @@ def test_clean_csv_export_round_trip(spark, tmp_path):
 def test_integer_text_forms(spark):
     df = spark.createDataFrame([("12",), ("12.0",), ("1.2e1",), ("12.5",), ("NA",), ("x",), ("99999999999",)], "t string")
     assert [r[0] for r in df.select(typed("t", "int")).collect()] == [12, 12, 12, None, None, None, None]
+
+
+def test_unknown_bool_option_reaches_the_run(spark, tmp_path):
+    from salespanel.plans.pipeline import run_pipeline
+    train = TRAIN.replace("1,1,12/02/2010,46039.49,TRUE", "1,1,12/02/2010,46039.49,yes")
+    st = run_pipeline(spark, raw_dir=write_raw(tmp_path, train=train), artifacts_root=str(tmp_path / "a"),
+                      run_id="r-null", num_trees=2, max_depth=2)
+    assert st.status == "FAILED" and any("IsHoliday" in e and "non-nullable" in e for e in st.validation_errors)

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from salespanel.functions.scalar import nan_to_null
 from salespanel.schemas import CLEAN_COLUMNS, PRIMARY_KEYS, TARGET
 
 
@@ -74,6 +75,13 @@ def select_stores(df: DataFrame, stores) -> DataFrame:
     return df.filter(F.col("Store").isin(*list(stores)))
 
 
+def normalize_nan(df: DataFrame) -> DataFrame:
+    """NaN -> null in every floating column: NaN and null are one thing here
+    (Spark would otherwise rank NaN above every number)."""
+    floats = [c for c, t in df.dtypes if t in ("double", "float")]
+    return df.withColumns({c: nan_to_null(c) for c in floats}) if floats else df
+
+
 def cast_clean(df: DataFrame) -> DataFrame:
     """Key and target types, then the clean column order (extra columns last)."""
     df = (df.withColumn("Store", F.col("Store").cast("int"))
@@ -99,5 +107,5 @@ def ingest(sources: dict[str, DataFrame], check_keys: bool = True,
     stores, features, train = sources["stores"], sources["features"], sources["train"]
     if check_keys:
         assert_many_to_one(stores, features)
-    merged = join_features(join_stores(train, stores), features)
+    merged = normalize_nan(join_features(join_stores(train, stores), features))
     return cast_clean(drop_null_keys(merged, observation))

@@ -140,3 +140,25 @@ def test_unknown_bool_option_reaches_the_run(spark, tmp_path):
     st = run_pipeline(spark, raw_dir=write_raw(tmp_path, train=train), artifacts_root=str(tmp_path / "a"),
                       run_id="r-null", num_trees=2, max_depth=2)
     assert st.status == "FAILED" and any("IsHoliday" in e and "non-nullable" in e for e in st.validation_errors)
+
+
+def test_nan_is_null_after_ingest(spark):
+    train = spark.createDataFrame([(1, 1, d("2010-02-05"), float("nan"), False),
+                                   (1, 2, d("2010-02-05"), 3.0, False)],
+                                  "Store int, Dept int, Date date, Weekly_Sales double, IsHoliday boolean")
+    stores = spark.createDataFrame([(1, "A", 10)], "Store int, Type string, Size int")
+    feats = spark.createDataFrame([(1, d("2010-02-05"), float("nan"))], "Store int, Date date, CPI double")
+    clean = ing.ingest({"stores": stores, "features": feats, "train": train})
+    rows = clean.collect()
+    assert len(rows) == 1 and rows[0].Weekly_Sales == 3.0 and rows[0].CPI is None
+
+
+def test_nan_target_dropped_with_observation(spark):
+    train = spark.createDataFrame([(1, 1, d("2010-02-05"), float("nan"), False),
+                                   (1, 2, d("2010-02-05"), 3.0, False)],
+                                  "Store int, Dept int, Date date, Weekly_Sales double, IsHoliday boolean")
+    stores = spark.createDataFrame([(1, "A", 10)], "Store int, Type string, Size int")
+    feats = spark.createDataFrame([(1, d("2010-02-05"), 1.0)], "Store int, Date date, CPI double")
+    obs = Observation("nan-obs")
+    rows = ing.ingest({"stores": stores, "features": feats, "train": train}, observation=obs).collect()
+    assert len(rows) == 1 and obs.get["rows_in"] == 2 and obs.get["rows_out"] == 1

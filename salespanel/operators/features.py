@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from salespanel.operators.quantiles import MAX_VALUES_PER_GROUP, exact_quantiles
-from salespanel.session import shared_dir
+from salespanel.session import app_id, shared_dir
 from salespanel.schemas import (
     ECONOMIC_COLUMNS,
     ENGINEERED_COLUMNS,
@@ -111,7 +111,7 @@ def _fill_values(hist: DataFrame) -> tuple[DataFrame, DataFrame]:
     global median never gathers more than the bound in one task."""
     spark = hist.sparkSession
     tag = uuid.uuid4().hex
-    path = f"{shared_dir(spark)}/salespanel-scratch/histogram/{tag}"
+    path = f"{shared_dir(spark)}/salespanel-scratch/{app_id(spark)}/histogram/{tag}"
     seen_rows = Observation(f"histogram-{tag}")
     hist.observe(seen_rows, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
     hist = spark.read.parquet(path)

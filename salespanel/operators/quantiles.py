@@ -68,10 +68,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Se
     g = list(groups)
     vc = value_counts(df, value, g, weight)
     if method == "auto":
-        from salespanel.session import shared_dir
+        from salespanel.session import app_id, shared_dir
         spark = df.sparkSession
         tag = uuid.uuid4().hex
-        path = f"{shared_dir(spark)}/salespanel-scratch/value-counts/{tag}"
+        # per-application scratch: the whole folder can go when the app ends
+        path = f"{shared_dir(spark)}/salespanel-scratch/{app_id(spark)}/value-counts/{tag}"
         # the write itself counts its rows (no extra pass); that total bounds
         # the widest group, so the per-group check runs only when it is large
         seen = Observation(f"value-counts-{tag}")

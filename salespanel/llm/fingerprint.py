@@ -108,14 +108,15 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     first = F.array(*[F.lit(firsts.get(b)).cast("long") for b in range(len(bounds) + 1)])
     prior = F.array(*[F.lit(before.get(b)).cast("int") for b in range(len(bounds) + 1)])
     leads = F.col("_o") == F.get(first, F.col("_bucket"))
-    here = F.struct(F.col("_bucket").cast("int").alias("_at"), F.lit(0).alias("_guest"))
-    there = F.struct(F.get(prior, F.col("_bucket")).alias("_at"), F.lit(1).alias("_guest"))
+    here = F.struct(F.col("_bucket").cast("int").alias("at"), F.lit(0).alias("guest"))
+    there = F.struct(F.get(prior, F.col("_bucket")).alias("at"), F.lit(1).alias("guest"))
     d = d.withColumn("_place", F.explode(F.when(leads, F.array(here, there)).otherwise(F.array(here))))
-    order = Window.partitionBy("_place._at").orderBy("_place._guest", "_o", "text")
     names = docs.columns
-    for c in carried:
-        d = d.withColumn(f"next_{c}", F.lead(c).over(order))
-    return d.where(F.col("_place._guest") == 0).select(*names, *[f"next_{c}" for c in carried])
+    # plain columns, so that one exchange and one sort serve all that is carried
+    d = d.select(*names, "_o", F.col("_place.at").alias("_at"), F.col("_place.guest").alias("_guest"))
+    order = Window.partitionBy("_at").orderBy("_guest", "_o", "text")
+    d = d.select(*names, "_guest", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried])
+    return d.where(F.col("_guest") == 0).drop("_guest")
 
 
 def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:

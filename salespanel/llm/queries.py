@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from salespanel.llm import decontaminate, fingerprint, mixing, ngram_join, quality, sharding, toxicity
+from salespanel.llm import decontaminate, fingerprint, mixing, ngram_join, quality, sharding, substring, toxicity
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -11,9 +11,12 @@ QUERIES = {
     "op4_decontaminate": decontaminate.query,
     "op5_mixing": mixing.query,
     "op6_toxicity": toxicity.query,
+    "op7_substring": substring.query,
     "op8_sharding": sharding.query,
 }
 
 ORACLES = {
+    "op4_decontaminate": decontaminate.ORACLE,
     "op5_mixing": mixing.ORACLE,
+    "op7_substring": substring.ORACLE,
 }

@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from salespanel.llm import decontaminate, fingerprint, mixing, ngram_join, quality, sharding, substring, toxicity
+from salespanel.llm import (
+    decontaminate,
+    fingerprint,
+    lm_score,
+    mixing,
+    ngram_join,
+    pages,
+    quality,
+    sharding,
+    substring,
+    toxicity,
+)
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -13,6 +24,8 @@ QUERIES = {
     "op6_toxicity": toxicity.query,
     "op7_substring": substring.query,
     "op8_sharding": sharding.query,
+    "op9_lm_score": lm_score.query,
+    "op10_pages": pages.query,
 }
 
 ORACLES = {

@@ -9,8 +9,8 @@ more than the sum of the smaller counts. The join runs in these steps:
 2. Two sets that link share one of their first shingles in any fixed order (a
    quarter of the set and one). Documents are dealt out by these, in an order
    that puts shingles common in a sample last, so that shared passages rarely
-   bring documents together. A shingle held by a few classes gives their
-   pairs, one held by more gives a star around its smallest class.
+   bring documents together. A shingle held by up to PAIR_CLASSES classes
+   gives their pairs of similar size, one held by more a star around a class.
 3. Pairs of step 2 whose counts can't overlap enough go; the rest and the
    stars make groups, such that every link lies within a group.
 4. A group's points are packed into an R-tree; boxes, then points, that can't
@@ -48,7 +48,7 @@ GROUPS = 64
 #: Every so many documents are looked at for common shingles; at most so many of these are put last.
 SAMPLE_OF, SAMPLE_COUNT, MAX_COMMON = 16, 3, 500_000
 #: Shingles held by more classes give a star instead of all pairs.
-PAIR_CLASSES = 8
+PAIR_CLASSES = 256
 TILE = 512
 LEAF = 16
 
@@ -96,8 +96,8 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n.astype(np.int64))], ["s", "n"])
 
     seen = part.select("text").mapInArrow(shingles, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    rows = seen.where(F.col("n") >= SAMPLE_COUNT).orderBy(F.desc("n"), "s").limit(MAX_COMMON).toPandas()
-    return np.sort(rows["s"].to_numpy(np.int64).view(np.uint64))
+    rows = seen.where(F.col("n") >= SAMPLE_COUNT).orderBy(F.desc("n"), "s").limit(MAX_COMMON).toArrow()
+    return np.sort(rows.column("s").to_numpy().view(np.uint64))
 
 
 def signatures(docs: DataFrame, common: np.ndarray) -> DataFrame:
@@ -120,67 +120,76 @@ def signatures(docs: DataFrame, common: np.ndarray) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, cls long, n long, counts binary, first array<long>")
 
 
+class _Run:
+    """The classes met under one shingle, in order; a long run keeps its first only."""
+
+    def __init__(self, key):
+        self.key, self.cls, self.n, self.long = key, np.zeros(0, np.int64), np.zeros(0, np.int64), False
+
+    def add(self, cls: np.ndarray, n: np.ndarray, out: list) -> None:
+        if not self.long and len(self.cls) + len(cls) <= PAIR_CLASSES:
+            self.cls, self.n = np.append(self.cls, cls), np.append(self.n, n)
+            return
+        every = cls if self.long else np.append(self.cls, cls)
+        self.long, self.cls = True, every[:1] if not self.long else self.cls
+        out.append((np.full(len(every), self.cls[0]), every, np.ones(len(every), bool)))
+
+    def close(self, out: list) -> None:
+        if not self.long and len(self.cls) > 1:
+            i, j = np.triu_indices(len(self.cls), 1)
+            near = 100 * np.minimum(self.n[i], self.n[j]) >= SHARE * np.maximum(self.n[i], self.n[j])
+            out.append((self.cls[i[near]], self.cls[j[near]], np.zeros(int(near.sum()), bool)))
+
+
 def _meetings(sorted_rows: DataFrame) -> DataFrame:
-    """(a, b, star) from rows (shingle, cls) that lie together by shingle and
-    in order: all pairs of up to PAIR_CLASSES classes, or edges to the smallest."""
+    """(a, b, star) from rows (shingle, cls, n) that lie together by shingle
+    and in order: all pairs of similar size of up to PAIR_CLASSES classes, or
+    edges of all to the first. Long runs are read through and never held."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held = None, []  # the run that the last batch may not have ended; of a long one, its start
+        run, last_cls = None, None
         for b in batches:
-            key, cls = b.column(0).to_numpy(), b.column(1).to_numpy()
+            key, cls, n = (b.column(i).to_numpy() for i in range(3))
             if not len(key):
                 continue
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-            key, cls = key[new], cls[new]
+            new[0] = run is None or key[0] != run.key or cls[0] != last_cls
+            last_key, last_cls = key[-1], cls[-1]
+            key, cls, n = key[new], cls[new], n[new]
+            if not len(key):
+                continue
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             ends = np.append(starts[1:], len(key))
-            out: set = set()
-
-            def close(run, out=out):
-                if len(run) > PAIR_CLASSES:
-                    out.update((run[0], x, True) for x in run[1:])
-                else:
-                    out.update((x, y, False) for i, x in enumerate(run) for y in run[i + 1:])
-
-            last = len(starts) - 1
-            for i in np.flatnonzero((ends - starts > 1) | (np.arange(len(starts)) == last) | (np.arange(len(starts)) == 0)):
-                run = cls[starts[i]:ends[i]].tolist()
-                if i == 0 and held_key is not None:
-                    if key[0] == held_key:
-                        run = held + [x for x in run if x != held[-1]]
-                    else:
-                        close(held)
-                if i < last:
-                    close(run)
-                else:
-                    held_key, held = key[-1], run
-                    if len(run) > 4 * PAIR_CLASSES:  # a star needs its centre only
-                        close(run)
-                        held = [run[0], *run[-PAIR_CLASSES:]]
+            shown = ends - starts > 1
+            shown[0] = shown[-1] = True  # these may go on from, or into, another batch
+            out: list = []
+            for i in np.flatnonzero(shown):
+                if run is None or key[starts[i]] != run.key:
+                    if run is not None:
+                        run.close(out)
+                    run = _Run(key[starts[i]])
+                run.add(cls[starts[i]:ends[i]], n[starts[i]:ends[i]], out)
             yield _pairs(out)
-        out = set()
-        if held_key is not None:
-            if len(held) > PAIR_CLASSES:
-                out.update((held[0], x, True) for x in held[1:])
-            else:
-                out.update((x, y, False) for i, x in enumerate(held) for y in held[i + 1:])
+        out = []
+        if run is not None:
+            run.close(out)
         yield _pairs(out)
 
-    return sorted_rows.mapInArrow(meet, "a long, b long, star boolean").groupBy("a", "b").agg(F.max("star").alias("star"))
+    return sorted_rows.mapInArrow(meet, "a long, b long, star boolean").where("a <> b").groupBy("a", "b").agg(F.max("star").alias("star"))
 
 
-def _pairs(out: set) -> pa.RecordBatch:
-    a, b, star = zip(*out, strict=True) if out else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(star, pa.bool_())], ["a", "b", "star"])
+def _pairs(out: list) -> pa.RecordBatch:
+    a, b, star = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+    got = pd.DataFrame({"a": a, "b": b, "star": star}).drop_duplicates()
+    return pa.RecordBatch.from_pandas(got, preserve_index=False)
 
 
 def _overlapping(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """The pairs (a, b) whose counts leave enough overlap; stars stay."""
     left = points.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
     right = points.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
-    near = pairs.join(left, "a").join(right, "b").where(F.col("star") | (
-        (100 * F.least("na", "nb") >= SHARE * F.greatest("na", "nb"))))
+    near = pairs.join(left, "a").join(right, "b")
 
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -351,7 +360,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = keep_columns(docs, {"doc_id": "long", "text": "string"})
     signed = written(spark, signatures(own, common_shingles(own)), "join-signatures")
     classed = signed.where(F.col("cls").isNotNull())
-    dealt = classed.select(F.explode("first").alias("s"), "cls").repartition("s").sortWithinPartitions("s", "cls")
+    dealt = classed.select(F.explode("first").alias("s"), "cls", F.col("n").cast("int").alias("n")).repartition("s").sortWithinPartitions("s", "cls")
     met = written(spark, _meetings(dealt), "join-meetings")
     reps = classed.groupBy("cls").agg(F.min("doc_id").alias("rep"))
     points = classed.select("cls", "n", "counts").dropDuplicates(["cls"])

@@ -29,7 +29,7 @@ from salespanel.llm.lm_trie import Trie
 
 FOLDS, HELD_OUT_FOLD = 7, 2
 #: Words in the dictionary that goes out to all tasks (16 bytes each), and those that are classes of their own.
-DICTIONARY, CLASSES = 1_000_000, 4095
+DICTIONARY, CLASSES = 500_000, 4095
 #: The model's size: pairs and triples kept, the most frequent first, and the least count of each.
 PAIRS, TRIPLES, LEAST = 400_000, 400_000, 3
 #: Tokens worked on at once.
@@ -58,6 +58,26 @@ def _counted(keys: np.ndarray, kind: int) -> list:
     return [pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))]
 
 
+def most_frequent(counts: DataFrame, n: str, most: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the most frequent rows, ``most`` at most, by
+    descending count: all from a count on that leaves no more than that, found
+    from the number of rows of each count, so that nothing is sorted."""
+    cut = 1 << 16
+    by = dict(counts.groupBy(F.least(F.col(n), F.lit(cut)).alias("c")).count().collect())  # at most ``cut`` rows
+    total, lowest = 0, None
+    for c in sorted(by, reverse=True):
+        total += by[c]
+        if c < least or total > most:
+            break
+        lowest = c
+    if lowest is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    got = counts.where(F.col(n) >= lowest).select("h", n).toArrow()
+    h, c = got.column("h").to_numpy(), got.column(n).to_numpy()
+    order = np.lexsort((h, -c))
+    return h[order], c[order]
+
+
 def word_counts(training: DataFrame) -> DataFrame:
     """(h, c): how often each word, or the end, is met."""
 
@@ -112,8 +132,8 @@ def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
     words = written(spark, word_counts(training), "lm-words")
     total, kinds, once, twice = (x or 0 for x in words.agg(
         F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).first())
-    top = words.orderBy(F.desc("c"), "h").limit(DICTIONARY).toPandas()
-    dictionary = Dictionary(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64))
+    h, c = most_frequent(words, "c", DICTIONARY)
+    dictionary = Dictionary(h.view(np.uint64), c)
     off = once / (once + 2 * twice) if once and twice else 0.5  # discount of a word's count
 
     def word_p(c):  # of a known word
@@ -126,13 +146,12 @@ def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
     base = len(unigram) + 1
     shared = spark.sparkContext.broadcast(dictionary)
     grams = written(spark, class_counts(training, shared, base), "lm-grams")
-    best = lambda kind, n: grams.where((F.col("kind") == kind) & (F.col("n") >= LEAST)).orderBy(F.desc("n"), "h").limit(n).toPandas()
-    pairs, triples = best(2, PAIRS), best(3, TRIPLES)
+    pairs = most_frequent(grams.where("kind = 2"), "n", PAIRS, LEAST)
+    triples = most_frequent(grams.where("kind = 3"), "n", TRIPLES, LEAST)
     context = grams.where("kind = 2").groupBy(F.floor(F.col("h") / base).alias("u")).agg(F.sum("n").alias("n")).toPandas()
     totals = np.zeros(base)  # one number per class
     totals[context["u"].to_numpy(int)] = context["n"].to_numpy(float)
-    as_arrays = lambda x: (x["h"].to_numpy(np.int64), x["n"].to_numpy(np.int64))
-    model = spark.sparkContext.broadcast(Trie(unigram, as_arrays(pairs), totals, as_arrays(triples)))
+    model = spark.sparkContext.broadcast(Trie(unigram, pairs, totals, triples))
     mass = np.log10(total + kinds + 1)
 
     def score(batches):

@@ -44,7 +44,7 @@ from salespanel.llm.components import components
 
 #: A link: SHARE per cent of the union are common.
 SHARE = 75
-GROUPS = 64
+GROUPS, MAX_GROUPS = 64, 4096
 #: Every so many documents are looked at for common shingles; at most so many of these are put last.
 SAMPLE_OF, SAMPLE_COUNT, MAX_COMMON = 16, 3, 500_000
 #: Shingles held by more classes give a star instead of all pairs.
@@ -63,8 +63,23 @@ def class_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) >> 1
 
 
-def counts_of(s: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS), 65535).astype(np.uint16)
+def groups_for(n: int) -> int:
+    """Number of groups for a set of n shingles: a power of two, so that finer
+    counts fold into coarser ones, with about four shingles a group (two
+    unrelated sets overlap in so many that fewer groups would not tell them apart)."""
+    return int(min(MAX_GROUPS, max(GROUPS, 1 << max(0, (n // 4 - 1).bit_length()))))
+
+
+def counts_of(s: np.ndarray, groups: int) -> np.ndarray:
+    """Shingles by the first bits of their hash, shared by neighbours when folded."""
+    at = (s >> np.uint64(65 - groups.bit_length())).astype(np.int64)
+    return np.bincount(at, minlength=groups).astype(np.uint16)
+
+
+def _points(blobs: pd.Series, groups: int) -> np.ndarray:
+    """Counts, as stored, folded into so many groups."""
+    own = np.frombuffer(b"".join(blobs), np.uint16).reshape(len(blobs), -1)
+    return own.reshape(len(blobs), groups, -1).sum(2, dtype=np.int64)
 
 
 def first_shingles(s: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -111,7 +126,7 @@ def signatures(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 s = shingle_set(words_of(t, lower=True))
                 cls.append(class_of(s) if len(s) else None)
                 n.append(len(s))
-                counts.append(counts_of(s).tobytes())
+                counts.append(counts_of(s, groups_for(len(s))).tobytes())
                 first.append(first_shingles(s, shared.value) if len(s) else s)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(counts, pa.binary()), _lists(first)],
@@ -193,11 +208,12 @@ def _overlapping(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            if len(x):
-                ca = np.frombuffer(b"".join(x["ca"]), np.uint16).reshape(len(x), GROUPS)
-                cb = np.frombuffer(b"".join(x["cb"]), np.uint16).reshape(len(x), GROUPS)
-                over = np.minimum(ca, cb).sum(1, dtype=np.int64)
-                x = x[x["star"].to_numpy() | (over >= needed(x["na"].to_numpy(), x["nb"].to_numpy()))]
+            keep = x["star"].to_numpy().copy()
+            for (la, lb), own in x.groupby([x["ca"].str.len(), x["cb"].str.len()]).indices.items():
+                groups = min(la, lb) // 2
+                over = np.minimum(_points(x["ca"].iloc[own], groups), _points(x["cb"].iloc[own], groups)).sum(1)
+                keep[own] |= over >= needed(x["na"].to_numpy()[own], x["nb"].to_numpy()[own])
+            x = x[keep]
             yield x[["a", "b"]]
 
     return near.select("a", "b", "star", "na", "nb", "ca", "cb").mapInPandas(bound, "a long, b long")
@@ -290,7 +306,7 @@ def _work(jobs: DataFrame) -> DataFrame:
         for _, g in x.groupby("gid", sort=False):
             g = g.sort_values(["n", "cls"]).reset_index(drop=True)
             sets = [np.frombuffer(s, np.uint64) for s in g["set"]]
-            counts = np.stack([counts_of(s) for s in sets])
+            counts = np.stack([counts_of(s, groups_for(max(map(len, sets)))) for s in sets])
             n, side, cls = g["n"].to_numpy(np.int64), g["side"].to_numpy(), g["cls"].to_numpy()
             parts = _Parts(len(g))
             known = g.groupby("part", sort=False).indices

@@ -20,6 +20,13 @@ import sys
 from salespanel.session import build_session
 
 
+def _print_all(df) -> None:
+    """Every row, tab-separated, under a line of column names; partitions come one at a time."""
+    print("\t".join(df.columns))
+    for row in df.toLocalIterator():
+        print("\t".join("" if v is None else str(v) for v in row))
+
+
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="salespanel")
     ap.add_argument("--master", default=None)
@@ -54,7 +61,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0 if st.status == "COMPLETED" else 1
     if a.cmd == "runs":
         from salespanel.plans.runs import list_runs, run_history
-        run_history(list_runs(spark, a.artifacts)).show(truncate=False)
+        _print_all(run_history(list_runs(spark, a.artifacts)))
         return 0
     if a.cmd == "validate":
         from salespanel.plans.pipeline import validate_paths
@@ -63,7 +70,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0 if res.status == "PASS" else 1
     if a.cmd == "forecast":
         from salespanel.plans.pipeline import forecast
-        forecast(spark, a.run_dir).orderBy("Date", "Series").show(1000, truncate=False)
+        _print_all(forecast(spark, a.run_dir).orderBy("Date", "Series"))
         return 0
     return 2
 

@@ -11,6 +11,8 @@ more than the sum of the smaller counts. The join runs in these steps:
    that puts shingles common in a sample last, so that shared passages rarely
    bring documents together. A shingle held by up to PAIR_CLASSES classes
    gives their pairs of similar size, one held by more a star around a class.
+   With each shingle goes how many of its set are left from it on in that
+   order: of two sets, the first shingle they share must leave enough in both.
 3. Pairs of step 2 whose counts can't overlap enough go; the rest and the
    stars make groups, such that every link lies within a group.
 4. A group's points are packed into an R-tree; boxes, then points, that can't
@@ -83,14 +85,15 @@ def _points(blobs: pd.Series, groups: int) -> np.ndarray:
 
 
 def first_shingles(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The part of a set that any linked set shares something of."""
+    """The part of a set that any linked set shares something of, in the fixed order."""
     n = len(s)
     take = n - (-(-SHARE * n // 100)) + 1
     order = mix(s)
     if len(common):
         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
         order = (order >> np.uint64(1)) | ((common[at] == s).astype(np.uint64) << np.uint64(63))
-    return s[np.argpartition(order, take - 1)[:take]] if take < n else s
+    own = np.argpartition(order, take - 1)[:take] if take < n else np.arange(n)
+    return s[own[np.argsort(order[own])]]
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -139,11 +142,11 @@ class _Run:
     """The classes met under one shingle, in order; a long run keeps its first only."""
 
     def __init__(self, key):
-        self.key, self.cls, self.n, self.long = key, np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        self.key, self.cls, self.size, self.long = key, np.zeros(0, np.int64), np.zeros(0, np.int64), False
 
-    def add(self, cls: np.ndarray, n: np.ndarray, out: list) -> None:
+    def add(self, cls: np.ndarray, size: np.ndarray, out: list) -> None:
         if not self.long and len(self.cls) + len(cls) <= PAIR_CLASSES:
-            self.cls, self.n = np.append(self.cls, cls), np.append(self.n, n)
+            self.cls, self.size = np.append(self.cls, cls), np.append(self.size, size)
             return
         every = cls if self.long else np.append(self.cls, cls)
         self.long, self.cls = True, every[:1] if not self.long else self.cls
@@ -152,26 +155,30 @@ class _Run:
     def close(self, out: list) -> None:
         if not self.long and len(self.cls) > 1:
             i, j = np.triu_indices(len(self.cls), 1)
-            near = 100 * np.minimum(self.n[i], self.n[j]) >= SHARE * np.maximum(self.n[i], self.n[j])
+            n, left = self.size >> 32, self.size & 0xFFFFFFFF
+            # the least that links also rules out sets of too different a size, as ``left`` is at most n
+            near = np.minimum(left[i], left[j]) >= needed(n[i], n[j])
             out.append((self.cls[i[near]], self.cls[j[near]], np.zeros(int(near.sum()), bool)))
 
 
 def _meetings(sorted_rows: DataFrame) -> DataFrame:
-    """(a, b, star) from rows (shingle, cls, n) that lie together by shingle
-    and in order: all pairs of similar size of up to PAIR_CLASSES classes, or
-    edges of all to the first. Long runs are read through and never held."""
+    """(a, b, star) from rows (shingle, cls, size) that lie together by
+    shingle and in order: all pairs of up to PAIR_CLASSES classes that could
+    link with this as the first shingle they share, or edges of all to the
+    first. ``size`` holds the set's size (upper half) and how many of it are
+    left from this shingle on. Long runs are read through and never held."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, last_cls = None, None
         for b in batches:
-            key, cls, n = (b.column(i).to_numpy() for i in range(3))
+            key, cls, size = (b.column(i).to_numpy() for i in range(3))
             if not len(key):
                 continue
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
             new[0] = run is None or key[0] != run.key or cls[0] != last_cls
             last_key, last_cls = key[-1], cls[-1]
-            key, cls, n = key[new], cls[new], n[new]
+            key, cls, size = key[new], cls[new], size[new]
             if not len(key):
                 continue
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -184,7 +191,7 @@ def _meetings(sorted_rows: DataFrame) -> DataFrame:
                     if run is not None:
                         run.close(out)
                     run = _Run(key[starts[i]])
-                run.add(cls[starts[i]:ends[i]], n[starts[i]:ends[i]], out)
+                run.add(cls[starts[i]:ends[i]], size[starts[i]:ends[i]], out)
             yield _pairs(out)
         out = []
         if run is not None:
@@ -376,7 +383,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = keep_columns(docs, {"doc_id": "long", "text": "string"})
     signed = written(spark, signatures(own, common_shingles(own)), "join-signatures")
     classed = signed.where(F.col("cls").isNotNull())
-    dealt = classed.select(F.explode("first").alias("s"), "cls", F.col("n").cast("int").alias("n")).repartition("s").sortWithinPartitions("s", "cls")
+    dealt = classed.select(F.posexplode("first").alias("at", "s"), "cls", "n").select(
+        "s", "cls", (F.shiftleft("n", 32) + F.col("n") - F.col("at")).alias("size")).repartition("s").sortWithinPartitions("s", "cls")
     met = written(spark, _meetings(dealt), "join-meetings")
     reps = classed.groupBy("cls").agg(F.min("doc_id").alias("rep"))
     points = classed.select("cls", "n", "counts").dropDuplicates(["cls"])

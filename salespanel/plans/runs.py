@@ -1,9 +1,9 @@
 """Run history: one folder per run under an artifacts root.
 
 Each run writes ``run_started`` when it begins and ``run_metadata`` when it
-ends (FAILED or COMPLETED). Listing runs is a Spark scan of both documents
-across all run folders, joined on the run id: a run without metadata is
-IN_PROGRESS, one whose metadata cannot be parsed is UNKNOWN."""
+ends (FAILED or COMPLETED). Every folder under the root is a run; a Spark scan
+of both documents across all of them is joined to it on the run id. A run
+without metadata is IN_PROGRESS, one whose metadata cannot be parsed is UNKNOWN."""
 
 from __future__ import annotations
 
@@ -29,22 +29,32 @@ def _scan(spark: SparkSession, root: str, doc: str, schema: T.StructType) -> Dat
         return (spark.read.schema(schema).option("mode", "PERMISSIVE")
                 .json(f"{root.rstrip('/')}/*/{doc}/*.json")
                 .withColumn("__dir_run_id", _run_id_from_path(doc)))
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
+def run_ids(spark: SparkSession, root: str) -> list[str]:
+    """Names of the run folders under ``root`` (none if it does not exist)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    return [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
+
+
 def list_runs(spark: SparkSession, root: str) -> DataFrame:
     """All runs under ``root``, newest run id first, with their status."""
     meta_schema = T.StructType([*RUN_METADATA_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])
     started = _scan(spark, root, "run_started", STARTED_SCHEMA)
     meta = _scan(spark, root, "run_metadata", meta_schema)
-    empty = spark.createDataFrame([], RUN_METADATA_SCHEMA)
+    s = spark.createDataFrame([(r,) for r in run_ids(spark, root)], "run_id string")
     if started is None:
-        return empty
-    s = started.select(F.col("__dir_run_id").alias("run_id"), F.col("started_at").alias("__started"))
+        started = spark.createDataFrame([], "__dir_run_id string, started_at string")
     if meta is None:
-        out = s.select("run_id", F.lit("IN_PROGRESS").alias("status"), F.col("__started").alias("started_at"))
-        return out.orderBy(F.desc("run_id"))
+        meta = spark.createDataFrame([], T.StructType([*meta_schema.fields, T.StructField("__dir_run_id", T.StringType())]))
+    s = s.join(started.select(F.col("__dir_run_id").alias("run_id"), F.col("started_at").alias("__started")), "run_id", "left")
     m = meta.withColumn("run_id", F.col("__dir_run_id")).drop("__dir_run_id")
     m = m.withColumn("__bad", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record")
     joined = s.join(m, "run_id", "left")
@@ -70,5 +80,5 @@ def failed_run_errors(runs: DataFrame) -> DataFrame:
 
 
 def run_history(runs: DataFrame) -> DataFrame:
-    """The admin view: id, status, selected model, times."""
-    return runs.select("run_id", "status", "selected_model_name", "started_at", "finished_at")
+    """The admin view: id, status, contract status, selected model, times."""
+    return runs.select("run_id", "status", "contract_status", "selected_model_name", "started_at", "finished_at")

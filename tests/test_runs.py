@@ -100,3 +100,12 @@ def test_cli_run_and_validate(tmp_path):
                          cwd=__import__("os").path.dirname(__import__("os").path.dirname(__file__)))
     assert out.returncode == 0, out.stderr[-2000:]
     assert '"status": "COMPLETED"' in out.stdout
+
+
+def test_every_folder_is_a_run(spark, tmp_path):
+    """A run without ``run_started`` counts by its metadata, an empty folder is in progress."""
+    (tmp_path / "a" / "run_metadata").mkdir(parents=True)
+    (tmp_path / "a" / "run_metadata" / "part-0.json").write_text('{"run_id": "a", "status": "COMPLETED"}')
+    (tmp_path / "b").mkdir()
+    got = [(r.run_id, r.status) for r in list_runs(spark, str(tmp_path)).collect()]
+    assert got == [("b", "IN_PROGRESS"), ("a", "COMPLETED")]

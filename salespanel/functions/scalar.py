@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from salespanel.schemas import NULL_TOKENS
 
-# Sums of the sales measures run in DECIMAL so the result does not depend on
-# the order rows arrive in (double addition is not associative). Four places
-# covers every measure of the panel (prices x discounts).
+# Sums of the sales measures run in DECIMAL where every value fits it, so that
+# the result does not depend on the order rows arrive in (double addition is not
+# associative). Four places covers every measure of the panel (prices x discounts).
 SUM_DECIMAL = "DECIMAL(18,4)"
 
 
@@ -36,6 +36,16 @@ def nan_to_null(c: str | Column) -> Column:
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
 
 
+# Decimal number text; Spark's own cast would also read 1d, 1f or 0x1p3.
+NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
+
+
+def number_text(c: str | Column) -> Column:
+    """The text where it spells a decimal number, else null."""
+    c = _col(c).cast("string")
+    return F.when(c.rlike(NUMBER), c)
+
+
 def parse_date(c: str | Column, fmt: str = "d/M/yyyy") -> Column:
     """Day/month/year text -> DATE; anything unparseable (31/02, ISO text) -> null.
 
@@ -73,8 +83,11 @@ def typed(c: str | Column, spark_type: str) -> Column:
     if spark_type in ("int", "bigint", "long"):
         # integral text in any numeric form ("12", "12.0", "1.2e1"); a
         # fraction or an out-of-range value is not an integer -> null
+        v = number_text(v)
         d = v.try_cast("double")
         return F.when(d == F.rint(d), d.try_cast(spark_type)).otherwise(F.lit(None).cast(spark_type))
+    if spark_type in ("double", "float"):
+        v = number_text(v)
     out = v.try_cast(spark_type)
     if spark_type == "double":
         out = nan_to_null(out)
@@ -82,14 +95,19 @@ def typed(c: str | Column, spark_type: str) -> Column:
 
 
 def exact_sum(c: str | Column) -> Column:
-    """Order-independent sum of a sales measure, returned as DOUBLE."""
-    return F.sum(_col(c).cast(SUM_DECIMAL)).cast("double")
+    """Sum of a sales measure as DOUBLE: order-independent if each value of
+    the group has at most four places, a floating sum (with infinities and
+    values of any size) otherwise."""
+    c = _col(c).cast("double")
+    d = c.try_cast(SUM_DECIMAL)
+    fits = F.bool_and(F.when(c.isNotNull(), F.coalesce(d.cast("double") == c, F.lit(False))))
+    return F.when(fits, F.try_sum(d).cast("double")).otherwise(F.sum(c))
 
 
 def exact_mean(c: str | Column) -> Column:
-    """Order-independent mean of a sales measure (null for an empty group)."""
+    """Mean of a sales measure, summed by ``exact_sum`` (null for an empty group)."""
     c = _col(c)
-    return exact_sum(c) / F.count(c)
+    return exact_sum(c) / F.nullif(F.count(c), F.lit(0))
 
 
 def pct_change(y: str | Column, prev: str | Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salespanel.functions.scalar import nan_to_null
+from salespanel.functions.scalar import nan_to_null, number_text
 from salespanel.operators.onerow import OneRow, run
 from salespanel.schemas import (
     CONTRACT_DTYPES,
@@ -136,7 +136,7 @@ def _dtype_violations(c: Column, t: T.DataType, declared: str) -> Column | None:
         return None if declared == "datetime" else everything
     if isinstance(t, T.StringType):
         if declared in ("int", "float"):
-            d = c.try_cast("double")
+            d = number_text(c).try_cast("double")
             bad = d.isNull()
             if declared == "int":
                 bad = bad | F.isnan(d) | (F.abs(d) == F.lit(float("inf"))) | (F.rint(d) != d)

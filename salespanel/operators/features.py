@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salespanel.operators.quantiles import MAX_VALUES_PER_GROUP, exact_quantiles
-from salespanel.session import app_id, shared_dir
+from salespanel.operators.quantiles import exact_quantiles
+from salespanel.session import scratch_dir
 from salespanel.schemas import (
     ECONOMIC_COLUMNS,
     ENGINEERED_COLUMNS,
@@ -103,30 +103,21 @@ def _fill_values(hist: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per-store medians (column, Store, store_median) and the global medians
     of the store-filled columns (column, global_median), from one histogram.
 
-    The histogram is written once to the shared folder, counting its rows as
-    it is written; that count bounds every group of both quantile steps (the
-    global step sees the same values plus one gap entry per store), so it
-    picks the method for both: one ``percentile`` aggregate per group while
-    the bound holds, the distributed selection beyond it. A hot store or the
-    global median never gathers more than the bound in one task."""
+    The histogram is written once to the scratch folder and read by both
+    quantile steps (the global one sees the same values plus one gap entry
+    per store)."""
     spark = hist.sparkSession
-    tag = uuid.uuid4().hex
-    path = f"{shared_dir(spark)}/salespanel-scratch/{app_id(spark)}/histogram/{tag}"
-    seen_rows = Observation(f"histogram-{tag}")
-    hist.observe(seen_rows, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
-    hist = spark.read.parquet(path)
-    rows = seen_rows.get.get("rows", 0) or 0
-    method = "aggregate" if 2 * rows <= MAX_VALUES_PER_GROUP else "distributed"
+    path = f"{scratch_dir(spark)}/histogram/{uuid.uuid4().hex}"
+    hist.write.parquet(path)
+    hist = spark.read.schema(hist.schema).parquet(path)
 
     seen = hist.filter(F.col("value").isNotNull())
-    med = exact_quantiles(seen, "value", [0.5], ["store_median"], groups=["column", "Store"], weight="n",
-                          method=method)
+    med = exact_quantiles(seen, "value", [0.5], ["store_median"], groups=["column", "Store"], weight="n")
     gaps = hist.filter(F.col("value").isNull()).select("column", "Store", F.col("n").alias("gaps"))
     filled_gaps = (gaps.join(med, ["column", "Store"])
                        .select("column", F.col("store_median").alias("value"), F.col("gaps").alias("n")))
     filled = seen.select("column", "value", "n").unionByName(filled_gaps)
-    glob = exact_quantiles(filled, "value", [0.5], ["global_median"], groups=["column"], weight="n",
-                           method=method)
+    glob = exact_quantiles(filled, "value", [0.5], ["global_median"], groups=["column"], weight="n")
     return med, glob
 
 

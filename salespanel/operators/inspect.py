@@ -76,11 +76,11 @@ def holiday_spikes(df: DataFrame, n: int = HOLIDAY_SPIKE_TOP_N) -> DataFrame:
              .orderBy(F.desc("spike_ratio"), F.asc("Store")).limit(n))
 
 
-def markdown_iqr_bounds(df: DataFrame, digits: int = 6, approx: bool = False,
-                        method: str = "auto") -> DataFrame:
+def markdown_iqr_bounds(df: DataFrame, digits: int | None = None, approx: bool = False) -> DataFrame:
     """Per markdown column: exact quartiles (linear interpolation, nulls
     skipped), the IQR and the upper fence q3 + 3 * IQR. Columns with no
-    values are left out.
+    values are left out. ``digits`` rounds the figures for display; bounds
+    that rows are compared with stay as they are.
 
     The columns are stacked to (md_column, value) and the quartiles come
     from ``exact_quantiles``: no task ever holds all values of a column.
@@ -97,13 +97,13 @@ def markdown_iqr_bounds(df: DataFrame, digits: int = 6, approx: bool = False,
                     .agg(F.percentile_approx("value", [0.25, 0.75], 100000).alias("q"))
                     .select("md_column", F.col("q").getItem(0).alias("q1"), F.col("q").getItem(1).alias("q3")))
     else:
-        q = exact_quantiles(stacked, "value", [0.25, 0.75], ["q1", "q3"], groups=["md_column"], method=method)
+        q = exact_quantiles(stacked, "value", [0.25, 0.75], ["q1", "q3"], groups=["md_column"])
     q1, q3 = F.col("q1"), F.col("q3")
     iqr = q3 - q1
+    shown = {"q1": q1, "q3": q3, "iqr": iqr, "upper_fence": q3 + IQR_FENCE_MULTIPLIER * iqr}
     return (q.filter(q1.isNotNull())
-             .select("md_column", F.round(q1, digits).alias("q1"), F.round(q3, digits).alias("q3"),
-                     F.round(iqr, digits).alias("iqr"),
-                     F.round(q3 + IQR_FENCE_MULTIPLIER * iqr, digits).alias("upper_fence")))
+             .select("md_column", *[(c if digits is None else F.round(c, digits)).alias(name)
+                                    for name, c in shown.items()]))
 
 
 def fences(bounds: DataFrame, md: list[str]) -> Column:

@@ -44,9 +44,8 @@ def chrono_cutoff(df: DataFrame, date_col: str = "Date", train_fraction: float =
     dates, index = max(0, min(n - 2, int(n * f) - 1)); the cutoff date is
     null when there are fewer than 2 dates.
 
-    The date at that rank is found by the distributed rank selection (range
-    partitioning + chunk offsets), so the distinct dates are never gathered
-    in one task or on the driver."""
+    The date at that rank is found by the rank selection of ``quantiles``, so
+    the distinct dates are never gathered in one task or on the driver."""
     dates = df.select(F.col(date_col).alias("d")).distinct()
 
     def idx(n):

@@ -1,18 +1,23 @@
-"""Exact quantiles (linear interpolation) computed without gathering a
-group's values into one task.
+"""Exact quantiles (linear interpolation) and values at ranks, computed
+without gathering a group's values into one task.
 
 ``percentile`` / ``median`` merge every distinct value of a group in one
 task: fine for small groups, unbounded for a global quantile or a hot group.
-This operator distributes the selection instead:
-
-1. value counts per (group, value), one aggregation with map-side combine;
-2. a range partitioning on (group, value): each partition holds a contiguous,
-   bounded slice of the sorted values, so a hot group spans many partitions;
-3. running counts inside each (partition, group) chunk, and the chunk
-   offsets (a window over the chunk totals of a group: one row per partition
-   the group spans);
-4. only the rows whose rank interval covers a target rank are kept, and
-   interpolated per group.
+The selection here narrows an interval around each wanted rank instead:
+
+1. value counts per (group, value), one aggregation with map-side combine,
+   written once to the shared folder;
+2. per group and wanted rank, the interval [least value, greatest value];
+3. while an interval holds more than ``WALK`` distinct values, it is cut into
+   ``SPLITS`` buckets of equal width (its two ends are buckets of their own, so
+   that an infinite end doesn't blur the others), the copies in each bucket are
+   counted, and the bucket that holds the rank becomes the interval;
+4. the at most ``WALK`` values left are walked in order up to the rank.
+
+A value's bucket depends on the value and its group's least and greatest ones
+alone, never on a sample or on where the row lies, so a recomputed or repeated
+stage gives the same answer. Every round reads the written counts and writes
+one row per group and rank; no task holds more than ``WALK`` values of a group.
 
 Rank r (0-based) of the expanded rows is covered by a value with
 start <= r < end. With n rows, position = q * (n - 1), lo = floor, hi = ceil,
@@ -26,12 +31,18 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from salespanel.session import scratch_dir
 
-# A group whose distinct values stay under this bound may be merged in one
-# task (a value -> count map of at most this many entries).
-MAX_VALUES_PER_GROUP = 1_000_000
+# Distinct values of one group that one task may walk through in order.
+WALK = 65_536
+# Buckets an interval is cut into.
+SPLITS = 1024
+# Intervals (one row per group and rank) up to this many are broadcast.
+BROADCAST_INTERVALS = 100_000
 
 
 def value_counts(df: DataFrame, value: str, groups: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -41,119 +52,107 @@ def value_counts(df: DataFrame, value: str, groups: Sequence[str] = (), weight:
               .groupBy(*groups, value).agg(F.sum(w).cast("long").alias("__w")))
 
 
+def _scratch(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the application's scratch folder, reread."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _within(vc: DataFrame, intervals: DataFrame, g: list[str], small: bool) -> DataFrame:
+    """The counted values inside their group's intervals, once per interval."""
+    iv = intervals.withColumnsRenamed({c: f"__of{i}" for i, c in enumerate(g)})
+    on = (F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))
+    for i, c in enumerate(g):
+        on = F.col(c).eqNullSafe(F.col(f"__of{i}")) & on
+    return vc.join(F.broadcast(iv) if small else iv, on).drop(*[f"__of{i}" for i in range(len(g))])
+
+
+def _bucket() -> Column:
+    v, lo, hi = F.col("__v"), F.col("__lo"), F.col("__hi")
+    share = F.try_divide(v / 2 - lo / 2, hi / 2 - lo / 2)  # halves: hi - lo may overflow
+    inner = F.floor(F.coalesce(F.nanvl(share, F.lit(0.0)), F.lit(0.0)) * SPLITS).cast("int")
+    return (F.when(v == lo, 0).when(v == hi, SPLITS + 1)
+             .otherwise(F.least(F.greatest(inner, F.lit(0)), F.lit(SPLITS - 1)) + 1))
+
+
+def _holding_rank(rows: DataFrame, g: list[str], order: str) -> DataFrame:
+    """Of rows with ``__w`` copies each, the one per (group, target) whose
+    copies cover the rank; ``__off`` becomes the copies before it."""
+    w = Window.partitionBy(*g, "__t").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__end", F.col("__off") + F.sum("__w").over(w))
+    start = F.col("__end") - F.col("__w")
+    return rows.filter((start <= F.col("__r")) & (F.col("__r") < F.col("__end"))).withColumn("__off", start)
+
+
+def _select(vc: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]], groups: Sequence[str],
+            walk: int) -> DataFrame:
+    """Per group: groups..., __n (its copies), and the value at each rank."""
+    is_date = isinstance(vc.schema[value].dataType, T.DateType)
+    v = F.unix_date(value).cast("double") if is_date else F.col(value).cast("double")
+    g = list(groups) or ["__all"]
+    keys = [F.col(c) for c in groups] or [F.lit(0).alias("__all")]
+    vc = _scratch(vc.select(*keys, v.alias("__v"), "__w").filter(~F.isnan("__v")), "value-counts")
+
+    targets = F.explode(F.array(*[F.struct(F.lit(t).alias("__t"), fn(F.col("__n")).cast("long").alias("__r"))
+                                  for t, fn in ranks.items()]))
+    state = (vc.groupBy(*g).agg(F.sum("__w").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"),
+                                F.count(F.lit(1)).alias("__k"))
+               .withColumn("__off", F.lit(0).cast("long")).withColumn("t", targets).select("*", "t.*").drop("t"))
+    shown = state.columns
+    while True:
+        state = _scratch(state, "intervals")
+        settled = state.filter("__lo = __hi")
+        open_ = state.filter("__lo < __hi")
+        n_open, widest = open_.agg(F.count(F.lit(1)), F.max("__k")).first()
+        if not n_open or widest <= walk:
+            break
+        buckets = (_within(vc, open_, g, n_open <= BROADCAST_INTERVALS).groupBy(*g, "__t", _bucket().alias("__b"))
+                   .agg(F.sum("__w").alias("__w"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"),
+                        F.count(F.lit(1)).alias("__k"), *[F.max(c).alias(c) for c in ("__n", "__off", "__r")]))
+        state = settled.unionByName(_holding_rank(buckets, g, "__b").select(*shown))
+
+    found = settled.select(*g, "__n", "__t", F.col("__lo").alias("__v"))
+    if n_open:
+        walked = _holding_rank(_within(vc, open_, g, n_open <= BROADCAST_INTERVALS), g, "__v")
+        found = found.unionByName(walked.select(*g, "__n", "__t", "__v"))
+    out = F.date_from_unix_date(F.col("__v").cast("int")) if is_date else F.col("__v")
+    return found.groupBy(*groups).agg(F.max("__n").alias("__n"),
+                                      *[F.max(F.when(F.col("__t") == t, out)).alias(t) for t in ranks])
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str],
-                    groups: Sequence[str] = (), weight: str | None = None,
-                    partitions: int | None = None, method: str = "auto",
-                    max_values_per_group: int = MAX_VALUES_PER_GROUP) -> DataFrame:
+                    groups: Sequence[str] = (), weight: str | None = None, walk: int = WALK) -> DataFrame:
     """One row per group with one column per probability (``names``).
 
     ``weight`` (a count column) makes each row stand for that many rows, as
-    for a histogram. Groups without values are absent.
-
-    ``method``:
-      * ``"distributed"``: the range-partitioned selection (always bounded);
-      * ``"aggregate"``: one ``percentile`` (with frequencies) over the value
-        counts, which merges each group's distinct values in one task;
-      * ``"auto"`` (default): the value counts are written once to the
-        shared folder, counting their rows as they are written; when that
-        total is within ``max_values_per_group`` no group can exceed it and
-        ``aggregate`` is used, otherwise the widest group is measured on the
-        written counts and ``distributed`` is used beyond the bound. (Runs
-        the write, and only for large tables one small check, when called;
-        the result stays lazy.)
-
-    Both methods give the same median bit for bit; other quantiles may
-    differ in the last place (Spark's and this interpolation order).
-    """
-    g = list(groups)
-    vc = value_counts(df, value, g, weight)
-    if method == "auto":
-        from salespanel.session import app_id, shared_dir
-        spark = df.sparkSession
-        tag = uuid.uuid4().hex
-        # per-application scratch: the whole folder can go when the app ends
-        path = f"{shared_dir(spark)}/salespanel-scratch/{app_id(spark)}/value-counts/{tag}"
-        # the write itself counts its rows (no extra pass); that total bounds
-        # the widest group, so the per-group check runs only when it is large
-        seen = Observation(f"value-counts-{tag}")
-        vc.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
-        vc = spark.read.parquet(path)
-        widest = seen.get.get("rows", 0) or 0
-        if widest > max_values_per_group:
-            widest = vc.groupBy(*g).agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
-        method = "aggregate" if widest <= max_values_per_group else "distributed"
-    if method == "aggregate":
-        q = F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probs]), F.col("__w"))
-        out = vc.groupBy(*g).agg(q.alias("__q"))
-        return out.select(*g, *[F.col("__q").getItem(i).alias(n) for i, n in enumerate(names)])
-    if method != "distributed":
-        raise ValueError("method must be 'auto', 'aggregate' or 'distributed'")
-    return _distributed(vc, value, probs, names, g, partitions)
-
-
-def _ranked(vc: DataFrame, value: str, g: list[str], partitions: int | None) -> DataFrame:
-    """(groups..., value, __n, __start, __end): each distinct value with the
-    half-open interval [start, end) of 0-based ranks its copies occupy among
-    the group's n rows, computed without gathering a group in one task."""
-    n_parts = partitions or int(vc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rp = vc.repartitionByRange(n_parts, *g, value).withColumn("__pid", F.spark_partition_id())
-
-    chunk_w = Window.partitionBy("__pid", *g).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    rp = rp.withColumn("__run", F.sum("__w").over(chunk_w))
-    chunks = rp.groupBy("__pid", *g).agg(F.sum("__w").alias("__chunk"))
-    by_group = Window.partitionBy(*g)
-    before = by_group.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.select("__pid", *g,
-                           F.coalesce(F.sum("__chunk").over(before), F.lit(0)).alias("__off"),
-                           F.sum("__chunk").over(by_group).alias("__n"))
-
-    ranked = rp.join(chunks, ["__pid", *g])
-    end = F.col("__off") + F.col("__run")
-    return ranked.select(*g, value, "__n", (end - F.col("__w")).alias("__start"), end.alias("__end"))
-
-
-def _covers(r):
-    return (F.col("__start") <= r) & (r < F.col("__end"))
-
-
-def values_at_ranks(df: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]],
-                    groups: Sequence[str] = (), weight: str | None = None,
-                    partitions: int | None = None) -> DataFrame:
-    """Per group, the value at each computed rank: ``ranks`` maps an output
-    name to a function of the group's row count n (a Column) giving a
-    0-based rank. One row per group: groups..., n, <names>."""
-    g = list(groups)
-    ranked = _ranked(value_counts(df, value, g, weight), value, g, partitions)
-    n = F.col("__n")
-    keep = F.lit(False)
-    for fn in ranks.values():
-        keep = keep | _covers(fn(n))
-    return (ranked.filter(keep).groupBy(*g)
-                  .agg(F.first("__n").alias("n"),
-                       *[F.max(F.when(_covers(fn(n)), F.col(value))).alias(name) for name, fn in ranks.items()]))
-
-
-def _distributed(vc: DataFrame, value: str, probs: Sequence[float], names: Sequence[str],
-                 g: list[str], partitions: int | None) -> DataFrame:
-    ranked = _ranked(vc, value, g, partitions)
-
-    def pos(p):
-        return (F.col("__n") - 1).cast("double") * F.lit(float(p))
-
-    keep = F.lit(False)
-    for p in probs:
-        keep = keep | _covers(F.floor(pos(p))) | _covers(F.ceil(pos(p)))
-    picked = ranked.filter(keep)
-
-    aggs = [F.first("__n").alias("__n")]
+    for a histogram. Groups without values are absent; without ``groups``
+    there is always one row. Null and NaN values don't count. ``walk`` bounds
+    the values of a group one task holds and does not change the result.
+    The value counts and the narrowing run when called (tables in the
+    scratch folder, see ``session.clear_scratch``); the result is lazy."""
+    def pos(n, p):
+        return (n - 1).cast("double") * F.lit(float(p))
+
+    ranks = {}
     for i, p in enumerate(probs):
-        aggs.append(F.max(F.when(_covers(F.floor(pos(p))), F.col(value))).alias(f"__lo{i}"))
-        aggs.append(F.max(F.when(_covers(F.ceil(pos(p))), F.col(value))).alias(f"__hi{i}"))
-    out = picked.groupBy(*g).agg(*aggs)
+        ranks[f"__lo{i}"] = lambda n, p=p: F.floor(pos(n, p))
+        ranks[f"__hi{i}"] = lambda n, p=p: F.ceil(pos(n, p))
+    out = _select(value_counts(df, value, groups, weight), value, ranks, groups, walk)
     cols = []
     for i, (p, name) in enumerate(zip(probs, names)):
-        position = pos(p)
+        position = pos(F.col("__n"), p)
         frac = position - F.floor(position)
         lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        cols.append(F.when(frac == 0, lo).otherwise((F.lit(1.0) - frac) * lo + frac * hi).alias(name))
-    return out.select(*g, *cols)
+        cols.append(F.when((frac == 0) | (lo == hi), lo).otherwise((F.lit(1.0) - frac) * lo + frac * hi).alias(name))
+    return out.select(*groups, *cols)
+
+
+def values_at_ranks(df: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]],
+                    groups: Sequence[str] = (), weight: str | None = None, walk: int = WALK) -> DataFrame:
+    """Per group, the value at each computed rank: ``ranks`` maps an output
+    name to a function of the group's row count n (a Column) giving a
+    0-based rank. One row per group: groups..., n, <names>. Dates and doubles."""
+    out = _select(value_counts(df, value, groups, weight), value, ranks, groups, walk)
+    return out.withColumnRenamed("__n", "n")

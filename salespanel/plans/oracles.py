@@ -147,14 +147,15 @@ def _():
 WHERE spike_ratio IS NOT NULL ORDER BY spike_ratio DESC, Store LIMIT 10""", HOLIDAY_MEANS)
 
 
-IQR_BOUNDS = "bounds AS (SELECT md_column, round(q1, 6) AS q1, round(q3, 6) AS q3, round(q3 - q1, 6) AS iqr, round(q3 + 3 * (q3 - q1), 6) AS upper_fence FROM (" + " UNION ALL ".join(
+IQR_BOUNDS = "bounds AS (SELECT md_column, q1, q3, q3 - q1 AS iqr, q3 + 3 * (q3 - q1) AS upper_fence FROM (" + " UNION ALL ".join(
     f"SELECT {i} AS col_idx, '{c}' AS md_column, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM clean"
     for i, c in enumerate(MD)) + ") WHERE q1 IS NOT NULL)"
 
 
 @oracle("markdown_iqr_bounds")
 def _():
-    return with_clean("SELECT * FROM bounds", IQR_BOUNDS)
+    return with_clean("SELECT md_column, round(q1, 6) AS q1, round(q3, 6) AS q3, round(iqr, 6) AS iqr, "
+                      "round(upper_fence, 6) AS upper_fence FROM bounds", IQR_BOUNDS)
 
 
 OUTLIERS = "outl AS (SELECT md_column, Store, Dept, Date, value, round(fence, 2) AS upper_bound, CAST(rn AS INTEGER) AS rank_in_column, col_idx FROM (SELECT *, row_number() OVER (PARTITION BY col_idx ORDER BY value DESC, Store, Dept, Date) AS rn FROM (" + " UNION ALL ".join(

@@ -107,7 +107,7 @@ def q_holiday_spikes(spark, sf):
 
 @query("markdown_iqr_bounds")
 def q_markdown_iqr_bounds(spark, sf):
-    return insp.markdown_iqr_bounds(clean(spark, sf))
+    return insp.markdown_iqr_bounds(clean(spark, sf), digits=6)
 
 
 @query("markdown_outliers")

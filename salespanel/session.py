@@ -74,6 +74,19 @@ def app_id(spark: SparkSession) -> str:
     return spark.sparkContext.applicationId
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, in the shared one."""
+    return f"{shared_dir(spark)}/salespanel-scratch/{app_id(spark)}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables. Call it once no
+    DataFrame made before will be read any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written tables.
 

@@ -1,7 +1,8 @@
 """Command line: ``python -m salespanel <command> ...``.
 
   run       --raw-dir DIR (three CSVs) | --sf-dir DIR (driver tables) [--artifacts ROOT] [--run-id ID]
-            [--impute-fit all|train] [--unknown-bool null|true]
+            [--impute-fit all|train] [--unknown-bool null|true] [--csv PATH]
+            [--num-trees N] [--max-depth N] [--max-bins N]
   runs      --artifacts ROOT                      list runs, newest first
   validate  --data PATH --contract PATH           PASS/FAIL of a clean table against a contract
   forecast  --run-dir DIR                         hold-out forecast per date of a finished run
@@ -17,6 +18,7 @@ import argparse
 import json
 import sys
 
+from salespanel.operators.model import FOREST_MAX_BINS, FOREST_MAX_DEPTH, FOREST_TREES
 from salespanel.session import build_session
 
 
@@ -39,6 +41,10 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("--run-id")
     r.add_argument("--impute-fit", choices=("all", "train"), default="all")
     r.add_argument("--unknown-bool", choices=("null", "true"), default="null")
+    r.add_argument("--csv", help="also export the clean table as CSV here")
+    r.add_argument("--num-trees", type=int, default=FOREST_TREES)
+    r.add_argument("--max-depth", type=int, default=FOREST_MAX_DEPTH)
+    r.add_argument("--max-bins", type=int, default=FOREST_MAX_BINS)
     ls = sub.add_parser("runs")
     ls.add_argument("--artifacts", required=True)
     v = sub.add_parser("validate")
@@ -53,10 +59,11 @@ def main(argv: list[str] | None = None) -> int:
         from salespanel.plans.pipeline import run_pipeline
         sources = None
         if a.sf_dir:
-            from salespanel.plans.panel import raw_tables
-            sources = raw_tables(spark, a.sf_dir)
+            from salespanel.plans.panel import written_sources
+            sources = written_sources(spark, a.sf_dir)
         st = run_pipeline(spark, raw_dir=a.raw_dir, sources=sources, artifacts_root=a.artifacts,
-                          run_id=a.run_id, impute_fit=a.impute_fit, unknown_bool=a.unknown_bool)
+                          run_id=a.run_id, impute_fit=a.impute_fit, unknown_bool=a.unknown_bool,
+                          csv_path=a.csv, num_trees=a.num_trees, max_depth=a.max_depth, max_bins=a.max_bins)
         print(json.dumps({**st.metadata(), "stage_seconds": st.extra.get("stage_seconds")}, default=str))
         return 0 if st.status == "COMPLETED" else 1
     if a.cmd == "runs":

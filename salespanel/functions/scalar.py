@@ -82,10 +82,11 @@ def typed(c: str | Column, spark_type: str) -> Column:
         return v
     if spark_type in ("int", "bigint", "long"):
         # integral text in any numeric form ("12", "12.0", "1.2e1"); a
-        # fraction or an out-of-range value is not an integer -> null
+        # fraction or an out-of-range value is not an integer -> null; the
+        # value itself goes by DECIMAL, as a double holds 53 bits only
         v = number_text(v)
         d = v.try_cast("double")
-        return F.when(d == F.rint(d), d.try_cast(spark_type)).otherwise(F.lit(None).cast(spark_type))
+        return F.when(d == F.rint(d), v.try_cast("DECIMAL(38,0)").try_cast(spark_type))
     if spark_type in ("double", "float"):
         v = number_text(v)
     out = v.try_cast(spark_type)

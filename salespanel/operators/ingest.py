@@ -5,11 +5,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from salespanel.functions.scalar import nan_to_null
 from salespanel.schemas import CLEAN_COLUMNS, PRIMARY_KEYS, TARGET
 
 
+#: The most bytes of store attributes that are sent to every task of the store join.
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+
 class DataIngestionError(Exception):
     """Raised when sources are missing or violate the join contract."""
 
@@ -34,10 +39,22 @@ def join_key_violations(stores: DataFrame, features: DataFrame) -> DataFrame:
 
 def assert_many_to_one(stores: DataFrame, features: DataFrame, show: int = 10) -> None:
     """Raise naming the offending keys when a right side repeats a key."""
-    bad = join_key_violations(stores, features).limit(show).collect()
+    found = join_key_violations(stores, features)
+    bad = found.limit(show).collect()
     if bad:
         keys = ", ".join(f"{r.source}(Store={r.Store}, Date={r.Date}) x{r.n}" for r in bad)
-        raise DataIngestionError(f"join is not many-to-one; repeated right keys: {keys}")
+        raise DataIngestionError(f"join is not many-to-one; repeated right keys: {keys} "
+                                 f"({len(bad)} of {found.count()} shown)")
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows and text bytes fit
+    ``limit``; as it is otherwise (the join is then shuffled)."""
+    text = [F.octet_length(c) for c, t in df.dtypes if t == "string"]
+    r = df.agg(F.count(F.lit(1)).alias("n"),
+               *[F.coalesce(F.sum(t), F.lit(0)).alias(f"t{i}") for i, t in enumerate(text)]).first()
+    size = r["n"] * 16 * len(df.columns) + sum(r[f"t{i}"] for i in range(len(text)))
+    return F.broadcast(df) if size <= limit else df
 
 
 def join_stores(train: DataFrame, stores: DataFrame) -> DataFrame:
@@ -83,9 +100,11 @@ def normalize_nan(df: DataFrame) -> DataFrame:
 
 
 def cast_clean(df: DataFrame) -> DataFrame:
-    """Key and target types, then the clean column order (extra columns last)."""
-    df = (df.withColumn("Store", F.col("Store").cast("int"))
-            .withColumn("Dept", F.col("Dept").cast("int"))
+    """Key and target types (keys of any integral type stay as they are), then
+    the clean column order (extra columns last)."""
+    whole = {c: F.col(c) if isinstance(df.schema[c].dataType, T.IntegralType) else F.col(c).cast("bigint")
+             for c in ("Store", "Dept")}
+    df = (df.withColumns(whole)
             .withColumn("Date", F.col("Date").cast("date"))
             .withColumn(TARGET, F.col(TARGET).cast("double")))
     order = [c for c in CLEAN_COLUMNS if c in df.columns]
@@ -97,15 +116,16 @@ def ingest(sources: dict[str, DataFrame], check_keys: bool = True,
     """The clean panel from {stores, features, train}.
 
     Join plan: train LEFT JOIN stores ON Store, then LEFT JOIN features ON
-    (Store, Date). Both right sides are dimension-sized (one row per store,
-    one per store-week); AQE turns the sort-merge joins into broadcast joins
-    at runtime only when the measured shuffle output is small enough, so no
-    unchecked broadcast is forced. The order of output rows is not a physical
+    (Store, Date). Store alone is a key of few values, so with ``check_keys``
+    the stores are measured too and broadcast if they fit ``BROADCAST_BYTES``:
+    train is then not shuffled on it. The store-weeks are joined plainly, and
+    AQE broadcasts them only when their measured shuffle output is small. The order of output rows is not a physical
     sort; consumers that need (Store, Dept, Date) order express it in their
     window or sort.
     """
     stores, features, train = sources["stores"], sources["features"], sources["train"]
     if check_keys:
         assert_many_to_one(stores, features)
+        stores = broadcast_if_small(stores)
     merged = normalize_nan(join_features(join_stores(train, stores), features))
     return cast_clean(drop_null_keys(merged, observation))

@@ -69,7 +69,7 @@ def holiday_spikes(df: DataFrame, n: int = HOLIDAY_SPIKE_TOP_N) -> DataFrame:
     out; without an IsHoliday column there are none."""
     if "IsHoliday" not in df.columns:
         return df.sparkSession.createDataFrame(
-            [], "Store int, holiday_mean double, non_holiday_mean double, spike_ratio double")
+            [], f"Store {dict(df.dtypes)['Store']}, holiday_mean double, non_holiday_mean double, spike_ratio double")
     m = holiday_means(df).dropna(subset=["holiday_mean", "non_holiday_mean"])
     ratio = F.col("holiday_mean") / F.nullif(F.col("non_holiday_mean"), F.lit(0.0))
     return (m.withColumn("spike_ratio", ratio).dropna(subset=["spike_ratio"])

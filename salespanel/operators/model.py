@@ -32,6 +32,7 @@ FOREST_SEED = 42
 # Spark caps tree depth at 30 and an unlimited-depth forest is not
 # reproducible; depth 10 keeps the fit bounded (see README).
 FOREST_MAX_DEPTH = 10
+FOREST_MAX_BINS = 32
 
 
 class SplitError(ValueError):
@@ -152,12 +153,13 @@ def ridge_estimator(train: DataFrame, feature_cols: list[str], label: str = TARG
 
 
 def forest_estimator(feature_cols: list[str], label: str = TARGET, num_trees: int = FOREST_TREES,
-                     max_depth: int = FOREST_MAX_DEPTH, seed: int = FOREST_SEED) -> Pipeline:
-    """Random forest: bootstrap rows, every feature considered at each split.
+                     max_depth: int = FOREST_MAX_DEPTH, seed: int = FOREST_SEED, max_bins: int = FOREST_MAX_BINS) -> Pipeline:
+    """Random forest: bootstrap rows, every feature considered at each split,
+    a continuous one at ``max_bins`` - 1 quantiles of it.
     Node ids are cached between levels (fewer passes, same model); their
     lineage is checkpointed to the session's checkpoint directory."""
     rf = RandomForestRegressor(featuresCol="__features", labelCol=label, predictionCol="prediction",
-                               numTrees=num_trees, maxDepth=max_depth, seed=seed,
+                               numTrees=num_trees, maxDepth=max_depth, maxBins=max_bins, seed=seed,
                                featureSubsetStrategy="all", subsamplingRate=1.0, bootstrap=True,
                                cacheNodeIds=True, checkpointInterval=10)
     return Pipeline(stages=[VectorAssembler(inputCols=feature_cols, outputCol="__features"), rf])
@@ -191,7 +193,8 @@ class TrainingResult:
 
 def train_and_select(df: DataFrame, feature_cols: list[str], label: str = TARGET,
                      train_fraction: float = TRAIN_FRACTION, num_trees: int = FOREST_TREES,
-                     max_depth: int = FOREST_MAX_DEPTH, candidates=CANDIDATES) -> TrainingResult:
+                     max_depth: int = FOREST_MAX_DEPTH, max_bins: int = FOREST_MAX_BINS,
+                     candidates=CANDIDATES) -> TrainingResult:
     """Fit every candidate on the rows up to the cutoff, score the rows
     after it, and select the lowest RMSE (first candidate wins ties)."""
     train, test, cutoff = chrono_split(df, train_fraction)
@@ -203,7 +206,7 @@ def train_and_select(df: DataFrame, feature_cols: list[str], label: str = TARGET
 
         def fit_and_score(name: str):
             est = (ridge_estimator(train, feature_cols, label) if name == RIDGE
-                   else forest_estimator(feature_cols, label, num_trees, max_depth))
+                   else forest_estimator(feature_cols, label, num_trees, max_depth, max_bins=max_bins))
             model = est.fit(train)
             m = evaluate(model.transform(test), label).first()
             return name, model, {"MAE": float(m["MAE"]), "RMSE": float(m["RMSE"]), "R2": float(m["R2"])}
@@ -220,6 +223,19 @@ def train_and_select(df: DataFrame, feature_cols: list[str], label: str = TARGET
     return TrainingResult(best, models, metrics, list(feature_cols), label, n_train, n_test, str(cutoff))
 
 
+def compare_scored(scored: dict[str, DataFrame], label: str = TARGET) -> DataFrame:
+    """One row per candidate (model, MAE, RMSE, R2, selected), aggregated from
+    its scored rows; the lowest RMSE is selected, the first candidate of a tie."""
+    rows = None
+    for i, (name, df) in enumerate(scored.items()):
+        r = evaluate(df, label).select(F.lit(name).alias("model"), "MAE", "RMSE", "R2", F.lit(i).alias("__at"))
+        rows = r if rows is None else rows.unionByName(r)
+    # one row per candidate: the whole list fits one row
+    each = rows.agg(F.collect_list(F.struct("RMSE", "__at", "model", "MAE", "R2")).alias("r"))
+    each = each.select(F.explode(F.array_sort("r")).alias("c"), F.array_min("r")["__at"].alias("best"))
+    return each.select("c.model", "c.MAE", "c.RMSE", "c.R2", (F.col("c.__at") == F.col("best")).alias("selected"))
+
+
 def forecast_by_date(scored: DataFrame, label: str = TARGET, prediction: str = "prediction",
                      prediction_name: str = "Predicted_Sales", exact_prediction: bool = False) -> DataFrame:
     """Mean actual and predicted sales per date, long form (Date, Series, Sales).

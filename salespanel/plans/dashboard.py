@@ -41,6 +41,23 @@ def descriptive(spark: SparkSession, run_dir: str) -> dict[str, DataFrame]:
     }
 
 
+#: Decimals of each finding in the printed report (fixed values).
+REPORT_DIGITS = {
+    "holiday_spikes": {"spike_ratio": 3},
+    "wow_anomalies": {"pct_change": 3},
+    "monthly_trend": {"mean_sales": 2},
+    "holiday_impact": {"holiday_mean": 2, "non_holiday_mean": 2},
+    "markdown_effect": {"mean_with_markdown": 2, "mean_without_markdown": 2},
+}
+
+
+def report_form(df: DataFrame, finding: str) -> DataFrame:
+    """A finding as the printed report gives it: rounded in the last select,
+    after all ranking and comparing."""
+    digits = REPORT_DIGITS.get(finding, {})
+    return df.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
+
+
 def predictive(spark: SparkSession, run_dir: str) -> dict[str, DataFrame]:
     """Candidate comparison, the selected model's metrics and the hold-out
     forecast per date (long form) of a completed run."""

@@ -463,3 +463,87 @@ FROM train""")
 def _():
     return with_clean("""SELECT Store, Dept, Date, CASE WHEN IsHoliday THEN ' True ' ELSE 'false' END AS flag_text, IsHoliday
 FROM train""")
+
+
+# ---- the rules on rows that break them -------------------------------------
+LINES = """WITH lines AS (
+SELECT l_suppkey AS Store, CASE WHEN l_linenumber <> 7 THEN l_linenumber END AS Dept,
+       CAST(l_shipdate AS DATE) AS Date,
+       CASE WHEN l_returnflag = 'R' THEN -l_extendedprice WHEN l_tax = 0.08 THEN NULL ELSE l_extendedprice END AS Weekly_Sales,
+       CASE l_returnflag WHEN 'A' THEN ' TRUE ' WHEN 'N' THEN 'false' ELSE 'yes' END AS flag_text,
+       CASE l_linenumber % 4 WHEN 1 THEN strftime(l_shipdate, '%d/%m/%Y') WHEN 2 THEN strftime(l_shipdate, '%Y-%m-%d')
+            WHEN 3 THEN '31/02/' || strftime(l_shipdate, '%Y')
+            ELSE CAST(day(l_shipdate) AS VARCHAR) || '/' || CAST(month(l_shipdate) AS VARCHAR) || '/' || strftime(l_shipdate, '%Y') END AS date_text,
+       CASE l_linenumber % 4 WHEN 1 THEN CAST(l_shipdate AS DATE) WHEN 0 THEN CAST(l_shipdate AS DATE) END AS parsed,
+       CAST(l_linenumber AS VARCHAR) || CASE l_linenumber WHEN 1 THEN 'd' WHEN 2 THEN '.5' WHEN 3 THEN '.0' ELSE '' END AS number_text,
+       l_linenumber AS line
+FROM lineitem)
+"""
+LINE_CHECKS = LINES + """, checks AS (
+SELECT 'error' AS severity, 'missing_column' AS rule, 'Size' AS column_name, CAST(1 AS BIGINT) AS violations
+UNION ALL SELECT 'warning', 'unknown_dtype', 'flag_text', CAST(0 AS BIGINT)
+UNION ALL SELECT 'error', 'dtype', c, CAST(0 AS BIGINT) FROM (VALUES ('Store'), ('Dept'), ('Date'), ('Weekly_Sales')) t(c)
+UNION ALL SELECT 'error', 'dtype', 'number_text', CAST(count_if(line IN (1, 2)) AS BIGINT) FROM lines
+UNION ALL SELECT 'error', 'not_null', 'Store', CAST(count_if(Store IS NULL) AS BIGINT) FROM lines
+UNION ALL SELECT 'error', 'not_null', 'Dept', CAST(count_if(Dept IS NULL) AS BIGINT) FROM lines
+UNION ALL SELECT 'error', 'not_null', 'Date', CAST(count_if(Date IS NULL) AS BIGINT) FROM lines
+UNION ALL SELECT 'error', 'not_null', 'Weekly_Sales', CAST(count_if(Weekly_Sales IS NULL) AS BIGINT) FROM lines
+UNION ALL SELECT 'error', 'pk_null', 'Store,Dept,Date', CAST(count_if(Store IS NULL OR Dept IS NULL OR Date IS NULL) AS BIGINT) FROM lines
+UNION ALL SELECT 'error', 'target_null', 'Weekly_Sales', CAST(count_if(Weekly_Sales IS NULL) AS BIGINT) FROM lines
+UNION ALL SELECT 'error', 'below_min', 'Weekly_Sales', CAST(count_if(Weekly_Sales < -5000) AS BIGINT) FROM lines
+UNION ALL SELECT 'error', 'above_max', 'Weekly_Sales', CAST(count_if(Weekly_Sales > 50000) AS BIGINT) FROM lines
+UNION ALL SELECT 'error', 'pk_duplicate', 'Store,Dept,Date', CAST(coalesce(sum(n - 1), 0) AS BIGINT)
+FROM (SELECT count(*) AS n FROM lines GROUP BY Store, Dept, Date))
+"""
+
+
+@oracle("contract_check_lines")
+def _():
+    return LINE_CHECKS + "SELECT * FROM checks"
+
+
+@oracle("contract_verdict_lines")
+def _():
+    return LINE_CHECKS + """SELECT CASE WHEN n_errors > 0 THEN 'FAIL' ELSE 'PASS' END AS status, n_errors, n_warnings
+FROM (SELECT CAST(count_if(severity = 'error' AND violations > 0) AS BIGINT) AS n_errors,
+             CAST(count_if(severity = 'warning') AS BIGINT) AS n_warnings FROM checks)"""
+
+
+@oracle("pk_duplicates_lines")
+def _():
+    return LINES + """SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows
+FROM (SELECT count(*) AS n FROM lines GROUP BY Store, Dept, Date)"""
+
+
+@oracle("join_key_check_lines")
+def _():
+    return LINES + """SELECT 'stores' AS source, Store, CAST(NULL AS DATE) AS Date, count(*) AS n
+FROM lines GROUP BY Store HAVING count(*) > 1
+UNION ALL
+SELECT 'features', Store, Date, count(*) FROM lines GROUP BY Store, Date HAVING count(*) > 1"""
+
+
+@oracle("drop_null_keys_lines")
+def _():
+    return LINES + """SELECT count(*) AS rows_in, count(Store + Dept + Weekly_Sales) FILTER (Date IS NOT NULL) AS rows_out,
+       count(*) - count(Store + Dept + Weekly_Sales) FILTER (Date IS NOT NULL) AS rows_dropped FROM lines"""
+
+
+@oracle("parse_dates_mixed")
+def _():
+    return LINES + "SELECT date_text, count(*) AS n, any_value(parsed) AS parsed FROM lines GROUP BY date_text"
+
+
+@oracle("coerce_bool_mixed")
+def _():
+    return LINES + """SELECT Store, flag_text, count(*) AS n,
+       CASE flag_text WHEN ' TRUE ' THEN TRUE WHEN 'false' THEN FALSE END AS flag, flag_text <> 'false' AS flag_unknown_true
+FROM lines GROUP BY Store, flag_text"""
+
+
+@oracle("numbers_mixed")
+def _():
+    return LINES + """SELECT Store, number_text, count(*) AS n,
+       any_value(CASE WHEN line > 2 THEN CAST(line AS BIGINT) END) AS whole,
+       any_value(CASE WHEN line = 2 THEN 2.5::DOUBLE WHEN line > 2 THEN CAST(line AS DOUBLE) END) AS number
+FROM lines GROUP BY Store, number_text"""

@@ -20,11 +20,14 @@ so partial aggregation in any order gives the exact same value.
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from salespanel.session import shared_dir
+
 # Fixed values of the derived panel.
 HOLIDAY_WEEKS = (6, 36, 47, 52)
 STORE_TYPES_BY_REGION_MOD3 = ("A", "B", "C")
@@ -160,5 +163,11 @@ def materialize_sources(spark: SparkSession, sf_dir: str, path: str) -> dict[str
     return read_sources(spark, path)
 
 
+def written_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The sources of a run, derived once into a new folder of the shared
+    directory: no later step reads the line items again."""
+    return materialize_sources(spark, sf_dir, f"{shared_dir(spark)}/salespanel-sources/{uuid.uuid4().hex}")
+
+
 def read_sources(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{path}/{n}") for n in SOURCE_NAMES}

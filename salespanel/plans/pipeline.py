@@ -36,6 +36,7 @@ from salespanel.sources.raw import load_raw_tables, read_clean, write_clean
 
 @dataclass
 class RunState:
+    # field names as in RUN_METADATA_SCHEMA (fixed values)
     run_id: str = ""
     run_dir: str = ""
     status: str = "PENDING"
@@ -48,6 +49,8 @@ class RunState:
     candidate_metrics: dict[str, dict[str, float]] = field(default_factory=dict)
     started_at: str = ""
     finished_at: str = ""
+    rows_in: int = 0
+    rows_dropped: int = 0
     extra: dict[str, Any] = field(default_factory=dict)
 
     def metadata(self) -> dict[str, Any]:
@@ -129,6 +132,7 @@ def run_pipeline(spark: SparkSession, raw_dir: str | None = None,
                  sources: dict[str, DataFrame] | None = None,
                  artifacts_root: str | None = None, run_id: str | None = None,
                  num_trees: int = mdl.FOREST_TREES, max_depth: int = mdl.FOREST_MAX_DEPTH,
+                 max_bins: int = mdl.FOREST_MAX_BINS, csv_path: str | None = None,
                  contract: dict[str, Any] | None = None, impute_fit: str = "all",
                  unknown_bool: str = "null") -> RunState:
     """Run everything for one data set. Pass ``raw_dir`` (three CSVs) or
@@ -139,6 +143,9 @@ def run_pipeline(spark: SparkSession, raw_dir: str | None = None,
     from every week, as the reference does (the hold-out weeks leak into the
     fill); ``"train"`` learns them from the training weeks only.
 
+    ``num_trees``, ``max_depth`` and ``max_bins`` size the forest.
+    ``csv_path`` also exports the clean table as CSV there.
+
     ``unknown_bool``: what unrecognised IsHoliday text in the CSVs becomes,
     ``"null"`` (caught by the contract) or ``"true"`` (as the reference)."""
     if impute_fit not in ("all", "train"):
@@ -167,9 +174,9 @@ def run_pipeline(spark: SparkSession, raw_dir: str | None = None,
     obs = Observation("ingest")
     clean_df = ing.ingest(sources, check_keys=True, observation=obs)
     st.clean_data_path = f"{st.run_dir}/clean_data"
-    write_clean(clean_df, st.clean_data_path)
+    write_clean(clean_df, st.clean_data_path, csv_path=csv_path)
     m = obs.get
-    st.extra["rows_in"], st.extra["rows_dropped"] = m.get("rows_in"), m.get("rows_in", 0) - m.get("rows_out", 0)
+    st.rows_in, st.rows_dropped = m.get("rows_in"), m.get("rows_in", 0) - m.get("rows_out", 0)
     clean = read_clean(spark, st.clean_data_path)
     lap("ingest")
 
@@ -213,7 +220,7 @@ def run_pipeline(spark: SparkSession, raw_dir: str | None = None,
     ft = spark.read.parquet(features_path)
     lap("features")
     cols = feat.feature_columns(ft)
-    res = mdl.train_and_select(ft, cols, num_trees=num_trees, max_depth=max_depth)
+    res = mdl.train_and_select(ft, cols, num_trees=num_trees, max_depth=max_depth, max_bins=max_bins)
     lap("train_select")
     art.save_model(res.models[res.selected_model_name], f"{st.run_dir}/selected_model")
     art.write_evaluation_report(spark, res.report(), f"{st.run_dir}/evaluation_report")
@@ -231,7 +238,7 @@ def run_pipeline(spark: SparkSession, raw_dir: str | None = None,
 def validate_paths(spark: SparkSession, data_path: str, contract_path: str) -> con.ValidationResult:
     """Validate a written clean table against a written contract (a Spark
     JSON document folder, or a plain ``.json`` file)."""
-    contract = (art.load_contract_file(contract_path) if contract_path.endswith(".json")
+    contract = (art.load_contract_file(spark, contract_path) if contract_path.endswith(".json")
                 else art.load_contract(spark, contract_path))
     return con.validate(read_clean(spark, data_path), contract)
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salespanel.functions.scalar import coerce_bool, parse_date
+from salespanel.functions.scalar import coerce_bool, parse_date, typed
 from salespanel.operators import contract as con
 from salespanel.operators import features as feat
 from salespanel.operators import ingest as ing
@@ -20,7 +20,7 @@ from salespanel.operators import insight
 from salespanel.operators import inspect as insp
 from salespanel.operators import model as mdl
 from salespanel.operators import profile as prof
-from salespanel.plans.panel import materialize_sources, read_sources
+from salespanel.plans.panel import materialize_sources, read_sources, table
 from salespanel.schemas import ENGINEERED_COLUMNS, MARKDOWN_COLUMNS, TARGET
 from salespanel.session import app_id, shared_dir
 from salespanel.sources.raw import read_clean, write_clean
@@ -35,6 +35,19 @@ def query(name: str):
     return reg
 
 
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """Digest of the folder's tables as they are now (names, lengths, times),
+    so that rewritten data is never answered from what was kept before."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    seen = [sf_dir]
+    for top in fs.listStatus(path):
+        for f in (fs.listStatus(top.getPath()) if top.isDirectory() else [top]):
+            seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(seen)).encode()).hexdigest()[:12]
+
+
 _SOURCES: dict = {}
 # one lock for the write-once caches below (a concurrent caller waits for
 # the first writer instead of writing the same folder twice)
@@ -46,10 +59,9 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     in ``sf_dir``: derived once per application and written to the shared
     folder (the ingest stage of a run), then read by every query."""
     app = app_id(spark)
-    key = (app, sf_dir)
+    key = (app, digest := _state(spark, sf_dir))
     with _LOCK:
         if key not in _SOURCES:
-            digest = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
             path = f"{shared_dir(spark)}/salespanel-sources/{app}/{digest}"
             materialize_sources(spark, sf_dir, path)
             _SOURCES[key] = path
@@ -234,10 +246,9 @@ def written_features(spark, sf):
     (the scientist stage reads it, as a run does); split, metric and model
     queries start from it."""
     app = app_id(spark)
-    key = (app, sf)
+    key = (app, digest := _state(spark, sf))
     with _LOCK:
         if key not in _FEATURES:
-            digest = hashlib.sha1(sf.encode()).hexdigest()[:12]
             path = f"{shared_dir(spark)}/salespanel-features/{app}/{digest}"
             feature_table(spark, sf).write.mode("overwrite").parquet(path)
             _FEATURES[key] = path
@@ -279,7 +290,7 @@ _TRAINED: dict = {}
 
 def trained(spark, sf):
     """Train once per (session, data dir) and reuse across the model queries."""
-    key = (app_id(spark), sf)
+    key = (app_id(spark), _state(spark, sf))
     with _LOCK:
         if key not in _TRAINED:
             ft = written_features(spark, sf)
@@ -287,9 +298,19 @@ def trained(spark, sf):
     return _TRAINED[key]
 
 
+def _scored(spark, sf):
+    """The hold-out rows as each trained candidate scores them."""
+    ft, res = trained(spark, sf)
+    test = mdl.split(ft, F.to_date(F.lit(res.split_cutoff_date)))[1]
+    return {name: res.models[name].transform(test) for name in mdl.CANDIDATES}
+
+
+def _comparison(spark, sf):
+    return mdl.compare_scored(_scored(spark, sf))
+
+
 def _metrics_row(spark, sf, name):
-    _, res = trained(spark, sf)
-    return res.comparison(spark).filter(F.col("model") == name).drop("selected")
+    return mdl.compare_scored({name: _scored(spark, sf)[name]}).drop("selected")
 
 
 @query("ridge_metrics")
@@ -304,21 +325,18 @@ def q_forest_metrics(spark, sf):
 
 @query("model_comparison")
 def q_model_comparison(spark, sf):
-    return trained(spark, sf)[1].comparison(spark)
+    return _comparison(spark, sf)
 
 
 @query("model_selection")
 def q_model_selection(spark, sf):
-    return (trained(spark, sf)[1].comparison(spark).filter("selected")
+    return (_comparison(spark, sf).filter("selected")
             .select(F.col("model").alias("selected_model_name"), "RMSE"))
 
 
 @query("forecast_by_date")
 def q_forecast_by_date(spark, sf):
-    ft, res = trained(spark, sf)
-    test = mdl.split(ft, F.to_date(F.lit(res.split_cutoff_date)))[1]
-    scored = res.models[res.selected_model_name].transform(test)
-    return mdl.forecast_by_date(scored)
+    return mdl.forecast_by_date(_scored(spark, sf)[trained(spark, sf)[1].selected_model_name])
 
 
 # ---- ingest ----------------------------------------------------------------
@@ -337,10 +355,9 @@ def q_scan_clean(spark, sf):
     """The clean table as a run stores it (sorted Parquet in the shared
     folder, written once per application), scanned back."""
     app = app_id(spark)
-    key = (app, sf)
+    key = (app, digest := _state(spark, sf))
     with _LOCK:
         if key not in _CLEAN_WRITTEN:
-            digest = hashlib.sha1(sf.encode()).hexdigest()[:12]
             path = f"{shared_dir(spark)}/salespanel-clean/{app}/{digest}"
             write_clean(clean(spark, sf), path)
             _CLEAN_WRITTEN[key] = path
@@ -372,10 +389,14 @@ def q_join_key_check(spark, sf):
 def q_drop_null_keys(spark, sf):
     src = raw_tables(spark, sf)
     merged = ing.join_features(ing.join_stores(src["train"], src["stores"]), src["features"])
-    keep = F.col("Store").isNotNull() & F.col("Dept").isNotNull() & F.col("Date").isNotNull() \
-        & F.col(TARGET).isNotNull()
-    return merged.agg(F.count(F.lit(1)).alias("rows_in"), F.count_if(keep).alias("rows_out")) \
-                 .withColumn("rows_dropped", F.col("rows_in") - F.col("rows_out"))
+    return _dropped(merged)
+
+
+def _dropped(df):
+    """Rows before and after the null-key drop, as the ingest applies it."""
+    kept = ing.drop_null_keys(ing.normalize_nan(df)).agg(F.count(F.lit(1)).alias("n")).scalar()
+    return (df.agg(F.count(F.lit(1)).alias("rows_in"))
+              .select("rows_in", kept.alias("rows_out"), (F.col("rows_in") - kept).alias("rows_dropped")))
 
 
 @query("parse_dates")
@@ -390,3 +411,91 @@ def q_coerce_bool(spark, sf):
     t = raw_tables(spark, sf)["train"]
     text = F.when(F.col("IsHoliday"), F.lit(" True ")).otherwise(F.lit("false"))
     return t.select("Store", "Dept", "Date", text.alias("flag_text"), coerce_bool(text).alias("IsHoliday"))
+
+
+# ---- the rules on rows that break them -------------------------------------
+# The panel is clean by construction, so these queries put the same operators
+# on all line items: keys repeat there, and text, nulls and bounds go wrong by
+# expressions over real columns.
+
+
+def _lines(spark, sf):
+    li = table(spark, sf, "lineitem")
+    day = F.col("l_shipdate").cast("date")
+    return li.select(
+        F.col("l_suppkey").alias("Store"),
+        F.when(F.col("l_linenumber") != 7, F.col("l_linenumber")).alias("Dept"),
+        day.alias("Date"),
+        F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice"))
+         .when(F.col("l_tax") == 0.08, F.lit(float("nan"))).otherwise(F.col("l_extendedprice")).alias(TARGET),
+        F.when(F.col("l_returnflag") == "A", F.lit(" TRUE ")).when(F.col("l_returnflag") == "N", F.lit("false"))
+         .otherwise(F.lit("yes")).alias("flag_text"),
+        F.when(F.col("l_linenumber") % 4 == 1, F.date_format(day, "dd/MM/yyyy"))
+         .when(F.col("l_linenumber") % 4 == 2, F.date_format(day, "yyyy-MM-dd"))
+         .when(F.col("l_linenumber") % 4 == 3, F.concat(F.lit("31/02/"), F.date_format(day, "yyyy")))
+         .otherwise(F.date_format(day, "d/M/yyyy")).alias("date_text"),
+        F.concat(F.col("l_linenumber").cast("string"),
+                 F.when(F.col("l_linenumber") == 1, F.lit("d")).when(F.col("l_linenumber") == 2, F.lit(".5"))
+                  .when(F.col("l_linenumber") == 3, F.lit(".0")).otherwise(F.lit(""))).alias("number_text"))
+
+
+LINE_CONTRACT = {
+    "primary_keys": ["Store", "Dept", "Date"],
+    "target_column": TARGET,
+    "columns": {
+        "Store": {"dtype": "int", "nullable": False},
+        "Dept": {"dtype": "int", "nullable": False},
+        "Date": {"dtype": "datetime", "nullable": False},
+        TARGET: {"dtype": "float", "nullable": False, "min": -5000.0, "max": 50000.0},
+        "number_text": {"dtype": "int", "nullable": True},
+        "flag_text": {"dtype": "colour", "nullable": True},
+        "Size": {"dtype": "int", "nullable": False},
+    },
+}
+
+
+@query("contract_check_lines")
+def q_contract_check_lines(spark, sf):
+    return con.contract_checks(ing.normalize_nan(_lines(spark, sf)), LINE_CONTRACT)
+
+
+@query("contract_verdict_lines")
+def q_contract_verdict_lines(spark, sf):
+    return con.contract_verdict(q_contract_check_lines(spark, sf))
+
+
+@query("pk_duplicates_lines")
+def q_pk_duplicates_lines(spark, sf):
+    return con.pk_duplicates(_lines(spark, sf))
+
+
+@query("join_key_check_lines")
+def q_join_key_check_lines(spark, sf):
+    lines = _lines(spark, sf)
+    return ing.join_key_violations(lines.select("Store"), lines.select("Store", "Date"))
+
+
+@query("drop_null_keys_lines")
+def q_drop_null_keys_lines(spark, sf):
+    return _dropped(_lines(spark, sf))
+
+
+@query("parse_dates_mixed")
+def q_parse_dates_mixed(spark, sf):
+    parsed = parse_date("date_text")
+    return (_lines(spark, sf).groupBy("date_text").agg(F.count(F.lit(1)).alias("n"))
+            .select("date_text", "n", parsed.alias("parsed")))
+
+
+@query("coerce_bool_mixed")
+def q_coerce_bool_mixed(spark, sf):
+    return (_lines(spark, sf).groupBy("Store", "flag_text").agg(F.count(F.lit(1)).alias("n"))
+            .select("Store", "flag_text", "n", coerce_bool("flag_text").alias("flag"),
+                    coerce_bool("flag_text", "true").alias("flag_unknown_true")))
+
+
+@query("numbers_mixed")
+def q_numbers_mixed(spark, sf):
+    return (_lines(spark, sf).groupBy("Store", "number_text").agg(F.count(F.lit(1)).alias("n"))
+            .select("Store", "number_text", "n", typed("number_text", "bigint").alias("whole"),
+                    typed("number_text", "double").alias("number")))

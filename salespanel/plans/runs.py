@@ -79,6 +79,17 @@ def failed_run_errors(runs: DataFrame) -> DataFrame:
                 .select("run_id", "contract_status", F.explode_outer("validation_errors").alias("error")))
 
 
+def failed_run_messages(runs: DataFrame) -> DataFrame:
+    """One row (run_id, contract_status, severity, message) per validation
+    error and warning of each FAILED run."""
+    def messages(column: str, severity: str) -> F.Column:
+        return F.transform(F.coalesce(column, F.array().cast("array<string>")),
+                           lambda m: F.struct(F.lit(severity).alias("severity"), m.alias("message")))
+    both = F.concat(messages("validation_errors", "error"), messages("validation_warnings", "warning"))
+    return (runs.filter(F.col("status") == "FAILED")
+                .select("run_id", "contract_status", F.inline(both)))
+
+
 def run_history(runs: DataFrame) -> DataFrame:
     """The admin view: id, status, contract status, selected model, times."""
     return runs.select("run_id", "status", "contract_status", "selected_model_name", "started_at", "finished_at")

@@ -18,7 +18,6 @@ ROLLING_WINDOW = 4
 TRAIN_FRACTION = 0.8
 MICRO_INSPECTION_SAMPLE_SIZE = 15
 HOLIDAY_SPIKE_TOP_N = 10
-HOLIDAY_SPIKE_SUMMARY_N = 5
 ANOMALY_TOP_N = 15
 OUTLIERS_PER_COLUMN = 5
 IQR_FENCE_MULTIPLIER = 3
@@ -30,8 +29,6 @@ CONTRACT_DTYPES = ("int", "float", "bool", "datetime", "string")
 NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
                "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
                "n/a", "nan", "null")
-RUN_STATUSES = ("PENDING", "INITIATED", "ANALYST_COMPLETE", "VALIDATED", "FAILED",
-                "SCIENTIST_COMPLETE", "COMPLETED")
 # ---------------------------------------------------------------------------
 
 ENGINEERED_COLUMNS = (
@@ -43,26 +40,12 @@ ENGINEERED_COLUMNS = (
 CLEAN_COLUMNS = ("Store", "Dept", "Date", TARGET, "IsHoliday", "Type", "Size",
                  "Temperature", "Fuel_Price", *MARKDOWN_COLUMNS, *ECONOMIC_COLUMNS)
 
-CLEAN_SCHEMA = T.StructType([
-    T.StructField("Store", T.IntegerType()),
-    T.StructField("Dept", T.IntegerType()),
-    T.StructField("Date", T.DateType()),
-    T.StructField(TARGET, T.DoubleType()),
-    T.StructField("IsHoliday", T.BooleanType()),
-    T.StructField("Type", T.StringType()),
-    T.StructField("Size", T.IntegerType()),
-    T.StructField("Temperature", T.DoubleType()),
-    T.StructField("Fuel_Price", T.DoubleType()),
-    *[T.StructField(c, T.DoubleType()) for c in MARKDOWN_COLUMNS],
-    *[T.StructField(c, T.DoubleType()) for c in ECONOMIC_COLUMNS],
-])
-
 # Typed layout of the three raw sources (columns are read as text first).
-STORES_TYPES = {"Store": "int", "Type": "string", "Size": "int"}
-FEATURES_TYPES = {"Store": "int", "Date": "date", "Temperature": "double",
+STORES_TYPES = {"Store": "bigint", "Type": "string", "Size": "bigint"}
+FEATURES_TYPES = {"Store": "bigint", "Date": "date", "Temperature": "double",
                   "Fuel_Price": "double", **{c: "double" for c in MARKDOWN_COLUMNS},
                   "CPI": "double", "Unemployment": "double", "IsHoliday": "boolean"}
-TRAIN_TYPES = {"Store": "int", "Dept": "int", "Date": "date", TARGET: "double",
+TRAIN_TYPES = {"Store": "bigint", "Dept": "bigint", "Date": "date", TARGET: "double",
                "IsHoliday": "boolean"}
 SOURCE_TYPES = {"stores": STORES_TYPES, "features": FEATURES_TYPES, "train": TRAIN_TYPES}
 
@@ -79,6 +62,7 @@ CONTRACT_SCHEMA = T.StructType([
     T.StructField("generation_method", T.StringType()),
 ])
 
+# Field names of the run documents are fixed values too.
 RUN_METADATA_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("run_dir", T.StringType()),
@@ -92,6 +76,8 @@ RUN_METADATA_SCHEMA = T.StructType([
     T.StructField("candidate_metrics", T.MapType(T.StringType(), T.MapType(T.StringType(), T.DoubleType()))),
     T.StructField("started_at", T.StringType()),
     T.StructField("finished_at", T.StringType()),
+    T.StructField("rows_in", T.LongType()),
+    T.StructField("rows_dropped", T.LongType()),
 ])
 
 EVALUATION_REPORT_SCHEMA = T.StructType([

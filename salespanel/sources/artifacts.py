@@ -61,10 +61,10 @@ def load_contract(spark: SparkSession, path: str) -> dict[str, Any]:
     return doc
 
 
-def load_contract_file(path: str) -> dict[str, Any]:
-    """A contract kept as a plain JSON file (driver-side, a few hundred bytes)."""
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+def load_contract_file(spark: SparkSession, path: str) -> dict[str, Any]:
+    """A contract kept as a plain JSON file (a few hundred bytes), on any file
+    system that Spark reads."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 # validation result (K3) ------------------------------------------------------
@@ -72,10 +72,6 @@ def write_validation(spark: SparkSession, result: dict[str, Any], path: str) ->
     write_document(spark, result, VALIDATION_SCHEMA, path)
 
 
-def read_validation(spark: SparkSession, path: str) -> dict[str, Any] | None:
-    return read_document(spark, VALIDATION_SCHEMA, path)
-
-
 # evaluation report (K4 / S6) -------------------------------------------------
 def write_evaluation_report(spark: SparkSession, report: dict[str, Any], path: str) -> None:
     write_document(spark, report, EVALUATION_REPORT_SCHEMA, path)

@@ -70,15 +70,16 @@ def write_clean(df: DataFrame, path: str, globally_sorted: bool = False, csv_pat
     Rows are sorted by (Store, Dept, Date) inside each file, which keeps the
     Parquet min/max statistics tight for Store/Date filters.
     ``globally_sorted`` range-partitions first so the part files are in key
-    order as well (one extra sampling pass). ``csv_path`` also exports CSV
-    part files with a header.
+    order as well (one extra sampling pass). ``csv_path`` also exports the written
+    table as CSV part files with a header.
     """
     keys = ["Store", "Dept", "Date"]
     out = df.repartitionByRange(*keys) if globally_sorted else df
     out = out.sortWithinPartitions(*keys)
     out.write.mode("overwrite").parquet(path)
     if csv_path:
-        out.write.mode("overwrite").option("header", True).option("dateFormat", "yyyy-MM-dd").csv(csv_path)
+        written = df.sparkSession.read.parquet(path)
+        written.write.mode("overwrite").option("header", True).option("dateFormat", "yyyy-MM-dd").csv(csv_path)
 
 
 def read_clean(spark: SparkSession, path: str) -> DataFrame:

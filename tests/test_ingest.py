@@ -60,7 +60,7 @@ def test_csv_ingest_end_to_end(spark, tmp_path):
     assert r2.Date == d("2010-02-05") and r2.IsHoliday is False and r2.Type == "B"
     assert r2.MarkDown1 == 10.5 and r2.MarkDown2 is None and r2.MarkDown3 is None and r2.MarkDown4 is None
     assert rows[1].IsHoliday is True   # train's flag wins
-    assert dict(clean.dtypes)["Store"] == "int" and dict(clean.dtypes)["Date"] == "date"
+    assert dict(clean.dtypes)["Store"] == "bigint" and dict(clean.dtypes)["Date"] == "date"
     contract = {"primary_keys": ["Store", "Dept", "Date"], "target_column": "Weekly_Sales",
                 "columns": {"Store": {"dtype": "int", "nullable": False},
                             "Weekly_Sales": {"dtype": "float", "nullable": False, "min": -5000, "max": 800000}}}
@@ -162,3 +162,19 @@ def test_nan_target_dropped_with_observation(spark):
     obs = Observation("nan-obs")
     rows = ing.ingest({"stores": stores, "features": feats, "train": train}, observation=obs).collect()
     assert len(rows) == 1 and obs.get["rows_in"] == 2 and obs.get["rows_out"] == 1
+
+
+def test_whole_numbers_keep_64_bits(spark):
+    from salespanel.functions.scalar import typed
+    rows = [("3000000000", 3000000000), ("9007199254740993", 9007199254740993), (" 12.0 ", 12), ("1.2e1", 12), ("1.5", None),
+            ("1d", None), ("0x1p3", None), ("inf", None), ("99999999999999999999", None), (None, None)]
+    got = spark.createDataFrame(rows, "t string, want long").select("want", typed("t", "bigint").alias("got")).collect()
+    assert all(r.want == r.got for r in got)
+
+
+def test_store_join_is_broadcast_by_measured_size(spark):
+    from salespanel.operators.ingest import broadcast_if_small
+    stores = spark.createDataFrame([(1, "A", 5), (2, None, 6)], "Store long, Type string, Size long")
+    hinted = broadcast_if_small(stores)._jdf.queryExecution().logical().toString()
+    plain = broadcast_if_small(stores, limit=10)._jdf.queryExecution().logical().toString()
+    assert "broadcast" in hinted.lower() and "broadcast" not in plain.lower()

@@ -117,3 +117,11 @@ def test_null_features_are_named(spark):
     ft = feat.engineer_features(df)
     with pytest.raises(ValueError, match="Size"):
         mdl.train_and_select(ft, feat.feature_columns(ft))
+
+
+def test_candidates_are_compared_on_scored_rows(spark):
+    from salespanel.operators.model import compare_scored
+    df = lambda *p: spark.createDataFrame([(float(i), x) for i, x in enumerate(p)], "Weekly_Sales double, prediction double")
+    got = compare_scored({"a": df(1.0, 2.0), "b": df(0.0, 1.0), "c": df(0.0, 1.0)}).collect()
+    assert {r.model: r.selected for r in got} == {"a": False, "b": True, "c": False}
+    assert next(r.MAE for r in got if r.model == "a") == 1.0

@@ -23,3 +23,22 @@ def test_panel_is_time_zone_free(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert a == b and len(a[0]) > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
+def test_run_sources_scan_the_line_items_once(spark):
+    from salespanel.operators.ingest import ingest
+    from salespanel.plans.panel import written_sources
+    src = written_sources(spark, SF)
+    files = ingest(src).inputFiles()
+    assert files and not any("lineitem" in f for f in files)
+    assert sorted(src["train"].collect()) == sorted(raw_tables(spark, SF)["train"].collect())
+
+
+def test_state_notices_rewritten_tables(spark, tmp_path):
+    from salespanel.plans.queries import _state
+    spark.range(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    before = _state(spark, str(tmp_path))
+    assert before == _state(spark, str(tmp_path))
+    spark.range(4).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    assert before != _state(spark, str(tmp_path))

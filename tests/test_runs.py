@@ -1,7 +1,7 @@
 """The gated run pipeline and the run-history scan."""
 
 from salespanel.plans.pipeline import forecast, run_pipeline
-from salespanel.plans.runs import failed_run_errors, list_runs, runs_with_status
+from salespanel.plans.runs import failed_run_errors, failed_run_messages, list_runs, runs_with_status
 from salespanel.sources import artifacts as art
 from salespanel.sources.raw import load_raw_tables
 from tests.conftest import d
@@ -60,6 +60,11 @@ def test_pipeline_completes_and_runs_are_listed(spark, tmp_path):
     assert [r.run_id for r in runs_with_status(runs, ("COMPLETED",)).collect()] == ["20100101T000000Z-aaaa"]
     errs = failed_run_errors(runs).collect()
     assert errs and all(r.run_id == "20100102T000000Z-bbbb" for r in errs)
+    said = failed_run_messages(runs).collect()
+    assert [r.message for r in said if r.severity == "error"] == st2.validation_errors
+    assert [r.message for r in said if r.severity == "warning"] == st2.validation_warnings
+    done = runs.filter("status = 'COMPLETED'").first()
+    assert (done.rows_in, done.rows_dropped) == (80, 0)
 
 
 def test_list_runs_empty(spark, tmp_path):

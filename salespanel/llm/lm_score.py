@@ -1,21 +1,26 @@
-"""LM scoring: documents by a smoothed n-gram model over the corpus.
+"""LM scoring: documents by a smoothed trigram model of words over the corpus.
 
-All training tokens are counted by Spark. The most frequent words (a bounded
-dictionary) go out to the tasks with their counts; counts of the rarer ones
-meet the documents that hold them in a join, so counts are exact at any size.
-The model is a class model: the top words are classes of their own, all other
-words share one. Pairs and triples of classes, counted over all training
-documents, the most frequent of them kept, make an Elias-Fano trie (see
-lm_trie); a rare word's probability is its class's in context times its share
-of the class. Words never met are one further word of that class.
+Every word, pair and triple of the training documents counts; nothing is
+lumped, pruned or capped. Each position (a word after its two before) goes to
+the part of the model its middle word hashes to, where the training positions
+make an Elias-Fano trie (see lm_trie) and all positions are scored by it. A
+frequent middle word's positions are dealt over many parts by the word before,
+so no part grows with one word; its pairs are then counted in a shuffle of
+their own. The most frequent words go out to the tasks with their counts;
+counts of the others are brought to the parts that need them by a join. Both
+only save traffic: no score depends on which words they are.
+
+Absolute discounting: what the entries of a context leave goes to the shorter
+context, at last to the words, of which all words never met are one more.
 
 Defined results: a null or empty text is its end token; equal texts have equal
-scores; a document without id is held out; with no training document every
-word is unknown (probability 1); an empty table gives no rows; other columns
-don't matter."""
+scores (sums are of whole numbers, so their order is nothing); a document
+without id is held out; with no training document every word is unknown
+(probability 1); an empty table gives no rows; other columns don't matter."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,17 +29,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salespanel.llm.common import held_out, keep_columns, table, word_hashes, words_of, written
-from salespanel.llm.lm_trie import Trie
+from salespanel.llm.common import held_out, keep_columns, mix, table, word_hashes, words_of, written
+from salespanel.llm.lm_trie import PartTrie
 
 FOLDS, HELD_OUT_FOLD = 7, 2
-#: Words in the dictionary that goes out to all tasks (16 bytes each), and those that are classes of their own.
-DICTIONARY, CLASSES = 500_000, 4095
-#: The model's size: pairs and triples kept, the most frequent first, and the least count of each.
-PAIRS, TRIPLES, LEAST = 400_000, 400_000, 3
+#: Words that go out to all tasks (16 bytes each); the counts of all others come by a join.
+DICTIONARY = 500_000
+#: Positions of a part, about; a middle word with more than HOT is dealt by the word before it too.
+PART, HOT, LEAST_PARTS = 1_000_000, 1_000_000, 24
+DISCOUNT = 0.75
 #: Tokens worked on at once.
 CHUNK = 1 << 20
+#: Logarithms are summed as whole multiples of 1 / UNIT.
+UNIT = float(1 << 32)
 END = np.array([xxhash.xxh3_64_intdigest(b"\n")], np.uint64)  # no word holds a line end
+#: Hashes that stand for the text's begin, and for nothing before it.
+_EDGES = np.array([xxhash.xxh3_64_intdigest(b"\n\n"), xxhash.xxh3_64_intdigest(b"\n\n\n")], np.uint64)
+TRAIN, SCORE = 1, 2
+_BLOBS = ["k", "ids", "named", "runs", "use", "rare", "w"]
+_DEALT = ", ".join(["part int", "kind int", *[f"{x} binary" for x in _BLOBS], "h long", "n long"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
@@ -53,145 +66,284 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.nd
             yield b, rows, np.concatenate(parts), np.cumsum([0] + [len(p) for p in parts[:-1]])
 
 
-def _counted(keys: np.ndarray, kind: int) -> list:
-    k, n = np.unique(keys, return_counts=True)
-    return [pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))]
-
-
-def most_frequent(counts: DataFrame, n: str, most: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the most frequent rows, ``most`` at most, by
-    descending count: all from a count on that leaves no more than that, found
-    from the number of rows of each count, so that nothing is sorted."""
+def most_frequent(counts: DataFrame, n: str, most: int, *more: str) -> tuple[np.ndarray, ...]:
+    """Hashes and counts (and ``more`` columns) of the most frequent rows,
+    ``most`` at most, by descending count: all from a count on that leaves no
+    more than that, found from the number of rows of each count, so that
+    nothing is sorted."""
     cut = 1 << 16
     by = dict(counts.groupBy(F.least(F.col(n), F.lit(cut)).alias("c")).count().collect())  # at most ``cut`` rows
     total, lowest = 0, None
     for c in sorted(by, reverse=True):
         total += by[c]
-        if c < least or total > most:
+        if total > most:
             break
         lowest = c
     if lowest is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    got = counts.where(F.col(n) >= lowest).select("h", n).toArrow()
-    h, c = got.column("h").to_numpy(), got.column(n).to_numpy()
-    order = np.lexsort((h, -c))
-    return h[order], c[order]
+        return tuple(np.zeros(0, np.int64) for _ in ("h", n, *more))
+    got = [x.to_numpy() for x in counts.where(F.col(n) >= lowest).select("h", n, *more).toArrow().columns]
+    order = np.lexsort((got[0], -got[1]))
+    return tuple(x[order] for x in got)
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """(h, c): how often each word, or the end, is met."""
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(h, c, m): how often each word, or the end, is met in training, and in all rows."""
 
     def count(batches):
-        for _, _, h, _ in _texts(batches):
-            yield pa.RecordBatch.from_arrays(_counted(h, 1), ["kind", "h", "n"])
+        for b, at, h, begin in _texts(batches):
+            train = np.repeat(b.column("use").to_numpy()[at] & TRAIN, np.diff(np.append(begin, len(h))))
+            k, back, m = np.unique(h, return_inverse=True, return_counts=True)
+            c = np.bincount(back, train, len(k)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c), pa.array(m.astype(np.int64))], ["h", "c", "m"])
 
-    return training.select("text").mapInArrow(count, "kind int, h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
+    return rows.select("text", "use").mapInArrow(count, "h long, c long, m long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("m").alias("m"))
 
 
 class Dictionary:
-    """The most frequent words: hashes in order, counts and classes (0: shared)."""
-
-    def __init__(self, h: np.ndarray, c: np.ndarray):
-        """Rows by descending count."""
-        order = np.argsort(h)
-        cls = np.zeros(len(h), np.int32)
-        cls[:CLASSES] = np.arange(1, len(cls[:CLASSES]) + 1)
-        self.h, self.c, self.cls, self.top = h[order], c[order].astype(np.int64), cls[order], c[:CLASSES].astype(float)
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts (-1: not here) and classes of tokens."""
-        one, back = np.unique(h, return_inverse=True)
-        if not len(self.h):
-            return np.full(len(h), -1), np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.h, one), len(self.h) - 1)
-        here = self.h[at] == one
-        return np.where(here, self.c[at], -1)[back], np.where(here, self.cls[at], 0)[back].astype(np.int64)
-
-
-def class_counts(training: DataFrame, shared, base: int) -> DataFrame:
-    """(kind, h, n): packed pairs (2) and triples (3) of classes; triples of top words only."""
-
-    def count(batches):
-        for _, _, h, begin in _texts(batches):
-            _, cls = shared.value.find(h)
-            first = np.zeros(len(h), bool)
-            first[begin] = True
-            prev = np.where(first, base - 1, np.append(base - 1, cls[:-1]))
-            pair = prev * base + cls
-            yield pa.RecordBatch.from_arrays(_counted(pair, 2), ["kind", "h", "n"])
-            before = np.append(0, prev[:-1])
-            full = ~first & (before > 0) & (prev > 0) & (cls > 0)
-            yield pa.RecordBatch.from_arrays(_counted((before * base * base + pair)[full], 3), ["kind", "h", "n"])
+    """The most frequent words, numbered by descending count, then the two
+    edges; numbers from ``size`` on are for words outside of it. ``subs``: over
+    how many parts a middle word is dealt."""
+
+    def __init__(self, h: np.ndarray, m: np.ndarray, c: np.ndarray, parts: int, hot: int):
+        """Hashes, counts in all rows and counts in training."""
+        self.parts, self.begin, self.none, self.size = parts, len(h), len(h) + 1, len(h) + 2
+        self.hash, self.c = np.append(h, _EDGES), np.append(c, [c[h == END].sum(), 0]).astype(np.int64)
+        self.order = np.argsort(h)
+        self.sorted = h[self.order]
+        m = np.append(m, [m[h == END].sum(), 0]).astype(np.int64)
+        self.subs = np.where(m > hot, -(-m // hot), 1)
+        self.subs[:-2][h == END] = 1  # nothing follows it
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of words (-1: not here)."""
+        if not len(self.sorted):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == h, self.order[at], -1)
+
+    def positions(self, h: np.ndarray, begin: np.ndarray):
+        """Of texts laid end to end: each position's numbers, oldest first, its
+        part, whether its middle word is dealt over several, and the hashes of all numbers."""
+        word, back = np.unique(h, return_inverse=True)
+        number = self.find(word)
+        rare = number < 0
+        number[rare] = self.size + np.arange(rare.sum())
+        hashes = np.concatenate([self.hash, word[rare]])
+        w3 = number[back]
+        w2 = np.append(self.begin, w3[:-1])
+        w2[begin] = self.begin
+        w1 = np.append(self.none, w2[:-1])
+        w1[begin] = self.none
+        subs = np.where(w2 < self.size, self.subs[np.minimum(w2, self.size - 1)], 1)
+        hot = subs > 1
+        key = hashes[w2]
+        by = np.where(w2 == self.begin, w3, w1)[hot]
+        key[hot] += (mix(hashes[by]) % subs[hot].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        return w1, w2, w3, (mix(key) % np.uint64(self.parts)).astype(np.int64), hot, hashes
+
+
+def _pair(h2: np.ndarray, h3: np.ndarray) -> np.ndarray:
+    return mix(h2 * np.uint64(0x9E3779B97F4A7C15) + h3).view(np.int64)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, the lowest of all first (3 bytes each if that is enough, else 4), deflated."""
+    planes = 3 if not len(x) or x.max() < 1 << 24 else 4
+    return zlib.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :planes].T), 1)
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(-1, n)
+    return sum(p.astype(np.int32) << (8 * i) for i, p in enumerate(planes))
+
+
+def dealt(rows: DataFrame, shared) -> DataFrame:
+    """The positions of all texts by part: one row a part and chunk."""
+
+    def deal(batches):
+        for b, at, h, begin in _texts(batches):
+            d = shared.value
+            own = b.take(pa.array(at))
+            k, use = own.column("k").to_numpy(), own.column("use").to_numpy().astype(np.uint8)
+            ids, named = own.column("doc_id").fill_null(0).to_numpy(), own.column("doc_id").is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
+            w1, w2, w3, part, _, hashes = d.positions(h, begin)
+            doc = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(h))))
+            order = np.argsort(part.astype(np.uint16) if d.parts < 1 << 16 else part, kind="stable")
+            one, starts = np.unique(part[order], return_index=True)
+            cols: list[list] = [[] for _ in _BLOBS]
+            for p in np.split(order, starts[1:]):
+                at_doc = doc[p]
+                first = np.flatnonzero(np.append(True, at_doc[1:] != at_doc[:-1]))
+                docs, runs = at_doc[first], np.diff(np.append(first, len(p)))
+                w = np.concatenate([w1[p], w2[p], w3[p]])
+                out = w >= d.size
+                rare, where = np.unique(w[out], return_inverse=True)
+                w[out] = d.size + where
+                heads = at_doc[w2[p] == d.begin]  # a text's first position has its id along
+                for col, x in zip(cols, (k[docs].tobytes(), ids[heads].tobytes(), named[heads].tobytes(), runs.astype("<u4").tobytes(), use[docs].tobytes(),
+                                         hashes[rare].tobytes(), _packed(w)), strict=True):
+                    col.append(x)
+            n = len(one)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(one.astype(np.int32)), pa.array(np.zeros(n, np.int32)), *[pa.array(c, pa.binary()) for c in cols],
+                 pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], [f.split()[0] for f in _DEALT.split(", ")])
+
+    return rows.mapInArrow(deal, _DEALT)
+
+
+def asked(rows: DataFrame, shared) -> DataFrame:
+    """(kind, part, h, w, n): which words outside the dictionary (1) and pairs
+    of frequent middle words (2; w: the middle word's number) a part needs, and training counts of the pairs."""
+
+    def ask(batches):
+        for b, at, h, begin in _texts(batches):
+            d = shared.value
+            train = np.repeat(b.take(pa.array(at)).column("use").to_numpy() & TRAIN, np.diff(np.append(begin, len(h))))
+            _, w2, w3, part, hot, hashes = d.positions(h, begin)
+            for kind, own, key, w in ((1, w3 >= d.size, hashes[w3].view(np.int64), np.zeros(len(h), np.int64)),
+                                      (2, hot, _pair(hashes[w2], hashes[w3]), w2)):
+                p, x, m, t = part[own], key[own], w[own], train[own]
+                order = np.lexsort((x, p))
+                p, x, m, t = p[order], x[order], m[order], t[order]
+                new = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (x[1:] != x[:-1]))) if len(p) else np.zeros(0, np.int64)
+                n = np.add.reduceat(t, new) if len(p) else t
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), kind, np.int32)), pa.array(p[new].astype(np.int32)), pa.array(x[new]),
+                                                  pa.array(m[new].astype(np.int64)), pa.array(n.astype(np.int64))], ["kind", "part", "h", "w", "n"])
+
+    return rows.mapInArrow(ask, "kind int, part int, h long, w long, n long").groupBy("kind", "part", "h", "w").agg(F.sum("n").alias("n"))
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """The value of each wanted key, 0 if it is not there."""
+    if not len(keys):
+        return np.zeros(len(want), np.int64)
+    order = np.argsort(keys)
+    at = order[np.minimum(np.searchsorted(keys, want, sorter=order), len(keys) - 1)]
+    return np.where(keys[at] == want, values[at], 0)
+
+
+def _part_scores(d: Dictionary, blobs: list[dict], words: tuple, pairs: tuple, after: np.ndarray, total: int, kinds: int, off: float):
+    """Of a part's positions, by row: k, its id if its first position is here, positions << 32 | known, base, score."""
+    runs = [np.frombuffer(x["runs"], "<u4").astype(np.int64) for x in blobs]
+    rare, where = np.unique(np.concatenate([np.frombuffer(x["rare"], np.uint64) for x in blobs]), return_inverse=True)
+    columns, used = [], 0
+    for x, r in zip(blobs, runs, strict=True):
+        w = _unpacked(x["w"], 3 * int(r.sum()))
+        own = len(x["rare"]) // 8
+        out = w >= d.size
+        w[out] = d.size + where[used:used + own][w[out] - d.size]
+        used += own
+        columns.append(w.reshape(3, -1))
+    w1, w2, w3 = np.concatenate(columns, 1)
+    columns.clear()
+    runs = np.concatenate(runs)
+    k = np.concatenate([np.frombuffer(x["k"], np.int64) for x in blobs])
+    use = np.concatenate([np.frombuffer(x["use"], np.uint8) for x in blobs])
+    train, ask = np.repeat(use & TRAIN > 0, runs), np.repeat(use & SCORE > 0, runs)
+    trie = PartTrie(w1[train], w2[train], w3[train], d.none)
+    doc = np.repeat(np.arange(len(runs)), runs)
+    head = doc[w2 == d.begin]
+    ids, named = np.zeros(len(runs), np.int64), np.zeros(len(runs), bool)
+    ids[head] = np.concatenate([np.frombuffer(x["ids"], np.int64) for x in blobs])
+    named[head] = np.concatenate([np.frombuffer(x["named"], np.uint8) for x in blobs]) > 0
+    doc = doc[ask]
+    if not len(doc):
+        return None
+    v = d.size + len(rare)
+    pair, of = np.unique(w2[ask].astype(np.int64) * v + w3[ask], return_inverse=True)
+    triple, back = np.unique(of * v + w1[ask], return_inverse=True)  # each one is looked up once
+    del of, train, ask
+    at, w1 = triple // v, triple % v
+    w2, w3 = pair // v, pair % v
+    hashes = np.concatenate([d.hash, rare])
+    c = np.where(w3 < d.size, d.c[np.minimum(w3, d.size - 1)], 0)
+    out = w3 >= d.size
+    c[out] = _looked_up(*words, hashes[w3[out]].view(np.int64))
+    c1, t2, c2, place, rank = trie.pairs(w2, w3)
+    hot = np.flatnonzero((w2 < d.size) & (d.subs[np.minimum(w2, d.size - 1)] > 1))
+    c1[hot], t2[hot] = d.c[w2[hot]], after[w2[hot]]
+    c2[hot] = _looked_up(*pairs, _pair(hashes[w2[hot]], hashes[w3[hot]]))
+    c12, t12, c3 = trie.triples(w1, place[at], rank[at])
+
+    def smoothed(n, all_, types, shorter):
+        return np.where(all_ > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * types * shorter) / np.maximum(all_, 1), shorter)
+
+    p1 = np.where(c > 0, (c - off) / max(1, total), off * kinds / total if total else 1.0)
+    p = smoothed(c3, c12, t12, smoothed(c2, c1, t2, p1)[at])
+    whole = lambda x: np.rint(x * UNIT).astype(np.int64)
+    base, score = whole(np.log10(c + 1) - np.log10(total + kinds + 1))[at], whole(np.log10(np.maximum(p, 1e-300)))
+    starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    n = np.add.reduceat((1 << 32) + (c > 0)[at][back].astype(np.int64), starts)
+    one = doc[starts]
+    return [pa.array(k[one]), pa.array(ids[one], mask=~named[one]), n, np.add.reduceat(base[back], starts), np.add.reduceat(score[back], starts)]
+
+
+def _scored(rows: DataFrame) -> DataFrame:
+    """``rows``: doc_id, text and use (TRAIN, SCORE or both)."""
+    spark = rows.sparkSession
+    words = written(spark, word_counts(rows), "lm-words")
+    met, every, total, kinds, once, twice = (x or 0 for x in words.agg(F.sum("m"), F.count("*"), F.sum("c"), *[
+        F.sum(x.cast("long")) for x in (F.col("c") > 0, F.col("c") == 1, F.col("c") == 2)]).first())
+    off = once / (once + 2 * twice) if once and twice else 0.5  # discount of a word's count
+    h, m, c = most_frequent(words, "m", DICTIONARY, "c")
+    dictionary = Dictionary(h.view(np.uint64), m, c, max(LEAST_PARTS, -(-met // PART)), HOT)
+    shared = spark.sparkContext.broadcast(dictionary)
+    keyed = rows.select("doc_id", F.monotonically_increasing_id().alias("k"), "text", F.col("use").cast("int").alias("use"))
+    positions = dealt(keyed, shared)
+    after = np.zeros(dictionary.size, np.int64)  # frequent middle words: how many words follow each
+    if (dictionary.subs > 1).any() or every > len(h):
+        need = written(spark, asked(keyed.drop("doc_id", "k"), shared), "lm-asked")
+        answers = need.where("kind = 1").select("kind", "part", "h").join(words.where("c > 0").select("h", F.col("c").alias("n")), "h")
+        if (dictionary.subs > 1).any():
+            pairs = written(spark, need.where("kind = 2").groupBy("h", "w").agg(F.sum("n").alias("n")).where("n > 0"), "lm-pairs")
+            for w, n in pairs.groupBy("w").count().collect():
+                after[w] = n
+            answers = answers.unionByName(need.where("kind = 2").select("kind", "part", "h").join(pairs.select("h", "n"), "h"))
+        empty = [F.lit(None).cast("binary").alias(x) for x in _BLOBS]
+        positions = positions.unionByName(answers.select("part", "kind", *empty, "h", "n"))
+    follow = spark.sparkContext.broadcast(after)
 
-    return training.select("text").mapInArrow(count, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
+    def score(batches):
+        state: list = [None, [], [[], []], [[], []]]
+
+        def flush():
+            at, blobs, *got = state
+            if blobs:
+                known = [tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in g) for g in got]
+                out = _part_scores(shared.value, blobs, *known, follow.value, total, kinds, off)
+                if out:
+                    yield pa.RecordBatch.from_arrays([*out[:2], *map(pa.array, out[2:])], ["k", "doc_id", "n", "base", "score"])
+
+        for b in batches:
+            part, kind = b.column("part").to_numpy(), b.column("kind").to_numpy()
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            for s, e in zip(np.append(0, cuts), np.append(cuts, len(part)), strict=True):
+                if s == e:
+                    continue
+                if part[s] != state[0]:
+                    yield from flush()
+                    state = [part[s], [], [[], []], [[], []]]
+                for x in (1, 2):
+                    own = pa.array(s + np.flatnonzero(kind[s:e] == x))
+                    if len(own):
+                        for column, to in zip(("h", "n"), state[1 + x], strict=True):
+                            to.append(b.column(column).take(own).to_numpy())
+                own = pa.array(s + np.flatnonzero(kind[s:e] == 0))
+                if len(own):
+                    state[1] += b.select(_BLOBS).take(own).to_pylist()
+        yield from flush()
+
+    return positions.repartition(dictionary.parts, "part").sortWithinPartitions("part").mapInArrow(
+        score, "k long, doc_id long, n long, base long, score long").groupBy("k").agg(
+        F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n", "base", "score")]).select(
+        "doc_id", F.shiftright("n", 32).alias("n_tokens"), F.col("n").bitwiseAND((1 << 32) - 1).alias("n_known"),
+        F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") / UNIT).alias("base_score"), (F.col("score") / UNIT).alias("score"))
 
 
 def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``."""
-    spark = docs.sparkSession
-    words = written(spark, word_counts(training), "lm-words")
-    total, kinds, once, twice = (x or 0 for x in words.agg(
-        F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).first())
-    h, c = most_frequent(words, "c", DICTIONARY)
-    dictionary = Dictionary(h.view(np.uint64), c)
-    off = once / (once + 2 * twice) if once and twice else 0.5  # discount of a word's count
-
-    def word_p(c):  # of a known word
-        return (c - off) / max(1, total)
-
-    unseen = off * kinds / total if total else 1.0
-    single = word_p(dictionary.top)
-    unigram = np.concatenate([[max(1e-12, 1 - single.sum())], single])
-    rest = np.log10(unigram[0])
-    base = len(unigram) + 1
-    shared = spark.sparkContext.broadcast(dictionary)
-    grams = written(spark, class_counts(training, shared, base), "lm-grams")
-    pairs = most_frequent(grams.where("kind = 2"), "n", PAIRS, LEAST)
-    triples = most_frequent(grams.where("kind = 3"), "n", TRIPLES, LEAST)
-    context = grams.where("kind = 2").groupBy(F.floor(F.col("h") / base).alias("u")).agg(F.sum("n").alias("n")).toPandas()
-    totals = np.zeros(base)  # one number per class
-    totals[context["u"].to_numpy(int)] = context["n"].to_numpy(float)
-    model = spark.sparkContext.broadcast(Trie(unigram, pairs, totals, triples))
-    mass = np.log10(total + kinds + 1)
-
-    def score(batches):
-        trie = None
-        for b, rows, h, begin in _texts(batches):
-            trie = trie or model.value.map()
-            c, cls = shared.value.find(h)
-            first = np.zeros(len(h), bool)
-            first[begin] = True
-            got = trie.score(cls, first)
-            got += np.where(cls == 0, np.log10(np.maximum(word_p(np.maximum(c, 1)), 1e-300)) - rest, 0)
-            rare = c < 0
-            got[rare] -= np.log10(max(word_p(1), 1e-300))  # the word's own share comes with its count
-            add = lambda x: np.add.reduceat(x, begin)
-            base_score = add(np.where(rare, 0, np.log10(np.maximum(c, 0) + 1) - mass))
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(add(rare.astype(np.int64)))]).astype(np.int32)), pa.array(h[rare].view(np.int64)))
-            own = b.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays(
-                [own.column("doc_id"), own.column("k"), pa.array(np.diff(np.append(begin, len(h))).astype(np.int64)),
-                 pa.array(add((c > 0).astype(np.int64))), pa.array(base_score), pa.array(add(got)), lists],
-                ["doc_id", "k", "n_tokens", "n_known", "base_score", "score", "rare"])
-
-    own = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), "text")
-    part = written(spark, own.mapInArrow(
-        score, "doc_id long, k long, n_tokens long, n_known long, base_score double, score double, rare array<long>"), "lm-parts")
-    # rare words: one row a document and word, met by its count
-    rare = part.where(F.size("rare") > 0).select("k", "rare").dropDuplicates(["k"]).select("k", F.explode("rare").alias("h")).groupBy(
-        "k", "h").agg(F.count("*").alias("n"))
-    c = F.coalesce("c", F.lit(0))
-    p = F.when(c > 0, F.greatest((c - F.lit(float(off))) / F.lit(float(max(1, total))), F.lit(1e-300))).otherwise(F.lit(float(unseen)))
-    late = rare.join(words, "h", "left").groupBy("k").agg(
-        F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("late_known"),
-        F.sum(F.col("n") * (F.log10(c + 1) - F.lit(float(mass)))).alias("late_base"),
-        F.sum(F.col("n") * F.log10(p)).alias("late_score"))
-    return part.join(late, "k", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("late_known", F.lit(0))).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("late_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("late_score", F.lit(0.0))).alias("score"))
+    return _scored(docs.select("doc_id", "text", F.lit(SCORE).alias("use")).unionByName(
+        training.select("doc_id", "text", F.lit(TRAIN).alias("use"))))
 
 
 def is_held_out(doc_id):
@@ -200,5 +352,6 @@ def is_held_out(doc_id):
 
 def query(spark, sf_dir) -> DataFrame:
     docs = keep_columns(table(spark, sf_dir, "documents"), {"doc_id": "long", "text": "string"})
-    return scored(docs, docs.where(~is_held_out(F.col("doc_id")))).withColumn("held_out", is_held_out(F.col("doc_id"))).select(
+    use = F.when(is_held_out(F.col("doc_id")), F.lit(SCORE)).otherwise(F.lit(SCORE + TRAIN))  # one pass for both
+    return _scored(docs.withColumn("use", use)).withColumn("held_out", is_held_out(F.col("doc_id"))).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

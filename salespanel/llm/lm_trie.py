@@ -209,3 +209,60 @@ class Trie:
         hit = got >= 0
         out[has[know][hit]] = self.p3.get(got[hit])
         return out
+
+
+class PartTrie:
+    """Exact counts of the training positions (word, middle word, last word)
+    of one part of a model: successors of each middle word, words before each
+    middle word, and last words of each pair, as Elias-Fano levels. ``none``
+    stands before a text's begin and makes no pair."""
+
+    def __init__(self, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, none: int):
+        self.none, self.middle = none, np.unique(w2)
+        n, self.v = len(self.middle), int(max(w1.max(), w2.max(), w3.max())) + 1 if len(w1) else 1
+        u = np.searchsorted(self.middle, w2).astype(np.int64)
+        pair, at, self.c2 = np.unique(u * self.v + w3, return_inverse=True, return_counts=True)
+        self.c1, self.t2 = np.bincount(u, minlength=n), np.bincount(pair // self.v, minlength=n)
+        inner = w1 != none
+        before, back, self.c12 = np.unique((u * self.v + w1)[inner], return_inverse=True, return_counts=True)
+        rank = (at - np.searchsorted(pair, u * self.v))[inner]
+        size = self.size = int(rank.max()) + 1 if len(rank) else 1
+        triple, self.c3 = np.unique(back * size + rank, return_counts=True)
+        self.t12 = np.bincount(triple // size, minlength=len(before))
+        self.after = Level(pair // self.v, pair % self.v, n)
+        self.before = Level(before // self.v, before % self.v, n)
+        self.last = Level(triple // size, triple % size, len(before))
+
+    def _place(self, w2: np.ndarray) -> np.ndarray:
+        """Place of each middle word, -1 if it is not here."""
+        if not len(self.middle):
+            return np.full(len(w2), -1)
+        at = np.minimum(np.searchsorted(self.middle, w2), len(self.middle) - 1)
+        return np.where(self.middle[at] == w2, at, -1)
+
+    @staticmethod
+    def _found(level: Level, context: np.ndarray, ids: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each entry, -1 if it is not there or not ``ok``; and its context's begin."""
+        at, begin = np.full(len(ids), -1), np.zeros(len(ids), np.int64)
+        ok = np.flatnonzero(ok)
+        if len(ok):
+            at[ok], begin[ok] = level.find(context[ok], ids[ok])
+        return at, begin
+
+    def pairs(self, w2: np.ndarray, w3: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Counts of each w2 before any word, of the words after it, and of the
+        pair; the middle word's place, and the last word's among those after it (-1: not there)."""
+        u = self._place(w2)
+        at, begin = self._found(self.after, u, w3, (u >= 0) & (w3 < self.v))
+        get = lambda x, i: np.where(i >= 0, np.append(x, 0)[i], 0)
+        return get(self.c1, u), get(self.t2, u), get(self.c2, at), u, np.where(at >= 0, at - begin, -1)
+
+    def triples(self, w1: np.ndarray, u: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of each w1 with the middle word at ``u`` before any word, of
+        the words after the two, and of the triple with the word of ``rank``."""
+        ok = (u >= 0) & (w1 < self.v) & (w1 != self.none)
+        one, back = np.unique(np.where(ok, u * self.v + w1, -1), return_inverse=True)
+        context = self._found(self.before, one // self.v, one % self.v, one >= 0)[0][back]
+        found, _ = self._found(self.last, context, rank, (context >= 0) & (rank >= 0) & (rank < self.size))
+        get = lambda x, i: np.where(i >= 0, np.append(x, 0)[i], 0)
+        return get(self.c12, context), get(self.t12, context), get(self.c3, found)

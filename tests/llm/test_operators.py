@@ -131,6 +131,42 @@ def test_language_model(docs, rows):
             assert r.score < 0
 
 
+@pytest.mark.parametrize("dictionary, hot", [(500_000, 1_000_000), (10, 3), (0, 3)])
+def test_language_model_counts_every_word_pair_and_triple(docs, rows, dictionary, hot, monkeypatch):
+    monkeypatch.setattr(lm_score, "DICTIONARY", dictionary)
+    monkeypatch.setattr(lm_score, "HOT", hot)
+    tokens = lambda t: [x.lower() for x in _words(t)] + [b"\n"]
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    for r in rows:
+        if r[0] is not None and r[0] % 3:
+            w = [None, *tokens(r[1])]
+            one.update(w[1:])
+            two.update(zip(w, w[1:], strict=False))
+            three.update(zip(w, w[1:], w[2:], strict=False))
+    n1, t1, n2, t2 = (collections.Counter() for _ in range(4))
+    for (u, _), c in two.items():
+        n1[u] += c
+        t1[u] += 1
+    for (u, v, _), c in three.items():
+        n2[u, v] += c
+        t2[u, v] += 1
+    total, once, twice = sum(one.values()), sum(c == 1 for c in one.values()), sum(c == 2 for c in one.values())
+    off = once / (once + 2 * twice) if once and twice else 0.5
+
+    def p(context, w):
+        if not context:
+            return (one[w] - off) / total if w in one else off * len(one) / total
+        n, t, c = (n1[context[0]], t1[context[0]], two[(*context, w)]) if len(context) == 1 else (n2[context], t2[context], three[(*context, w)])
+        return (max(c - 0.75, 0) + 0.75 * t * p(context[1:], w)) / n if n else p(context[1:], w)
+
+    got = lm_score.scored(docs, docs.where("doc_id % 3 <> 0")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id is not None:
+            w = [None, *tokens(rows[r.doc_id][1])]
+            assert r.score == pytest.approx(sum(np.log10(p(tuple(w[max(0, i - 2):i]), w[i])) for i in range(1, len(w))), abs=1e-5)
+
+
 def test_elias_fano_and_trie():
     r = np.random.default_rng(1)
     x = np.sort(r.integers(0, 50_000, 3000))

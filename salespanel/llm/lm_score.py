@@ -66,22 +66,37 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.nd
             yield b, rows, np.concatenate(parts), np.cumsum([0] + [len(p) for p in parts[:-1]])
 
 
+def _narrowed(rows: DataFrame, key, low: int, high: int, most: int) -> tuple[int, int]:
+    """The least ``v`` in low..high so that at most ``most`` rows have a key
+    above it, and how many have; counts of 65,536 ranges of values at a time."""
+    above = 0
+    while low < high:
+        width = -(-(high - low + 1) // (1 << 16))
+        by = dict(rows.where(key.between(low, high)).groupBy(F.floor((key - low) / width).cast("long").alias("b")).count().collect())
+        for b in sorted(by, reverse=True):
+            if above + by[b] > most:
+                break
+            above += by[b]
+        else:
+            return low - 1, above
+        low, high = low + b * width, min(high, low + b * width + width - 1)
+    return low, above
+
+
 def most_frequent(counts: DataFrame, n: str, most: int, *more: str) -> tuple[np.ndarray, ...]:
-    """Hashes and counts (and ``more`` columns) of the most frequent rows,
-    ``most`` at most, by descending count: all from a count on that leaves no
-    more than that, found from the number of rows of each count, so that
-    nothing is sorted."""
-    cut = 1 << 16
-    by = dict(counts.groupBy(F.least(F.col(n), F.lit(cut)).alias("c")).count().collect())  # at most ``cut`` rows
-    total, lowest = 0, None
-    for c in sorted(by, reverse=True):
-        total += by[c]
-        if total > most:
-            break
-        lowest = c
-    if lowest is None:
+    """Hashes and counts (and ``more`` columns) of the most frequent rows, ``most`` at most, by
+    descending count: the cut is found exactly from numbers of rows by ranges
+    of counts, and ties at the cut by ranges of hashes, so that nothing is sorted."""
+    top = counts.agg(F.max(n)).first()[0]
+    if top is None or most <= 0:
         return tuple(np.zeros(0, np.int64) for _ in ("h", n, *more))
-    got = [x.to_numpy() for x in counts.where(F.col(n) >= lowest).select("h", n, *more).toArrow().columns]
+    cut, above = _narrowed(counts, F.col(n), 1, top, most)
+    keep = F.col(n) > cut
+    if cut >= 1:
+        tie = F.shiftrightunsigned("h", 16)
+        after, _ = _narrowed(counts.where(F.col(n) == cut), tie, 0, (1 << 48) - 1, most - above)
+        keep = keep | ((F.col(n) == cut) & (tie > after))
+    got = [x.to_numpy() for x in counts.where(keep).select("h", n, *more).toArrow().columns]
     order = np.lexsort((got[0], -got[1]))
     return tuple(x[order] for x in got)
 

@@ -167,6 +167,14 @@ def test_language_model_counts_every_word_pair_and_triple(docs, rows, dictionary
             assert r.score == pytest.approx(sum(np.log10(p(tuple(w[max(0, i - 2):i]), w[i])) for i in range(1, len(w))), abs=1e-5)
 
 
+def test_most_frequent_words_are_cut_exactly(spark):
+    counts = spark.createDataFrame([(i - 30, c) for i, c in enumerate([70_000 + i for i in range(40)] + [5] * 20)], "h long, c long")
+    for most in (0, 7, 40, 60, 100):  # all of the first 40 lie above 65,536
+        assert lm_score.most_frequent(counts, "c", most)[1].tolist() == sorted([70_000 + i for i in range(40)] + [5] * 20)[::-1][:most]
+    spread = spark.createDataFrame([(int(x), 90_000) for x in np.random.default_rng(2).integers(-2 ** 62, 2 ** 62, 50)], "h long, c long")
+    assert len(lm_score.most_frequent(spread, "c", 20)[0]) == 20
+
+
 def test_elias_fano_and_trie():
     r = np.random.default_rng(1)
     x = np.sort(r.integers(0, 50_000, 3000))

@@ -14,17 +14,22 @@ def is_held_out(doc_id):
     return held_out(doc_id, FOLDS, HELD_OUT_FOLD)
 
 
+def given(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of every labelled document that is not held out. One
+    with several labels counts as positive if one is; a null label is none."""
+    return keep_columns(labels, {"doc_id": "long", label: "int"}).where(F.col(label).isNotNull()).where(
+        ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("label"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> DataFrame:
     """(doc_id, text, lang, label) of at most ``per_class`` documents a class,
     none held out and none above ``max_chars`` characters, chosen by a hash of
-    the id. A document with several labels counts as positive if one is; a
-    null label is none."""
+    the id."""
     own = keep_columns(docs, {"doc_id": "long", "text": "string", "lang": "string"}).where(
         F.char_length(F.coalesce("text", F.lit(""))) <= max_chars)
-    given = keep_columns(labels, {"doc_id": "long", label: "int"}).where(F.col(label).isNotNull()).where(
-        ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("label"))
+    labelled = given(labels, label)
     order = F.xxhash64(F.lit("sample"), F.col("doc_id"))
     # at most 2 * per_class ids go out to the scan of the documents
-    chosen = given.where(F.col("label") == 1).orderBy(order).limit(per_class).unionByName(
-        given.where(F.col("label") == 0).orderBy(order).limit(per_class))
+    chosen = labelled.where(F.col("label") == 1).orderBy(order).limit(per_class).unionByName(
+        labelled.where(F.col("label") == 0).orderBy(order).limit(per_class))
     return own.join(F.broadcast(chosen), "doc_id")

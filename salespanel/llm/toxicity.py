@@ -2,9 +2,12 @@
 
 Words hash to embeddings; filters of several widths slide over the whole text,
 each keeping its largest response, and a logistic layer weighs these. It is
-trained in numpy on a bounded sample of labelled documents. A part of the
-sample, not trained on, calibrates the scores so that 0.5 parts the classes
-best, and a threshold for every language with enough positives.
+trained in numpy on a bounded sample of labelled documents. All others that are
+labelled and not held out, of any length and number, are scored in Spark and
+counted by language, label and score; each count stands for its share of all
+labelled documents of its language and label, so the mix of the classes is
+theirs at every size. These counts calibrate the scores so that 0.5 parts the
+classes best, and a threshold for every language with enough positives.
 
 Defined results: null and empty texts are scored as empty; equal texts have
 equal scores; without labels of both classes every score is 0 and nothing is
@@ -20,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salespanel.llm.common import keep_columns, table
-from salespanel.llm.labelled import is_held_out, sample
+from salespanel.llm.common import broadcast_if_small, keep_columns, table, written
+from salespanel.llm.labelled import given, is_held_out, sample
 
 SAMPLE_PER_CLASS = 5000
 SAMPLE_MAX_CHARS = 12_000
@@ -38,6 +41,8 @@ THRESHOLD = 0.5
 LANGUAGE_POSITIVES = 15
 #: Words handled at once; longer texts go block by block, overlapping by the widest filter.
 BLOCK = 1 << 15
+#: Margins are counted in bins of 1 / FINE.
+FINE = 256
 _EDGE = b".,;:!?\"'()[]{}|*%&$#-"
 
 
@@ -167,42 +172,77 @@ def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 11) -> dict:
     return m | {"e": full, "c": float(bias[0])}
 
 
-def _best_threshold(margin: np.ndarray, y: np.ndarray) -> float:
-    """The margin that parts the classes with the best F1, midway in its gap."""
-    order = np.argsort(-margin, kind="stable")
-    hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + max(1, y.sum()))
+def _best_threshold(bins: np.ndarray, weight: np.ndarray, y: np.ndarray) -> float:
+    """The margin that parts the classes with the best F1, midway between two
+    bins; rows are (bin of margins, weight, label)."""
+    one, where = np.unique(-bins, return_inverse=True)  # the highest first
+    all_, hit = np.bincount(where, weight), np.bincount(where, weight * y)
+    f1 = 2 * np.cumsum(hit) / (np.cumsum(all_) + hit.sum())
     at = int(f1.argmax())
-    below = margin[order[at + 1]] if at + 1 < len(y) else margin[order[at]] - 1
-    return float((margin[order[at]] + below) / 2)
+    low = -one[at] / FINE
+    return float((low + (1 - one[at + 1]) / FINE) / 2) if at + 1 < len(one) else float(low - 1)
+
+
+def calibration(docs: DataFrame, labels: DataFrame, model: dict, fitted: list[int]) -> pd.DataFrame:
+    """(lang, label, bin, n, weight, overall): how many labelled documents,
+    neither held out nor fitted on, have a margin in each bin; weights sum to
+    the numbers of all labelled documents of a language and label, the fitted
+    ones too, and overall weights to those of a label. Of repeated rows of an
+    id one counts."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("long")
+    def bin_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        buckets = _Buckets()
+        for texts in parts:
+            yield pd.Series([int(np.floor(margins(shared.value, [tokens(t, buckets)])[0] * FINE)) for t in texts.where(texts.notna(), None)],
+                            dtype="int64")
+
+    known = spark.createDataFrame([(i,) for i in fitted], "doc_id long").withColumn("fitted", F.lit(True))
+    marked = written(spark, given(labels, "toxic").join(F.broadcast(known), "doc_id", "left"), "toxicity-labels")
+    own = keep_columns(docs, {"doc_id": "long", "text": "string", "lang": "string"}).join(broadcast_if_small(marked, 16), "doc_id")
+    # a fitted document is counted, not scored
+    scored = own.withColumn("text", F.when(F.col("fitted").isNull(), F.col("text"))).withColumn("bin", bin_of("text")).select(
+        "doc_id", "label", "fitted", F.struct(F.xxhash64("text").alias("h"), "lang", "bin").alias("row"))
+    rows = scored.groupBy("doc_id", "label", "fitted").agg(F.min("row").alias("row")).groupBy(
+        F.col("row.lang").alias("lang"), "label", F.col("fitted").isNull().alias("free"), F.col("row.bin").alias("bin")).agg(
+        F.count("*").alias("n")).toPandas()
+    rows["lang"] = rows["lang"].astype(object).where(rows["lang"].notna(), None)
+    rows["of"] = [(x is not None, x or "", y) for x, y in zip(rows["lang"], rows["label"], strict=True)]
+    free = rows[rows["free"]].copy()
+    free["weight"] = free["n"] * free["of"].map(rows.groupby("of")["n"].sum() / free.groupby("of")["n"].sum())
+    # languages of which all of a label was fitted on are made up for by the others
+    free["overall"] = free["weight"] * free["label"].map(rows.groupby("label")["n"].sum() / free.groupby("label")["weight"].sum())
+    return free.sort_values(["bin", "label"], kind="stable")[["lang", "label", "bin", "n", "weight", "overall"]].reset_index(drop=True)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> dict | None:
     """The model, calibrated: margins are shifted so that 0 (a score of 0.5)
     parts the classes; ``by_lang`` has the languages' own score thresholds."""
-    rows = sample(docs, labels, "toxic", per_class, SAMPLE_MAX_CHARS).select("doc_id", "text", "lang", "label").toPandas()
+    rows = sample(docs, labels, "toxic", per_class, SAMPLE_MAX_CHARS).select("doc_id", "text", "label").toPandas()
     rows = rows.sort_values(["doc_id", "text"], na_position="first", kind="stable").reset_index(drop=True)
     y = rows["label"].to_numpy(float)
     if len(set(y.tolist())) < 2:
         return None
-    buckets = _Buckets()
-    ids = [tokens(t, buckets) for t in rows["text"].where(rows["text"].notna(), None)]
-    turn = np.zeros(len(y), int)  # every fifth document of a class calibrates
+    turn = np.zeros(len(y), int)  # every fifth document of a class is left to calibrate
     for label in (0, 1):
         turn[y == label] = np.arange((y == label).sum()) % 5
-    fitting, checking = np.flatnonzero(turn != 4), np.flatnonzero(turn == 4)
-    m = fit([ids[i] for i in fitting], y[fitting])
-    if not 0 < y[checking].sum() < len(checking):
+    left = set(rows["doc_id"][turn == 4])
+    fitting = np.flatnonzero(~rows["doc_id"].isin(left))
+    buckets = _Buckets()
+    m = fit([tokens(t, buckets) for t in rows["text"].where(rows["text"].notna(), None).iloc[fitting]], y[fitting])
+    got = calibration(docs, labels, m, sorted({int(i) for i in rows["doc_id"].iloc[fitting]}))
+    bins, weight, y = (got[x].to_numpy() for x in ("bin", "weight", "label"))
+    if not 0 < y.sum() < len(y):
         return m | {"by_lang": {}}
-    margin = margins(m, [ids[i] for i in checking])
-    shift = _best_threshold(margin, y[checking])
+    shift = _best_threshold(bins, got["overall"].to_numpy(), y)
     m["c"] -= shift
-    margin, lang = margin - shift, rows["lang"].to_numpy()[checking]
     by_lang = {}
-    for one in sorted({x for x in lang if isinstance(x, str)}):
-        own = lang == one
-        if y[checking][own].sum() >= LANGUAGE_POSITIVES and (y[checking][own] == 0).any():
-            by_lang[one] = float(_sigmoid(_best_threshold(margin[own], y[checking][own])))
+    for one in sorted({x for x in got["lang"] if isinstance(x, str)}):
+        own = (got["lang"] == one).to_numpy()
+        if got["n"].to_numpy()[own & (y == 1)].sum() >= LANGUAGE_POSITIVES and (y[own] == 0).any():
+            by_lang[one] = float(_sigmoid(_best_threshold(bins[own], weight[own], y[own]) - shift))
     return m | {"by_lang": by_lang}
 
 

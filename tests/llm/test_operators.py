@@ -4,6 +4,7 @@ nulls, empty and long texts, repeated rows, clashing extra columns."""
 import collections
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -206,6 +207,25 @@ def test_classifiers_learn():
     assert s[:40].max() < s[40:80].min() and len(s) == 82
 
 
+def test_toxicity_thresholds_keep_the_mix_of_all_labels(spark):
+    r = random.Random(8)
+    plain = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(20))
+    made = [(plain() + " scoundrel", 1) for _ in range(60)] + [(plain(), 0) for _ in range(200)]
+    made += [("a rogue spoke", int(i % 9 == 0)) for i in range(540)] + [("a rogue spoke " * 1000, 0) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, "en") for i, (t, _) in enumerate(made)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(made)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, 60)  # 1 of 9 rogues is toxic, but half of those in the sample
+    score = toxicity.predict(model, ["a rogue spoke", plain() + " scoundrel"])
+    assert score[0] < min(0.5, model["by_lang"]["en"]) and score[1] >= 0.5
+    got = toxicity.calibration(docs, labels, model, [])
+    known = [y for i, (_, y) in enumerate(made) if zlib.crc32(str(i).encode()) % 5]
+    assert got["n"].sum() == len(known) and got["weight"][got["label"] == 1].sum() == sum(known)
+    fitted = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    got = toxicity.calibration(docs, labels, model, fitted)
+    assert got["n"].sum() == len(known) - len(fitted) and got["weight"].sum() == pytest.approx(len(known))
+    assert got["overall"].sum() == pytest.approx(len(known))
+
+
 def test_pages(spark):
     page = "<html><body><nav><a>menu</a></nav><div class='ad'>buy</div><article><h1>T &amp; U</h1><p>a  b<p><b>c<br>d</article><footer>f</footer>"
     got = pages.with_main_text(spark.createDataFrame(

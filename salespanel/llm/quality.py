@@ -5,7 +5,8 @@ structure statistics and its length, each statistic as the bin it falls in.
 The machine weighs every feature and, through a short vector each, every pair
 of features; the sum over all pairs is had in linear time as half the square
 of the sum less the sum of the squares. It learns in numpy from a bounded
-sample of labelled documents and is broadcast for scoring.
+sample of labelled documents and is broadcast for scoring. Its intercept is
+set from the sample's odds of the classes to those of all training labels.
 
 Defined results: null and empty texts are scored by their (zero) statistics;
 equal texts have equal scores; with no label to learn from, every score is
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salespanel.llm.common import keep_columns, table, words_of
-from salespanel.llm.labelled import is_held_out, sample
+from salespanel.llm.labelled import given, is_held_out, sample
 
 SAMPLE_PER_CLASS = 4000
 SAMPLE_MAX_CHARS = 40_000
@@ -147,7 +148,13 @@ def predict(model: dict | None, texts) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> dict | None:
     rows = sample(docs, labels, "quality", per_class, SAMPLE_MAX_CHARS).select("text", "label").toPandas()
     rows = rows.sort_values(["label", "text"], na_position="first", kind="stable")
-    return fit(rows["text"].where(rows["text"].notna(), None).tolist(), rows["label"].to_numpy(float))
+    y = rows["label"].to_numpy(float)
+    model = fit(rows["text"].where(rows["text"].notna(), None).tolist(), y)
+    if model is None:
+        return None
+    all_, good = given(labels, "quality").join(docs.select(F.col("doc_id").cast("long")), "doc_id", "left_semi").agg(
+        F.count("*"), F.sum((F.col("label") == 1).cast("long"))).first()
+    return model | {"w0": model["w0"] + float(np.log(good / (all_ - good)) - np.log(y.sum() / (len(y) - y.sum())))}
 
 
 def with_quality(docs: DataFrame, model: dict | None, column: str = "_quality") -> DataFrame:

@@ -226,6 +226,18 @@ def test_toxicity_thresholds_keep_the_mix_of_all_labels(spark):
     assert got["overall"].sum() == pytest.approx(len(known))
 
 
+def test_quality_has_the_odds_of_all_labels(spark):
+    made = [(i, f"good text {i}" if i % 7 else f"BAD!! {i}", int(i % 7 > 0)) for i in range(500)]
+    docs = spark.createDataFrame([x[:2] + ("en",) for x in made], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(x[0], x[2]) for x in made] + [(9_999, 1)], "doc_id long, quality int")  # no such document
+    known = [y for i, _, y in made if zlib.crc32(str(i).encode()) % 5]
+    rows = quality.sample(docs, labels, "quality", 20, 1000).toPandas().sort_values(["label", "text"])
+    assert rows["label"].sum() == 20 and len(rows) == 40
+    plain = quality.fit(rows["text"].tolist(), rows["label"].to_numpy(float))
+    got = quality.train(docs, labels, 20)
+    assert got["w0"] - plain["w0"] == pytest.approx(np.log(sum(known) / (len(known) - sum(known))))
+
+
 def test_pages(spark):
     page = "<html><body><nav><a>menu</a></nav><div class='ad'>buy</div><article><h1>T &amp; U</h1><p>a  b<p><b>c<br>d</article><footer>f</footer>"
     got = pages.with_main_text(spark.createDataFrame(

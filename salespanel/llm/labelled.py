@@ -24,7 +24,7 @@ def given(labels: DataFrame, label: str) -> DataFrame:
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> DataFrame:
     """(doc_id, text, lang, label) of at most ``per_class`` documents a class,
     none held out and none above ``max_chars`` characters, chosen by a hash of
-    the id."""
+    the id, one row an id."""
     own = keep_columns(docs, {"doc_id": "long", "text": "string", "lang": "string"}).where(
         F.char_length(F.coalesce("text", F.lit(""))) <= max_chars)
     labelled = given(labels, label)
@@ -32,4 +32,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_c
     # at most 2 * per_class ids go out to the scan of the documents
     chosen = labelled.where(F.col("label") == 1).orderBy(order).limit(per_class).unionByName(
         labelled.where(F.col("label") == 0).orderBy(order).limit(per_class))
-    return own.join(F.broadcast(chosen), "doc_id")
+    # of an id's rows the one with the smallest hash of its text
+    return own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(
+        F.min(F.struct(F.xxhash64("text").alias("h"), "text", "lang")).alias("row")).select("doc_id", "row.text", "row.lang", "label")

@@ -238,6 +238,15 @@ def test_quality_has_the_odds_of_all_labels(spark):
     assert got["w0"] - plain["w0"] == pytest.approx(np.log(sum(known) / (len(known) - sum(known))))
 
 
+def test_sample_has_one_row_an_id(spark):
+    docs = spark.createDataFrame([(i, t, "en") for i in range(30) for t in [f"text {i}"] * (500 if i == 7 else 1) + ["other"] * (i == 8)],
+                                 "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels, "toxic", 10, 1000).collect()
+    assert len(got) == len({r.doc_id for r in got}) and {7, 8} <= {r.doc_id for r in toxicity.sample(docs, labels, "toxic", 30, 1000).collect()}
+    assert len(toxicity.sample(docs, labels, "toxic", 30, 1000).collect()) == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(30))
+
+
 def test_pages(spark):
     page = "<html><body><nav><a>menu</a></nav><div class='ad'>buy</div><article><h1>T &amp; U</h1><p>a  b<p><b>c<br>d</article><footer>f</footer>"
     got = pages.with_main_text(spark.createDataFrame(

@@ -119,7 +119,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """doc_id, cls, n, counts, first of every document; cls is null without shingles."""
+    """doc_id, text_hash, cls, n, counts, first of every document; cls is null without shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,10 +132,11 @@ def signatures(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 counts.append(counts_of(s, groups_for(len(s))).tobytes())
                 first.append(first_shingles(s, shared.value) if len(s) else s)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(counts, pa.binary()), _lists(first)],
-                ["doc_id", "cls", "n", "counts", "first"])
+                [b.column("doc_id"), b.column("text_hash"), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(counts, pa.binary()), _lists(first)],
+                ["doc_id", "text_hash", "cls", "n", "counts", "first"])
 
-    return docs.mapInArrow(sign, "doc_id long, cls long, n long, counts binary, first array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        sign, "doc_id long, text_hash long, cls long, n long, counts binary, first array<long>")
 
 
 class _Run:
@@ -378,7 +379,7 @@ def _tile_jobs(tiles: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, cls, n) of every row, and links (a, b) between classes that make up all components."""
+    """(doc_id, text_hash, cls, n) of every row, and links (a, b) between classes that make up all components."""
     spark = docs.sparkSession
     own = keep_columns(docs, {"doc_id": "long", "text": "string"})
     signed = written(spark, signatures(own, common_shingles(own)), "join-signatures")
@@ -398,7 +399,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not large.isEmpty():
         tiles = written(spark, _tiled(large), "join-tiles")
         found += _large_links(spark, tiles)
-    return signed.select("doc_id", "cls", "n"), _union(found)
+    return signed.select("doc_id", "text_hash", "cls", "n"), _union(found)
 
 
 def _union(dfs: list[DataFrame]) -> DataFrame:
@@ -439,35 +440,50 @@ def _large_links(spark, tiles: DataFrame) -> list[DataFrame]:
     return [first, written(spark, _work(_tile_jobs(both, against)), "join-links")]
 
 
-def with_component(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and component (null without
+    shingles) of every row; components of different texts that share their
+    smallest id have one component_id, but each its own component."""
     rows, found = links(docs)
     reps = rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"))
     joined = components(found)
     named = reps.join(joined, F.col("cls") == F.col("node"), "left").select(
         "cls", "rep", F.coalesce("component", "cls").alias("component"))
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(lowest, "component").select("cls", "component_id")
-    shown = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
+    named = named.join(lowest, "component").select("cls", "component", "component_id")
+    shown = ["doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "component"]
     return rows.where(F.col("cls").isNotNull()).join(named, "cls").select(*shown).unionByName(
-        rows.where(F.col("cls").isNull()).withColumn("component_id", F.col("doc_id")).select(*shown))
+        rows.where(F.col("cls").isNull()).withColumn("component_id", F.col("doc_id")).withColumn(
+            "component", F.lit(None).cast("long")).select(*shown))
+
+
+def with_component(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    return _placed(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component, the one with the smallest id
-    (of equal ids any one); documents without id stay."""
+    (of equal ids the one with the smallest hash of its text, of equal rows
+    any one); documents without id stay. Rows are told apart by id and text."""
     spark = docs.sparkSession
-    found = written(spark, with_component(docs), "join-components")
-    gone = written(spark, found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("k_id")).distinct(), "join-gone")
-    own = F.col("doc_id").cast("long")
-    kept = docs.join(broadcast_if_small(gone, 16), own == F.col("k_id"), "left_anti")
-    again = written(spark, found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("k_id")).count().where(
-        "count > 1").select("k_id"), "join-again")
+    found = written(spark, _placed(docs), "join-components")
+    first = written(spark, found.where(F.col("doc_id") == F.col("component_id")).groupBy(
+        F.col("doc_id").alias("k_id"), F.col("component").alias("k_component")).agg(
+        F.min("text_hash").alias("k_hash"), F.max("text_hash").alias("last"), F.count("*").alias("rows")).where("rows > 1"), "join-first")
+    several = first.where("k_hash <> last").select("k_id", "k_component", F.col("k_hash").alias("least"))
+    others = found.join(broadcast_if_small(several, 24), (F.col("doc_id") == F.col("k_id")) & F.col("component").eqNullSafe(F.col("k_component"))).where(
+        F.col("text_hash") != F.col("least"))
+    gone = written(spark, found.where(F.col("doc_id") != F.col("component_id")).unionByName(others.select(*found.columns)).select(
+        F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).distinct(), "join-gone")
+    same = (F.col("doc_id").cast("long") == F.col("k_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("k_hash"))
+    kept = docs.join(broadcast_if_small(gone, 24), same, "left_anti")
+    again = first.select("k_id", "k_hash")
     if again.isEmpty():
         return kept
-    again = broadcast_if_small(again, 16)
-    return kept.join(again, own == F.col("k_id"), "left_anti").unionByName(
-        kept.join(again, own == F.col("k_id"), "left_semi").dropDuplicates(["doc_id"]))
+    again = broadcast_if_small(again, 24)
+    return kept.join(again, same, "left_anti").unionByName(
+        kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def query(spark, sf_dir) -> DataFrame:

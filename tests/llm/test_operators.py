@@ -67,6 +67,14 @@ def test_join_finds_all_components(docs, rows, tile, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({up[i] for i in sets})
 
 
+def test_one_of_each_tells_rows_of_an_id_apart(spark):
+    word = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    made = [(1, word("a", 60)), (2, word("a", 60) + " tail"), (2, word("b", 60)), (2, word("b", 60)), (3, word("c", 60)), (3, word("d", 60)),
+            (4, word("e", 60)), (4, word("e", 60) + " tail"), (5, None), (5, ""), (5, word("d", 60) + " tail")]
+    got = ngram_join.one_of_each(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, (r.text or "")[:1]) for r in got) == [(1, "a"), (2, "b"), (3, "c"), (3, "d"), (4, "e"), (5, "")]
+
+
 def test_substring_matches_brute_force(docs, rows):
     counts = collections.Counter(tuple(w[i:i + 35]) for r in rows for w in [_words(r[1])] for i in range(len(w) - 34))
     want = []

@@ -316,7 +316,7 @@ def _oracle(heights: int = 8, top_heights: int = 4) -> str:
         "marked AS (SELECT *, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: "
         "CAST(ascii(d) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM documents, crc_table)",
         f"given AS (SELECT coalesce('=' || lang, '-') AS tree, doc_id, {leaf('text')} AS leaf, "
-        f"{leaf('lowered')} AS claimed FROM (SELECT *, CASE WHEN crc % 3 = 0 THEN translate(text, '{UPPER}', '{LOWER}') ELSE text END AS lowered FROM marked))",
+        f"{leaf('lowered')} AS claimed FROM (SELECT *, CASE WHEN doc_id IS NOT NULL AND crc % 3 = 0 THEN translate(text, '{UPPER}', '{LOWER}') ELSE text END AS lowered FROM marked))",
         "l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM given)",
         "n0 AS (SELECT tree, i, leaf AS node FROM l)"]
 

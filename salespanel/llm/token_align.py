@@ -28,6 +28,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ TOKENIZERS = "/opt/tokenizers"
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Text bytes that are encoded and aligned at a time.
 STEP_BYTES = 1 << 20
+#: Units (mostly words) whose ids a Python worker remembers, and those it encodes in one call.
+KNOWN_UNITS, UNITS_AT_ONCE = 400_000, 4096
 #: Reckoned bytes of a pair in a broadcast (key, count, flag, and the hash table's own).
 PAIR_BYTES = 64
 #: Copies of the pair table that the documents' pairs are dealt over if it can't be broadcast.
@@ -80,17 +83,75 @@ class Pair:
             bytes_b.append(bytes([int(single[1], 16)]) if single else piece.replace("▁", " ").encode("utf-8"))
         self.bytes_of = (bytes_a, bytes_b)
         self.lengths = tuple(np.array([len(x) for x in t], np.int64) for t in self.bytes_of)
-        self.shown = tuple([f"{i}{s}" for i in range(len(t)) for s in SEPARATORS] for t in self.bytes_of)
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and B for each text; both empty where their bytes are not a space and the text."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        for k, text in enumerate(texts):
-            want = (" " + text).encode("utf-8", "surrogatepass") if text else None
-            if any(b"".join(map(of.__getitem__, ids)) != want for of, ids in zip(self.bytes_of, (a[k], b[k]))):
-                a[k] = b[k] = []
-        return a, b
+        # ids of both sides as text with each separator, B's behind A's
+        self.shown = [f"{i}{s}" for t in self.bytes_of for i in range(len(t)) for s in SEPARATORS]
+        # A cuts before a space and an ASCII letter, digit or mark, whatever lies around; so does B if none of its
+        # pieces has a space behind another character. Else texts are encoded as they are.
+        self.cuts = type(self.a.pre_tokenizer).__name__ == "ByteLevel" and self.a.normalizer is None and not any(
+            re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
+        self.units = re.compile(r" (?=[!-~])(?<=[^ ▁] )" if self.cuts else r"(?!)").split
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memory of units: their numbers, their ids laid end to
+        end on each side, and which are odd (their bytes, for A or B, are not a space and the unit)."""
+        self.number: dict[str, int] = {}
+        self.ids = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.sizes = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.odd = np.zeros(0, bool)
+
+    def _same(self, want: bytes, *sides: list[int]) -> bool:
+        return all(b"".join(map(of.__getitem__, ids)) == want for of, ids in zip(self.bytes_of, sides))
+
+    def _apart(self, units: list[str]):
+        """(ids, sizes of each unit) of both sides, and which units are odd."""
+        a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
+        b = self.b.encode(units, num_threads=1)
+        odd = [not self._same((" " + u).encode("utf-8", "surrogatepass"), x, y) for u, x, y in zip(units, a, b)]
+        return [(np.array(list(chain.from_iterable(s)), np.int64), np.array([len(x) for x in s])) for s in (a, b)], odd
+
+    def _joined(self, units: list[str]):
+        """The same for units that are cut from each other wherever they meet: encoded as one text whose tokens are cut at their ends."""
+        text = " ".join(units)
+        sides = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
+        if not self._same((" " + text).encode("utf-8", "surrogatepass"), *sides):
+            return self._apart(units)  # one of them is odd
+        ends = np.cumsum([1 + len(u.encode("utf-8")) for u in units])
+        found = []
+        for ids, lengths in zip((np.array(s) for s in sides), self.lengths):
+            found.append((ids, np.diff(np.searchsorted(np.cumsum(lengths[ids]), ends) + 1, prepend=0)))
+        return found, [False] * len(units)
+
+    def _learn(self, units: set[str]) -> None:
+        apart = [u for u in units if not (self.cuts and "!" <= u[:1] <= "~" and u[-1] not in " ▁")]
+        found = []
+        for how, some in ((self._apart, apart), (self._joined, list(units.difference(apart)))):
+            for k in range(0, len(some), UNITS_AT_ONCE):
+                few = some[k:k + UNITS_AT_ONCE]
+                self.number.update(zip(few, range(len(self.number), len(self.number) + len(few))))
+                found.append(how(few))
+        for s in (0, 1):
+            self.ids[s] = np.concatenate([self.ids[s], *[f[s][0] for f, _ in found]])
+            self.sizes[s] = np.concatenate([self.sizes[s], *[f[s][1] for f, _ in found]])
+        self.odd = np.concatenate([self.odd, *[np.array(o, bool) for _, o in found]])
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and B, all ids of the texts in order, and the text of each; a
+        text has none where their bytes are not a space and the text."""
+        units = [self.units(t) if t else [] for t in texts]
+        if len(self.number) > KNOWN_UNITS:
+            self.forget()
+        self._learn(set().union(*units).difference(self.number))
+        unit = np.fromiter(map(self.number.__getitem__, chain.from_iterable(units)), np.int64)
+        doc = np.repeat(np.arange(len(texts)), [len(us) for us in units])
+        whole = ~np.isin(doc, doc[self.odd[unit]])
+        unit, doc = unit[whole], doc[whole]
+        out = []
+        for ids, sizes in zip(self.ids, self.sizes):
+            n = sizes[unit]
+            first = (np.cumsum(sizes) - sizes)[unit]
+            out.append((ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())], np.repeat(doc, n)))
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -150,15 +211,13 @@ class Alignment:
 
     def group_texts(self, pair: Pair) -> list[str]:
         """Each text's groups as ``a1,a2|b1;a3|b2,b3``; empty without tokens."""
-        na = len(self.ids[0])
-        side, group = np.repeat((0, 1), [na, len(self.ids[1])]), np.concatenate(self.group)
+        side, group = np.repeat((0, 1), [len(x) for x in self.ids]), np.concatenate(self.group)
         order = np.lexsort((side, group))
         side, group, doc = side[order], group[order], np.concatenate(self.docs)[order]
         separator = np.full(len(order), 3)
-        separator[:-1] = np.where(doc[1:] != doc[:-1], 3, np.where(group[1:] != group[:-1], 2, (side[1:] != side[:-1]).astype(int)))
-        code = (np.concatenate(self.ids)[order] * len(SEPARATORS) + separator).tolist()
-        of = pair.shown
-        shown = [of[s][c] for s, c in zip(side.tolist(), code)]
+        separator[:-1] = np.where(doc[1:] != doc[:-1], 3, np.where(group[1:] != group[:-1], 2, side[1:] != side[:-1]))
+        ids = np.concatenate((self.ids[0], self.ids[1] + len(pair.bytes_of[0])))[order]
+        shown = list(map(pair.shown.__getitem__, (ids * len(SEPARATORS) + separator).tolist()))
         ends = np.cumsum(self.per_doc(doc)).tolist()
         return ["".join(shown[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
 
@@ -174,11 +233,10 @@ class Alignment:
 def align(texts: list[str], pair: Pair) -> Alignment:
     """Encodes and aligns a block of texts."""
     starts, ends, docs, ids = [], [], [], []
-    for lengths, encoded in zip(pair.lengths, pair.encode(texts)):
-        flat = np.fromiter((t for e in encoded for t in e), np.int64, sum(map(len, encoded)))
+    for lengths, (flat, doc) in zip(pair.lengths, pair.encode(texts)):
         end = np.cumsum(lengths[flat])
         ids.append(flat)
-        docs.append(np.repeat(np.arange(len(texts)), [len(e) for e in encoded]))
+        docs.append(doc)
         starts.append(end - lengths[flat])
         ends.append(end)
     side = np.repeat((0, 1), [len(x) for x in ids])

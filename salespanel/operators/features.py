@@ -10,13 +10,10 @@ large the table grows.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salespanel.operators.quantiles import exact_quantiles
-from salespanel.session import scratch_dir
+from salespanel.operators.quantiles import WALK, quantiles_of_counts, stored, widest
 from salespanel.schemas import (
     ECONOMIC_COLUMNS,
     ENGINEERED_COLUMNS,
@@ -99,33 +96,35 @@ def value_histogram(df: DataFrame, cols) -> DataFrame:
               .groupBy("column", "Store", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _fill_values(hist: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per-store medians (column, Store, store_median) and the global medians
-    of the store-filled columns (column, global_median), from one histogram.
+class _Fill:
+    """The medians that fill gaps, from one histogram written to the scratch
+    folder; both are lazy. A second job sizes its groups if it has more rows
+    than are walked at once."""
+
+    def __init__(self, fit: DataFrame, cols):
+        hist, n = stored(value_histogram(fit, cols), "histogram")
+        self.hist = hist.withColumnRenamed("n", "__w")
+        self.by_store = widest(hist, ["column", "Store"], n, WALK)
+        self.by_column = widest(hist, ["column"], n, WALK)
+        self.seen = self.hist.filter(F.col("value").isNotNull())
 
-    The histogram is written once to the scratch folder and read by both
-    quantile steps (the global one sees the same values plus one gap entry
-    per store)."""
-    spark = hist.sparkSession
-    path = f"{scratch_dir(spark)}/histogram/{uuid.uuid4().hex}"
-    hist.write.parquet(path)
-    hist = spark.read.schema(hist.schema).parquet(path)
+    def store_medians(self) -> DataFrame:
+        """column, Store, store_median"""
+        return quantiles_of_counts(self.seen, "value", [0.5], ["store_median"], ["column", "Store"], self.by_store)
 
-    seen = hist.filter(F.col("value").isNotNull())
-    med = exact_quantiles(seen, "value", [0.5], ["store_median"], groups=["column", "Store"], weight="n")
-    gaps = hist.filter(F.col("value").isNull()).select("column", "Store", F.col("n").alias("gaps"))
-    filled_gaps = (gaps.join(med, ["column", "Store"])
-                       .select("column", F.col("store_median").alias("value"), F.col("gaps").alias("n")))
-    filled = seen.select("column", "value", "n").unionByName(filled_gaps)
-    glob = exact_quantiles(filled, "value", [0.5], ["global_median"], groups=["column"], weight="n")
-    return med, glob
+    def global_medians(self, med: DataFrame) -> DataFrame:
+        """column, global_median of the store-filled column: the same values, plus each store's gaps at its median."""
+        gaps = self.hist.filter(F.col("value").isNull()).join(med, ["column", "Store"])
+        filled = self.seen.select("column", "value", "__w").unionByName(
+            gaps.select("column", F.col("store_median").alias("value"), "__w"))
+        return quantiles_of_counts(filled, "value", [0.5], ["global_median"], ["column"], self.by_column)
 
 
 def store_medians(df: DataFrame, cols=ECONOMIC_COLUMNS) -> DataFrame:
     """Per-store exact median of each economic column (nulls skipped), one
     row per store: Store, <col>_store_median ..."""
     present = [c for c in cols if c in df.columns]
-    med, _ = _fill_values(value_histogram(df, present))
+    med = _Fill(df, present).store_medians()
     return med.groupBy("Store").pivot("column", present).agg(F.first("store_median")) \
               .select("Store", *[F.col(c).alias(f"{c}_store_median") for c in present])
 
@@ -168,8 +167,12 @@ def impute_economic(df: DataFrame, cols=ECONOMIC_COLUMNS, fit: DataFrame | None
     if not present:
         return df
     fit = df if fit is None else fit
-    med, glob = (_approx_fill_values(fit, present, accuracy) if approx
-                 else _fill_values(value_histogram(fit, present)))
+    if approx:
+        med, glob = _approx_fill_values(fit, present, accuracy)
+    else:
+        fill = _Fill(fit, present)
+        med = fill.store_medians()
+        glob = fill.global_medians(med)
     med_w = (med.groupBy("Store").pivot("column", present).agg(F.first("store_median"))
                 .select("Store", *[F.col(c).alias(f"__sm_{c}") for c in present]))
     gm = glob.agg(F.struct(*[F.max(F.when(F.col("column") == c, F.col("global_median"))).alias(c)

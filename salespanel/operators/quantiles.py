@@ -3,21 +3,22 @@ without gathering a group's values into one task.
 
 ``percentile`` / ``median`` merge every distinct value of a group in one
 task: fine for small groups, unbounded for a global quantile or a hot group.
-The selection here narrows an interval around each wanted rank instead:
-
-1. value counts per (group, value), one aggregation with map-side combine,
-   written once to the shared folder;
-2. per group and wanted rank, the interval [least value, greatest value];
-3. while an interval holds more than ``WALK`` distinct values, it is cut into
-   ``SPLITS`` buckets of equal width (its two ends are buckets of their own, so
-   that an infinite end doesn't blur the others), the copies in each bucket are
-   counted, and the bucket that holds the rank becomes the interval;
-4. the at most ``WALK`` values left are walked in order up to the rank.
-
-A value's bucket depends on the value and its group's least and greatest ones
-alone, never on a sample or on where the row lies, so a recomputed or repeated
-stage gives the same answer. Every round reads the written counts and writes
-one row per group and rank; no task holds more than ``WALK`` values of a group.
+Here the value counts per (group, value) are written once, and the wanted
+ranks are found in them by radix selection. A double is read as digits of its
+sign, exponent and mantissa that order as the values do (a date as its day
+number):
+
+1. the copies under each first digit of a group (sign, exponent, 10 bits of
+   mantissa) are counted, and walked in order up to the wanted ranks;
+2. the same for the second digit (21 bits) among the values under those;
+3. and for the values themselves, which by then differ in 21 bits at most.
+
+A walk over one group is bounded by about 2^22 steps however many values the
+group has, and three of them settle any values, near to each other or many
+orders of magnitude apart. Groups of at most ``WALK`` distinct values need the
+last walk only; a second small job finds the widest one where all groups
+together have more. Apart from that and the written counts nothing runs until
+the result is asked for, and nothing is collected. The result depends on the values and their counts alone.
 
 Rank r (0-based) of the expanded rows is covered by a value with
 start <= r < end. With n rows, position = q * (n - 1), lo = floor, hi = ceil,
@@ -31,18 +32,18 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salespanel.session import scratch_dir
 
-# Distinct values of one group that one task may walk through in order.
+# Distinct values of one group that are walked without narrowing them first.
 WALK = 65_536
-# Buckets an interval is cut into.
-SPLITS = 1024
-# Intervals (one row per group and rank) up to this many are broadcast.
-BROADCAST_INTERVALS = 100_000
+# Bits of the mantissa in the first and the second digit.
+TOP_BITS, MIDDLE_BITS = 10, 21
+# The least and the greatest exponent of a finite double.
+LEAST_EXPONENT, GREATEST_EXPONENT = -1074, 1023
 
 
 def value_counts(df: DataFrame, value: str, groups: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -52,86 +53,95 @@ def value_counts(df: DataFrame, value: str, groups: Sequence[str] = (), weight:
               .groupBy(*groups, value).agg(F.sum(w).cast("long").alias("__w")))
 
 
-def _scratch(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the application's scratch folder, reread."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _within(vc: DataFrame, intervals: DataFrame, g: list[str], small: bool) -> DataFrame:
-    """The counted values inside their group's intervals, once per interval."""
-    iv = intervals.withColumnsRenamed({c: f"__of{i}" for i, c in enumerate(g)})
-    on = (F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))
-    for i, c in enumerate(g):
-        on = F.col(c).eqNullSafe(F.col(f"__of{i}")) & on
-    return vc.join(F.broadcast(iv) if small else iv, on).drop(*[f"__of{i}" for i in range(len(g))])
+def with_digits(rows: DataFrame, value: str) -> DataFrame:
+    """``rows`` with __d0 and __d1, the first two digits of a double (not
+    NaN): values order as (__d0, __d1, value). Dividing by a power of two and
+    cutting off bits are exact, so no digit is rounded."""
+    size, two = F.abs(F.col(value)), F.lit(2.0)
+    endless = F.col("__size") == F.lit(float("inf"))
+    near = F.floor(F.log2(F.when(~endless, F.col("__size")))).cast("int")  # may be one off beside a power of two
+    near = F.greatest(F.least(near, F.lit(GREATEST_EXPONENT)), F.lit(LEAST_EXPONENT))
+    e, power = F.col("__e"), F.pow(two, F.col("__e").cast("double"))
+    low, high = F.col("__size") < power, F.col("__size") >= power * 2
+    exact = F.when(low & (e > LEAST_EXPONENT), e - 1).when(high & (e < GREATEST_EXPONENT), e + 1).otherwise(e)
+    rows = rows.withColumn("__size", size).withColumn("__e", near).withColumn("__e", exact)
+    shown = (F.col("__size") / power - 1) * 2 ** TOP_BITS  # mantissa bits: the first digit's before the point
+    first = ((e - LEAST_EXPONENT + 1).cast("long") * 2 ** TOP_BITS) + F.floor("__m")
+    second = F.floor((F.col("__m") - F.floor("__m")) * 2 ** MIDDLE_BITS)
+    past = F.lit((GREATEST_EXPONENT - LEAST_EXPONENT + 2) * 2 ** TOP_BITS).cast("long")
+    sign = F.signum(F.col(value)).cast("int")
+    return (rows.withColumn("__m", F.when(~endless & (F.col("__size") > 0), shown).otherwise(F.lit(0.0)))
+                .withColumn("__d0", sign * F.when(endless, past).otherwise(first))
+                .withColumn("__d1", sign * second).drop("__size", "__e", "__m"))
+
+
+def _holding(counted: DataFrame, by: list[str], order: str, targets: Callable[[Column], Column]) -> DataFrame:
+    """Walks rows of ``__w`` copies in order within ``by`` and keeps, as
+    ``__at`` (__t, __r), each target whose rank the row's copies cover;
+    ``__off`` becomes the copies before the row."""
+    w = Window.partitionBy(*by)
+    ends = F.sum("__w").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    walked = targets(counted, w).withColumn("__end", F.col("__off") + ends)
+    start = F.col("__end") - F.col("__w")
+    held = F.filter("__targets", lambda t: (start <= t["__r"]) & (t["__r"] < F.col("__end")))
+    return walked.withColumn("__off", start).withColumn("__at", F.explode(held))
 
 
-def _bucket() -> Column:
-    v, lo, hi = F.col("__v"), F.col("__lo"), F.col("__hi")
-    share = F.try_divide(v / 2 - lo / 2, hi / 2 - lo / 2)  # halves: hi - lo may overflow
-    inner = F.floor(F.coalesce(F.nanvl(share, F.lit(0.0)), F.lit(0.0)) * SPLITS).cast("int")
-    return (F.when(v == lo, 0).when(v == hi, SPLITS + 1)
-             .otherwise(F.least(F.greatest(inner, F.lit(0)), F.lit(SPLITS - 1)) + 1))
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df`` as a table in the application's scratch folder, reread, and its number of rows."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}/{uuid.uuid4().hex}"
+    seen = Observation(name)
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
 
-def _holding_rank(rows: DataFrame, g: list[str], order: str) -> DataFrame:
-    """Of rows with ``__w`` copies each, the one per (group, target) whose
-    copies cover the rank; ``__off`` becomes the copies before it."""
-    w = Window.partitionBy(*g, "__t").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__end", F.col("__off") + F.sum("__w").over(w))
-    start = F.col("__end") - F.col("__w")
-    return rows.filter((start <= F.col("__r")) & (F.col("__r") < F.col("__end"))).withColumn("__off", start)
+def widest(counts: DataFrame, groups: Sequence[str], n: int, walk: int) -> int:
+    """The most rows that a group has; n, the rows of all, if that settles it."""
+    if n <= walk or not groups:
+        return n
+    return counts.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
 
 
-def _select(vc: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]], groups: Sequence[str],
-            walk: int) -> DataFrame:
-    """Per group: groups..., __n (its copies), and the value at each rank."""
-    is_date = isinstance(vc.schema[value].dataType, T.DateType)
-    v = F.unix_date(value).cast("double") if is_date else F.col(value).cast("double")
+def _select(counts: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]], groups: Sequence[str], narrow: bool) -> DataFrame:
+    """Per group: groups..., __n (its copies), and the value at each rank.
+    Values may be spread over several rows of ``counts``."""
+    is_date = isinstance(counts.schema[value].dataType, T.DateType)
     g = list(groups) or ["__all"]
     keys = [F.col(c) for c in groups] or [F.lit(0).alias("__all")]
-    vc = _scratch(vc.select(*keys, v.alias("__v"), "__w").filter(~F.isnan("__v")), "value-counts")
-
-    targets = F.explode(F.array(*[F.struct(F.lit(t).alias("__t"), fn(F.col("__n")).cast("long").alias("__r"))
-                                  for t, fn in ranks.items()]))
-    state = (vc.groupBy(*g).agg(F.sum("__w").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"),
-                                F.count(F.lit(1)).alias("__k"))
-               .withColumn("__off", F.lit(0).cast("long")).withColumn("t", targets).select("*", "t.*").drop("t"))
-    shown = state.columns
-    while True:
-        state = _scratch(state, "intervals")
-        settled = state.filter("__lo = __hi")
-        open_ = state.filter("__lo < __hi")
-        n_open, widest = open_.agg(F.count(F.lit(1)), F.max("__k")).first()
-        if not n_open or widest <= walk:
-            break
-        buckets = (_within(vc, open_, g, n_open <= BROADCAST_INTERVALS).groupBy(*g, "__t", _bucket().alias("__b"))
-                   .agg(F.sum("__w").alias("__w"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"),
-                        F.count(F.lit(1)).alias("__k"), *[F.max(c).alias(c) for c in ("__n", "__off", "__r")]))
-        state = settled.unionByName(_holding_rank(buckets, g, "__b").select(*shown))
-
-    found = settled.select(*g, "__n", "__t", F.col("__lo").alias("__v"))
-    if n_open:
-        walked = _holding_rank(_within(vc, open_, g, n_open <= BROADCAST_INTERVALS), g, "__v")
-        found = found.unionByName(walked.select(*g, "__n", "__t", "__v"))
+    v = F.unix_date(value).cast("double") if is_date else F.col(value).cast("double")
+    rows = counts.select(*keys, v.alias("__v"), "__w").filter(~F.isnan("__v"))
+    wanted = F.array(*[F.struct(F.lit(t).alias("__t"), fn(F.col("__n")).cast("long").alias("__r")) for t, fn in ranks.items()])
+
+    def first_targets(counted: DataFrame, w) -> DataFrame:
+        return (counted.withColumn("__n", F.sum("__w").over(w)).withColumn("__off", F.lit(0).cast("long"))
+                       .withColumn("__targets", wanted))
+
+    if narrow:
+        rows = with_digits(rows, "__v")
+        found = _holding(rows.groupBy(*g, "__d0").agg(F.sum("__w").alias("__w")), g, "__d0", first_targets)
+        for path, digit in ((["__d0"], "__d1"), (["__d0", "__d1"], "__v")):
+            # the ranks of several targets often lie under one digit; they go on together
+            state = found.groupBy(*g, *path, "__n", "__off").agg(F.collect_list("__at").alias("__targets"))
+            state = state.withColumnsRenamed({c: f"__of_{c}" for c in [*g, *path]})
+            on = F.lit(True)
+            for c in [*g, *path]:
+                on = on & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+            met = rows.join(state, on).groupBy(*g, *path, digit).agg(
+                F.sum("__w").alias("__w"), *[F.first(c).alias(c) for c in ("__n", "__off", "__targets")])
+            found = _holding(met, [*g, *path], digit, lambda counted, w: counted)
+    else:
+        found = _holding(rows, g, "__v", first_targets)
     out = F.date_from_unix_date(F.col("__v").cast("int")) if is_date else F.col("__v")
     return found.groupBy(*groups).agg(F.max("__n").alias("__n"),
-                                      *[F.max(F.when(F.col("__t") == t, out)).alias(t) for t in ranks])
-
+                                      *[F.max(F.when(F.col("__at.__t") == t, out)).alias(t) for t in ranks])
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str],
-                    groups: Sequence[str] = (), weight: str | None = None, walk: int = WALK) -> DataFrame:
-    """One row per group with one column per probability (``names``).
 
-    ``weight`` (a count column) makes each row stand for that many rows, as
-    for a histogram. Groups without values are absent; without ``groups``
-    there is always one row. Null and NaN values don't count. ``walk`` bounds
-    the values of a group one task holds and does not change the result.
-    The value counts and the narrowing run when called (tables in the
-    scratch folder, see ``session.clear_scratch``); the result is lazy."""
+def quantiles_of_counts(counts: DataFrame, value: str, probs: Sequence[float], names: Sequence[str],
+                        groups: Sequence[str], most: int, walk: int = WALK) -> DataFrame:
+    """``exact_quantiles`` of value counts (groups..., value, __w) that need no
+    writing: a stored table, or one cheap to compute again. ``most`` is a
+    bound on the rows of a group."""
     def pos(n, p):
         return (n - 1).cast("double") * F.lit(float(p))
 
@@ -139,7 +149,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Se
     for i, p in enumerate(probs):
         ranks[f"__lo{i}"] = lambda n, p=p: F.floor(pos(n, p))
         ranks[f"__hi{i}"] = lambda n, p=p: F.ceil(pos(n, p))
-    out = _select(value_counts(df, value, groups, weight), value, ranks, groups, walk)
+    out = _select(counts, value, ranks, groups, most > walk)
     cols = []
     for i, (p, name) in enumerate(zip(probs, names)):
         position = pos(F.col("__n"), p)
@@ -149,10 +159,23 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Se
     return out.select(*groups, *cols)
 
 
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str],
+                    groups: Sequence[str] = (), weight: str | None = None, walk: int = WALK) -> DataFrame:
+    """One row per group with one column per probability (``names``).
+
+    ``weight`` (a count column) makes each row stand for that many rows, as
+    for a histogram. Groups without values are absent; without ``groups``
+    there is always one row. Null and NaN values don't count. ``walk`` does
+    not change the result. The value counts are written when called (scratch
+    folder, see ``session.clear_scratch``); the result is lazy."""
+    counts, n = stored(value_counts(df, value, groups, weight), "value-counts")
+    return quantiles_of_counts(counts, value, probs, names, groups, widest(counts, groups, n, walk), walk)
+
+
 def values_at_ranks(df: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]],
                     groups: Sequence[str] = (), weight: str | None = None, walk: int = WALK) -> DataFrame:
     """Per group, the value at each computed rank: ``ranks`` maps an output
     name to a function of the group's row count n (a Column) giving a
     0-based rank. One row per group: groups..., n, <names>. Dates and doubles."""
-    out = _select(value_counts(df, value, groups, weight), value, ranks, groups, walk)
-    return out.withColumnRenamed("__n", "n")
+    counts, n = stored(value_counts(df, value, groups, weight), "value-counts")
+    return _select(counts, value, ranks, groups, widest(counts, groups, n, walk) > walk).withColumnRenamed("__n", "n")

@@ -5,7 +5,9 @@ import random
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from salespanel.operators import quantiles
 from salespanel.operators.quantiles import exact_quantiles, values_at_ranks
 
 
@@ -26,8 +28,10 @@ def duck(rows, sql):
     return duckdb.connect().execute(sql).fetchall()
 
 
-@pytest.mark.parametrize("walk", [65_536, 1, 20])
-def test_grouped_median_and_quartiles(spark, data, walk):
+@pytest.mark.parametrize("walk,top,middle", [(65_536, 10, 21), (0, 10, 21), (0, 0, 3), (0, 25, 20)])
+def test_grouped_median_and_quartiles(spark, data, walk, top, middle, monkeypatch):
+    monkeypatch.setattr(quantiles, "TOP_BITS", top)
+    monkeypatch.setattr(quantiles, "MIDDLE_BITS", middle)
     df = spark.createDataFrame(data, "a int, g int, v double")
     got = {(r.a, r.g): (r.q1, r.m, r.q3) for r in
            exact_quantiles(df, "v", [0.25, 0.5, 0.75], ["q1", "m", "q3"], groups=["a", "g"], walk=walk).collect()}
@@ -44,10 +48,8 @@ def test_grouped_median_and_quartiles(spark, data, walk):
 def test_global_weighted(spark):
     rows = [(1.0, 3), (2.0, 1), (10.0, 2)]   # expands to 1, 1, 1, 2, 10, 10
     df = spark.createDataFrame(rows, "v double, w long")
-    r = exact_quantiles(df, "v", [0.5, 0.75], ["m", "q3"], weight="w", walk=1).first()
+    r = exact_quantiles(df, "v", [0.5, 0.75], ["m", "q3"], weight="w", walk=0).first()
     assert r.m == 1.5 and r.q3 == 8.0
-    r2 = exact_quantiles(df, "v", [0.5, 0.75], ["m", "q3"], weight="w").first()
-    assert (r2.m, r2.q3) == (1.5, 8.0)
 
 
 from hypothesis import HealthCheck, given, settings  # noqa: E402
@@ -57,11 +59,10 @@ from hypothesis import strategies as st  # noqa: E402
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(-50, 50), st.integers(1, 4)), min_size=1, max_size=60),
        st.sampled_from([0.1, 0.25, 0.5, 0.75, 0.9]))
-def test_narrowing_matches_numpy(spark, rows, p):
+def test_weighted_matches_numpy(spark, rows, p):
     import numpy as np
     df = spark.createDataFrame([(g, float(v) / 4, w) for g, v, w in rows], "g int, v double, w long")
-    got = {r.g: r.q for r in exact_quantiles(df, "v", [p], ["q"], groups=["g"], weight="w",
-                                             walk=2).collect()}
+    got = {r.g: r.q for r in exact_quantiles(df, "v", [p], ["q"], groups=["g"], weight="w", walk=2).collect()}
     for g in {r[0] for r in rows}:
         expanded = [float(v) / 4 for gg, v, w in rows if gg == g for _ in range(w)]
         want = float(np.percentile(expanded, p * 100, method="linear"))
@@ -113,3 +114,52 @@ def test_fence_is_not_rounded(spark):
     df = spark.sql("SELECT 1 AS Store, cast(id AS int) AS Dept, DATE'2020-01-06' AS Date, 1.0D AS Weekly_Sales, "
                    "(id + 1) * 1e-8 AS MarkDown1 FROM range(8)")
     assert insp.markdown_outliers(df).count() == 0 and insp.rows_above_fence(df).first()[0] == 0
+
+
+def test_values_of_every_magnitude(spark):
+    """Subnormal to huge, both signs and zeros, infinities, values next to each other: each rank is settled."""
+    import numpy as np
+    rnd = random.Random(5)
+    v = [s * rnd.random() * 10.0 ** e for e in range(-320, 309, 3) for s in (1, -1)] + [0.0, -0.0, 5e-324, -5e-324, float("inf"), float("-inf")]
+    v += [float(np.nextafter(1.5, 2)), 1.5, float(np.nextafter(1.5, 1))] * 40 + [float("nan")]
+    df = spark.createDataFrame([(x,) for x in v], "v double").repartition(5)
+    n = len(v) - 1
+    want = sorted(x for x in v if x == x)
+    probes = {f"r{k}": (lambda c, k=k: F.lit(k)) for k in range(0, n, 17)}
+    got = values_at_ranks(df, "v", probes, walk=0).first().asDict()
+    assert got.pop("n") == n
+    assert got == {f"r{k}": want[k] for k in range(0, n, 17)}
+
+
+def test_digits_sort_as_values(spark):
+    """Digits order as the values, and hold all but the last 21 bits of a mantissa; also beside powers of two."""
+    import numpy as np
+    rnd = random.Random(2)
+    v = [0.0, float("inf"), 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308]
+    for e in range(-1074, 1024, 7):
+        p = 2.0 ** e
+        v += [p, float(np.nextafter(p, 0)), float(np.nextafter(p, np.inf)), p * (1 + rnd.random())]
+    v = sorted({x * s for x in v for s in (1, -1)})
+    df = spark.createDataFrame([(x,) for x in v], "v double")
+    got = {r.v: (r.a, r.b) for r in quantiles.with_digits(df, "v").select("v", F.col("__d0").alias("a"), F.col("__d1").alias("b")).collect()}
+    digits = [got[x] for x in v]
+    assert digits == sorted(digits)
+    for x, (a, b) in got.items():
+        m, e = np.frexp(abs(x)) if 0 < abs(x) < float("inf") else (0.5, 0)
+        bits = int((m * 2 - 1) * 2 ** 31) if x else 0
+        assert abs(b) == bits % 2 ** 21 and (not 0 < abs(x) < float("inf") or abs(a) % 2 ** 10 == bits >> 21)
+
+
+def test_the_selection_is_lazy(spark, data):
+    """Jobs run for the value counts and the widest group, not for the selection."""
+    sc = spark.sparkContext
+    df = spark.createDataFrame(data, "a int, g int, v double")
+    counts, n = quantiles.stored(quantiles.value_counts(df, "v", ["a"]), "value-counts")
+    assert n == counts.count() and quantiles.widest(counts, ["a"], n, 0) < n == quantiles.widest(counts, ["a"], n, n)
+    sc.setJobGroup("plan-only", "quantiles")
+    try:
+        out = quantiles.quantiles_of_counts(counts, "v", [0.5], ["m"], ["a"], 10 ** 9)
+        assert not sc.statusTracker().getJobIdsForGroup("plan-only")
+        assert out.count() == 6 and sc.statusTracker().getJobIdsForGroup("plan-only")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)

@@ -15,6 +15,7 @@ rejected; an empty table gives no rows; other columns pass through."""
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,7 +55,7 @@ class _Buckets(dict):
 
     def __init__(self):
         super().__init__()
-        self.ids = np.zeros((self.SIZE, PARTS), np.int64)
+        self.ids = np.zeros((self.SIZE, PARTS), np.int32)
 
     def __missing__(self, word: bytes) -> int:
         core = word.strip(_EDGE)
@@ -73,7 +74,7 @@ def tokens(text: str | None, buckets: _Buckets) -> np.ndarray:
             buckets.clear()
         part = words[at:at + BLOCK]
         out.append(buckets.ids[np.fromiter(map(buckets.__getitem__, part), np.int64, len(part))])
-    return np.concatenate([*out, np.zeros((max(WIDTHS), PARTS), np.int64)])
+    return np.concatenate([*out, np.zeros((max(WIDTHS), PARTS), np.int32)])
 
 
 def _embedded(e: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -167,9 +168,27 @@ def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 11) -> dict:
             m["e"][0] = 0
             step("u", m["u"], err @ h + 1e-4 * m["u"], 0.05)
             step("c", bias, np.array([err.sum()], np.float32), 0.05)
+    return m | {"e": m["e"][1:].astype(np.float16), "known": known, "c": float(bias[0])}
+
+
+def ready(m: dict) -> dict:
+    """The model with a row of embeddings for every bucket; it travels with those of known buckets only."""
     full = np.zeros((BUCKETS, EMBEDDING), np.float16)
-    full[known] = m["e"][1:]
-    return m | {"e": full, "c": float(bias[0])}
+    full[m["known"]] = m["e"]
+    return m | {"e": full}
+
+
+def stored_model(m: dict) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, e=m["e"], known=m["known"], u=m["u"], c=m["c"], **{f"f{k}": f for k, f in enumerate(m["f"])},
+             **{f"b{k}": b for k, b in enumerate(m["b"])})
+    return out.getvalue()
+
+
+def read_model(data: bytes) -> dict:
+    a = np.load(io.BytesIO(data))
+    return {"e": a["e"], "known": a["known"], "u": a["u"], "c": float(a["c"]),
+            "f": [a[f"f{k}"] for k in range(len(WIDTHS))], "b": [a[f"b{k}"] for k in range(len(WIDTHS))]}
 
 
 def _best_threshold(bins: np.ndarray, weight: np.ndarray, y: np.ndarray) -> float:
@@ -194,9 +213,9 @@ def calibration(docs: DataFrame, labels: DataFrame, model: dict, fitted: list[in
 
     @F.pandas_udf("long")
     def bin_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        buckets = _Buckets()
+        buckets, m = _Buckets(), ready(shared.value)
         for texts in parts:
-            yield pd.Series([int(np.floor(margins(shared.value, [tokens(t, buckets)])[0] * FINE)) for t in texts.where(texts.notna(), None)],
+            yield pd.Series([int(np.floor(margins(m, [tokens(t, buckets)])[0] * FINE)) for t in texts.where(texts.notna(), None)],
                             dtype="int64")
 
     known = spark.createDataFrame([(i,) for i in fitted], "doc_id long").withColumn("fitted", F.lit(True))
@@ -208,6 +227,7 @@ def calibration(docs: DataFrame, labels: DataFrame, model: dict, fitted: list[in
     rows = scored.groupBy("doc_id", "label", "fitted").agg(F.min("row").alias("row")).groupBy(
         F.col("row.lang").alias("lang"), "label", F.col("fitted").isNull().alias("free"), F.col("row.bin").alias("bin")).agg(
         F.count("*").alias("n")).toPandas()
+    shared.destroy()
     rows["lang"] = rows["lang"].astype(object).where(rows["lang"].notna(), None)
     rows["of"] = [(x is not None, x or "", y) for x, y in zip(rows["lang"], rows["label"], strict=True)]
     free = rows[rows["free"]].copy()
@@ -217,14 +237,14 @@ def calibration(docs: DataFrame, labels: DataFrame, model: dict, fitted: list[in
     return free.sort_values(["bin", "label"], kind="stable")[["lang", "label", "bin", "n", "weight", "overall"]].reset_index(drop=True)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> dict | None:
-    """The model, calibrated: margins are shifted so that 0 (a score of 0.5)
-    parts the classes; ``by_lang`` has the languages' own score thresholds."""
-    rows = sample(docs, labels, "toxic", per_class, SAMPLE_MAX_CHARS).select("doc_id", "text", "label").toPandas()
+def _fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The weights learned from the sample, in one task (the sample is
+    bounded), and the ids they were fitted on; nothing without both classes."""
+    rows = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "label": []}), *batches])
     rows = rows.sort_values(["doc_id", "text"], na_position="first", kind="stable").reset_index(drop=True)
     y = rows["label"].to_numpy(float)
     if len(set(y.tolist())) < 2:
-        return None
+        return
     turn = np.zeros(len(y), int)  # every fifth document of a class is left to calibrate
     for label in (0, 1):
         turn[y == label] = np.arange((y == label).sum()) % 5
@@ -232,7 +252,18 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     fitting = np.flatnonzero(~rows["doc_id"].isin(left))
     buckets = _Buckets()
     m = fit([tokens(t, buckets) for t in rows["text"].where(rows["text"].notna(), None).iloc[fitting]], y[fitting])
-    got = calibration(docs, labels, m, sorted({int(i) for i in rows["doc_id"].iloc[fitting]}))
+    yield pd.DataFrame({"model": [stored_model(m)], "fitted": [sorted({int(i) for i in rows["doc_id"].iloc[fitting]})]})
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> dict | None:
+    """The model, calibrated: margins are shifted so that 0 (a score of 0.5)
+    parts the classes; ``by_lang`` has the languages' own score thresholds."""
+    rows = sample(docs, labels, "toxic", per_class, SAMPLE_MAX_CHARS).select("doc_id", "text", "label")
+    done = written(docs.sparkSession, rows.repartition(1).mapInPandas(_fitted, "model binary, fitted array<long>"), "toxicity-fit").first()
+    if done is None:
+        return None
+    m = read_model(bytes(done.model))
+    got = calibration(docs, labels, m, done.fitted)
     bins, weight, y = (got[x].to_numpy() for x in ("bin", "weight", "label"))
     if not 0 < y.sum() < len(y):
         return m | {"by_lang": {}}
@@ -246,11 +277,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     return m | {"by_lang": by_lang}
 
 
-def predict(m: dict | None, texts, buckets: _Buckets | None = None) -> np.ndarray:
+def predict(m: dict | None, texts) -> np.ndarray:
     if m is None:
         return np.zeros(len(texts))
-    buckets = _Buckets() if buckets is None else buckets
-    return _sigmoid(margins(m, [tokens(t, buckets) for t in texts]))
+    buckets = _Buckets()
+    return _sigmoid(margins(ready(m), [tokens(t, buckets) for t in texts]))
 
 
 def with_toxicity(docs: DataFrame, model: dict | None, column: str = "_toxicity") -> DataFrame:
@@ -259,9 +290,10 @@ def with_toxicity(docs: DataFrame, model: dict | None, column: str = "_toxicity"
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        buckets = _Buckets()
+        buckets, m = _Buckets(), ready(shared.value) if shared.value else None
         for texts in parts:
-            yield pd.Series([float(predict(shared.value, [t], buckets)[0]) for t in texts.where(texts.notna(), None)], dtype=float)
+            rows = [tokens(t, buckets) for t in texts.where(texts.notna(), None)] if m else []
+            yield pd.Series(_sigmoid(margins(m, rows)) if m else np.zeros(len(texts)), dtype=float)
 
     return docs.withColumn(column, score(F.col("text")))
 

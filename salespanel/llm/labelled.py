@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from salespanel.llm.common import held_out, keep_columns
@@ -21,17 +21,20 @@ def given(labels: DataFrame, label: str) -> DataFrame:
         ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("label"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> DataFrame:
-    """(doc_id, text, lang, label) of at most ``per_class`` documents a class,
-    none held out and none above ``max_chars`` characters, chosen by a hash of
-    the id, one row an id."""
-    own = keep_columns(docs, {"doc_id": "long", "text": "string", "lang": "string"}).where(
-        F.char_length(F.coalesce("text", F.lit(""))) <= max_chars)
-    labelled = given(labels, label)
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, chars: int) -> DataFrame:
+    """(doc_id, text, lang, label) of at most ``per_class`` labelled documents a
+    class, none held out, of any length, one row an id. They are taken in the
+    order of a hash of the id until their texts have ``chars`` characters in
+    all (the last one whole). Labels without a document don't count."""
+    own = keep_columns(docs, {"doc_id": "long", "text": "string", "lang": "string"})
+    labelled = given(labels, label).join(own.select("doc_id"), "doc_id", "left_semi")
     order = F.xxhash64(F.lit("sample"), F.col("doc_id"))
     # at most 2 * per_class ids go out to the scan of the documents
     chosen = labelled.where(F.col("label") == 1).orderBy(order).limit(per_class).unionByName(
         labelled.where(F.col("label") == 0).orderBy(order).limit(per_class))
     # of an id's rows the one with the smallest hash of its text
-    return own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(
+    rows = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(
         F.min(F.struct(F.xxhash64("text").alias("h"), "text", "lang")).alias("row")).select("doc_id", "row.text", "row.lang", "label")
+    size = F.char_length(F.coalesce("text", F.lit(""))).cast("long")
+    before = Window.partitionBy("label").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)  # over per_class rows at most
+    return rows.withColumn("taken", F.coalesce(F.sum(size).over(before), F.lit(0))).where(F.col("taken") < chars).drop("taken")

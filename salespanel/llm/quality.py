@@ -27,7 +27,8 @@ from salespanel.llm.common import keep_columns, table, words_of
 from salespanel.llm.labelled import given, is_held_out, sample
 
 SAMPLE_PER_CLASS = 4000
-SAMPLE_MAX_CHARS = 40_000
+#: Characters of the sampled texts of a class, all together.
+SAMPLE_CHARS = 30_000_000
 BUCKETS = 1 << 14
 BINS = 16
 FACTORS = 8
@@ -146,7 +147,7 @@ def predict(model: dict | None, texts) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> dict | None:
-    rows = sample(docs, labels, "quality", per_class, SAMPLE_MAX_CHARS).select("text", "label").toPandas()
+    rows = sample(docs, labels, "quality", per_class, SAMPLE_CHARS).select("text", "label").toPandas()
     rows = rows.sort_values(["label", "text"], na_position="first", kind="stable")
     y = rows["label"].to_numpy(float)
     model = fit(rows["text"].where(rows["text"].notna(), None).tolist(), y)

@@ -28,7 +28,8 @@ from salespanel.llm.common import broadcast_if_small, keep_columns, table, writt
 from salespanel.llm.labelled import given, is_held_out, sample
 
 SAMPLE_PER_CLASS = 5000
-SAMPLE_MAX_CHARS = 12_000
+#: Characters of the sampled texts of a class, all together.
+SAMPLE_CHARS = 30_000_000
 BUCKETS = 1 << 20
 WIDTHS = (1, 2, 3)
 FILTERS = 8
@@ -258,7 +259,7 @@ def _fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> dict | None:
     """The model, calibrated: margins are shifted so that 0 (a score of 0.5)
     parts the classes; ``by_lang`` has the languages' own score thresholds."""
-    rows = sample(docs, labels, "toxic", per_class, SAMPLE_MAX_CHARS).select("doc_id", "text", "label")
+    rows = sample(docs, labels, "toxic", per_class, SAMPLE_CHARS).select("doc_id", "text", "label")
     done = written(docs.sparkSession, rows.repartition(1).mapInPandas(_fitted, "model binary, fitted array<long>"), "toxicity-fit").first()
     if done is None:
         return None

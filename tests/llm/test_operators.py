@@ -277,3 +277,14 @@ def test_empty_tables(spark, empty):
     assert decontaminate.report(empty, bench).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.train(empty, labels) is None and toxicity.not_toxic(empty, toxicity.train(empty, labels)).count() == 0
+
+
+def test_sample_takes_long_texts_and_only_labels_of_documents(spark):
+    made = [(i, "long " * 20_000 if i % 4 == 0 else f"short {i}", "en") for i in range(200)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(i, 1) for i in range(1000, 21_000)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels, "toxic", 40, 10 ** 9).collect()
+    assert sum(r.label == 1 for r in got) == 40 and sum(r.label == 0 for r in got) == 40
+    assert any(len(r.text) == 100_000 for r in got)
+    few = toxicity.sample(docs, labels, "toxic", 40, 250_000).collect()  # even ids are label 0, half of them long
+    assert 250_000 <= sum(len(r.text) for r in few if r.label == 0) < 250_000 + 100_000 and {r.doc_id for r in few} < {r.doc_id for r in got}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salespanel.functions.scalar import any_not_null, exact_mean, exact_sum, pearson
+from salespanel.operators.moments import by_groups, in_groups
 from salespanel.operators.onerow import OneRow, run
 from salespanel.schemas import TARGET
 
@@ -103,27 +104,21 @@ def markdown_corr(df: DataFrame, digits: int = 6) -> DataFrame:
     """Pearson correlation of every pair of MarkDown* and the target, long
     form (col_a, col_b, corr), all ordered pairs as in a correlation matrix.
 
-    Each row is stacked into its (pair, x, y) cells and the moments are
-    aggregated grouped by pair: a handful of buffer fields, so the stage keeps
-    whole-stage code generation (one wide aggregate of every pair would
-    exceed Spark's field limit and run interpreted), and the partial
-    aggregation leaves one row per pair per task before the shuffle. The
-    matrix is symmetric, so only unique pairs are computed; the diagonal is 1
-    (null for a constant or empty column). Pairs skip rows where either side
-    is null."""
+    The matrix is symmetric, so only unique pairs are computed, several per
+    pass over the two or more columns they need: as many as keep the aggregate
+    code-generated (see ``moments.in_groups``). The diagonal is 1 (null for a
+    constant or empty column). Pairs skip rows where either side is null."""
     cols = markdown_columns(df) + [TARGET]
     if len(cols) == 1:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                 F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        for a, b in pairs]))
-    long = df.select(cells.alias("c")).select("c.*")
-    diag = F.col("col_a") == F.col("col_b")
-    per_pair = long.groupBy("col_a", "col_b").agg(
-        F.round(pearson("x", "y"), digits).alias("r"), F.var_pop("x").alias("vx"))
-    corr = F.when(diag, F.when(F.col("vx") > 0, F.lit(1.0))).otherwise(F.col("r"))
+    def of_pair(a: str, b: str) -> dict:
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        return {"corr": F.when(F.var_pop(x) > 0, F.lit(1.0)) if a == b else F.round(pearson(x, y), digits)}
+
+    # buffers of a variance have 3 fields, of a covariance 4
+    per_pair = by_groups(df, in_groups(pairs, lambda p: 3 if p[0] == p[1] else 10), of_pair)
+    diag, corr = F.col("col_a") == F.col("col_b"), F.col("corr")
     one = F.struct(F.col("col_a"), F.col("col_b"), corr.alias("corr"))
     mirror = F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), corr.alias("corr"))
     return per_pair.select(F.inline(F.when(diag, F.array(one)).otherwise(F.array(one, mirror))))

@@ -8,18 +8,20 @@ estimator])`` so the fitted artifact scores raw feature tables directly.
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, SQLTransformer, VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salespanel.functions.scalar import exact_mean
-from salespanel.operators.quantiles import values_at_ranks
+from salespanel.operators.moments import moments
+from salespanel.operators.quantiles import ranks_of_counts, stored, value_counts, values_at_ranks
 from salespanel.schemas import TARGET, TRAIN_FRACTION
 
 # Candidate names and their hyper-parameters.
@@ -32,7 +34,8 @@ FOREST_SEED = 42
 # Spark caps tree depth at 30 and an unlimited-depth forest is not
 # reproducible; depth 10 keeps the fit bounded (see README).
 FOREST_MAX_DEPTH = 10
-FOREST_MAX_BINS = 32
+# A feature with at most so many values is cut between all of them, others at so many exact quantiles.
+FOREST_MAX_BINS = 128
 
 
 class SplitError(ValueError):
@@ -152,17 +155,68 @@ def ridge_estimator(train: DataFrame, feature_cols: list[str], label: str = TARG
     return Pipeline(stages=[VectorAssembler(inputCols=feature_cols, outputCol="__features"), lr])
 
 
-def forest_estimator(feature_cols: list[str], label: str = TARGET, num_trees: int = FOREST_TREES,
-                     max_depth: int = FOREST_MAX_DEPTH, seed: int = FOREST_SEED, max_bins: int = FOREST_MAX_BINS) -> Pipeline:
-    """Random forest: bootstrap rows, every feature considered at each split,
-    a continuous one at ``max_bins`` - 1 quantiles of it.
+def ridge_moments(train: DataFrame, feature_cols: list[str], label: str = TARGET) -> DataFrame:
+    """The centred moment matrix of the features and the label: all that the
+    ridge solution depends on. With C the features' comoments, c those with
+    the label, the coefficients solve (C + alpha * I) b = c, and the intercept is
+    the label's mean less that of the features weighted by b."""
+    return moments(train, [*feature_cols, label])
+
+
+def split_candidates(train: DataFrame, feature_cols: list[str], max_bins: int = FOREST_MAX_BINS) -> dict[str, list[float]]:
+    """Where each feature may be cut, from all rows: half-way between every
+    two neighbouring values of a feature with at most ``max_bins`` of them,
+    else at the exact values that stand at every ``max_bins``-th of the rows.
+    The same on every run and however the rows are partitioned.
+
+    One pass counts the values of all features; at most ``max_bins`` numbers
+    a feature come to the driver."""
+    stacked = train.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in feature_cols])))
+    counts, _ = stored(value_counts(stacked, "value", ["column"]), "split-values")
+    sizes = {r["column"]: r["count"] for r in counts.groupBy("column").count().collect()}  # a row a feature
+    few = [c for c, k in sizes.items() if k <= max_bins]
+    many = [c for c, k in sizes.items() if k > max_bins]
+    cuts: dict[str, list[float]] = {c: [] for c in feature_cols}
+    if few:
+        for r in counts.filter(F.col("column").isin(few)).groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("v")).collect():
+            cuts[r["column"]] = [a + (b - a) / 2 for a, b in zip(r["v"], r["v"][1:])]
+    if many:
+        ranks = {f"r{k}": lambda n, k=k: F.floor(n * k / max_bins) for k in range(max_bins)}
+        at = ranks_of_counts(counts.filter(F.col("column").isin(many)), "value", ranks, ["column"], max(sizes[c] for c in many))
+        for r in at.collect():
+            values = sorted({r[k] for k in ranks})
+            cuts[r["column"]] = values[1:]  # nothing lies below the least value
+    return cuts
+
+
+def forest_estimator(feature_cols: list[str], cuts: dict[str, list[float]], n_rows: int, label: str = TARGET,
+                     num_trees: int = FOREST_TREES, max_depth: int = FOREST_MAX_DEPTH, seed: int = FOREST_SEED,
+                     bootstrap: bool = True) -> Pipeline:
+    """Random forest: bootstrap rows, every feature considered at each split
+    and at each of its ``cuts`` (``split_candidates``): the features are cut
+    first, and trees split the numbers of their intervals.
+
+    Spark looks for split points among max(10,000, maxBins^2) sampled rows and
+    takes all it finds if they are fewer than maxBins; with maxBins^2 above
+    ``n_rows`` the sample is every row, so no interval is missed.
     Node ids are cached between levels (fewer passes, same model); their
     lineage is checkpointed to the session's checkpoint directory."""
+    cut = [c for c in feature_cols if cuts[c]]
+    stages = []
+    if cut:
+        # an interval's number is marked as a category; a sum is plain and ordered again
+        plain = ", ".join(f"`__in_{c}` + 0D AS `__cut_{c}`" for c in cut)
+        stages = [Bucketizer(splitsArray=[[float("-inf"), *cuts[c], float("inf")] for c in cut], inputCols=cut,
+                             outputCols=[f"__in_{c}" for c in cut]),
+                  SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(f'`__in_{c}`' for c in cut)}), {plain} FROM __THIS__")]
+    max_bins = max(math.isqrt(max(0, n_rows)) + 2, *[len(v) + 2 for v in cuts.values()], 2)
     rf = RandomForestRegressor(featuresCol="__features", labelCol=label, predictionCol="prediction",
                                numTrees=num_trees, maxDepth=max_depth, maxBins=max_bins, seed=seed,
-                               featureSubsetStrategy="all", subsamplingRate=1.0, bootstrap=True,
+                               featureSubsetStrategy="all", subsamplingRate=1.0, bootstrap=bootstrap,
                                cacheNodeIds=True, checkpointInterval=10)
-    return Pipeline(stages=[VectorAssembler(inputCols=feature_cols, outputCol="__features"), rf])
+    inputs = [f"__cut_{c}" if cuts[c] else c for c in feature_cols]
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="__features"), rf])
 
 
 @dataclass
@@ -206,7 +260,7 @@ def train_and_select(df: DataFrame, feature_cols: list[str], label: str = TARGET
 
         def fit_and_score(name: str):
             est = (ridge_estimator(train, feature_cols, label) if name == RIDGE
-                   else forest_estimator(feature_cols, label, num_trees, max_depth, max_bins=max_bins))
+                   else forest_estimator(feature_cols, split_candidates(train, feature_cols, max_bins), n_train, label, num_trees, max_depth))
             model = est.fit(train)
             m = evaluate(model.transform(test), label).first()
             return name, model, {"MAE": float(m["MAE"]), "RMSE": float(m["RMSE"]), "R2": float(m["R2"])}

@@ -172,10 +172,16 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Se
     return quantiles_of_counts(counts, value, probs, names, groups, widest(counts, groups, n, walk), walk)
 
 
+def ranks_of_counts(counts: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]], groups: Sequence[str],
+                    most: int, walk: int = WALK) -> DataFrame:
+    """``values_at_ranks`` of stored value counts (groups..., value, __w); ``most`` bounds the rows of a group."""
+    return _select(counts, value, ranks, groups, most > walk).withColumnRenamed("__n", "n")
+
+
 def values_at_ranks(df: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]],
                     groups: Sequence[str] = (), weight: str | None = None, walk: int = WALK) -> DataFrame:
     """Per group, the value at each computed rank: ``ranks`` maps an output
     name to a function of the group's row count n (a Column) giving a
     0-based rank. One row per group: groups..., n, <names>. Dates and doubles."""
     counts, n = stored(value_counts(df, value, groups, weight), "value-counts")
-    return _select(counts, value, ranks, groups, widest(counts, groups, n, walk) > walk).withColumnRenamed("__n", "n")
+    return ranks_of_counts(counts, value, ranks, groups, widest(counts, groups, n, walk), walk)

@@ -410,6 +410,66 @@ SELECT Date, 'Naive_Sales' AS Series, {mean_sql('Weekly_Sales_Lag1')} AS Sales F
                       FEAT_ALL + "," + CUT)
 
 
+# ---- ridge in closed form ----------------------------------------------------
+RIDGE_FEATURES = ("IsHoliday", "Size", "Temperature", "Fuel_Price", *MD, "CPI", "Unemployment",
+                  "Weekly_Sales_Lag1", "Weekly_Sales_Lag4", "Weekly_Sales_RollingMean4", "Weekly_Sales_RollingStd4",
+                  "Type_A", "Type_B", "Type_C")
+FITTED = "fitted AS (SELECT f.* FROM feat f, cut WHERE f.Date <= cut.cutoff_date)"
+
+
+@oracle("ridge_moments")
+def _():
+    cols = (*RIDGE_FEATURES, "Weekly_Sales")
+    cells = ", ".join(f"{{'col_a': '{a}', 'col_b': '{b}', 'mean_a': avg({a}), 'mean_b': avg({b}), 'cov': covar_pop({a}, {b})}}"
+                      for i, a in enumerate(cols) for b in cols[i:])
+    return with_clean(f"""SELECT c.col_a, c.col_b, n, round(c.mean_a, 4) AS mean_a, round(c.mean_b, 4) AS mean_b,
+       round(sign(c.cov) * sqrt(abs(c.cov)), 3) AS spread
+FROM (SELECT count(*) AS n, unnest([{cells}]) AS c FROM fitted)""", FEAT_ALL + "," + CUT + "," + FITTED)
+
+
+def _ridge_scores() -> str:
+    """CTEs up to ``scored`` (the hold-out with its prediction): the normal
+    equations in units of each feature's deviation, solved by elimination."""
+    k = len(RIDGE_FEATURES)
+    dev = {c: f"coalesce(nullif(stddev_pop({c}), 0), 1)" for c in RIDGE_FEATURES}
+    rows = ", ".join("[" + ", ".join(
+        [f"covar_pop({a}, {b}) / ({dev[a]} * {dev[b]})" + (f" + 1.0::DOUBLE / (count(*) * {dev[a]} * {dev[a]})" if a == b else "") for b in RIDGE_FEATURES]
+        + [f"covar_pop({a}, Weekly_Sales) / {dev[a]}"]) + "]" for a in RIDGE_FEATURES)
+    means = ", ".join(f"avg({c})" for c in RIDGE_FEATURES)
+    terms = " + ".join(f"b[{i + 1}] / dev[{i + 1}] * ({c} - mean[{i + 1}])" for i, c in enumerate(RIDGE_FEATURES))
+    return FEAT_ALL + "," + CUT + "," + FITTED + f""",
+system AS (SELECT [{rows}] AS m, [{means}] AS mean, [{', '.join(dev.values())}] AS dev, avg(Weekly_Sales) AS base FROM fitted),
+solving AS (SELECT 1 AS k, m FROM system UNION ALL
+  SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda x: x / r[k])
+    ELSE list_transform(r, lambda x, j: x - r[k] * m[k][j] / m[k][k]) END) FROM solving WHERE k <= {k}),
+solved AS (SELECT list_transform(m, lambda r: r[{k + 1}]) AS b FROM solving WHERE k = {k + 1}),
+scored AS (SELECT test.*, base + {terms} AS prediction FROM test, system, solved)"""
+
+
+def with_ridge(body: str) -> str:
+    return with_clean(body, _ridge_scores()).replace("WITH", "WITH RECURSIVE", 1)
+
+
+@oracle("ridge_forecast")
+def _():
+    return with_ridge(f"""SELECT Date, 'Weekly_Sales' AS Series, round({mean_sql('Weekly_Sales')}, 3) AS Sales FROM scored GROUP BY Date
+UNION ALL SELECT Date, 'Ridge_Sales', round(avg(prediction), 3) FROM scored GROUP BY Date""")
+
+
+def _metrics_sql(p: str) -> str:
+    e = f"(Weekly_Sales - {p})"
+    return (f"avg(abs({e})) AS MAE, sqrt(avg({e} * {e})) AS RMSE, "
+            f"1 - sum({e} * {e}) / (var_pop(Weekly_Sales) * count(*)) AS R2")
+
+
+@oracle("candidate_selection")
+def _():
+    return with_ridge(f"""SELECT model, round(MAE, 3) AS MAE, round(RMSE, 3) AS RMSE, round(R2, 6) AS R2,
+       row_number() OVER (ORDER BY RMSE, place) = 1 AS selected
+FROM (SELECT 'Ridge' AS model, 0 AS place, {_metrics_sql('prediction')} FROM scored
+      UNION ALL SELECT 'LastWeek', 1, {_metrics_sql('Weekly_Sales_Lag1')} FROM scored)""")
+
+
 # ---- ingest ------------------------------------------------------------------
 @oracle("clean_panel")
 def _():

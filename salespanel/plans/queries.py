@@ -339,6 +339,52 @@ def q_forecast_by_date(spark, sf):
     return mdl.forecast_by_date(_scored(spark, sf)[trained(spark, sf)[1].selected_model_name])
 
 
+# ---- the ridge candidate on its own, checked against its closed form ----------
+
+
+def _train_rows(spark, sf):
+    return mdl.label_split(written_features(spark, sf)).filter(F.col("is_train")).drop("is_train")
+
+
+@query("ridge_moments")
+def q_ridge_moments(spark, sf):
+    """The moment matrix; the root of the mean comoment, so that digits that
+    floating sums settle in any order are shown."""
+    train = _train_rows(spark, sf)
+    m = mdl.ridge_moments(train, feat.feature_columns(train))
+    spread = F.signum("comoment") * F.sqrt(F.abs("comoment") / F.col("n"))
+    return m.select("col_a", "col_b", "n", F.round("mean_a", 4).alias("mean_a"), F.round("mean_b", 4).alias("mean_b"),
+                    F.round(spread, 3).alias("spread"))
+
+
+_RIDGE: dict = {}
+
+
+def _ridge_scored(spark, sf):
+    """The hold-out rows as the ridge fitted to the training rows scores them (fitted once per session and data dir)."""
+    key = (app_id(spark), _state(spark, sf))
+    with _LOCK:
+        if key not in _RIDGE:
+            train = _train_rows(spark, sf)
+            cols = feat.feature_columns(train)
+            _RIDGE[key] = mdl.ridge_estimator(train, cols).fit(train)
+    return _RIDGE[key].transform(_test_rows(spark, sf))
+
+
+@query("ridge_forecast")
+def q_ridge_forecast(spark, sf):
+    long = mdl.forecast_by_date(_ridge_scored(spark, sf), prediction_name="Ridge_Sales")
+    return long.select("Date", "Series", F.round("Sales", 3).alias("Sales"))
+
+
+@query("candidate_selection")
+def q_candidate_selection(spark, sf):
+    """The comparison and the choice, with last week's sales as the other candidate."""
+    naive = _test_rows(spark, sf).withColumn("prediction", F.col(f"{TARGET}_Lag1"))
+    got = mdl.compare_scored({mdl.RIDGE: _ridge_scored(spark, sf), "LastWeek": naive})
+    return got.select("model", *[F.round(c, 3 if c != "R2" else 6).alias(c) for c in ("MAE", "RMSE", "R2")], "selected")
+
+
 # ---- ingest ----------------------------------------------------------------
 
 

@@ -3,10 +3,13 @@ tables, size-checked broadcasts, label splits and word hashing."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +59,18 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(True))
 
 
+def give_back() -> None:
+    """Hands freed memory of this process back to the machine, where its C
+    library can: a Python worker lives on after its task, beside the executor."""
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim(0)
+
+
 def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     """Words between ASCII white space; ``lower`` maps A-Z only."""
     raw = (text or "").encode("utf-8", "surrogatepass")

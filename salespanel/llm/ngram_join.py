@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salespanel.llm.common import broadcast_if_small, keep_columns, mix, shingle_set, table, words_of, written
+from salespanel.llm.common import broadcast_if_small, give_back, keep_columns, mix, shingle_set, table, words_of, written
 from salespanel.llm.components import components
 
 #: A link: SHARE per cent of the union are common.
@@ -112,6 +112,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
             sets = [shingle_set(words_of(t, lower=True)) for t in b.column(0).to_pylist()]
             s, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n.astype(np.int64))], ["s", "n"])
+        give_back()
 
     seen = part.select("text").mapInArrow(shingles, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     rows = seen.where(F.col("n") >= SAMPLE_COUNT).orderBy(F.desc("n"), "s").limit(MAX_COMMON).toArrow()
@@ -134,6 +135,7 @@ def signatures(docs: DataFrame, common: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("text_hash"), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(counts, pa.binary()), _lists(first)],
                 ["doc_id", "text_hash", "cls", "n", "counts", "first"])
+        give_back()
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
         sign, "doc_id long, text_hash long, cls long, n long, counts binary, first array<long>")
@@ -198,6 +200,7 @@ def _meetings(sorted_rows: DataFrame) -> DataFrame:
         if run is not None:
             run.close(out)
         yield _pairs(out)
+        give_back()
 
     return sorted_rows.mapInArrow(meet, "a long, b long, star boolean").where("a <> b").groupBy("a", "b").agg(F.max("star").alias("star"))
 
@@ -346,6 +349,7 @@ def _sets_of(docs: DataFrame, members: DataFrame, reps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([class_of(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int64()),
                  pa.array([s.tobytes() for s in own], pa.binary())], ["cls", "n", "set"])
+        give_back()
 
     got = texts.mapInArrow(sets, "cls long, n long, set binary")
     return got.join(ids.select("cls", "gid", "size"), "cls").select("gid", "size", "cls", "n", "set")

@@ -24,12 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salespanel.llm.common import broadcast_if_small, keep_columns, table, written
+from salespanel.llm.common import broadcast_if_small, give_back, keep_columns, table, written
 from salespanel.llm.labelled import given, is_held_out, sample
 
 SAMPLE_PER_CLASS = 5000
 #: Characters of the sampled texts of a class, all together.
-SAMPLE_CHARS = 30_000_000
+SAMPLE_CHARS = 16_000_000
 BUCKETS = 1 << 20
 WIDTHS = (1, 2, 3)
 FILTERS = 8
@@ -105,7 +105,8 @@ def margins(m: dict, docs: list[np.ndarray]) -> np.ndarray:
 
 
 def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 11) -> dict:
-    """Weights by minibatches with per-weight step sizes; only the positions that won the pooling learn."""
+    """Weights by minibatches with per-weight step sizes; only the positions
+    that won the pooling learn. ``docs`` is emptied, as it is most of the memory."""
     rng = np.random.default_rng(seed)
     seen: dict[int, int] = {}
     for d in docs:
@@ -114,7 +115,8 @@ def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 11) -> dict:
     known = np.array(sorted(t for t, c in seen.items() if c >= 2 and t), np.int64)
     small = np.zeros(BUCKETS, np.int32)  # bucket -> row of the trained embeddings; 0: none
     small[known] = np.arange(1, len(known) + 1)
-    rows = [small[d] for d in docs]
+    docs.reverse()
+    rows = [small[docs.pop()] for _ in range(len(docs))]
     e = np.concatenate([np.zeros((1, EMBEDDING)), rng.normal(0, 0.1, (len(known), EMBEDDING))]).astype(np.float32)
     m = {"e": e, "f": [rng.normal(0, 0.3, (w, EMBEDDING, FILTERS)).astype(np.float32) for w in WIDTHS],
          "b": [np.zeros(FILTERS, np.float32) for _ in WIDTHS],
@@ -218,6 +220,8 @@ def calibration(docs: DataFrame, labels: DataFrame, model: dict, fitted: list[in
         for texts in parts:
             yield pd.Series([int(np.floor(margins(m, [tokens(t, buckets)])[0] * FINE)) for t in texts.where(texts.notna(), None)],
                             dtype="int64")
+        del buckets, m
+        give_back()
 
     known = spark.createDataFrame([(i,) for i in fitted], "doc_id long").withColumn("fitted", F.lit(True))
     marked = written(spark, given(labels, "toxic").join(F.broadcast(known), "doc_id", "left"), "toxicity-labels")
@@ -252,8 +256,13 @@ def _fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     left = set(rows["doc_id"][turn == 4])
     fitting = np.flatnonzero(~rows["doc_id"].isin(left))
     buckets = _Buckets()
-    m = fit([tokens(t, buckets) for t in rows["text"].where(rows["text"].notna(), None).iloc[fitting]], y[fitting])
-    yield pd.DataFrame({"model": [stored_model(m)], "fitted": [sorted({int(i) for i in rows["doc_id"].iloc[fitting]})]})
+    docs = [tokens(t, buckets) for t in rows["text"].where(rows["text"].notna(), None).iloc[fitting]]
+    used = sorted({int(i) for i in rows["doc_id"].iloc[fitting]})
+    del rows, buckets
+    m = fit(docs, y[fitting])
+    yield pd.DataFrame({"model": [stored_model(m)], "fitted": [used]})
+    del m
+    give_back()
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> dict | None:
@@ -295,6 +304,8 @@ def with_toxicity(docs: DataFrame, model: dict | None, column: str = "_toxicity"
         for texts in parts:
             rows = [tokens(t, buckets) for t in texts.where(texts.notna(), None)] if m else []
             yield pd.Series(_sigmoid(margins(m, rows)) if m else np.zeros(len(texts)), dtype=float)
+        del buckets, m
+        give_back()
 
     return docs.withColumn(column, score(F.col("text")))
 

@@ -31,7 +31,7 @@ from salespanel.operators.onerow import run_together
 from salespanel.plans.runs import STARTED_SCHEMA
 from salespanel.session import shared_dir
 from salespanel.sources import artifacts as art
-from salespanel.sources.raw import load_raw_tables, read_clean, write_clean
+from salespanel.sources.raw import load_raw_tables, read_clean, write_series
 
 
 @dataclass
@@ -174,10 +174,9 @@ def run_pipeline(spark: SparkSession, raw_dir: str | None = None,
     obs = Observation("ingest")
     clean_df = ing.ingest(sources, check_keys=True, observation=obs)
     st.clean_data_path = f"{st.run_dir}/clean_data"
-    write_clean(clean_df, st.clean_data_path, csv_path=csv_path)
+    clean = write_series(clean_df, st.clean_data_path, csv_path=csv_path)
     m = obs.get
     st.rows_in, st.rows_dropped = m.get("rows_in"), m.get("rows_in", 0) - m.get("rows_out", 0)
-    clean = read_clean(spark, st.clean_data_path)
     lap("ingest")
 
     # one (Store, Dept) window pass shared by the findings and the features;

@@ -23,7 +23,7 @@ from salespanel.operators import profile as prof
 from salespanel.plans.panel import materialize_sources, read_sources, table
 from salespanel.schemas import ENGINEERED_COLUMNS, MARKDOWN_COLUMNS, TARGET
 from salespanel.session import app_id, shared_dir
-from salespanel.sources.raw import read_clean, write_clean
+from salespanel.sources.raw import read_clean, write_clean, write_series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -73,6 +73,21 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ing.ingest(raw_tables(spark, sf_dir), check_keys=False)
 
 
+_SERIES: dict = {}
+
+
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean panel as a run stores it: written once per application, whole
+    series in buckets. Queries over series start from it."""
+    app = app_id(spark)
+    key = (app, digest := _state(spark, sf_dir))
+    with _LOCK:
+        if key not in _SERIES:
+            path = f"{shared_dir(spark)}/salespanel-series/{app}/{digest}"
+            _SERIES[key] = write_series(clean(spark, sf_dir), path)
+    return _SERIES[key]
+
+
 @query("monthly_trend")
 def q_monthly_trend(spark, sf):
     return insight.monthly_trend(clean(spark, sf))
@@ -129,12 +144,12 @@ def q_markdown_outliers(spark, sf):
 
 @query("wow_change")
 def q_wow_change(spark, sf):
-    return insp.wow_change(clean(spark, sf))
+    return insp.wow_change(series(spark, sf))
 
 
 @query("wow_anomalies")
 def q_wow_anomalies(spark, sf):
-    return insp.wow_anomalies(clean(spark, sf))
+    return insp.wow_anomalies(series(spark, sf))
 
 
 # ---- business intelligence / dashboard --------------------------------------
@@ -170,13 +185,13 @@ def q_markdown_corr(spark, sf):
 
 @query("lag_features")
 def q_lag_features(spark, sf):
-    df = feat.drop_private(feat.lag_columns(feat.add_lags(clean(spark, sf))))
+    df = feat.drop_private(feat.lag_columns(feat.add_lags(series(spark, sf))))
     return df.select("Store", "Dept", "Date", TARGET, f"{TARGET}_Lag1", f"{TARGET}_Lag4")
 
 
 @query("rolling_features")
 def q_rolling_features(spark, sf):
-    df = feat.drop_private(feat.rolling_columns(feat.add_lags(clean(spark, sf))))
+    df = feat.drop_private(feat.rolling_columns(feat.add_lags(series(spark, sf))))
     return df.select("Store", "Dept", "Date", *ENGINEERED_COLUMNS[2:])
 
 
@@ -203,7 +218,7 @@ def q_encode_features(spark, sf):
 
 @query("feature_table")
 def q_feature_table(spark, sf):
-    return feat.engineer_features(clean(spark, sf))
+    return feat.engineer_features(series(spark, sf))
 
 
 # ---- contract --------------------------------------------------------------
@@ -216,26 +231,26 @@ def q_contract_bounds(spark, sf):
 
 @query("contract_check")
 def q_contract_check(spark, sf):
-    c = clean(spark, sf)
+    c = series(spark, sf)
     return con.contract_checks(c, con.build_contract(c))
 
 
 @query("contract_verdict")
 def q_contract_verdict(spark, sf):
-    c = clean(spark, sf)
+    c = series(spark, sf)
     return con.contract_verdict(con.contract_checks(c, con.build_contract(c)))
 
 
 @query("pk_duplicates")
 def q_pk_duplicates(spark, sf):
-    return con.pk_duplicates(clean(spark, sf))
+    return con.pk_duplicates(series(spark, sf))
 
 
 # ---- split, metrics, models ------------------------------------------------
 
 
 def feature_table(spark, sf):
-    return feat.engineer_features(clean(spark, sf))
+    return feat.engineer_features(series(spark, sf))
 
 
 _FEATURES: dict = {}

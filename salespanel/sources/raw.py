@@ -6,6 +6,8 @@ malformed cell becomes null instead of failing the job (ANSI mode)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,8 +57,7 @@ def load_raw_tables(spark: SparkSession, raw_dir: str, unknown_bool: str = "null
     missing = [f for f in REQUIRED_SOURCE_FILES if not path_exists(spark, f"{raw_dir}/{f}")]
     if missing:
         raise DataIngestionError(
-            f"Missing required raw source file(s) in {raw_dir}: {missing}. "
-            f"Expected exactly: {list(REQUIRED_SOURCE_FILES)}")
+            f"{raw_dir} lacks {', '.join(missing)}; a raw folder holds {', '.join(REQUIRED_SOURCE_FILES)}")
     out = {}
     for f in REQUIRED_SOURCE_FILES:
         name = f.split(".")[0]
@@ -78,8 +79,28 @@ def write_clean(df: DataFrame, path: str, globally_sorted: bool = False, csv_pat
     out = out.sortWithinPartitions(*keys)
     out.write.mode("overwrite").parquet(path)
     if csv_path:
-        written = df.sparkSession.read.parquet(path)
-        written.write.mode("overwrite").option("header", True).option("dateFormat", "yyyy-MM-dd").csv(csv_path)
+        read_clean(df.sparkSession, path).write.mode("overwrite").option("header", True).option("dateFormat", "yyyy-MM-dd").csv(csv_path)
+
+
+def write_series(df: DataFrame, path: str, csv_path: str | None = None) -> DataFrame:
+    """Write the clean table (Parquet files at ``path``) with each series,
+    (Store, Dept), whole in one bucket and in order of Date, and return it.
+
+    The shuffle is paid once, here. What is read from the returned table is
+    known to lie by series, so lags, changes from week to week and the check
+    for repeated keys need no exchange of their own. There are as many buckets
+    as shuffle partitions, one file each. The table is temporary in the
+    session's catalog; ``read_clean`` reads the same files anywhere, without
+    that knowledge."""
+    spark = df.sparkSession
+    series, keys = ["Store", "Dept"], ["Store", "Dept", "Date"]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"salespanel_clean_{uuid.uuid4().hex}"
+    (df.repartition(buckets, *series).write.mode("overwrite").format("parquet").option("path", path)
+       .bucketBy(buckets, *series).sortBy(*keys).saveAsTable(name))
+    if csv_path:
+        read_clean(spark, path).write.mode("overwrite").option("header", True).option("dateFormat", "yyyy-MM-dd").csv(csv_path)
+    return spark.table(name)
 
 
 def read_clean(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ tables, size-checked broadcasts, label splits and word hashing."""
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 import uuid
 from collections.abc import Callable, Iterable
@@ -33,6 +34,24 @@ def keep_columns(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()])
 
 
+def shielded(*used: str):
+    """For an operator on a table that returns the table's columns and some of
+    its own: inside it, all columns but those ``used`` go by numbers, so that no
+    name of the input meets one of the operator's. Afterwards they have their
+    names again; a column named as a result (in any case) gives way to it."""
+    def around(op):
+        @functools.wraps(op)
+        def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+            names = df.columns
+            inner = [c if c in used else f"__column_{i}" for i, c in enumerate(names)]
+            out = op(df.toDF(*inner), *args, **kwargs)
+            added = [c for c in out.columns if c not in inner]
+            taken = {c.lower() for c in added}
+            return out.select(*[F.col(i).alias(c) for i, c in zip(inner, names, strict=True) if c.lower() not in taken], *added)
+        return run
+    return around
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, reread: lineage ends here and a
     lost executor costs no more than the tasks that read it."""

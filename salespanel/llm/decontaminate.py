@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salespanel.llm.common import bound, broadcast_if_small, keep_columns, table, written
+from salespanel.llm.common import bound, broadcast_if_small, keep_columns, shielded, table, written
 
 WINDOW = 10
 #: ASCII characters that part words once A-Z is in lower case; the second form is for text as it stands.
@@ -112,6 +112,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
         F.coalesce(F.col("hit") > 0, F.lit(False)).alias("contaminated"))
 
 
+@shielded("doc_id", "text", "n_chars")
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, remove: str = "documents") -> DataFrame:
     """``docs`` without contaminated documents, or (``remove="spans"``) with
     their hit words and the gaps before these cut out of the text."""

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salespanel.llm.common import WORD, keep_columns, table
+from salespanel.llm.common import WORD, keep_columns, shielded, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -67,6 +67,7 @@ def copies_column(doc_id, text, rate, seed: str = SEED):
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
+@shielded("doc_id", "text", "source")
 def mix_rates(docs: DataFrame, weights=WEIGHTS, cap: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
     """``docs`` and the columns _mix_size, _mix_source_size, _mix_target and _mix_copies."""
     sized = docs.withColumn("_mix_size", size_in_words(F.col("text")))
@@ -80,6 +81,7 @@ def mix_rates(docs: DataFrame, weights=WEIGHTS, cap: int = MAX_REPEATS, seed: st
     return out.withColumn("_mix_copies", copies_column(F.col("doc_id"), F.col("text"), rate, seed))
 
 
+@shielded("doc_id", "text", "source")
 def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
     """The mix itself: each document as often as it is taken, in the columns of ``docs``."""
     return (mix_rates(docs, weights, cap, seed)

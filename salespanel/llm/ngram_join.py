@@ -41,7 +41,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salespanel.llm.common import broadcast_if_small, give_back, keep_columns, mix, shingle_set, table, words_of, written
+from salespanel.llm.common import (
+    broadcast_if_small,
+    give_back,
+    keep_columns,
+    mix,
+    shielded,
+    shingle_set,
+    table,
+    words_of,
+    written,
+)
 from salespanel.llm.components import components
 
 #: A link: SHARE per cent of the union are common.
@@ -466,6 +476,7 @@ def with_component(docs: DataFrame) -> DataFrame:
     return _placed(docs).select("doc_id", "n_shingles", "component_id")
 
 
+@shielded("doc_id", "text")
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component, the one with the smallest id
     (of equal ids the one with the smallest hash of its text, of equal rows

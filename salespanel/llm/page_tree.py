@@ -7,6 +7,8 @@ import html
 import re
 from dataclasses import dataclass, field
 
+import xxhash
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?:>|\Z)"
@@ -19,6 +21,8 @@ BLOCKS = frozenset((
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th "
     "thead tr ul").split())
+#: Blocks of running text; a word of their class doesn't make them furniture.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt figcaption caption td th".split())
 CONTAINERS = frozenset("html body main article section div center table tbody tr td".split())
 _CLOSED_BY_SIBLING = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 #: Page furniture, by element, by role, and by a word of a class or id.
@@ -39,6 +43,7 @@ class Node:
     role: str = ""
     hidden: bool = False
     children: list = field(default_factory=list)  # of Node and str
+    holds_article: bool = False  # itself or below
 
     @property
     def label(self) -> tuple:
@@ -48,7 +53,7 @@ class Node:
         if self.tag in ("html", "body", "article", "main"):
             return self.hidden
         return (self.hidden or self.tag in FURNITURE or self.role in FURNITURE_ROLES
-                or bool(self.words & FURNITURE_WORDS) and not any(x.tag in ("article", "main") for x in walk(self)))
+                or bool(self.words & FURNITURE_WORDS) and self.tag not in TEXT_BLOCKS and not self.holds_article)
 
 
 def walk(node: Node):
@@ -74,6 +79,19 @@ def parse(text: str | None) -> Node:
     text = text or ""
     root = Node("#page")
     stack, at = [root], 0
+    open_at: dict[str, list[int]] = {}  # tag -> places in the stack
+    blocks_at: list[int] = []
+
+    def cut(place: int) -> None:
+        while len(stack) > place:
+            tag = stack.pop().tag
+            open_at[tag].pop()
+            if tag in BLOCKS:
+                blocks_at.pop()
+
+    def last(tag: str) -> int:
+        return open_at[tag][-1] if open_at.get(tag) else -1
+
     while True:
         m = _TOKEN.search(text, at)
         chunk = text[at:m.start() if m else len(text)]
@@ -86,23 +104,29 @@ def parse(text: str | None) -> Node:
         if not tag:
             continue
         tag = tag.lower()
-        names = [x.tag for x in stack]
         if end:
-            if tag in names:
-                del stack[len(names) - 1 - names[::-1].index(tag):]
+            if last(tag) > 0:
+                cut(last(tag))
             continue
-        if tag in BLOCKS and "p" in names and not set(names[len(names) - names[::-1].index("p"):]) & BLOCKS:
-            del stack[len(names) - 1 - names[::-1].index("p"):]  # a block ends an open paragraph
-        elif tag in _CLOSED_BY_SIBLING and tag in names:
-            i = len(names) - 1 - names[::-1].index(tag)
-            if not set(names[i:]) & set(_CLOSED_BY_SIBLING[tag]):
-                del stack[i:]
+        if tag in BLOCKS and last("p") > 0 and blocks_at[-1] == last("p"):
+            cut(last("p"))  # a block ends an open paragraph
+        elif tag in _CLOSED_BY_SIBLING and last(tag) > max(map(last, _CLOSED_BY_SIBLING[tag])):
+            cut(last(tag))
         node = _element(tag, attributes)
         stack[-1].children.append(node)
+        if tag in ("article", "main"):
+            node.holds_article = True
+            for above in reversed(stack):
+                if above.holds_article:
+                    break
+                above.holds_article = True
         if tag in RAW and not attributes.endswith("/"):
             close = re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.I).search(text, at)
             at = close.end() if close else len(text)
         elif tag not in VOID and not attributes.endswith("/"):
+            open_at.setdefault(tag, []).append(len(stack))
+            if tag in BLOCKS:
+                blocks_at.append(len(stack))
             stack.append(node)
 
 
@@ -154,39 +178,51 @@ class Slot:
 
 
 def compress(node: Node) -> Slot:
-    """The tree of block elements outside furniture, numbered; like neighbours
-    that are no containers are one slot."""
-    count = [0]
-
-    def build(n: Node) -> Slot:
-        slot = Slot(n.label, [n], [], count[0])
-        count[0] += 1
-        if n.tag in CONTAINERS or n.tag == "#page":
-            for c in n.children:
-                if not isinstance(c, Node) or c.tag not in BLOCKS or c.is_furniture():
-                    continue
-                last = slot.children[-1] if slot.children else None
-                if last is not None and last.label == c.label and c.tag not in CONTAINERS:
-                    last.nodes.append(c)
-                else:
-                    slot.children.append(build(c))
-        return slot
-
-    return build(node)
+    """The tree of block elements outside furniture, numbered from the root on;
+    like neighbours that are no containers are one slot."""
+    root = Slot(node.label, [node], [], 0)
+    count, todo = 1, [root]
+    while todo:
+        slot = todo.pop()
+        n = slot.nodes[0]
+        if n.tag not in CONTAINERS and n.tag != "#page":
+            continue
+        for c in n.children:
+            if not isinstance(c, Node) or c.tag not in BLOCKS or c.is_furniture():
+                continue
+            last_ = slot.children[-1] if slot.children else None
+            if last_ is not None and last_.label == c.label and c.tag not in CONTAINERS:
+                last_.nodes.append(c)
+            else:
+                slot.children.append(Slot(c.label, [c], [], count))
+                count += 1
+        todo += reversed(slot.children)
+    return root
+
+
+def slots(root: Slot) -> list[Slot]:
+    """All slots of a tree, each before its children."""
+    out, todo = [], [root]
+    while todo:
+        out.append(todo.pop())
+        todo += reversed(out[-1].children)
+    return out
+
+
+def shape(root: Slot) -> tuple[int, int]:
+    """A hash of the tree's labels and nesting, and its number of slots."""
+    found = slots(root)
+    return xxhash.xxh3_64_intdigest("|".join(
+        f"{s.label[0]}.{'.'.join(sorted(s.label[1]))}{len(s.children)}" for s in found).encode("utf-8", "surrogatepass")) >> 1, len(found)
 
 
 def align(a: Slot, b: Slot) -> list[tuple[Slot, Slot]]:
     """Simple tree matching: the largest set of equal-labelled pairs that keeps
     order and ancestry; children are matched in sequence, by dynamic programming."""
-    memo: dict = {}
+    known: dict = {}  # (number, number) -> size of the best match of two equal-labelled slots
 
     def score(x: Slot, y: Slot) -> int:
-        if x.label != y.label:
-            return 0
-        key = (x.number, y.number)
-        if key not in memo:
-            memo[key] = 1 + (grid(x, y)[-1][-1] if x.children and y.children else 0)
-        return memo[key]
+        return known[x.number, y.number] if x.label == y.label else 0
 
     def grid(x: Slot, y: Slot) -> list[list[int]]:
         rows = [[0] * (len(y.children) + 1)]
@@ -197,16 +233,25 @@ def align(a: Slot, b: Slot) -> list[tuple[Slot, Slot]]:
             rows.append(row)
         return rows
 
-    out, todo = [], [(a, b)] if a.label == b.label else []
-    while todo:
-        x, y = todo.pop()
+    todo = [(a, b, False)] if a.label == b.label else []
+    while todo:  # children before their parents
+        x, y, ready = todo.pop()
+        if ready:
+            known[x.number, y.number] = 1 + (grid(x, y)[-1][-1] if x.children and y.children else 0)
+        elif (x.number, y.number) not in known:
+            todo.append((x, y, True))
+            todo += [(p, q, False) for p in x.children for q in y.children if p.label == q.label]
+
+    out, pairs = [], [(a, b)] if a.label == b.label else []
+    while pairs:
+        x, y = pairs.pop()
         out.append((x, y))
         g = grid(x, y) if x.children and y.children else None
         i, j = len(x.children), len(y.children)
         while g and i and j:
             s = score(x.children[i - 1], y.children[j - 1])
             if s and g[i][j] == g[i - 1][j - 1] + s:
-                todo.append((x.children[i - 1], y.children[j - 1]))
+                pairs.append((x.children[i - 1], y.children[j - 1]))
                 i, j = i - 1, j - 1
             elif g[i][j] == g[i - 1][j]:
                 i -= 1

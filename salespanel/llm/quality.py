@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salespanel.llm.common import keep_columns, table, words_of
+from salespanel.llm.common import keep_columns, shielded, table, words_of
 from salespanel.llm.labelled import given, is_held_out, sample
 
 SAMPLE_PER_CLASS = 4000
@@ -158,6 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     return model | {"w0": model["w0"] + float(np.log(good / (all_ - good)) - np.log(y.sum() / (len(y) - y.sum())))}
 
 
+@shielded("text")
 def with_quality(docs: DataFrame, model: dict | None, column: str = "_quality") -> DataFrame:
     """``docs`` and a column with the chance that a document is a good one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salespanel.llm.common import broadcast_if_small, keep_columns, table, written
+from salespanel.llm.common import broadcast_if_small, keep_columns, shielded, table, written
 
 LIMIT_BYTES = 32 * 1024 * 1024
 #: Bits looked at below the level that an even spread would need.
@@ -53,6 +53,7 @@ def _fitting(at: DataFrame, limit: int) -> DataFrame:
         F.col("leaf._rows").alias("_rows"))
 
 
+@shielded("doc_id", "text")
 def sharded(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
     """``docs`` and the columns shard (prefix bits), shard_depth and shard_bytes."""
     spark = docs.sparkSession

@@ -33,6 +33,7 @@ from salespanel.llm.common import (
     BROADCAST_BYTES,
     keep_columns,
     mix,
+    shielded,
     table,
     window_hashes,
     word_hashes,
@@ -168,6 +169,7 @@ def document_key():
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
+@shielded("doc_id", "text")
 def with_kept(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` and _kept (kept words joined by a space), _n_words and _n_removed."""
     spans = repeated_spans(docs, window)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salespanel.llm.common import broadcast_if_small, give_back, keep_columns, table, written
+from salespanel.llm.common import broadcast_if_small, give_back, keep_columns, shielded, table, written
 from salespanel.llm.labelled import given, is_held_out, sample
 
 SAMPLE_PER_CLASS = 5000
@@ -294,6 +294,7 @@ def predict(m: dict | None, texts) -> np.ndarray:
     return _sigmoid(margins(ready(m), [tokens(t, buckets) for t in texts]))
 
 
+@shielded("text")
 def with_toxicity(docs: DataFrame, model: dict | None, column: str = "_toxicity") -> DataFrame:
     """``docs`` and a column with the chance that a document is toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -318,6 +319,7 @@ def threshold(model: dict | None, lang):
     return out
 
 
+@shielded("text", "lang")
 def not_toxic(docs: DataFrame, model: dict | None) -> DataFrame:
     """The documents under the threshold of their language, in the columns of ``docs``."""
     scored = with_toxicity(docs, model)

@@ -61,3 +61,14 @@ def test_shuffle_partitions_sizing():
     from salespanel.session import PARTITION_BYTES, shuffle_partitions_for
     assert shuffle_partitions_for(0) == 8
     assert shuffle_partitions_for(100 * 1024 ** 4) == 100 * 1024 ** 4 // PARTITION_BYTES
+
+
+@pytest.mark.parametrize("blocked", ["xxhash", "salespanel.llm", "corpus_pipeline", "pyarrow"])
+def test_panel_queries_stay_whatever_import_fails(blocked):
+    import subprocess
+    import sys
+    code = (f"import sys; sys.modules[{blocked!r}] = None; import warnings; warnings.simplefilter('ignore'); import __spark_entry__ as E; "
+            "q = E.queries(); assert 'feature_table' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q); "
+            "assert set(E.oracle_sql()) <= set(q)")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=120)

@@ -70,7 +70,12 @@ def holiday_spikes(df: DataFrame, n: int = HOLIDAY_SPIKE_TOP_N) -> DataFrame:
     if "IsHoliday" not in df.columns:
         return df.sparkSession.createDataFrame(
             [], f"Store {dict(df.dtypes)['Store']}, holiday_mean double, non_holiday_mean double, spike_ratio double")
-    m = holiday_means(df).dropna(subset=["holiday_mean", "non_holiday_mean"])
+    return ranked_spikes(holiday_means(df), n)
+
+
+def ranked_spikes(means: DataFrame, n: int) -> DataFrame:
+    """The largest ratios of (Store, holiday_mean, non_holiday_mean)."""
+    m = means.dropna(subset=["holiday_mean", "non_holiday_mean"])
     ratio = F.col("holiday_mean") / F.nullif(F.col("non_holiday_mean"), F.lit(0.0))
     return (m.withColumn("spike_ratio", ratio).dropna(subset=["spike_ratio"])
              .orderBy(F.desc("spike_ratio"), F.asc("Store")).limit(n))
@@ -98,6 +103,11 @@ def markdown_iqr_bounds(df: DataFrame, digits: int | None = None, approx: bool =
                     .select("md_column", F.col("q").getItem(0).alias("q1"), F.col("q").getItem(1).alias("q3")))
     else:
         q = exact_quantiles(stacked, "value", [0.25, 0.75], ["q1", "q3"], groups=["md_column"])
+    return iqr_of_quartiles(q, digits)
+
+
+def iqr_of_quartiles(q: DataFrame, digits: int | None = None) -> DataFrame:
+    """The bounds from (md_column, q1, q3), without columns that have no values."""
     q1, q3 = F.col("q1"), F.col("q3")
     iqr = q3 - q1
     shown = {"q1": q1, "q3": q3, "iqr": iqr, "upper_fence": q3 + IQR_FENCE_MULTIPLIER * iqr}

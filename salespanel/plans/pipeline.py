@@ -26,6 +26,7 @@ from salespanel.operators import ingest as ing
 from salespanel.operators import insight
 from salespanel.operators import inspect as insp
 from salespanel.operators import model as mdl
+from salespanel.operators import multigrain
 from salespanel.operators import profile as prof
 from salespanel.operators.onerow import run_together
 from salespanel.plans.runs import STARTED_SCHEMA
@@ -88,8 +89,12 @@ def analyse(spark: SparkSession, clean: DataFrame, run_dir: str,
     All one-row findings (profile, null profile, sign counts, holiday impact,
     KPIs, markdown effect, contract bounds) come from ONE aggregation pass
     over the clean table (few enough buffer fields to stay code-generated),
-    written once and projected into each finding. The (Store, Dept) window is computed once: the lagged table
-    feeds the week-over-week findings here and the features later.
+    those of several rows from ONE aggregation by grouping sets
+    (``multigrain.grains``), and the record-level lists from ONE scan
+    (``multigrain.samples``), which needs the markdown fences first. Each is
+    written once and projected into its findings. Besides these the
+    correlations read the table (twice), and the week-over-week swings the
+    (Store, Dept) window, which is computed once and feeds the features later.
     Independent findings are written concurrently, in dependency order.
     """
     out: dict[str, str] = {}
@@ -107,19 +112,26 @@ def analyse(spark: SparkSession, clean: DataFrame, run_dir: str,
     wide, finish = run_together(clean, specs)
     wow = (insp.wow_anomalies(clean) if lagged is None
            else insp.wow_anomalies(insp.prev_from_lags(lagged), prepared=True))
-    _write_all({"markdown_iqr_bounds": insp.markdown_iqr_bounds(clean),
-                "_one_pass": wide,
-                "dept_top10": prof.dept_top10(clean),
-                "zero_sales": insp.zero_sales(clean),
-                "negative_sales": insp.negative_sales(clean),
-                "holiday_spikes": insp.holiday_spikes(clean),
-                "wow_anomalies": wow,
-                "monthly_trend": insight.monthly_trend(clean),
+    md = insight.markdown_columns(clean)
+    rows = Observation("grains")
+    grains = multigrain.grains(clean).observe(rows, F.count(F.lit(1)).alias("n"))
+    _write_all({"_grains": grains, "_one_pass": wide, "wow_anomalies": wow,
                 "markdown_corr": insight.markdown_corr(clean)}, run_dir, out, workers)
+    g = spark.read.parquet(out.pop("_grains"))
+    _write_all({"markdown_iqr_bounds": multigrain.markdown_iqr_bounds(g, rows.get["n"], md) if md else insp.markdown_iqr_bounds(clean),
+                "dept_top10": multigrain.dept_top10(g), "monthly_trend": multigrain.monthly_trend(g),
+                "holiday_spikes": multigrain.holiday_spikes(g) if "IsHoliday" in clean.columns else insp.holiday_spikes(clean)},
+               run_dir, out, workers)
 
+    above = Observation("samples")
     bounds = spark.read.parquet(out["markdown_iqr_bounds"])
-    _write_all({"markdown_outliers": insp.markdown_outliers(clean, bounds),
-                "rows_above_fence": insp.rows_above_fence(clean, bounds)}, run_dir, out, workers)
+    _write_all({"_samples": multigrain.samples(clean, bounds, above)}, run_dir, out, 1)
+    found = spark.read.parquet(out.pop("_samples"))
+    n_above = spark.createDataFrame([(above.get["rows_above_fence"],)], "rows_above_fence long")
+    _write_all({"zero_sales": multigrain.sales_sample(found, multigrain.ZERO),
+                "negative_sales": multigrain.sales_sample(found, multigrain.NEGATIVE),
+                "markdown_outliers": multigrain.markdown_outliers(found, md) if md else insp.markdown_outliers(clean),
+                "rows_above_fence": n_above}, run_dir, out, workers)
 
     one = spark.read.parquet(out.pop("_one_pass"))
     finish["markdown_effect"] = insight.markdown_effect_spec(

@@ -98,11 +98,11 @@ def typed(c: str | Column, spark_type: str) -> Column:
 def exact_sum(c: str | Column) -> Column:
     """Sum of a sales measure as DOUBLE: order-independent if each value of
     the group has at most four places, a floating sum (with infinities and
-    values of any size) otherwise."""
+    values of any size) otherwise, or where the exact sum leaves DECIMAL."""
     c = _col(c).cast("double")
     d = c.try_cast(SUM_DECIMAL)
     fits = F.bool_and(F.when(c.isNotNull(), F.coalesce(d.cast("double") == c, F.lit(False))))
-    return F.when(fits, F.try_sum(d).cast("double")).otherwise(F.sum(c))
+    return F.coalesce(F.when(fits, F.try_sum(d).cast("double")), F.sum(c))
 
 
 def exact_mean(c: str | Column) -> Column:

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from salespanel.operators.categories import Categories, encode_sparse
 from salespanel.operators.quantiles import WALK, quantiles_of_counts, stored, widest
 from salespanel.schemas import (
     ECONOMIC_COLUMNS,
@@ -182,7 +183,7 @@ def impute_economic(df: DataFrame, cols=ECONOMIC_COLUMNS, fit: DataFrame | None
     return out.select(*df.columns)
 
 
-# A one-hot encoding wider than this is an input error, not a feature set.
+# A wider one-hot encoding takes a sparse vector (``operators/categories``) instead of columns.
 MAX_CATEGORIES = 1000
 
 
@@ -193,19 +194,23 @@ def observed_types(df: DataFrame, max_categories: int = MAX_CATEGORIES) -> list[
         return []
     got = [r[0] for r in df.select("Type").dropna().distinct().limit(max_categories + 1).collect()]
     if len(got) > max_categories:
-        raise ValueError(f"Type has more than {max_categories} distinct values; not a categorical")
+        raise ValueError(f"Type has more than {max_categories} distinct values, too many for columns of their own; "
+                         "fit_categories() and engineer_features(categories=...) give them one sparse vector")
     return sorted(got)
 
 
-def encode_categoricals(df: DataFrame, types: list[str] | None = None) -> DataFrame:
+def encode_categoricals(df: DataFrame, types: list[str] | None = None, categories: Categories | None = None) -> DataFrame:
     """IsHoliday -> 0/1; Type -> one 0/1 column per observed value, sorted and
     appended last (a null Type is all zeros), Type dropped.
 
     ``types`` fixes the category list (keep the training list when scoring);
-    by default it is read from the data, as the reference does.
+    by default it is read from the data, as the reference does. With fitted
+    ``categories``, of any number, Type becomes one sparse vector instead.
     """
     if "IsHoliday" in df.columns:
         df = df.withColumn("IsHoliday", F.col("IsHoliday").cast("int"))
+    if "Type" in df.columns and categories is not None:
+        return encode_sparse(df, categories)
     if "Type" in df.columns:
         types = observed_types(df) if types is None else list(types)
         cols = [c for c in df.columns if c != "Type"]
@@ -220,7 +225,7 @@ def drop_cold_start(df: DataFrame) -> DataFrame:
 
 
 def engineer_features(df: DataFrame, types: list[str] | None = None,
-                      fit: DataFrame | None = None, prelagged: bool = False) -> DataFrame:
+                      fit: DataFrame | None = None, prelagged: bool = False, categories: Categories | None = None) -> DataFrame:
     """The full feature table: lags -> rolling -> markdown fill -> economic
     fill -> encoding -> cold-start drop. ``prelagged``: ``df`` already went
     through ``add_lags`` (the window is shared with other consumers)."""
@@ -228,7 +233,7 @@ def engineer_features(df: DataFrame, types: list[str] | None = None,
     out = drop_private(rolling_columns(lag_columns(base)))
     out = impute_markdowns(out)
     out = impute_economic(out, fit=fit)
-    out = encode_categoricals(out, types)
+    out = encode_categoricals(out, types, categories)
     return drop_cold_start(out)
 
 

@@ -18,6 +18,7 @@ from pyspark.ml.feature import Bucketizer, SQLTransformer, VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from salespanel.functions.scalar import exact_mean
 from salespanel.operators.moments import moments
@@ -171,13 +172,16 @@ def split_candidates(train: DataFrame, feature_cols: list[str], max_bins: int =
 
     One pass counts the values of all features; at most ``max_bins`` numbers
     a feature come to the driver."""
+    cuts: dict[str, list[float]] = {c: [] for c in feature_cols}
+    numbers = [c for c in feature_cols if isinstance(train.schema[c].dataType, T.NumericType)]  # a vector of 0 and 1 needs none
+    if not numbers:
+        return cuts
     stacked = train.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in feature_cols])))
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in numbers])))
     counts, _ = stored(value_counts(stacked, "value", ["column"]), "split-values")
     sizes = {r["column"]: r["count"] for r in counts.groupBy("column").count().collect()}  # a row a feature
     few = [c for c, k in sizes.items() if k <= max_bins]
     many = [c for c, k in sizes.items() if k > max_bins]
-    cuts: dict[str, list[float]] = {c: [] for c in feature_cols}
     if few:
         for r in counts.filter(F.col("column").isin(few)).groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("v")).collect():
             cuts[r["column"]] = [a + (b - a) / 2 for a, b in zip(r["v"], r["v"][1:])]

@@ -26,8 +26,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app_name: str = "salespanel", extra: dict | None = None) -> SparkSession:
     """A session configured the way the engine expects (AQE on, UTC, no UI).
 
-    On a cluster pass ``master=None`` and let spark-submit decide: its shuffle
-    partition count and driver memory stay as they are (``extra`` can set
+    On a cluster (``master=None``, as spark-submit decides, or any that isn't
+    local) its shuffle partition count and driver memory stay as they are (``extra`` can set
     them, e.g. from ``shuffle_partitions_for``, about 256 MB per partition).
     """
     builder = SparkSession.builder.appName(app_name)
@@ -46,7 +46,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         "spark.driver.memory": os.environ.get("SALESPANEL_DRIVER_MEMORY", "8g"),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
-    if not master:  # a submitted job keeps the cluster's own sizing
+    if not (master or "").startswith("local"):  # a job on a cluster keeps the cluster's own sizing
         for k in ("spark.sql.shuffle.partitions", "spark.driver.memory"):
             conf.pop(k)
     conf.update(extra or {})

@@ -163,3 +163,11 @@ def test_the_selection_is_lazy(spark, data):
         assert out.count() == 6 and sc.statusTracker().getJobIdsForGroup("plan-only")
     finally:
         sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_sums_of_large_values_and_of_nulls(spark):
+    from salespanel.functions.scalar import exact_sum
+    df = spark.range(3).select(F.lit(1e13).alias("v"))
+    assert df.select(exact_sum("v")).first()[0] == 3e13
+    few = spark.range(4).select(F.lit(None).cast("double").alias("v"))
+    assert few.select(exact_sum("v")).first()[0] is None

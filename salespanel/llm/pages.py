@@ -199,7 +199,8 @@ def with_main_text(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     own = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"),
                        F.xxhash64("page_id", F.coalesce("html", F.lit(""))).alias("key"))
-    frequent = written(spark, _frequent(_shapes(own)), "wrapper-shapes")
+    counted = written(spark, _shapes(own), "wrapper-counts")
+    frequent = written(spark, _frequent(counted), "wrapper-shapes")
     few = F.broadcast(frequent) if frequent.count() * 96 <= BROADCAST_BYTES else frequent
     refs = written(spark, own.join(few, ["host", "key"]).dropDuplicates(["host", "shape"]).select(
         "host", "shape", "pages", F.col("html").alias("ref")), "wrapper-references")

@@ -607,3 +607,22 @@ def _():
        any_value(CASE WHEN line > 2 THEN CAST(line AS BIGINT) END) AS whole,
        any_value(CASE WHEN line = 2 THEN 2.5::DOUBLE WHEN line > 2 THEN CAST(line AS DOUBLE) END) AS number
 FROM lines GROUP BY Store, number_text"""
+
+
+@oracle("contract_check_absent")
+def _():
+    return LINES + """SELECT 'error' AS severity, 'missing_column' AS rule, c AS column_name, CAST(1 AS BIGINT) AS violations
+FROM (VALUES ('Branch'), ('Revenue')) t(c)
+UNION ALL SELECT 'error', 'dtype', 'Store', CAST(0 AS BIGINT)
+UNION ALL SELECT 'error', 'dtype', 'date_text', CAST(count_if(line % 4 <> 2) AS BIGINT) FROM lines
+UNION ALL SELECT 'error', 'not_null', 'Store', CAST(count_if(Store IS NULL) AS BIGINT) FROM lines
+UNION ALL SELECT 'error', 'pk_missing', 'Branch', CAST(1 AS BIGINT)
+UNION ALL SELECT 'error', 'pk_null', 'Store', CAST(count_if(Store IS NULL) AS BIGINT) FROM lines
+UNION ALL SELECT 'error', 'target_missing', 'Revenue', CAST(1 AS BIGINT)
+UNION ALL SELECT 'error', 'pk_duplicate', 'Store', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM lines GROUP BY Store)"""
+
+
+@oracle("zero_sales_lines")
+def _():
+    return """SELECT l_suppkey AS Store, l_linenumber AS Dept, CAST(l_shipdate AS DATE) AS Date, CAST(0 AS DOUBLE) AS Weekly_Sales
+FROM lineitem WHERE l_discount = 0 ORDER BY 1, 2, 3 LIMIT 15"""

@@ -560,3 +560,30 @@ def q_numbers_mixed(spark, sf):
     return (_lines(spark, sf).groupBy("Store", "number_text").agg(F.count(F.lit(1)).alias("n"))
             .select("Store", "number_text", "n", typed("number_text", "bigint").alias("whole"),
                     typed("number_text", "double").alias("number")))
+
+
+ABSENT_CONTRACT = {
+    "primary_keys": ["Store", "Branch"],
+    "target_column": "Revenue",
+    "columns": {
+        "Store": {"dtype": "int", "nullable": False},
+        "Branch": {"dtype": "int", "nullable": False},
+        "Revenue": {"dtype": "float", "nullable": False, "min": 0.0},
+        "date_text": {"dtype": "datetime", "nullable": True},
+    },
+}
+
+
+@query("contract_check_absent")
+def q_contract_check_absent(spark, sf):
+    """A key column and the target that the table doesn't have."""
+    return con.contract_checks(_lines(spark, sf), ABSENT_CONTRACT)
+
+
+@query("zero_sales_lines")
+def q_zero_sales_lines(spark, sf):
+    """The first rows without sales, where an undiscounted line counts as none."""
+    li = table(spark, sf, "lineitem")
+    sales = F.when(F.col("l_discount") == 0, 0.0).otherwise(F.col("l_extendedprice"))
+    return insp.zero_sales(li.select(F.col("l_suppkey").alias("Store"), F.col("l_linenumber").alias("Dept"),
+                                     F.col("l_shipdate").cast("date").alias("Date"), sales.alias(TARGET)))

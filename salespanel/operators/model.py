@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from salespanel.functions.scalar import exact_mean
 from salespanel.operators.moments import moments
-from salespanel.operators.quantiles import ranks_of_counts, stored, value_counts, values_at_ranks
+from salespanel.operators.quantiles import evenly_spaced, stored, value_counts, values_at_ranks
 from salespanel.schemas import TARGET, TRAIN_FRACTION
 
 # Candidate names and their hyper-parameters.
@@ -36,7 +36,7 @@ FOREST_SEED = 42
 # reproducible; depth 10 keeps the fit bounded (see README).
 FOREST_MAX_DEPTH = 10
 # A feature with at most so many values is cut between all of them, others at so many exact quantiles.
-FOREST_MAX_BINS = 128
+FOREST_MAX_BINS = 64
 
 
 class SplitError(ValueError):
@@ -186,11 +186,9 @@ def split_candidates(train: DataFrame, feature_cols: list[str], max_bins: int =
         for r in counts.filter(F.col("column").isin(few)).groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("v")).collect():
             cuts[r["column"]] = [a + (b - a) / 2 for a, b in zip(r["v"], r["v"][1:])]
     if many:
-        ranks = {f"r{k}": lambda n, k=k: F.floor(n * k / max_bins) for k in range(max_bins)}
-        at = ranks_of_counts(counts.filter(F.col("column").isin(many)), "value", ranks, ["column"], max(sizes[c] for c in many))
-        for r in at.collect():
-            values = sorted({r[k] for k in ranks})
-            cuts[r["column"]] = values[1:]  # nothing lies below the least value
+        at = evenly_spaced(counts.filter(F.col("column").isin(many)), "value", max_bins, ["column"], max(sizes[c] for c in many))
+        for r in at.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("v")).collect():
+            cuts[r["column"]] = r["v"][1:]  # nothing lies below the least value
     return cuts
 
 

@@ -172,6 +172,23 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Se
     return quantiles_of_counts(counts, value, probs, names, groups, widest(counts, groups, n, walk), walk)
 
 
+def evenly_spaced(counts: DataFrame, value: str, pieces: int, groups: Sequence[str], most: int, walk: int = WALK) -> DataFrame:
+    """(groups..., value): the distinct values at the ranks floor(n * k / pieces),
+    k from 0 to pieces - 1, of stored value counts; ``most`` bounds the rows of a group."""
+    if most > walk:
+        ranks = {f"r{k}": lambda n, k=k: F.floor(n * k / pieces) for k in range(pieces)}
+        found = ranks_of_counts(counts, value, ranks, groups, most, walk)
+        return found.select(*groups, F.explode(F.array_distinct(F.array(*ranks))).alias(value))
+    w = Window.partitionBy(*groups)
+    end = F.sum("__w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    walked = counts.filter(~F.isnan(F.col(value).cast("double"))).withColumns({"__n": F.sum("__w").over(w), "__end": end})
+    # the first of the ranks that isn't before the value's copies, by whole numbers
+    n, start = F.col("__n").cast("decimal(20,0)"), (F.col("__end") - F.col("__w")).cast("decimal(20,0)")
+    k = F.ceil(start * pieces / n)
+    rank = F.floor(n * k.cast("decimal(20,0)") / pieces)
+    return walked.filter((k < pieces) & (rank < F.col("__end"))).select(*groups, F.col(value).cast("double").alias(value))
+
+
 def ranks_of_counts(counts: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]], groups: Sequence[str],
                     most: int, walk: int = WALK) -> DataFrame:
     """``values_at_ranks`` of stored value counts (groups..., value, __w); ``most`` bounds the rows of a group."""

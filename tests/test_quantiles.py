@@ -171,3 +171,16 @@ def test_sums_of_large_values_and_of_nulls(spark):
     assert df.select(exact_sum("v")).first()[0] == 3e13
     few = spark.range(4).select(F.lit(None).cast("double").alias("v"))
     assert few.select(exact_sum("v")).first()[0] is None
+
+
+@pytest.mark.parametrize("walk", [0, 10 ** 6])
+def test_evenly_spaced_values(spark, walk):
+    rnd = random.Random(9)
+    rows = [(g, float(v), rnd.randint(1, 9)) for g, k in ((1, 300), (2, 3), (3, 1), (4, 64)) for v in rnd.sample(range(-500, 500), k)]
+    df = spark.createDataFrame(rows, "g int, v double, __w long")
+    got = {}
+    for r in quantiles.evenly_spaced(df, "v", 64, ["g"], 300, walk).collect():
+        got.setdefault(r.g, []).append(r.v)
+    for g in (1, 2, 3, 4):
+        each = sorted(v for gg, v, w in rows if gg == g for _ in range(w))
+        assert sorted(got[g]) == sorted({each[len(each) * k // 64] for k in range(64)})

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from salespanel.llm.common import (
     BROADCAST_BYTES,
+    give_back,
     keep_columns,
     mix,
     shielded,
@@ -43,6 +44,8 @@ from salespanel.llm.common import (
 
 WINDOW = 35
 ANCHOR = 8
+#: Rows that a task gathers before it passes them on, about.
+BATCH_ROWS = 1 << 18
 
 
 def _hashes(text: str | None) -> np.ndarray:
@@ -62,12 +65,24 @@ def anchors_of(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tup
     return runs[at[starts]], starts.astype(np.int32), np.diff(np.append(starts, len(at))).astype(np.int32)
 
 
-def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], list(columns))
+class _Rows:
+    """Rows (h, k, start, n) gathered until there are some BATCH_ROWS of them."""
 
+    def __init__(self):
+        self.parts: list[tuple] = []
+        self.size = 0
 
-def _joined(parts: list[np.ndarray], kind) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
+    def add(self, h: np.ndarray, key: int, start: np.ndarray, n: np.ndarray) -> bool:
+        """Whether there are enough for a batch."""
+        self.parts.append((h.view(np.int64), np.full(len(h), key, np.int64), start, n))
+        self.size += len(h)
+        return self.size >= BATCH_ROWS
+
+    def batch(self) -> pa.RecordBatch:
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
+        columns = [pa.array(np.concatenate(c)) for c in zip(none, *self.parts, strict=True)]
+        self.parts, self.size = [], 0
+        return pa.RecordBatch.from_arrays(columns, ["h", "k", "start", "n"])
 
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
@@ -75,15 +90,13 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, k, start, n = [], [], [], []
+            out = _Rows()
             for key, text in zip(b.column("k").to_numpy(), b.column("text").to_pylist(), strict=True):
                 a, s, m = anchors_of(_hashes(text), window)
-                h.append(a)
-                start.append(s)
-                n.append(m)
-                k.append(np.full(len(a), key, np.int64))
-            yield _batch({"h": _joined(h, np.uint64).view(np.int64), "k": _joined(k, np.int64),
-                          "start": _joined(start, np.int32), "n": _joined(n, np.int32)})
+                if out.add(a, key, s, m):
+                    yield out.batch()
+            yield out.batch()
+        give_back()
 
     return docs.mapInArrow(emit, "h long, k long, start int, n int")
 
@@ -112,6 +125,7 @@ def _met_again(rows: DataFrame) -> DataFrame:
             yield b.slice(0, len(h) - 1).filter(pa.array(same[:-1])).select(["k", "start", "n"])
         if held is not None and before is not None and held.column("h").to_numpy()[0] == before:
             yield held.select(["k", "start", "n"])
+        give_back()
 
     return together.mapInArrow(again, "k long, start int, n int")
 
@@ -142,17 +156,16 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, k, start = [], [], []
+            out = _Rows()
             ranges = zip(b.column("starts").to_pylist(), b.column("ends").to_pylist(), strict=True)
             for key, text, (s, e) in zip(b.column("k").to_numpy(), b.column("text").to_pylist(), ranges, strict=True):
                 words = _hashes(text)
                 for i, j in zip(s, e, strict=True):
                     own = window_hashes(words[i:j + window - 1], window)
-                    h.append(own)
-                    k.append(np.full(len(own), key, np.int64))
-                    start.append(np.arange(i, i + len(own), dtype=np.int32))
-            at = _joined(start, np.int32)
-            yield _batch({"h": _joined(h, np.uint64).view(np.int64), "k": _joined(k, np.int64), "start": at, "n": np.ones(len(at), np.int32)})
+                    if out.add(own, key, np.arange(i, i + len(own), dtype=np.int32), np.ones(len(own), np.int32)):
+                        yield out.batch()
+            yield out.batch()
+        give_back()
 
     return docs.mapInArrow(emit, "h long, k long, start int, n int")
 
@@ -188,6 +201,7 @@ def with_kept(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     words = [words[i] for i in np.flatnonzero(keep)]
                 rows.append((b" ".join(words).decode("utf-8", "surrogatepass"), n, n - len(words)))
             yield pd.DataFrame(rows, columns=["kept", "n_words", "n_removed"])
+        give_back()
 
     out = docs.withColumn("_k", document_key()).join(
         spans.select(F.col("k").alias("_k"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends")), "_k", "left")

@@ -94,11 +94,14 @@ class Pair:
 
     def forget(self) -> None:
         """Empties the memory of units: their numbers, their ids laid end to
-        end on each side, and which are odd (their bytes, for A or B, are not a space and the unit)."""
+        end on each side, which are odd (their bytes, for A or B, are not a
+        space and the unit), and their alignment: groups, linked pairs laid end to end, groups as text."""
         self.number: dict[str, int] = {}
         self.ids = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
         self.sizes = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
         self.odd = np.zeros(0, bool)
+        self.groups, self.n_links, self.links = (np.zeros(0, np.int64) for _ in range(3))
+        self.texts: list[str] = []
 
     def _same(self, want: bytes, *sides: list[int]) -> bool:
         return all(b"".join(map(of.__getitem__, ids)) == want for of, ids in zip(self.bytes_of, sides))
@@ -130,14 +133,24 @@ class Pair:
                 few = some[k:k + UNITS_AT_ONCE]
                 self.number.update(zip(few, range(len(self.number), len(self.number) + len(few))))
                 found.append(how(few))
+        odd = np.concatenate([np.zeros(0, bool), *[np.array(o, bool) for _, o in found]])
+        sides = []
         for s in (0, 1):
-            self.ids[s] = np.concatenate([self.ids[s], *[f[s][0] for f, _ in found]])
-            self.sizes[s] = np.concatenate([self.sizes[s], *[f[s][1] for f, _ in found]])
-        self.odd = np.concatenate([self.odd, *[np.array(o, bool) for _, o in found]])
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For A and B, all ids of the texts in order, and the text of each; a
-        text has none where their bytes are not a space and the text."""
+            ids = np.concatenate([np.zeros(0, np.int64), *[f[s][0] for f, _ in found]])
+            sizes = np.concatenate([np.zeros(0, np.int64), *[f[s][1] for f, _ in found]])
+            sides.append((ids[np.repeat(~odd, sizes)], np.repeat(np.arange(len(sizes)), np.where(odd, 0, sizes))))
+            self.ids[s], self.sizes[s] = np.concatenate([self.ids[s], ids]), np.concatenate([self.sizes[s], sizes])
+        self.odd = np.concatenate([self.odd, odd])
+        m = aligned_ids(len(odd), sides, self)
+        i, j = m.links
+        self.groups = np.concatenate([self.groups, m.n_groups()])
+        self.n_links = np.concatenate([self.n_links, m.per_doc(m.docs[0][i])])
+        self.links = np.concatenate([self.links, m.ids[0][i] * len(self.bytes_of[1]) + m.ids[1][j]])
+        self.texts += m.group_texts(self)
+
+    def cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all units of the texts in order, learning new ones,
+        and the text of each; a text has none where its bytes on a side are not a space and the text."""
         units = [self.units(t) if t else [] for t in texts]
         if len(self.number) > KNOWN_UNITS:
             self.forget()
@@ -145,13 +158,19 @@ class Pair:
         unit = np.fromiter(map(self.number.__getitem__, chain.from_iterable(units)), np.int64)
         doc = np.repeat(np.arange(len(texts)), [len(us) for us in units])
         whole = ~np.isin(doc, doc[self.odd[unit]])
-        unit, doc = unit[whole], doc[whole]
-        out = []
-        for ids, sizes in zip(self.ids, self.sizes):
-            n = sizes[unit]
-            first = (np.cumsum(sizes) - sizes)[unit]
-            out.append((ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())], np.repeat(doc, n)))
-        return out
+        return unit[whole], doc[whole]
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and B, all ids of the texts in order, and the text of each."""
+        unit, doc = self.cut(texts)
+        return [(_runs(ids, sizes, unit), np.repeat(doc, sizes[unit])) for ids, sizes in zip(self.ids, self.sizes)]
+
+
+def _runs(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The chosen runs of values laid end to end, one after the other."""
+    n = sizes[which]
+    first = (np.cumsum(sizes) - sizes)[which]
+    return values[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
 @functools.lru_cache(maxsize=2)
@@ -221,28 +240,49 @@ class Alignment:
         ends = np.cumsum(self.per_doc(doc)).tolist()
         return ["".join(shown[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
 
-    def linked_pairs(self, pair: Pair) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, A id, B id, links) of every pair of ids linked in a text."""
-        na, nb = (len(t) for t in pair.bytes_of)
-        i, j = self.links
-        key = (self.docs[0][i] * na + self.ids[0][i]) * nb + self.ids[1][j]
-        key, times = np.unique(key, return_counts=True)
-        return key // (na * nb), key // nb % na, key % nb, times
+
+def aligned_ids(n: int, sides: list[tuple[np.ndarray, np.ndarray]], pair: Pair) -> Alignment:
+    """Aligns n texts given by all ids of each side and the text of each id."""
+    starts, ends = [], []
+    for lengths, (ids, _) in zip(pair.lengths, sides):
+        ends.append(np.cumsum(lengths[ids]))
+        starts.append(ends[-1] - lengths[ids])
+    na = len(starts[0])
+    group = coalesce(np.concatenate(starts), np.concatenate(ends), np.repeat((0, 1), [na, len(starts[1])]))
+    return Alignment(n, tuple(ids for ids, _ in sides), tuple(doc for _, doc in sides), (group[:na], group[na:]),
+                     overlaps(starts[0], ends[0], starts[1], ends[1]))
 
 
 def align(texts: list[str], pair: Pair) -> Alignment:
     """Encodes and aligns a block of texts."""
-    starts, ends, docs, ids = [], [], [], []
-    for lengths, (flat, doc) in zip(pair.lengths, pair.encode(texts)):
-        end = np.cumsum(lengths[flat])
-        ids.append(flat)
-        docs.append(doc)
-        starts.append(end - lengths[flat])
-        ends.append(end)
-    side = np.repeat((0, 1), [len(x) for x in ids])
-    group = coalesce(np.concatenate(starts), np.concatenate(ends), side)
-    return Alignment(len(texts), tuple(ids), tuple(docs), (group[:len(ids[0])], group[len(ids[0]):]),
-                     overlaps(starts[0], ends[0], starts[1], ends[1]))
+    return aligned_ids(len(texts), pair.encode(texts), pair)
+
+
+@dataclass
+class Summary:
+    """Of a block of texts: each one's tokens of both sides, groups, links and
+    groups as text; and (text, A id, B id, times) of every pair linked in a text."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    shown: list[str]
+    pairs: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def summary(texts: list[str], pair: Pair) -> Summary:
+    """What ``align`` finds, put together from the alignments of the units: both
+    sides end a token where units are cut, so no group and no link goes across."""
+    unit, doc = pair.cut(texts)
+    count = lambda of: np.bincount(doc, of[unit], len(texts)).astype(np.int64)
+    ends = np.cumsum(np.bincount(doc, minlength=len(texts))).tolist()
+    parts = list(map(pair.texts.__getitem__, unit.tolist()))
+    na, nb = (len(t) for t in pair.bytes_of)
+    key = np.repeat(doc, pair.n_links[unit]) * (na * nb) + _runs(pair.links, pair.n_links, unit)
+    key, times = np.unique(key, return_counts=True)
+    return Summary(count(pair.sizes[0]), count(pair.sizes[1]), count(pair.groups), count(pair.n_links),
+                   [";".join(parts[a:b]) for a, b in zip([0, *ends[:-1]], ends)], (key // (na * nb), key // nb % na, key % nb, times))
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -300,14 +340,13 @@ def summaries(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     def run(batches):
         pair = pair_of(*files)
         for batch, texts in blocks(batches, "text"):
-            m = align(texts, pair)
-            doc, a, b, times = m.linked_pairs(pair)
-            held = m.per_doc(doc)
-            links = m.per_doc(m.docs[0][m.links[0]])
-            digest = [hashlib.sha256(t.encode("ascii")).hexdigest() if t else "" for t in m.group_texts(pair)]
+            m = summary(texts, pair)
+            doc, a, b, times = m.pairs
+            held = np.bincount(doc, minlength=len(texts))
+            digest = [hashlib.sha256(t.encode("ascii")).hexdigest() if t else "" for t in m.shown]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"),
-                 *[pa.array(x, pa.int64()) for x in (m.per_doc(m.docs[0]), m.per_doc(m.docs[1]), m.n_groups(), links)],
+                 *[pa.array(x, pa.int64()) for x in (m.n_a, m.n_b, m.n_groups, m.n_links)],
                  pa.array(digest, pa.string()), _lists(a, held, pa.int32()), _lists(b, held, pa.int32()),
                  _lists(times, held, pa.int32())],
                 ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "times"])

@@ -98,3 +98,22 @@ def test_coalesce_breaks_where_a_start_reaches_the_furthest_end():
 
 def test_empty_table(spark):
     assert T.alignment_counts(spark.createDataFrame([], KIND)).count() == 0
+
+
+def test_summary_is_that_of_the_whole_alignment():
+    """Put together from units, however they are remembered, or from all tokens at once."""
+    pair = T.pair_of(*T.tokenizer_files())
+    texts = [t or "" for t in TEXTS] + ["more of the same words, more or less", "same words"]
+    for known in (T.KNOWN_UNITS, 0):
+        T.KNOWN_UNITS, before = known, T.KNOWN_UNITS
+        try:
+            s = T.summary(texts, pair)
+        finally:
+            T.KNOWN_UNITS = before
+        m = T.align(texts, pair)
+        assert s.n_a.tolist() == m.per_doc(m.docs[0]).tolist() and s.n_b.tolist() == m.per_doc(m.docs[1]).tolist()
+        assert s.n_groups.tolist() == m.n_groups().tolist() and s.shown == m.group_texts(pair)
+        i, j = m.links
+        assert s.n_links.tolist() == m.per_doc(m.docs[0][i]).tolist()
+        want = collections.Counter(zip(m.docs[0][i].tolist(), m.ids[0][i].tolist(), m.ids[1][j].tolist()))
+        assert dict(zip(zip(*[x.tolist() for x in s.pairs[:3]]), s.pairs[3].tolist())) == want

@@ -16,10 +16,11 @@ rejected; an empty table gives no rows; other columns pass through."""
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,19 +101,21 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def margins(m: dict, docs: list[np.ndarray]) -> np.ndarray:
-    return np.array([pooled(m, d) @ m["u"] + m["c"] for d in docs]) if docs else np.zeros(0)
+def margins(m: dict, docs: Iterable[np.ndarray]) -> np.ndarray:
+    """``docs`` may be a generator, so that one text's rows are held at a time."""
+    return np.array([pooled(m, d) @ m["u"] + m["c"] for d in docs])
 
 
 def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 11) -> dict:
     """Weights by minibatches with per-weight step sizes; only the positions
     that won the pooling learn. ``docs`` is emptied, as it is most of the memory."""
     rng = np.random.default_rng(seed)
-    seen: dict[int, int] = {}
+    seen = np.zeros(BUCKETS, np.int32)
     for d in docs:
-        for t in np.unique(d).tolist():
-            seen[t] = seen.get(t, 0) + 1
-    known = np.array(sorted(t for t, c in seen.items() if c >= 2 and t), np.int64)
+        seen[np.unique(d)] += 1
+    seen[0] = 0
+    known = np.flatnonzero(seen >= 2)
+    del seen
     small = np.zeros(BUCKETS, np.int32)  # bucket -> row of the trained embeddings; 0: none
     small[known] = np.arange(1, len(known) + 1)
     docs.reverse()
@@ -218,8 +221,8 @@ def calibration(docs: DataFrame, labels: DataFrame, model: dict, fitted: list[in
     def bin_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         buckets, m = _Buckets(), ready(shared.value)
         for texts in parts:
-            yield pd.Series([int(np.floor(margins(m, [tokens(t, buckets)])[0] * FINE)) for t in texts.where(texts.notna(), None)],
-                            dtype="int64")
+            texts = texts.where(texts.notna(), None)
+            yield pd.Series(np.floor(margins(m, (tokens(t, buckets) for t in texts)) * FINE).astype(np.int64))
         del buckets, m
         give_back()
 
@@ -242,25 +245,27 @@ def calibration(docs: DataFrame, labels: DataFrame, model: dict, fitted: list[in
     return free.sort_values(["bin", "label"], kind="stable")[["lang", "label", "bin", "n", "weight", "overall"]].reset_index(drop=True)
 
 
-def _fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The weights learned from the sample, in one task (the sample is
-    bounded), and the ids they were fitted on; nothing without both classes."""
-    rows = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "label": []}), *batches])
-    rows = rows.sort_values(["doc_id", "text"], na_position="first", kind="stable").reset_index(drop=True)
-    y = rows["label"].to_numpy(float)
-    if len(set(y.tolist())) < 2:
+    bounded) and in the order of its rows, and the ids they were fitted on;
+    nothing without both classes. Of the texts only their rows are kept."""
+    buckets, docs, y, used = _Buckets(), [], [], []
+    met = {0: 0, 1: 0}
+    for b in batches:
+        for doc_id, text, label in zip(*[b.column(c) for c in ("doc_id", "text", "label")], strict=True):
+            label = label.as_py()
+            met[label] += 1
+            if met[label] % 5:  # every fifth document of a class is left to calibrate
+                docs.append(tokens(text.as_py(), buckets))
+                y.append(label)
+                used.append(doc_id.as_py())
+    del buckets
+    if not all(met.values()):
         return
-    turn = np.zeros(len(y), int)  # every fifth document of a class is left to calibrate
-    for label in (0, 1):
-        turn[y == label] = np.arange((y == label).sum()) % 5
-    left = set(rows["doc_id"][turn == 4])
-    fitting = np.flatnonzero(~rows["doc_id"].isin(left))
-    buckets = _Buckets()
-    docs = [tokens(t, buckets) for t in rows["text"].where(rows["text"].notna(), None).iloc[fitting]]
-    used = sorted({int(i) for i in rows["doc_id"].iloc[fitting]})
-    del rows, buckets
-    m = fit(docs, y[fitting])
-    yield pd.DataFrame({"model": [stored_model(m)], "fitted": [used]})
+    give_back()
+    m = fit(docs, np.array(y, float))
+    yield pa.RecordBatch.from_pylist([{"model": stored_model(m), "fitted": sorted(set(used))}],
+                                     pa.schema([("model", pa.binary()), ("fitted", pa.list_(pa.int64()))]))
     del m
     give_back()
 
@@ -269,7 +274,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     """The model, calibrated: margins are shifted so that 0 (a score of 0.5)
     parts the classes; ``by_lang`` has the languages' own score thresholds."""
     rows = sample(docs, labels, "toxic", per_class, SAMPLE_CHARS).select("doc_id", "text", "label")
-    done = written(docs.sparkSession, rows.repartition(1).mapInPandas(_fitted, "model binary, fitted array<long>"), "toxicity-fit").first()
+    rows = rows.repartition(1).sortWithinPartitions("doc_id", "text")
+    done = written(docs.sparkSession, rows.mapInArrow(_fitted, "model binary, fitted array<long>"), "toxicity-fit").first()
     if done is None:
         return None
     m = read_model(bytes(done.model))
@@ -291,7 +297,7 @@ def predict(m: dict | None, texts) -> np.ndarray:
     if m is None:
         return np.zeros(len(texts))
     buckets = _Buckets()
-    return _sigmoid(margins(ready(m), [tokens(t, buckets) for t in texts]))
+    return _sigmoid(margins(ready(m), (tokens(t, buckets) for t in texts)))
 
 
 @shielded("text")
@@ -303,8 +309,8 @@ def with_toxicity(docs: DataFrame, model: dict | None, column: str = "_toxicity"
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         buckets, m = _Buckets(), ready(shared.value) if shared.value else None
         for texts in parts:
-            rows = [tokens(t, buckets) for t in texts.where(texts.notna(), None)] if m else []
-            yield pd.Series(_sigmoid(margins(m, rows)) if m else np.zeros(len(texts)), dtype=float)
+            texts = texts.where(texts.notna(), None)
+            yield pd.Series(_sigmoid(margins(m, (tokens(t, buckets) for t in texts))) if m else np.zeros(len(texts)), dtype=float)
         del buckets, m
         give_back()
 

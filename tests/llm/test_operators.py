@@ -4,9 +4,11 @@ nulls, empty and long texts, repeated rows, clashing extra columns."""
 import collections
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from salespanel.llm import decontaminate, fingerprint, lm_score, mixing, ngram_join, pages, quality, sharding, substring, toxicity
@@ -215,6 +217,28 @@ def test_classifiers_learn():
     assert s[:40].max() < s[40:80].min() and len(s) == 82
 
 
+def test_toxicity_holds_the_rows_of_one_text_at_a_time():
+    b = toxicity._Buckets()
+    model = toxicity.fit([toxicity.tokens(t, b) for t in ["good day", "bad day"] * 8], np.array([0.0, 1.0] * 8))
+    texts = ["good bad " * 25_000] * 150  # 600 kB of rows each
+    tracemalloc.start()
+    try:
+        s = toxicity.predict(model, texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(s) == 150 and len(set(s.tolist())) == 1 and peak < 60e6
+
+
+def test_toxicity_is_fitted_on_four_of_five_of_a_class_batch_by_batch():
+    rows = [{"doc_id": i, "text": ["a scoundrel", "a day", None][i % 3], "label": int(i % 3 == 0)} for i in range(60)]
+    fit = lambda size, rows: list(toxicity._fitted(iter([pa.RecordBatch.from_pylist(rows[i:i + size]) for i in range(0, len(rows), size)])))
+    one, other = (fit(size, rows)[0].to_pylist()[0] for size in (60, 7))
+    left = [i for y in (0, 1) for i in [r["doc_id"] for r in rows if r["label"] == y][4::5]]
+    assert one["fitted"] == other["fitted"] == sorted(set(range(60)) - set(left)) and one["model"] == other["model"]
+    assert not fit(60, [r for r in rows if r["label"]])
+
+
 def test_toxicity_thresholds_keep_the_mix_of_all_labels(spark):
     r = random.Random(8)
     plain = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(20))

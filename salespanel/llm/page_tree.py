@@ -3,6 +3,7 @@ runs of like siblings as one repeated node."""
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from dataclasses import dataclass, field
@@ -33,7 +34,6 @@ FURNITURE_WORDS = frozenset((
     "navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal "
     "overlay newsletter subscribe signup login share sharing social related recommended comment comments commentlist reply "
     "replies respond disqus widget toolbar pagination pager skip copyright legal search").split())
-_SPACE = re.compile(r"\s+")
 
 
 @dataclass
@@ -64,14 +64,23 @@ def walk(node: Node):
         stack += [c for c in reversed(x.children) if isinstance(c, Node)]
 
 
-def _element(tag: str, attributes: str) -> Node:
+def _read(attributes: str) -> tuple[frozenset, str, bool]:
+    """Words of class and id, role, and whether it is hidden."""
     got = {}
-    for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
+    for m in _ATTRIBUTE.finditer(attributes):
         got.setdefault((m[1] or m[5]).lower(), m[2] or m[3] or m[4] or "")
     words = frozenset(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{got.get('class', '')} {got.get('id', '')}").lower()))
     style = got.get("style", "").replace(" ", "").lower()
-    return Node(tag, words, got.get("role", "").lower(),
-                "hidden" in got or got.get("aria-hidden", "").lower() == "true" or "display:none" in style)
+    return words, got.get("role", "").lower(), "hidden" in got or got.get("aria-hidden", "").lower() == "true" or "display:none" in style
+
+
+_read_again = functools.lru_cache(4096)(_read)  # a site's pages repeat the same short ones
+
+
+def _element(tag: str, attributes: str) -> Node:
+    if not attributes:
+        return Node(tag)
+    return Node(tag, *(_read_again if len(attributes) <= 256 else _read)(attributes))
 
 
 def parse(text: str | None) -> Node:
@@ -135,7 +144,7 @@ def blocks(node: Node, skip) -> list[str]:
     out, open_ = [], []
 
     def close():
-        line = _SPACE.sub(" ", "".join(open_)).strip()
+        line = " ".join("".join(open_).split())  # the white space of str.isspace, as \s has it
         if line:
             out.append(line)
         open_.clear()

@@ -3,10 +3,12 @@
 import functools
 import itertools
 import random
+import re
+import sys
 
 import pytest
 
-from salespanel.llm import pages
+from salespanel.llm import page_tree, pages
 from salespanel.llm.page_tree import Slot, align, blocks, compress, parse, shape, slots
 
 KIND = "page_id long, url string, html string"
@@ -106,3 +108,20 @@ def test_two_layouts_of_a_host(spark):
 def test_plain_parts():
     assert blocks(parse("<p>a&amp;b<br>c <b>d</b></p><ul><li>x<li>y</ul>z"), lambda n: False) == ["a&b c d", "x", "y", "z"]
     assert pages.main_text(None) == pages.main_text("<!-- only a note") == ""
+
+
+def test_repeated_attributes_are_read_once():
+    page_tree._read_again.cache_clear()
+    tag = '<div class="post wideColumn" id=x role="Main">'
+    root = parse((tag + "text</div>") * 50 + '<p hidden>gone</p><p class="' + "long " * 100 + '">kept</p>')
+    info = page_tree._read_again.cache_info()
+    assert (info.misses, info.hits) == (2, 49)  # long attributes are not remembered
+    assert root.children[0].words == {"post", "wide", "column", "x"} and root.children[49].role == "main"
+    assert root.children[0].children is not root.children[1].children
+    assert root.children[50].hidden and root.children[51].words == {"long"}
+
+
+def test_any_white_space_becomes_one_space():
+    space = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if re.match(r"\s", c))
+    assert blocks(parse("<p>" + space + "a" + space + "b" + space + "</p>"), lambda n: False) == ["a b"]
+    assert not [c for c in space if blocks(parse(f"<p>a{c}b</p>"), lambda n: False) != ["a b"]]

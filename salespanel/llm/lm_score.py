@@ -37,6 +37,8 @@ FOLDS, HELD_OUT_FOLD = 7, 2
 DICTIONARY = 500_000
 #: Positions of a part, about; a middle word with more than HOT is dealt by the word before it too.
 PART, HOT, LEAST_PARTS = 1_000_000, 1_000_000, 24
+#: The training count of most words outside of the dictionary: it is not sent, and stands where no count came.
+ONCE = 1
 DISCOUNT = 0.75
 #: Tokens worked on at once.
 CHUNK = 1 << 20
@@ -172,6 +174,24 @@ def _unpacked(raw: bytes, n: int) -> np.ndarray:
     return sum(p.astype(np.int32) << (8 * i) for i, p in enumerate(planes))
 
 
+def _deflated(x: np.ndarray) -> bytes:
+    """Numbers under 1 << 32 byte by byte, their lowest bytes first, deflated: small ones take next to nothing."""
+    return zlib.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T), 1)
+
+
+def _inflated(raw: bytes) -> np.ndarray:
+    return sum(p.astype(np.int64) << (8 * i) for i, p in enumerate(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)))
+
+
+def _keys(k: np.ndarray) -> bytes:
+    """Ascending keys: the first one, and the steps from each to the next."""
+    return k[:1].tobytes() + _deflated(np.diff(k, prepend=k[0]))
+
+
+def _read_keys(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw[:8], np.int64) + np.cumsum(_inflated(raw[8:]))
+
+
 def dealt(rows: DataFrame, shared) -> DataFrame:
     """The positions of all texts by part: one row a part and chunk."""
 
@@ -195,7 +215,7 @@ def dealt(rows: DataFrame, shared) -> DataFrame:
                 rare, where = np.unique(w[out], return_inverse=True)
                 w[out] = d.size + where
                 heads = at_doc[w2[p] == d.begin]  # a text's first position has its id along
-                for col, x in zip(cols, (k[docs].tobytes(), ids[heads].tobytes(), named[heads].tobytes(), runs.astype("<u4").tobytes(), use[docs].tobytes(),
+                for col, x in zip(cols, (_keys(k[docs]), ids[heads].tobytes(), named[heads].tobytes(), _deflated(runs), zlib.compress(use[docs], 1),
                                          hashes[rare].tobytes(), _packed(w)), strict=True):
                     col.append(x)
             n = len(one)
@@ -228,18 +248,18 @@ def asked(rows: DataFrame, shared) -> DataFrame:
     return rows.mapInArrow(ask, "kind int, part int, h long, w long, n long").groupBy("kind", "part", "h", "w").agg(F.sum("n").alias("n"))
 
 
-def _looked_up(keys: np.ndarray, values: np.ndarray, want: np.ndarray) -> np.ndarray:
-    """The value of each wanted key, 0 if it is not there."""
+def _looked_up(keys: np.ndarray, values: np.ndarray, want: np.ndarray, other: int = 0) -> np.ndarray:
+    """The value of each wanted key, ``other`` if it is not there."""
     if not len(keys):
-        return np.zeros(len(want), np.int64)
+        return np.full(len(want), other, np.int64)
     order = np.argsort(keys)
     at = order[np.minimum(np.searchsorted(keys, want, sorter=order), len(keys) - 1)]
-    return np.where(keys[at] == want, values[at], 0)
+    return np.where(keys[at] == want, values[at], other)
 
 
 def _part_scores(d: Dictionary, blobs: list[dict], words: tuple, pairs: tuple, after: np.ndarray, total: int, kinds: int, off: float):
     """Of a part's positions, by row: k, its id if its first position is here, positions << 32 | known, base, score."""
-    runs = [np.frombuffer(x["runs"], "<u4").astype(np.int64) for x in blobs]
+    runs = [_inflated(x["runs"]) for x in blobs]
     rare, where = np.unique(np.concatenate([np.frombuffer(x["rare"], np.uint64) for x in blobs]), return_inverse=True)
     columns, used = [], 0
     for x, r in zip(blobs, runs, strict=True):
@@ -252,8 +272,8 @@ def _part_scores(d: Dictionary, blobs: list[dict], words: tuple, pairs: tuple, a
     w1, w2, w3 = np.concatenate(columns, 1)
     columns.clear()
     runs = np.concatenate(runs)
-    k = np.concatenate([np.frombuffer(x["k"], np.int64) for x in blobs])
-    use = np.concatenate([np.frombuffer(x["use"], np.uint8) for x in blobs])
+    k = np.concatenate([_read_keys(x["k"]) for x in blobs])
+    use = np.concatenate([np.frombuffer(zlib.decompress(x["use"]), np.uint8) for x in blobs])
     train, ask = np.repeat(use & TRAIN > 0, runs), np.repeat(use & SCORE > 0, runs)
     trie = PartTrie(w1[train], w2[train], w3[train], d.none)
     doc = np.repeat(np.arange(len(runs)), runs)
@@ -273,7 +293,7 @@ def _part_scores(d: Dictionary, blobs: list[dict], words: tuple, pairs: tuple, a
     hashes = np.concatenate([d.hash, rare])
     c = np.where(w3 < d.size, d.c[np.minimum(w3, d.size - 1)], 0)
     out = w3 >= d.size
-    c[out] = _looked_up(*words, hashes[w3[out]].view(np.int64))
+    c[out] = _looked_up(*words, hashes[w3[out]].view(np.int64), ONCE)
     c1, t2, c2, place, rank = trie.pairs(w2, w3)
     hot = np.flatnonzero((w2 < d.size) & (d.subs[np.minimum(w2, d.size - 1)] > 1))
     c1[hot], t2[hot] = d.c[w2[hot]], after[w2[hot]]
@@ -308,7 +328,7 @@ def _scored(rows: DataFrame) -> DataFrame:
     after = np.zeros(dictionary.size, np.int64)  # frequent middle words: how many words follow each
     if (dictionary.subs > 1).any() or every > len(h):
         need = written(spark, asked(keyed.drop("doc_id", "k"), shared), "lm-asked")
-        answers = need.where("kind = 1").select("kind", "part", "h").join(words.where("c > 0").select("h", F.col("c").alias("n")), "h")
+        answers = need.where("kind = 1").select("kind", "part", "h").join(words.where(F.col("c") != ONCE).select("h", F.col("c").alias("n")), "h")
         if (dictionary.subs > 1).any():
             pairs = written(spark, need.where("kind = 2").groupBy("h", "w").agg(F.sum("n").alias("n")).where("n > 0"), "lm-pairs")
             for w, n in pairs.groupBy("w").count().collect():

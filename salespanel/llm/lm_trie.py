@@ -24,6 +24,11 @@ def _mapped(a: np.ndarray) -> np.ndarray:
         return np.memmap(f, a.dtype, "r", shape=a.shape)
 
 
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal neighbours begins."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
 class EliasFano:
     """A non-decreasing sequence of non-negative integers."""
 
@@ -35,12 +40,16 @@ class EliasFano:
         at = np.arange(n, dtype=np.int64) * self.bits
         low = x & np.uint64((1 << self.bits) - 1)
         if self.bits:
-            np.bitwise_or.at(self.low, at >> 6, low << (at & 63).astype(np.uint64))
-            over = (at & 63) + self.bits > 64
-            np.bitwise_or.at(self.low, (at[over] >> 6) + 1, low[over] >> (64 - (at[over] & 63)).astype(np.uint64))
+            word = at >> 6
+            new = _runs(word)
+            if n:
+                self.low[word[new]] = np.bitwise_or.reduceat(low << (at & 63).astype(np.uint64), new)
+            over = np.flatnonzero((at & 63) + self.bits > 64)  # one a word at most
+            self.low[word[over] + 1] |= low[over] >> (64 - (at[over] & 63)).astype(np.uint64)
         ones = (x >> np.uint64(self.bits)).astype(np.int64) + np.arange(n)
-        self.high = np.zeros((top >> self.bits) // 64 + n // 64 + 3, np.uint64)
-        np.bitwise_or.at(self.high, ones >> 6, np.uint64(1) << (ones & 63).astype(np.uint64))
+        high = np.zeros(((top >> self.bits) // 64 + n // 64 + 3) * 64, np.uint8)
+        high[ones] = 1
+        self.high = np.packbits(high, bitorder="little").view("<u8").astype(np.uint64, copy=False)
         self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.high))]).astype(np.int64)
 
     def map(self) -> EliasFano:
@@ -83,9 +92,13 @@ class EliasFano:
     def successor(self, x: np.ndarray) -> np.ndarray:
         """Index of the first value that is not under each x (n: none), from
         the run of values that share x's high bits on."""
+        return self.seek(x)[0]
+
+    def seek(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``successor`` of each x, and whether it is x itself."""
         x = np.asarray(x, np.int64)
         if not self.n or not len(x):
-            return np.zeros(len(x), np.int64)
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         high = np.minimum(x >> self.bits, ((len(self.high) << 6) - self.n - 1))
         start = np.where(high > 0, self._select_zero(np.maximum(high - 1, 0)) - high + 1, 0)
         end = self._select_zero(high) - high
@@ -94,11 +107,14 @@ class EliasFano:
         while True:  # halves the run of equal high bits
             open_ = np.flatnonzero(lo < hi)
             if not len(open_):
-                return lo
+                break
             mid = (lo[open_] + hi[open_]) >> 1
             less = self._low(mid) < low[open_]
             lo[open_] = np.where(less, mid + 1, lo[open_])
             hi[open_] = np.where(less, hi[open_], mid)
+        same = (lo < end) & (x >> self.bits == high)
+        same[same] = self._low(lo[same]) == low[same]
+        return lo, same
 
 
 class Quantised:
@@ -120,7 +136,7 @@ class Level:
     """Successors by context: ``begin`` (pointers) and monotone ids."""
 
     def __init__(self, context: np.ndarray, ids: np.ndarray, contexts: int):
-        begin = np.searchsorted(context, np.arange(contexts + 1)).astype(np.int64)
+        begin = np.append(0, np.cumsum(np.bincount(context, minlength=contexts))).astype(np.int64)
         last = np.zeros(contexts + 1, np.int64)  # the value before each context's first
         ends = begin[1:] > begin[:-1]
         last[1:] = np.cumsum(np.where(ends, ids[np.maximum(begin[1:] - 1, 0)] + 1 if len(ids) else 0, 0))
@@ -134,12 +150,12 @@ class Level:
 
     def find(self, context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of each (context, id), -1 if it is not there; and the context's begin."""
-        begin, end = self.begin.get(context), self.begin.get(context + 1)
-        want = self.last.get(context) + ids
-        at = self.ids.successor(want)
-        ok = (at >= begin) & (at < end)
-        ok[ok] = self.ids.get(at[ok]) == want[ok]
-        return np.where(ok, at, -1), begin
+        new = _runs(context)
+        one, times = context[new], np.diff(np.append(new, len(context)))  # a run's pointers are read once
+        begin, want = np.repeat(self.begin.get(one), times), np.repeat(self.last.get(one), times) + ids
+        at, same = self.ids.seek(want)
+        # a context's values end where those of the next one begin
+        return np.where(same & (want < np.repeat(self.last.get(one + 1), times)), at, -1), begin
 
 
 class Trie:
@@ -220,12 +236,14 @@ class PartTrie:
     def __init__(self, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, none: int):
         self.none, self.middle = none, np.unique(w2)
         n, self.v = len(self.middle), int(max(w1.max(), w2.max(), w3.max())) + 1 if len(w1) else 1
-        u = np.searchsorted(self.middle, w2).astype(np.int64)
+        self.place = np.full(self.v, -1, np.int32)  # of each middle word
+        self.place[self.middle] = np.arange(n)
+        u = self.place[w2].astype(np.int64)
         pair, at, self.c2 = np.unique(u * self.v + w3, return_inverse=True, return_counts=True)
         self.c1, self.t2 = np.bincount(u, minlength=n), np.bincount(pair // self.v, minlength=n)
         inner = w1 != none
         before, back, self.c12 = np.unique((u * self.v + w1)[inner], return_inverse=True, return_counts=True)
-        rank = (at - np.searchsorted(pair, u * self.v))[inner]
+        rank = (at - np.append(0, np.cumsum(self.t2))[u])[inner]
         size = self.size = int(rank.max()) + 1 if len(rank) else 1
         triple, self.c3 = np.unique(back * size + rank, return_counts=True)
         self.t12 = np.bincount(triple // size, minlength=len(before))
@@ -235,10 +253,7 @@ class PartTrie:
 
     def _place(self, w2: np.ndarray) -> np.ndarray:
         """Place of each middle word, -1 if it is not here."""
-        if not len(self.middle):
-            return np.full(len(w2), -1)
-        at = np.minimum(np.searchsorted(self.middle, w2), len(self.middle) - 1)
-        return np.where(self.middle[at] == w2, at, -1)
+        return np.where(w2 < self.v, self.place[np.minimum(w2, self.v - 1)], -1).astype(np.int64)
 
     @staticmethod
     def _found(level: Level, context: np.ndarray, ids: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

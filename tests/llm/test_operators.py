@@ -186,6 +186,26 @@ def test_most_frequent_words_are_cut_exactly(spark):
     assert len(lm_score.most_frequent(spread, "c", 20)[0]) == 20
 
 
+def test_language_model_sends_no_count_of_words_met_once():
+    keys = np.array([7, 3], np.int64), np.array([0, 5], np.int64)
+    assert lm_score._looked_up(*keys, np.array([3, 7, 9]), lm_score.ONCE).tolist() == [5, 0, 1]
+    assert lm_score._looked_up(*(np.zeros(0, np.int64),) * 2, np.array([9]), lm_score.ONCE).tolist() == [1]
+
+
+def test_keys_and_runs_of_a_part_travel_in_few_bytes():
+    k = np.cumsum(np.random.default_rng(2).integers(1, 4, 3000)) + (5 << 33)
+    assert lm_score._read_keys(lm_score._keys(k)).tolist() == k.tolist() and len(lm_score._keys(k)) < len(k)
+    runs = np.array([1] * 3000 + [1 << 20])
+    assert lm_score._inflated(lm_score._deflated(runs)).tolist() == runs.tolist() and len(lm_score._deflated(runs)) < 100
+
+
+def test_elias_fano_seeks_what_is_there():
+    x = np.sort(np.random.default_rng(4).integers(0, 4000, 700))
+    at, same = EliasFano(x).seek(np.arange(4200))
+    assert same.tolist() == np.isin(np.arange(4200), x).tolist()
+    assert at[same].tolist() == np.searchsorted(x, np.flatnonzero(same)).tolist()
+
+
 def test_elias_fano_and_trie():
     r = np.random.default_rng(1)
     x = np.sort(r.integers(0, 50_000, 3000))

@@ -6,9 +6,13 @@ the part of the model its middle word hashes to, where the training positions
 make an Elias-Fano trie (see lm_trie) and all positions are scored by it. A
 frequent middle word's positions are dealt over many parts by the word before,
 so no part grows with one word; its pairs are then counted in a shuffle of
-their own. The most frequent words go out to the tasks with their counts;
-counts of the others are brought to the parts that need them by a join. Both
-only save traffic: no score depends on which words they are.
+their own. The most frequent words go out to the tasks with their counts; the
+parts ask for those of the others by hash range. Both only save traffic: no
+score depends on which words they are.
+
+What moves is packed: a chunk's positions, a range's answers (bare counts, in
+the order of hashes that the part knows too) and the sums of a chunk's texts
+are one row a part each, not one a position, word or text.
 
 Absolute discounting: what the entries of a context leave goes to the shorter
 context, at last to the words, of which all words never met are one more.
@@ -25,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,23 +38,30 @@ from salespanel.llm.common import held_out, keep_columns, mix, table, word_hashe
 from salespanel.llm.lm_trie import PartTrie
 
 FOLDS, HELD_OUT_FOLD = 7, 2
-#: Words that go out to all tasks (16 bytes each); the counts of all others come by a join.
+#: Words that go out to all tasks (24 bytes each); the counts of all others are asked for.
 DICTIONARY = 500_000
 #: Positions of a part, about; a middle word with more than HOT is dealt by the word before it too.
 PART, HOT, LEAST_PARTS = 1_000_000, 1_000_000, 24
+#: Positions a hash range of requests, about; the number of ranges is a power of two.
+RANGE, LEAST_RANGES = 1 << 23, 16
 #: The training count of most words outside of the dictionary: it is not sent, and stands where no count came.
 ONCE = 1
 DISCOUNT = 0.75
 #: Tokens worked on at once.
 CHUNK = 1 << 20
-#: Logarithms are summed as whole multiples of 1 / UNIT.
-UNIT = float(1 << 32)
+#: Logarithms are summed as whole multiples of 1 / UNIT, those of the model of 1 / FINE.
+UNIT, FINE = float(1 << 32), float(1 << 24)
 END = np.array([xxhash.xxh3_64_intdigest(b"\n")], np.uint64)  # no word holds a line end
 #: Hashes that stand for the text's begin, and for nothing before it.
 _EDGES = np.array([xxhash.xxh3_64_intdigest(b"\n\n"), xxhash.xxh3_64_intdigest(b"\n\n\n")], np.uint64)
 TRAIN, SCORE = 1, 2
-_BLOBS = ["k", "ids", "named", "runs", "use", "rare", "w"]
-_DEALT = ", ".join(["part int", "kind int", *[f"{x} binary" for x in _BLOBS], "h long", "n long"])
+#: Rows that go to a part: its positions in a chunk, answers (words, hot pairs), a chunk's texts (passed on).
+DEALT, WORDS, PAIRS, TEXTS = 0, 1, 2, 3
+#: Rows of answers only: how many words follow a hot one.
+FOLLOW = 4
+_BLOBS = ["docs", "runs", "use", "rare", "middle", "w"]
+_SENT = ", ".join(["part int", "kind int", "chunk long", *[f"{x} binary" for x in _BLOBS]])
+_SUMS = ["docs", "score", "at", "known", "base"]
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
@@ -119,10 +131,11 @@ def word_counts(rows: DataFrame) -> DataFrame:
 class Dictionary:
     """The most frequent words, numbered by descending count, then the two
     edges; numbers from ``size`` on are for words outside of it. ``subs``: over
-    how many parts a middle word is dealt."""
+    how many parts a middle word is dealt; ``ranges``: of hashes, for requests."""
 
-    def __init__(self, h: np.ndarray, m: np.ndarray, c: np.ndarray, parts: int, hot: int):
-        """Hashes, counts in all rows and counts in training."""
+    def __init__(self, h: np.ndarray, m: np.ndarray, c: np.ndarray, parts: int, hot: int, total: int, kinds: int, ranges: int):
+        """Hashes, counts in all rows and counts in training; all words and distinct words of training."""
+        self.total, self.kinds, self.ranges = total, kinds, ranges
         self.parts, self.begin, self.none, self.size = parts, len(h), len(h) + 1, len(h) + 2
         self.hash, self.c = np.append(h, _EDGES), np.append(c, [c[h == END].sum(), 0]).astype(np.int64)
         self.order = np.argsort(h)
@@ -130,6 +143,15 @@ class Dictionary:
         m = np.append(m, [m[h == END].sum(), 0]).astype(np.int64)
         self.subs = np.where(m > hot, -(-m // hot), 1)
         self.subs[:-2][h == END] = 1  # nothing follows it
+        self.base = np.append(self.add_one(self.c), 0)  # the last one: for words outside
+
+    def add_one(self, c: np.ndarray) -> np.ndarray:
+        """The add-one model's logarithm of words by their counts."""
+        return np.rint((np.log10(c + 1) - np.log10(self.total + self.kinds + 1)) * UNIT).astype(np.int64)
+
+    def ranged(self, h: np.ndarray) -> np.ndarray:
+        """The order of hashes in which requests are answered: by range, then by hash."""
+        return np.lexsort((h, h & np.uint64(self.ranges - 1)))
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Numbers of words (-1: not here)."""
@@ -164,14 +186,14 @@ def _pair(h2: np.ndarray, h3: np.ndarray) -> np.ndarray:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Numbers byte by byte, the lowest of all first (3 bytes each if that is enough, else 4), deflated."""
-    planes = 3 if not len(x) or x.max() < 1 << 24 else 4
-    return zlib.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :planes].T), 1)
+    """Numbers of 0 or more byte by byte, the lowest bytes of all first, as many bytes each as the largest needs, deflated."""
+    planes = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([planes]) + zlib.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T), 1)
 
 
-def _unpacked(raw: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(-1, n)
-    return sum(p.astype(np.int32) << (8 * i) for i, p in enumerate(planes))
+def _unpacked(raw: bytes, dtype: type = np.int64) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    return sum(p.astype(dtype) << dtype(8 * i) for i, p in enumerate(planes))
 
 
 def _deflated(x: np.ndarray) -> bytes:
@@ -193,16 +215,17 @@ def _read_keys(raw: bytes) -> np.ndarray:
 
 
 def dealt(rows: DataFrame, shared) -> DataFrame:
-    """The positions of all texts by part: one row a part and chunk."""
+    """The positions of all texts by part, one row a part and chunk; and each chunk's texts with what needs no part."""
 
     def deal(batches):
         for b, at, h, begin in _texts(batches):
             d = shared.value
             own = b.take(pa.array(at))
-            k, use = own.column("k").to_numpy(), own.column("use").to_numpy().astype(np.uint8)
-            ids, named = own.column("doc_id").fill_null(0).to_numpy(), own.column("doc_id").is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
+            chunk, use = own.column("k")[0].as_py(), own.column("use").to_numpy().astype(np.uint8)
+            ids, named = own.column("doc_id").fill_null(0).to_numpy(), own.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             w1, w2, w3, part, _, hashes = d.positions(h, begin)
-            doc = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(h))))
+            size = np.diff(np.append(begin, len(h)))
+            doc = np.repeat(np.arange(len(begin)), size)
             order = np.argsort(part.astype(np.uint16) if d.parts < 1 << 16 else part, kind="stable")
             one, starts = np.unique(part[order], return_index=True)
             cols: list[list] = [[] for _ in _BLOBS]
@@ -214,38 +237,51 @@ def dealt(rows: DataFrame, shared) -> DataFrame:
                 out = w >= d.size
                 rare, where = np.unique(w[out], return_inverse=True)
                 w[out] = d.size + where
-                heads = at_doc[w2[p] == d.begin]  # a text's first position has its id along
-                for col, x in zip(cols, (_keys(k[docs]), ids[heads].tobytes(), named[heads].tobytes(), _deflated(runs), zlib.compress(use[docs], 1),
-                                         hashes[rare].tobytes(), _packed(w)), strict=True):
+                middle, w2_at = np.unique(w[len(p):2 * len(p)], return_inverse=True)  # a part's middle words are few
+                w[len(p):2 * len(p)] = w2_at
+                for col, x in zip(cols, (_keys(docs), _packed(runs), zlib.compress(use[docs], 1), hashes[rare].tobytes(), _packed(middle),
+                                         b"".join(len(r).to_bytes(4, "little") + r for r in map(_packed, w.reshape(3, -1)))), strict=True):
                     col.append(x)
+            in_dictionary = np.minimum(w3, d.size)
+            texts = np.concatenate([ids, size, np.add.reduceat(np.append(d.c > 0, False)[in_dictionary].astype(np.int64), begin),
+                                    np.add.reduceat(d.base[in_dictionary], begin), named, use]).astype(np.int64)
             n = len(one)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(one.astype(np.int32)), pa.array(np.zeros(n, np.int32)), *[pa.array(c, pa.binary()) for c in cols],
-                 pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], [f.split()[0] for f in _DEALT.split(", ")])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.append(one, chunk % d.parts).astype(np.int32)), pa.array(np.append(np.full(n, DEALT), TEXTS).astype(np.int32)),
+                pa.array(np.full(n + 1, chunk)), *[pa.array([*c, zlib.compress(texts, 1) if f == "docs" else None], pa.binary())
+                                                   for f, c in zip(_BLOBS, cols, strict=True)]], [f.split()[0] for f in _SENT.split(", ")])
 
-    return rows.mapInArrow(deal, _DEALT)
+    return rows.mapInArrow(deal, _SENT)
 
 
 def asked(rows: DataFrame, shared) -> DataFrame:
-    """(kind, part, h, w, n): which words outside the dictionary (1) and pairs
-    of frequent middle words (2; w: the middle word's number) a part needs, and training counts of the pairs."""
+    """By hash range, one row a chunk and kind: which words outside the
+    dictionary and pairs of frequent middle words (w: the middle word's number)
+    a part needs, and training counts of the pairs (n)."""
 
     def ask(batches):
         for b, at, h, begin in _texts(batches):
             d = shared.value
             train = np.repeat(b.take(pa.array(at)).column("use").to_numpy() & TRAIN, np.diff(np.append(begin, len(h))))
             _, w2, w3, part, hot, hashes = d.positions(h, begin)
-            for kind, own, key, w in ((1, w3 >= d.size, hashes[w3].view(np.int64), np.zeros(len(h), np.int64)),
-                                      (2, hot, _pair(hashes[w2], hashes[w3]), w2)):
-                p, x, m, t = part[own], key[own], w[own], train[own]
-                order = np.lexsort((x, p))
-                p, x, m, t = p[order], x[order], m[order], t[order]
-                new = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (x[1:] != x[:-1]))) if len(p) else np.zeros(0, np.int64)
-                n = np.add.reduceat(t, new) if len(p) else t
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), kind, np.int32)), pa.array(p[new].astype(np.int32)), pa.array(x[new]),
-                                                  pa.array(m[new].astype(np.int64)), pa.array(n.astype(np.int64))], ["kind", "part", "h", "w", "n"])
-
-    return rows.mapInArrow(ask, "kind int, part int, h long, w long, n long").groupBy("kind", "part", "h", "w").agg(F.sum("n").alias("n"))
+            for kind, own in ((WORDS, w3 >= d.size), (PAIRS, hot)):
+                own = np.flatnonzero(own)
+                if not len(own):
+                    continue
+                x = hashes[w3[own]] if kind == WORDS else _pair(hashes[w2[own]], hashes[w3[own]]).view(np.uint64)
+                p, m, t = part[own], w2[own], train[own].astype(np.int64)
+                r = (x & np.uint64(d.ranges - 1)).astype(np.int64)
+                order = np.lexsort((p, x, r))
+                r, p, x, m, t = r[order], p[order], x[order], m[order], t[order]
+                new = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (x[1:] != x[:-1])))
+                r, p, x, m, t = r[new], p[new], x[new], m[new], np.add.reduceat(t, new)
+                cut = np.flatnonzero(np.diff(r)) + 1
+                cols = [[_packed(np.diff(i, prepend=np.uint64(0))) for i in np.split(x, cut)], [_packed(i) for i in np.split(p, cut)],
+                        *[[_packed(i) if kind == PAIRS else None for i in np.split(j, cut)] for j in (m, t)]]
+                yield pa.RecordBatch.from_arrays([pa.array(r[np.append(0, cut)].astype(np.int32)), pa.array(np.full(len(cut) + 1, kind, np.int32)),
+                                                  *[pa.array(c, pa.binary()) for c in cols]], ["r", "kind", "x", "p", "m", "t"])
+
+    return rows.mapInArrow(ask, "r int, kind int, x binary, p binary, m binary, t binary")
 
 
 def _looked_up(keys: np.ndarray, values: np.ndarray, want: np.ndarray, other: int = 0) -> np.ndarray:
@@ -257,47 +293,100 @@ def _looked_up(keys: np.ndarray, values: np.ndarray, want: np.ndarray, other: in
     return np.where(keys[at] == want, values[at], other)
 
 
-def _part_scores(d: Dictionary, blobs: list[dict], words: tuple, pairs: tuple, after: np.ndarray, total: int, kinds: int, off: float):
-    """Of a part's positions, by row: k, its id if its first position is here, positions << 32 | known, base, score."""
-    runs = [_inflated(x["runs"]) for x in blobs]
+def answered(requests: DataFrame, words: DataFrame, ranges: int) -> DataFrame:
+    """Counts by part, kind and hash range (``chunk``), bare, in the order of the
+    hashes asked for: in ``w``, training counts of words or hot pairs. Rows of
+    kind FOLLOW say how many pairs (n) of a range begin with a hot word (m)."""
+
+    def answer(batches):
+        for r, own in _groups(batches, "r"):
+            known = own.filter(pa.compute.is_valid(own.column("h")))
+            for kind in (WORDS, PAIRS):
+                asks = own.filter(pa.compute.equal(own.column("kind"), kind)).select(["x", "p", "m", "t"]).to_pylist()
+                if not asks:
+                    continue
+                x = np.concatenate([np.cumsum(_unpacked(a["x"], np.uint64), dtype=np.uint64) for a in asks])
+                p = np.concatenate([_unpacked(a["p"]) for a in asks])
+                one, back = np.unique(x, return_inverse=True)
+                if kind == WORDS:
+                    n = _looked_up(known.column("h").to_numpy(), known.column("n").to_numpy(), one.view(np.int64), ONCE)
+                else:
+                    n = np.zeros(len(one), np.int64)
+                    np.add.at(n, back, np.concatenate([_unpacked(a["t"]) for a in asks]))
+                    middle = np.zeros(len(one), np.int64)
+                    middle[back] = np.concatenate([_unpacked(a["m"]) for a in asks])
+                    w, times = np.unique(middle[n > 0], return_counts=True)
+                    yield _batch(_ANSWERS, len(w), part=0, kind=FOLLOW, chunk=r, m=w, n=times)
+                want = np.unique(p * len(one) + back)  # by part, then by hash
+                parts, starts = np.unique(want // len(one), return_index=True)
+                got = [_packed(n[i]) for i in np.split(want % len(one), starts[1:])]
+                yield _batch(_ANSWERS, len(parts), part=parts, kind=kind, chunk=r, w=got)
+
+    told = words.where(F.col("c") != ONCE).select(F.col("h").bitwiseAND(ranges - 1).cast("int").alias("r"), "h", F.col("c").alias("n"))
+    return requests.unionByName(told, allowMissingColumns=True).repartition(ranges, "r").sortWithinPartitions("r").mapInArrow(answer, _ANSWERS)
+
+
+def _part_scores(d: Dictionary, blobs: list[dict], words: np.ndarray, pairs: np.ndarray, after: np.ndarray, off: float):
+    """Of a part's positions, by chunk: the texts' sums of the model, and of those
+    words outside the dictionary how many are known and the add-one model's sum.
+    ``words``, ``pairs``: the answers, in ``ranged`` order."""
+    total, kinds = d.total, d.kinds
+    runs = [_unpacked(x["runs"]) for x in blobs]
     rare, where = np.unique(np.concatenate([np.frombuffer(x["rare"], np.uint64) for x in blobs]), return_inverse=True)
     columns, used = [], 0
-    for x, r in zip(blobs, runs, strict=True):
-        w = _unpacked(x["w"], 3 * int(r.sum()))
+    for x in blobs:
+        w, raw = [], x["w"]
+        while raw:
+            size = 4 + int.from_bytes(raw[:4], "little")
+            w.append(_unpacked(raw[4:size], np.int32))
+            raw = raw[size:]
+        w[1] = _unpacked(x["middle"], np.int32)[w[1]]
+        w = np.stack(w)
         own = len(x["rare"]) // 8
         out = w >= d.size
         w[out] = d.size + where[used:used + own][w[out] - d.size]
         used += own
-        columns.append(w.reshape(3, -1))
+        columns.append(w)
     w1, w2, w3 = np.concatenate(columns, 1)
     columns.clear()
-    runs = np.concatenate(runs)
-    k = np.concatenate([_read_keys(x["k"]) for x in blobs])
+    docs = [_read_keys(x["docs"]) for x in blobs]
+    runs, ends = np.concatenate(runs), np.cumsum([len(x) for x in docs])
+    docs = np.concatenate(docs)
     use = np.concatenate([np.frombuffer(zlib.decompress(x["use"]), np.uint8) for x in blobs])
     train, ask = np.repeat(use & TRAIN > 0, runs), np.repeat(use & SCORE > 0, runs)
+    hashes = np.concatenate([d.hash, rare])
+
+    def asked_for(x, counts):
+        """Counts of hashes, from the answers."""
+        one, back = np.unique(x, return_inverse=True)
+        if len(one) != len(counts):
+            raise ValueError(f"{len(counts)} answers to {len(one)} requests")
+        n = np.zeros(len(one), np.int64)
+        n[d.ranged(one)] = counts
+        return one, n
+
+    last = np.unique(w3[w3 >= d.size])
+    words = asked_for(hashes[last], words)
+    is_hot = np.append(d.subs > 1, False)
+    hot = np.flatnonzero(is_hot[np.minimum(w2, d.size)])
+    pairs = asked_for(_pair(hashes[w2[hot]], hashes[w3[hot]]).view(np.uint64), pairs)
     trie = PartTrie(w1[train], w2[train], w3[train], d.none)
-    doc = np.repeat(np.arange(len(runs)), runs)
-    head = doc[w2 == d.begin]
-    ids, named = np.zeros(len(runs), np.int64), np.zeros(len(runs), bool)
-    ids[head] = np.concatenate([np.frombuffer(x["ids"], np.int64) for x in blobs])
-    named[head] = np.concatenate([np.frombuffer(x["named"], np.uint8) for x in blobs]) > 0
-    doc = doc[ask]
+    doc = np.repeat(np.arange(len(runs)), runs)[ask]
     if not len(doc):
-        return None
+        return
     v = d.size + len(rare)
     pair, of = np.unique(w2[ask].astype(np.int64) * v + w3[ask], return_inverse=True)
     triple, back = np.unique(of * v + w1[ask], return_inverse=True)  # each one is looked up once
     del of, train, ask
     at, w1 = triple // v, triple % v
     w2, w3 = pair // v, pair % v
-    hashes = np.concatenate([d.hash, rare])
     c = np.where(w3 < d.size, d.c[np.minimum(w3, d.size - 1)], 0)
     out = w3 >= d.size
-    c[out] = _looked_up(*words, hashes[w3[out]].view(np.int64), ONCE)
+    c[out] = words[1][np.searchsorted(words[0], hashes[w3[out]])]
     c1, t2, c2, place, rank = trie.pairs(w2, w3)
-    hot = np.flatnonzero((w2 < d.size) & (d.subs[np.minimum(w2, d.size - 1)] > 1))
+    hot = np.flatnonzero(is_hot[np.minimum(w2, d.size)])
     c1[hot], t2[hot] = d.c[w2[hot]], after[w2[hot]]
-    c2[hot] = _looked_up(*pairs, _pair(hashes[w2[hot]], hashes[w3[hot]]))
+    c2[hot] = pairs[1][np.searchsorted(pairs[0], _pair(hashes[w2[hot]], hashes[w3[hot]]).view(np.uint64))]
     c12, t12, c3 = trie.triples(w1, place[at], rank[at])
 
     def smoothed(n, all_, types, shorter):
@@ -305,12 +394,75 @@ def _part_scores(d: Dictionary, blobs: list[dict], words: tuple, pairs: tuple, a
 
     p1 = np.where(c > 0, (c - off) / max(1, total), off * kinds / total if total else 1.0)
     p = smoothed(c3, c12, t12, smoothed(c2, c1, t2, p1)[at])
-    whole = lambda x: np.rint(x * UNIT).astype(np.int64)
-    base, score = whole(np.log10(c + 1) - np.log10(total + kinds + 1))[at], whole(np.log10(np.maximum(p, 1e-300)))
+    score = np.rint(-np.log10(np.maximum(p, 1e-300)) * FINE).astype(np.int64)[back]  # 0 or more
     starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    n = np.add.reduceat((1 << 32) + (c > 0)[at][back].astype(np.int64), starts)
-    one = doc[starts]
-    return [pa.array(k[one]), pa.array(ids[one], mask=~named[one]), n, np.add.reduceat(base[back], starts), np.add.reduceat(score[back], starts)]
+    rows, score = doc[starts], np.add.reduceat(score, starts)
+    outside = np.flatnonzero(out[at][back])
+    one = at[back[outside]]
+    to, first = np.unique(doc[outside], return_index=True)
+    known, base = (np.add.reduceat(x, first) if len(first) else x for x in ((c[one] > 0).astype(np.int64), -d.add_one(c[one])))
+    to = np.searchsorted(rows, to)
+    for x, s, e in zip(blobs, np.searchsorted(rows, ends - np.diff(ends, prepend=0)), np.searchsorted(rows, ends), strict=True):
+        if s < e:
+            i = slice(*np.searchsorted(to, [s, e]))
+            sparse = (_keys(to[i] - s), _packed(known[i]), _packed(base[i])) if i.start < i.stop else (None,) * 3
+            yield x["chunk"], _keys(docs[rows[s:e]]), _packed(score[s:e]), *sparse
+
+
+_ANSWERS = "part int, kind int, chunk long, w binary, m long, n long"
+
+
+def _batch(schema: str, rows: int, **columns) -> pa.RecordBatch:
+    """Rows of a schema: a column is an array, a list, one value for all, or absent (null)."""
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([
+        pa.nulls(rows, types[t]) if f not in columns else pa.array(columns[f] if np.ndim(columns[f]) or isinstance(columns[f], list) else [columns[f]] * rows, types[t])
+        for f, t in fields], [f for f, _ in fields])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
+    """Rows by their key, in which they are sorted."""
+    at, held = None, []
+    for b in batches:
+        k = b.column(key).to_numpy()
+        cuts = np.flatnonzero(np.diff(k)) + 1
+        for s, e in zip(np.append(0, cuts), np.append(cuts, len(k)), strict=True):
+            if s < e:
+                if held and k[s] != at:
+                    yield at, pa.Table.from_batches(held)
+                    held = []
+                at = int(k[s])
+                held.append(b.slice(s, e - s))
+    if held:
+        yield at, pa.Table.from_batches(held)
+
+
+def _gathered(sums: DataFrame, total: int) -> DataFrame:
+    """A row a scored text, from its chunk's sums by part (a row without ``score`` is the chunk's texts)."""
+    columns = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+    def gather(batches):
+        for _, own in _groups(batches, "chunk"):
+            rows = own.to_pylist()
+            texts = next(x["docs"] for x in rows if x["score"] is None)
+            texts = np.frombuffer(zlib.decompress(texts), np.int64).reshape(6, -1).copy()
+            ids, size, known, base, named, use = texts
+            score = np.zeros(len(ids), np.int64)
+            for x in rows:
+                if x["score"] is not None:
+                    docs = _read_keys(x["docs"])  # each one once
+                    score[docs] -= _unpacked(x["score"])
+                    if x["at"] is not None:
+                        docs = docs[_read_keys(x["at"])]
+                        known[docs] += _unpacked(x["known"])
+                        base[docs] -= _unpacked(x["base"])
+            own = np.flatnonzero(use & SCORE)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ids[own], mask=named[own] == 0), pa.array(size[own]), pa.array(known[own]), pa.array(np.full(len(own), total, np.int64)),
+                pa.array(base[own] / UNIT), pa.array(score[own] / FINE)], [f.split()[0] for f in columns.split(", ")])
+
+    return sums.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(gather, columns)
 
 
 def _scored(rows: DataFrame) -> DataFrame:
@@ -321,58 +473,36 @@ def _scored(rows: DataFrame) -> DataFrame:
         F.sum(x.cast("long")) for x in (F.col("c") > 0, F.col("c") == 1, F.col("c") == 2)]).first())
     off = once / (once + 2 * twice) if once and twice else 0.5  # discount of a word's count
     h, m, c = most_frequent(words, "m", DICTIONARY, "c")
-    dictionary = Dictionary(h.view(np.uint64), m, c, max(LEAST_PARTS, -(-met // PART)), HOT)
+    ranges = max(LEAST_RANGES, 1 << (-(-met // RANGE) - 1).bit_length())
+    dictionary = Dictionary(h.view(np.uint64), m, c, max(LEAST_PARTS, -(-met // PART)), HOT, total, kinds, ranges)
     shared = spark.sparkContext.broadcast(dictionary)
     keyed = rows.select("doc_id", F.monotonically_increasing_id().alias("k"), "text", F.col("use").cast("int").alias("use"))
     positions = dealt(keyed, shared)
     after = np.zeros(dictionary.size, np.int64)  # frequent middle words: how many words follow each
     if (dictionary.subs > 1).any() or every > len(h):
-        need = written(spark, asked(keyed.drop("doc_id", "k"), shared), "lm-asked")
-        answers = need.where("kind = 1").select("kind", "part", "h").join(words.where(F.col("c") != ONCE).select("h", F.col("c").alias("n")), "h")
-        if (dictionary.subs > 1).any():
-            pairs = written(spark, need.where("kind = 2").groupBy("h", "w").agg(F.sum("n").alias("n")).where("n > 0"), "lm-pairs")
-            for w, n in pairs.groupBy("w").count().collect():
-                after[w] = n
-            answers = answers.unionByName(need.where("kind = 2").select("kind", "part", "h").join(pairs.select("h", "n"), "h"))
-        empty = [F.lit(None).cast("binary").alias(x) for x in _BLOBS]
-        positions = positions.unionByName(answers.select("part", "kind", *empty, "h", "n"))
+        answers = written(spark, answered(asked(keyed.drop("doc_id", "k"), shared), words, ranges), "lm-answers")
+        for w, n in answers.where(F.col("kind") == FOLLOW).groupBy("m").agg(F.sum("n")).collect():
+            after[w] = n
+        positions = positions.unionByName(answers.where(F.col("kind") != FOLLOW).select("part", "kind", "chunk", "w"), allowMissingColumns=True)
     follow = spark.sparkContext.broadcast(after)
 
     def score(batches):
-        state: list = [None, [], [[], []], [[], []]]
-
-        def flush():
-            at, blobs, *got = state
+        for _, own in _groups(batches, "part"):
+            by = {k: own.filter(pa.compute.equal(own.column("kind"), k)) for k in (DEALT, WORDS, PAIRS, TEXTS)}
+            del own
+            for chunk, docs in zip(by[TEXTS].column("chunk").to_pylist(), by[TEXTS].column("docs").to_pylist(), strict=True):
+                yield _batch(sums, 1, chunk=chunk, docs=[docs])
+            known = [np.concatenate([np.zeros(0, np.int64), *[_unpacked(x) for _, x in sorted(zip(
+                by[k].column("chunk").to_pylist(), by[k].column("w").to_pylist(), strict=True))]]) for k in (WORDS, PAIRS)]
+            blobs = by.pop(DEALT).select(["chunk", *_BLOBS]).to_pylist()
+            by.clear()
             if blobs:
-                known = [tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in g) for g in got]
-                out = _part_scores(shared.value, blobs, *known, follow.value, total, kinds, off)
+                out = list(_part_scores(shared.value, blobs, *known, follow.value, off))
                 if out:
-                    yield pa.RecordBatch.from_arrays([*out[:2], *map(pa.array, out[2:])], ["k", "doc_id", "n", "base", "score"])
+                    yield _batch(sums, len(out), **dict(zip(["chunk", *_SUMS], map(list, zip(*out, strict=True)), strict=True)))
 
-        for b in batches:
-            part, kind = b.column("part").to_numpy(), b.column("kind").to_numpy()
-            cuts = np.flatnonzero(np.diff(part)) + 1
-            for s, e in zip(np.append(0, cuts), np.append(cuts, len(part)), strict=True):
-                if s == e:
-                    continue
-                if part[s] != state[0]:
-                    yield from flush()
-                    state = [part[s], [], [[], []], [[], []]]
-                for x in (1, 2):
-                    own = pa.array(s + np.flatnonzero(kind[s:e] == x))
-                    if len(own):
-                        for column, to in zip(("h", "n"), state[1 + x], strict=True):
-                            to.append(b.column(column).take(own).to_numpy())
-                own = pa.array(s + np.flatnonzero(kind[s:e] == 0))
-                if len(own):
-                    state[1] += b.select(_BLOBS).take(own).to_pylist()
-        yield from flush()
-
-    return positions.repartition(dictionary.parts, "part").sortWithinPartitions("part").mapInArrow(
-        score, "k long, doc_id long, n long, base long, score long").groupBy("k").agg(
-        F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n", "base", "score")]).select(
-        "doc_id", F.shiftright("n", 32).alias("n_tokens"), F.col("n").bitwiseAND((1 << 32) - 1).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") / UNIT).alias("base_score"), (F.col("score") / UNIT).alias("score"))
+    sums = ", ".join(["chunk long", *[f"{x} binary" for x in _SUMS]])
+    return _gathered(positions.repartition(dictionary.parts, "part").sortWithinPartitions("part").mapInArrow(score, sums), int(total))
 
 
 def scored(docs: DataFrame, training: DataFrame) -> DataFrame:

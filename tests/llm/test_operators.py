@@ -178,6 +178,43 @@ def test_language_model_counts_every_word_pair_and_triple(docs, rows, dictionary
             assert r.score == pytest.approx(sum(np.log10(p(tuple(w[max(0, i - 2):i]), w[i])) for i in range(1, len(w))), abs=1e-5)
 
 
+def test_language_model_sends_no_row_a_word(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i}x{j // 2}" for j in range(60))) for i in range(200)]  # 6,000 words, twice each, outside of the dictionary
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes, written = {}, lm_score.written
+
+    def counted(spark, df, name):
+        out = written(spark, df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(lm_score, "written", counted)
+    monkeypatch.setattr(lm_score, "DICTIONARY", 1)
+    got = lm_score.scored(docs, docs).collect()
+    assert sizes.pop("lm-words") == 6001
+    assert sizes and max(sizes.values()) < 1000, sizes
+    assert {(r.n_tokens, r.n_known, r.train_tokens) for r in got} == {(61, 61, 200 * 61)}
+    base = 60 * np.log10(3 / (200 * 61 + 6002)) + np.log10(201 / (200 * 61 + 6002))
+    assert all(r.base_score == pytest.approx(base) for r in got)
+
+
+def test_language_model_scores_alike_however_rows_are_dealt(docs, rows, monkeypatch):
+    monkeypatch.setattr(lm_score, "DICTIONARY", 10)
+    monkeypatch.setattr(lm_score, "HOT", 3)
+    training = docs.where("doc_id % 3 <> 0")
+    one, many = (sorted(lm_score.scored(docs.repartition(n), training.repartition(n)).collect(), key=str) for n in (1, 9))
+    assert one == many and len(one) == len(rows)
+
+
+def test_numbers_travel_in_as_many_bytes_as_the_largest_needs():
+    for top in (1, 1 << 7, 1 << 9, 1 << 30, 1 << 62):
+        x = np.random.default_rng(3).integers(0, top, 500)
+        assert lm_score._unpacked(lm_score._packed(x)).tolist() == x.tolist()
+    assert lm_score._unpacked(lm_score._packed(np.zeros(0, np.int64))).tolist() == []
+    h = np.sort(np.random.default_rng(5).integers(0, 1 << 64, 500, np.uint64))
+    assert np.cumsum(lm_score._unpacked(lm_score._packed(np.diff(h, prepend=np.uint64(0))), np.uint64), dtype=np.uint64).tolist() == h.tolist()
+
+
 def test_most_frequent_words_are_cut_exactly(spark):
     counts = spark.createDataFrame([(i - 30, c) for i, c in enumerate([70_000 + i for i in range(40)] + [5] * 20)], "h long, c long")
     for most in (0, 7, 40, 60, 100):  # all of the first 40 lie above 65,536

@@ -49,8 +49,8 @@ ONCE = 1
 DISCOUNT = 0.75
 #: Tokens worked on at once.
 CHUNK = 1 << 20
-#: Logarithms are summed as whole multiples of 1 / UNIT, those of the model of 1 / FINE.
-UNIT, FINE = float(1 << 32), float(1 << 24)
+#: Logarithms are summed as whole multiples of 1 / UNIT.
+UNIT = float(1 << 32)
 END = np.array([xxhash.xxh3_64_intdigest(b"\n")], np.uint64)  # no word holds a line end
 #: Hashes that stand for the text's begin, and for nothing before it.
 _EDGES = np.array([xxhash.xxh3_64_intdigest(b"\n\n"), xxhash.xxh3_64_intdigest(b"\n\n\n")], np.uint64)
@@ -59,7 +59,7 @@ TRAIN, SCORE = 1, 2
 DEALT, WORDS, PAIRS, TEXTS = 0, 1, 2, 3
 #: Rows of answers only: how many words follow a hot one.
 FOLLOW = 4
-_BLOBS = ["docs", "runs", "use", "rare", "middle", "w"]
+_BLOBS = ["docs", "runs", "rare", "middle", "w"]
 _SENT = ", ".join(["part int", "kind int", "chunk long", *[f"{x} binary" for x in _BLOBS]])
 _SUMS = ["docs", "score", "at", "known", "base"]
 
@@ -185,14 +185,16 @@ def _pair(h2: np.ndarray, h3: np.ndarray) -> np.ndarray:
     return mix(h2 * np.uint64(0x9E3779B97F4A7C15) + h3).view(np.int64)
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Numbers of 0 or more byte by byte, the lowest bytes of all first, as many bytes each as the largest needs, deflated."""
+def _packed(x: np.ndarray, repeats: bool = True) -> bytes:
+    """Numbers of 0 or more byte by byte, the lowest bytes of all first, as many bytes each as the
+    largest needs, deflated without header; no ``repeats``: without looking for strings that repeat."""
     planes = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return bytes([planes]) + zlib.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T), 1)
+    z = zlib.compressobj(1, zlib.DEFLATED, -zlib.MAX_WBITS, 8, zlib.Z_DEFAULT_STRATEGY if repeats else zlib.Z_HUFFMAN_ONLY)
+    return bytes([planes]) + z.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T)) + z.flush()
 
 
 def _unpacked(raw: bytes, dtype: type = np.int64) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    planes = np.frombuffer(zlib.decompress(raw[1:], -zlib.MAX_WBITS), np.uint8).reshape(raw[0], -1)
     return sum(p.astype(dtype) << dtype(8 * i) for i, p in enumerate(planes))
 
 
@@ -239,8 +241,8 @@ def dealt(rows: DataFrame, shared) -> DataFrame:
                 w[out] = d.size + where
                 middle, w2_at = np.unique(w[len(p):2 * len(p)], return_inverse=True)  # a part's middle words are few
                 w[len(p):2 * len(p)] = w2_at
-                for col, x in zip(cols, (_keys(docs), _packed(runs), zlib.compress(use[docs], 1), hashes[rare].tobytes(), _packed(middle),
-                                         b"".join(len(r).to_bytes(4, "little") + r for r in map(_packed, w.reshape(3, -1)))), strict=True):
+                for col, x in zip(cols, (_packed(np.diff(docs, prepend=0) << 2 | use[docs]), _packed(runs), hashes[rare].tobytes(), _packed(middle),
+                                         b"".join(len(r).to_bytes(4, "little") + r for r in (_packed(i, j == 1) for j, i in enumerate(w.reshape(3, -1))))), strict=True):
                     col.append(x)
             in_dictionary = np.minimum(w3, d.size)
             texts = np.concatenate([ids, size, np.add.reduceat(np.append(d.c > 0, False)[in_dictionary].astype(np.int64), begin),
@@ -276,7 +278,7 @@ def asked(rows: DataFrame, shared) -> DataFrame:
                 new = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (x[1:] != x[:-1])))
                 r, p, x, m, t = r[new], p[new], x[new], m[new], np.add.reduceat(t, new)
                 cut = np.flatnonzero(np.diff(r)) + 1
-                cols = [[_packed(np.diff(i, prepend=np.uint64(0))) for i in np.split(x, cut)], [_packed(i) for i in np.split(p, cut)],
+                cols = [[_packed(np.diff(i, prepend=np.uint64(0)), False) for i in np.split(x, cut)], [_packed(i) for i in np.split(p, cut)],
                         *[[_packed(i) if kind == PAIRS else None for i in np.split(j, cut)] for j in (m, t)]]
                 yield pa.RecordBatch.from_arrays([pa.array(r[np.append(0, cut)].astype(np.int32)), pa.array(np.full(len(cut) + 1, kind, np.int32)),
                                                   *[pa.array(c, pa.binary()) for c in cols]], ["r", "kind", "x", "p", "m", "t"])
@@ -349,10 +351,9 @@ def _part_scores(d: Dictionary, blobs: list[dict], words: np.ndarray, pairs: np.
         columns.append(w)
     w1, w2, w3 = np.concatenate(columns, 1)
     columns.clear()
-    docs = [_read_keys(x["docs"]) for x in blobs]
+    docs = [_unpacked(x["docs"]) for x in blobs]  # steps from text to text, and their use
     runs, ends = np.concatenate(runs), np.cumsum([len(x) for x in docs])
-    docs = np.concatenate(docs)
-    use = np.concatenate([np.frombuffer(zlib.decompress(x["use"]), np.uint8) for x in blobs])
+    use, docs = np.concatenate(docs) & 3, np.concatenate([np.cumsum(x >> 2) for x in docs])
     train, ask = np.repeat(use & TRAIN > 0, runs), np.repeat(use & SCORE > 0, runs)
     hashes = np.concatenate([d.hash, rare])
 
@@ -394,7 +395,7 @@ def _part_scores(d: Dictionary, blobs: list[dict], words: np.ndarray, pairs: np.
 
     p1 = np.where(c > 0, (c - off) / max(1, total), off * kinds / total if total else 1.0)
     p = smoothed(c3, c12, t12, smoothed(c2, c1, t2, p1)[at])
-    score = np.rint(-np.log10(np.maximum(p, 1e-300)) * FINE).astype(np.int64)[back]  # 0 or more
+    score = np.rint(-np.log10(np.maximum(p, 1e-300)) * UNIT).astype(np.int64)[back]  # 0 or more
     starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     rows, score = doc[starts], np.add.reduceat(score, starts)
     outside = np.flatnonzero(out[at][back])
@@ -406,7 +407,7 @@ def _part_scores(d: Dictionary, blobs: list[dict], words: np.ndarray, pairs: np.
         if s < e:
             i = slice(*np.searchsorted(to, [s, e]))
             sparse = (_keys(to[i] - s), _packed(known[i]), _packed(base[i])) if i.start < i.stop else (None,) * 3
-            yield x["chunk"], _keys(docs[rows[s:e]]), _packed(score[s:e]), *sparse
+            yield x["chunk"], _packed(np.diff(docs[rows[s:e]], prepend=0)), _packed(score[s:e], False), *sparse
 
 
 _ANSWERS = "part int, kind int, chunk long, w binary, m long, n long"
@@ -451,7 +452,7 @@ def _gathered(sums: DataFrame, total: int) -> DataFrame:
             score = np.zeros(len(ids), np.int64)
             for x in rows:
                 if x["score"] is not None:
-                    docs = _read_keys(x["docs"])  # each one once
+                    docs = np.cumsum(_unpacked(x["docs"]))  # each one once
                     score[docs] -= _unpacked(x["score"])
                     if x["at"] is not None:
                         docs = docs[_read_keys(x["at"])]
@@ -460,7 +461,7 @@ def _gathered(sums: DataFrame, total: int) -> DataFrame:
             own = np.flatnonzero(use & SCORE)
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids[own], mask=named[own] == 0), pa.array(size[own]), pa.array(known[own]), pa.array(np.full(len(own), total, np.int64)),
-                pa.array(base[own] / UNIT), pa.array(score[own] / FINE)], [f.split()[0] for f in columns.split(", ")])
+                pa.array(base[own] / UNIT), pa.array(score[own] / UNIT)], [f.split()[0] for f in columns.split(", ")])
 
     return sums.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(gather, columns)
 
